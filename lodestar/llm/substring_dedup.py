@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import NO_DOC, U64, RangeHash, byte_codes, flat_ranges, mix64, pack, shuffle_partitions, slices, string_buffer, text_bytes, unpack
 
-GRAM = 24
+GRAM = 24  # bytes of an anchor, in words of 8
 NONE, WHOLE, COMPARE, SPREAD = 0, 1, 2, 3
 
 
@@ -200,7 +200,10 @@ class Runs:
         if not long.any():
             return
         word = words_at(data)
-        gram = mix64(word[: n - GRAM + 1] * U64(0x9E3779B97F4A7C15) ^ (word[GRAM - 8 : n - 8 + 1] + U64(0x632BE59BD9B4E019)) * U64(0xC2B2AE3D27D4EB4F))
+        gram = word[: n - GRAM + 1] * U64(0x9E3779B97F4A7C15)
+        for at in range(8, GRAM, 8):
+            gram = mix64(gram) + word[at : n - GRAM + 1 + at]
+        gram = mix64(gram)
         span, least, have = width - GRAM + 1, gram, 1
         while have * 2 <= span:
             least = np.minimum(least[:-have], least[have:])
