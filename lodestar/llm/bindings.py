@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from . import toxicity
 from .common import table
+from .minhash import near_duplicates
 from .substring_dedup import remove_repeats
 
 
@@ -10,5 +14,18 @@ def op3_suffix_array_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_suffix_array_dedup": op3_suffix_array_dedup}
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = toxicity.split_fold() == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), folds=~held_out)
+    scored = toxicity.score(docs, model)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), spans.alias("spans"))
+
+
+def op10_minhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+QUERIES = {"op3_suffix_array_dedup": op3_suffix_array_dedup, "op8_toxicity": op8_toxicity, "op10_minhash": op10_minhash}
 ORACLES: dict[str, str] = {}
