@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import secrets, toxicity
 from .common import table
 from .minhash import near_duplicates
+from .packing import pack_documents
 from .substring_dedup import remove_repeats
+from .topk import exact_topk
 
 
 def op3_suffix_array_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_topk(spark, sf_dir):
+    return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op7_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = toxicity.split_fold() == 0
@@ -23,9 +33,16 @@ def op8_toxicity(spark, sf_dir):
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), spans.alias("spans"))
 
 
+def op9_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, secrets.fit(docs))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"))
+
+
 def op10_minhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
-QUERIES = {"op3_suffix_array_dedup": op3_suffix_array_dedup, "op8_toxicity": op8_toxicity, "op10_minhash": op10_minhash}
+QUERIES = {f.__name__: f for f in (op3_suffix_array_dedup, op4_exact_topk, op7_packing, op8_toxicity, op9_secrets, op10_minhash)}
 ORACLES: dict[str, str] = {}
