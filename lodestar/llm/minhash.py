@@ -10,14 +10,16 @@ row a document.
    leader and member are verified on their full sets, and the links give
    first components.
 3. A bucket whose members are in one component by now is settled: whatever other
-   links it holds join nothing new. In the others, members of different
-   components are compared by their sketches, block against block, and pairs that
-   could be similar are verified on their full sets.
+   links it holds join nothing new. In the others, sketches are compared, block
+   against block. First a spanning forest of the pairs that look similar is
+   verified, fewer pairs than members, and components are found anew.
+4. What still lies in different components of one bucket and could be similar by
+   the sketches is verified pair by pair on the full sets.
 
 So a group of n near copies costs about n verifications, not n * n, and no link
 between components that any band has seen is left out. With 40 bands of 5 bins a
 pair at 0.8 is missed by all bands with probability 1e-7; the sketch comparison
-lets pairs through down to an estimate some 8 standard deviations below.
+lets pairs through down to an estimate 6.5 standard deviations below.
 
 Nulls: a document with a null or empty text, or with no words, is linked with
 nothing and has n_shingles 0. A null doc_id is linked with nothing and has a
@@ -42,14 +44,14 @@ from .shingles import band_keys, overlap, shingle_sets, sketches
 BLOCK = 2048  # members of a bucket that one task compares with as many others
 
 
-def _features(batches, shingle: int, bins: int, bands: int, prints: int):
+def _features(batches, shingle: int, bins: int, bands: int):
     for batch in batches:
         data, offsets = string_buffer(batch.column(1))
         for a, b in slices(np.diff(offsets), 1 << 20):
             sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
             sketch = sketches(sets, bins)
             keys = band_keys(sketch, bands).view(np.int64)
-            short = (sketch[:, :prints] & np.uint64(255)).astype(np.uint8)
+            short = (sketch & np.uint64(255)).astype(np.uint8)
             some = np.array([len(s) > 0 for s in sets])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -105,31 +107,77 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return both.mapInArrow(lambda it: _verify(it, shingle, percent), "a long, b long")
 
 
-def _cross_pairs(part: pa.Table, percent: int, prints: int, slack: float):
-    """Pairs of a bucket's members, one of either block, in different components, that their sketches do not rule out."""
+def _marks(part: pa.Table):
     doc, comp, n, side = (part.column(c).to_numpy() for c in ("doc", "component", "n", "side"))
-    marks = np.frombuffer(b"".join(part.column("prints").to_pylist()), np.uint8).reshape(len(doc), prints)
-    left = np.flatnonzero(side != 1)
-    right = np.flatnonzero(side != 0)  # side 2: a block against itself
+    return doc, comp, n, side, np.frombuffer(b"".join(part.column("prints").to_pylist()), np.uint8).reshape(len(doc), -1)
+
+
+def _pairs_table(a: list, b: list) -> pa.Table:
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
+def _forest(part: pa.Table, likely: float) -> pa.Table:
+    """A spanning forest, over what components there are, of pairs that the sketches take for similar: fewer pairs than members."""
+    doc, comp, _, side, marks = _marks(part)
+    alone = (side == 2).any()
+    waiting = np.ones(len(doc), bool)
+    by_comp: dict[int, list[int]] = {}
+    for i, c in enumerate(comp.tolist()):
+        by_comp.setdefault(c, []).append(i)
+    a, b = [], []
+    for start in by_comp:
+        queue = [i for i in by_comp[start] if waiting[i]]
+        waiting[queue] = False
+        while queue:
+            i = queue.pop()
+            other = np.flatnonzero(waiting if alone else waiting & (side != side[i]))
+            other = other[(marks[other] == marks[i]).sum(axis=1) >= likely * marks.shape[1]] if len(other) else other
+            if len(other):
+                _, first = np.unique(comp[other], return_index=True)
+                a.append(np.full(len(first), doc[i]))
+                b.append(doc[other[first]])
+                new = [j for c in comp[other[first]].tolist() for j in by_comp[c]]
+                waiting[new] = False
+                queue += new
+    return _pairs_table(a, b)
+
+
+def _cross_pairs(part: pa.Table, percent: int, slack: float) -> pa.Table:
+    """Pairs of a bucket's members, one of either block, in different components, that their sketches do not rule out."""
+    doc, comp, n, side, marks = _marks(part)
     alone = (side == 2).any()
-    out = []
-    for i in left:
+    right = np.flatnonzero(side != 0)  # side 2: a block against itself
+    a, b = [], []
+    for i in np.flatnonzero(side != 1):
         other = right[right > i] if alone else right
         other = other[(comp[other] != comp[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
         if len(other):
-            close = other[(marks[other] == marks[i]).sum(axis=1) >= slack * prints]
-            out.append(np.stack([np.minimum(doc[close], doc[i]), np.maximum(doc[close], doc[i])], 1))
-    found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+            close = other[(marks[other] == marks[i]).sum(axis=1) >= slack * marks.shape[1]]
+            a.append(np.full(len(close), doc[i]))
+            b.append(doc[close])
+    return _pairs_table(a, b)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins: int = 200, bands: int = 40, prints: int = 100) -> DataFrame:
+def _unsettled(reps: DataFrame, placed: DataFrame) -> DataFrame:
+    """The members of buckets that still hold several components, dealt to pairs of blocks: key, i, j, side, doc, n, component, prints."""
+    known = reps.select("doc", "n", "keys").join(placed.select(F.col("id").alias("doc"), "component"), "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"), "keys")
+    member = known.select("doc", "n", "component", F.explode("keys").alias("key"))
+    open_ = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high")
+    open_ = open_.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    # block i meets block j for all i <= j; a bucket of one block is the case i = j = 0
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"), F.when(j == F.col("block"), 2).when(F.col("block") < j, 0).otherwise(1).alias("side")))
+    dealt = member.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).select("key", "doc", "n", "component", F.explode(meets).alias("m"))
+    return dealt.join(reps.select("doc", "prints"), "doc").select("key", "m.*", "doc", "n", "component", "prints")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins: int = 200, bands: int = 40) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: the near-duplicate component of each row of ``docs`` (doc_id long, text string)."""
-    if bins % bands or prints > bins:
-        raise ValueError("bands must divide bins, and prints must not exceed bins")
+    if bins % bands:
+        raise ValueError("bands must divide bins")
     source = docs.select("doc_id", "text")
     schema = "doc_id long, n_shingles long, set_key binary, keys array<long>, prints binary"
-    features = cut_lineage(source.mapInArrow(lambda it: _features(it, shingle, bins, bands, prints), schema))
+    features = cut_lineage(source.mapInArrow(lambda it: _features(it, shingle, bins, bands), schema))
     sets = features.where("set_key is not null and doc_id is not null")
     reps = sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "keys", "prints")).alias("x")).select("set_key", F.col("x.doc_id").alias("doc"), F.col("x.n_shingles").alias("n"), "x.keys", "x.prints")
     reps = cut_lineage(reps)
@@ -141,17 +189,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins:
     links = cut_lineage(_verified(stars, texts, shingle, percent))
     first = components(links)
 
-    placed = reps.select("doc", "n", "keys").join(first.select(F.col("id").alias("doc"), "component"), "doc", "left").select("doc", "n", "keys", F.coalesce("component", "doc").alias("component"))
-    member = placed.select("doc", "n", "component", F.explode("keys").alias("key"))
-    open_ = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high")
-    open_ = open_.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    unsettled = member.join(open_, "key").join(reps.select("doc", "prints"), "doc")
-    block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    # block i meets block j for all i <= j; a bucket of one block is the case i = j = 0
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"), F.when(j == F.col("block"), 2).when(F.col("block") < j, 0).otherwise(1).alias("side")))
-    dealt = unsettled.withColumn("block", block).select("key", "doc", "n", "component", "prints", F.explode(meets).alias("m")).select("key", "doc", "n", "component", "prints", "m.*")
-    slack = percent / 100 - 8 * (percent / 100 * (1 - percent / 100) / prints) ** 0.5
-    crossing = dealt.groupBy("key", "i", "j").applyInArrow(lambda t: _cross_pairs(t, percent, prints, slack), "a long, b long").distinct()
+    rest = 1 - percent / 100
+    spread = (percent / 100 * rest / bins) ** 0.5
+    hubs = _unsettled(reps, first).groupBy("key", "i", "j").applyInArrow(lambda t: _forest(t, percent / 100), "a long, b long").distinct()
+    links = cut_lineage(links.union(_verified(hubs, texts, shingle, percent)))
+    second = components(links)
+    crossing = _unsettled(reps, second).groupBy("key", "i", "j").applyInArrow(lambda t: _cross_pairs(t, percent, percent / 100 - 6.5 * spread), "a long, b long").distinct()
     more = _verified(crossing, texts, shingle, percent)
     whole = components(links.union(more))
 
