@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import secrets, toxicity
+from . import decontaminate, secrets, toxicity
 from .common import table
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -20,6 +20,10 @@ def op4_exact_topk(spark, sf_dir):
     return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_minhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_array_dedup, op4_exact_topk, op7_packing, op8_toxicity, op9_secrets, op10_minhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_suffix_array_dedup, op4_exact_topk, op5_decontamination, op7_packing, op8_toxicity, op9_secrets, op10_minhash)}
+ORACLES: dict[str, str] = {"op5_decontamination": decontaminate.sql()}
