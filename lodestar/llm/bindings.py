@@ -8,6 +8,7 @@ from . import decontaminate, secrets, toxicity
 from .common import table
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .quality import score_quality
 from .substring_dedup import remove_repeats
 from .topk import exact_topk
 
@@ -24,6 +25,10 @@ def op5_decontamination(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality(spark, sf_dir):
+    return score_quality(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -48,5 +53,5 @@ def op10_minhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_array_dedup, op4_exact_topk, op5_decontamination, op7_packing, op8_toxicity, op9_secrets, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op3_suffix_array_dedup, op4_exact_topk, op5_decontamination, op6_quality, op7_packing, op8_toxicity, op9_secrets, op10_minhash)}
 ORACLES: dict[str, str] = {"op5_decontamination": decontaminate.sql()}
