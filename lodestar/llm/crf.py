@@ -8,6 +8,7 @@ many documents at once.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -115,33 +116,42 @@ class Potentials(dict):
     def __init__(self, model: Crf):
         super().__init__()
         self.model = model
-        self.rows = np.zeros((1024, (1 + len(model.around)) * model.states))
+        weights = model.weights.tolist()
+        self.own = {f: tuple(weights[i]) for f, i in model.index.items()}
+        self.lent = [{f[len(p) :]: w for f, w in self.own.items() if f.startswith(p)} for p in (f"{d:+d}" for d in model.around)]
+        self.store = array("d")
 
     def __missing__(self, token: str) -> int:
-        m, at = self.model, len(self)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        row = self.rows[at].reshape(-1, m.states)
-        row[:] = 0
-        for f in m.features(token):
-            if (i := m.index.get(f)) is not None:
-                row[0] += m.weights[i]
-        for f in m.neighbour(token):
-            for k, d in enumerate(m.around):
-                if (i := m.index.get(f"{d:+d}{f}")) is not None:
-                    row[1 + k] += m.weights[i]
-        self[token] = at
+        model = self.model
+        states = range(model.states)
+        row = [0.0] * model.states
+        get = self.own.get
+        for f in model.features(token):
+            if w := get(f):
+                for s in states:
+                    row[s] += w[s]
+        self.store.extend(row)
+        names = model.neighbour(token)
+        for lent in self.lent:
+            row = [0.0] * model.states
+            for f in names:
+                if w := lent.get(f):
+                    for s in states:
+                        row[s] += w[s]
+            self.store.extend(row)
+        self[token] = at = len(self)
         return at
 
     def unary(self, chains: list[list[str]], extras: list[list[str]] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The potentials of all tokens of these chains in a row, and the offsets of the chains in them."""
         if len(self) > self.LIMIT:
             self.clear()
+            self.store = array("d")
         look = self.__getitem__
         ids = np.array([i for c in chains for i in map(look, c)], np.int64)
         offsets = np.concatenate([[0], np.cumsum([len(c) for c in chains])]).astype(np.int64)
         m, k = self.model, self.model.states
-        rows = self.rows[ids]
+        rows = np.frombuffer(self.store).reshape(-1, (1 + len(m.around)) * k)[ids]
         out = rows[:, :k].copy()
         chain = np.repeat(np.arange(len(chains)), np.diff(offsets))
         for j, d in enumerate(m.around):
@@ -184,7 +194,7 @@ def marginals(unary: np.ndarray, offsets: np.ndarray, moves: np.ndarray, lanes:
     e = e.reshape(lanes, length, k)
     enters = fresh[:total].reshape(lanes, length)
     leaves = fresh[1:].reshape(lanes, length)  # the next token starts a chain
-    a, flat = np.exp(moves), np.ones((k, k))
+    a = np.exp(moves)
 
     def walk(inward: np.ndarray, keep: bool, forward: bool):
         """inward: lanes x starts x states. The vectors after the lane, or at all places of it."""
@@ -207,13 +217,22 @@ def marginals(unary: np.ndarray, offsets: np.ndarray, moves: np.ndarray, lanes:
     def entries(forward: bool) -> np.ndarray:
         product = walk(np.broadcast_to(np.eye(k), (lanes, k, k)).copy(), False, forward)
         v, out = np.ones(k), np.empty((lanes, 1, k))
+        if k == 2:  # plain numbers, faster than tiny arrays
+            x, y = 1.0, 1.0
+            rows = product.reshape(lanes, 4).tolist()
+            for p in range(lanes) if forward else range(lanes - 1, -1, -1):
+                out[p, 0, 0], out[p, 0, 1] = x, y
+                c = rows[p]
+                x, y = x * c[0] + y * c[2], x * c[1] + y * c[3]
+                top = max(x, y)
+                x, y = x / top, y / top
+            return out
         for p in range(lanes) if forward else range(lanes - 1, -1, -1):
             out[p, 0] = v
             v = v @ product[p]
             v = v / v.max()
         return out
 
-    del flat
     alpha = walk(entries(True), True, True)[:, :, 0]
     beta = walk(entries(False), True, False)[:, :, 0]
     p = (alpha * beta).transpose(1, 0, 2).reshape(total, k)[:n]

@@ -34,6 +34,7 @@ from .crf import Crf, Potentials, marginals
 
 _EDGES = re.compile(r"^\W+|\W+$")
 BEGINNINGS = (3, 4, 5, 6, 7)  # lengths of beginnings of words
+_SIZES = [f"n={n}" for n in range(13)]
 STRETCH = 48  # tokens of a training chain
 
 
@@ -44,12 +45,12 @@ def core(token: str) -> str:
 
 def features(token: str) -> list[str]:
     word = core(token)
-    return ["bias", *units(word), f"n={min(len(word), 12)}", "p" if word != token else "q", "d" if any(c.isdigit() for c in word) else "l"]
+    return ["bias", *units(word), _SIZES[min(len(word), 12)], "p" if word != token else "q", "l" if word.isalpha() else "d"]
 
 
 def units(word: str) -> list[str]:
     """A word and its beginnings."""
-    return ["w=" + word, *("b=" + word[:n] for n in BEGINNINGS if n < len(word))]
+    return ["w=" + word, *["b=" + word[:n] for n in BEGINNINGS if n < len(word)]]
 
 
 def neighbour(token: str) -> list[str]:
