@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, secrets, toxicity
+from . import decontaminate, preferences, revisits, secrets, toxicity
 from .common import table
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -13,6 +13,16 @@ from .substring_dedup import remove_repeats
 from .topk import exact_topk
 
 
+def op1_preferences(spark, sf_dir):
+    return preferences.format_preferences(preferences.stale_replies(table(spark, sf_dir, "conversations")))
+
+
+def op2_revisits(spark, sf_dir):
+    found = revisits.resolve_revisits(revisits.captures_of(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return found.select("record_id", "canonical_url", "ts", "outcome", "refers_to", headers.alias("headers"), F.md5("payload").alias("payload_md5"))
+
+
 def op3_suffix_array_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -53,5 +63,5 @@ def op10_minhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_array_dedup, op4_exact_topk, op5_decontamination, op6_quality, op7_packing, op8_toxicity, op9_secrets, op10_minhash)}
-ORACLES: dict[str, str] = {"op5_decontamination": decontaminate.sql()}
+QUERIES = {f.__name__: f for f in (op1_preferences, op2_revisits, op3_suffix_array_dedup, op4_exact_topk, op5_decontamination, op6_quality, op7_packing, op8_toxicity, op9_secrets, op10_minhash)}
+ORACLES: dict[str, str] = {"op1_preferences": preferences.SQL, "op2_revisits": revisits.SQL, "op5_decontamination": decontaminate.sql()}
