@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # ---- fixed values -------------------------------------------------------------
 CJK = "一-鿿"
@@ -49,9 +50,6 @@ CITATION = r"\s*[\[【](?:\d+:\d+|source:\d+|evidence:\d+|visual:\d+|image:\d+|
 TERMINATORS = "。！？.!?"
 # -------------------------------------------------------------------------------
 
-empty = F.lit("")
-
-
 def strip(text: Column) -> Column:
     """Without white space, Unicode's too, on both ends."""
     return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
@@ -59,7 +57,7 @@ def strip(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """FN1: words in lower case, then of each CJK run its characters and its bigrams; repeats stay."""
-    low = F.lower(F.coalesce(text, empty))
+    low = F.lower(F.coalesce(text, F.lit("")))
     runs = F.regexp_extract_all(low, F.lit(f"[{CJK}]+"), 0)
     pieces = lambda run, n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(run) - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.length(run)), lambda i: F.substring(run, i, F.lit(n)))
     return F.concat(F.regexp_extract_all(low, F.lit(WORD), 0), F.flatten(F.transform(runs, lambda r: F.concat(pieces(r, 1), pieces(r, 2)))))
@@ -101,7 +99,7 @@ def rewrite_query(query: Column) -> Column:
     """FN10: filler words and marks to blanks; the query itself if nothing is left."""
     out = F.regexp_replace(F.regexp_replace(query, "(?iuU)" + ENGLISH_FILLER, " "), CHINESE_FILLER, " ")
     out = strip(F.regexp_replace(F.regexp_replace(out, QUERY_MARKS, " "), r"(?U)\s+", " "))
-    return F.coalesce(F.nullif(out, empty), query)
+    return F.coalesce(F.nullif(out, F.lit("")), query)
 
 
 def hypothetical_document(query: Column) -> Column:
@@ -141,13 +139,13 @@ def formal(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """SRC10: compatibility-composed; no built-in function does it."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_folded(text: pd.Series) -> pd.Series:
     """NFKC and full case folding."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())

@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .text import tokens
 
@@ -28,7 +29,7 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm == 0, x.cast("double")).otherwise(x.cast("double") / norm))
 
 
-@F.pandas_udf("struct<bucket:int,sign:int>")
+@F.pandas_udf(StructType([StructField("bucket", IntegerType()), StructField("sign", IntegerType())]))
 def blake_slot(token: pd.Series, dimensions: pd.Series) -> pd.DataFrame:
     """UDF2: bucket and sign of a token from its 8-byte BLAKE2b digest."""
     digests = [hashlib.blake2b(t.encode(), digest_size=8).digest() for t in token]
