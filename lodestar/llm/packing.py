@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 WINDOW = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
@@ -33,9 +35,14 @@ _ODD = re.compile("[\x1c-\x1f]|<\\|")  # white space to Python only, or a specia
 
 
 class WordTokenizer(dict):
-    """Token ids, as little-endian bytes, of each white-space word; exact, since the tokenizer splits at white space before all else."""
+    """Token ids, as little-endian bytes, of each white-space word; exact, since the tokenizer splits at white space before all else.
+
+    It also splits letters from what is no letter, so a word's final marks are
+    looked up on their own; and it lowers case, so plain letters are lowered first.
+    """
 
     LIMIT = 500_000
+    BLOCK = 1000  # new words that are encoded at once
 
     def __init__(self, path: str):
         super().__init__()
@@ -43,19 +50,41 @@ class WordTokenizer(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.whole(word)
-        return ids
-
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self.whole(text)
+    def _learn(self, words: set[str]) -> None:
+        parts = {}
+        for w in words:
+            n = len(w)
+            while n > 1 and w[n - 1] in ".,;:!?" and (w[n - 2].isalpha() or w[n - 2] in ".,;:!?"):
+                n -= 1
+            # several marks in a row are one piece to the tokenizer
+            core = w[:n] if w[n - 1].isalpha() else w
+            parts[w] = (core.lower() if core.isascii() else core, w[len(core) :])
+        new = {x for pair in parts.values() for x in pair if x} - self.keys()
+        letters = [x for x in new if x.isalpha()]
+        for a in range(0, len(letters), self.BLOCK):
+            block = letters[a : a + self.BLOCK]
+            found = self.tokenizer.encode(" ".join(block), add_special_tokens=False)
+            at = np.array(found.word_ids)
+            edges = np.searchsorted(at, np.arange(len(block) + 1))
+            if len(at) and at[-1] == len(block) - 1 and (np.diff(edges) > 0).all() and (np.diff(at) >= 0).all():
+                raw = np.array(found.ids, "<u4").tobytes()
+                self.update(zip(block, (raw[4 * i : 4 * j] for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)), strict=True))
+        for x in new - self.keys():
+            self[x] = self.whole(x)
+        for w, (core, tail) in parts.items():
+            self[w] = self[core] + self[tail] if tail else self[core]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
         if len(self) > self.LIMIT:
             self.clear()
-        return b"".join(map(self.__getitem__, text.split()))
+        split = [None if _ODD.search(t) else t.split() for t in texts]
+        if new := set().union(*(w for w in split if w)) - self.keys():
+            self._learn(new)
+        return [self.whole(t) if w is None else b"".join(map(self.__getitem__, w)) for t, w in zip(texts, split, strict=True)]
 
 
 class SumOfSquares:
@@ -89,6 +118,13 @@ def _powers(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
+def _encoded(batch, words: WordTokenizer):
+    """(doc_id, ids) of each row, some texts at a time."""
+    docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+    for a, b in slices(np.array([len(t) + 1 for t in texts]), 1 << 20):
+        yield from zip(docs[a:b], words.encode_all(texts[a:b]), strict=True)
+
+
 def _pack(batches, path: str, size: int):
     base = TaskContext.get().partitionId() << 32
     words, packer, windows = WordTokenizer(path), SumOfSquares(size), 0
@@ -107,8 +143,8 @@ def _pack(batches, path: str, size: int):
         return out
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = words.encode(text or "") + END.to_bytes(4, "little")
+        for doc, ids in _encoded(batch, words):
+            ids += END.to_bytes(4, "little")
             total = len(ids) // 4
             full = total // size * size
             for start in range(0, full, size):
