@@ -14,7 +14,8 @@ row a document.
    against block. First a spanning forest of the pairs that look similar is
    verified, fewer pairs than members, and components are found anew.
 4. What still lies in different components of one bucket and could be similar by
-   the sketches is verified pair by pair on the full sets.
+   the sketches is compared by its sets of 32-bit hashes, in the bucket's task;
+   only pairs that pass are verified on the full sets.
 
 So a group of n near copies costs about n verifications, not n * n, and no link
 between components that any band has seen is left out. With 40 bands of 5 bins a
@@ -41,6 +42,7 @@ from .common import cut_lineage, slices, string_buffer
 from .graph import components
 from .shingles import band_keys, overlap, shingle_sets, sketches
 
+FEW = 200_000  # ids that may be broadcast
 BLOCK = 2048  # members of a bucket that one task compares with as many others
 
 
@@ -100,13 +102,30 @@ def _verify(batches, shingle: int, percent: int):
             yield pa.RecordBatch.from_arrays([pa.array([left[i] for i in hits], pa.int64()), pa.array([right[i] for i in hits], pa.int64())], names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _of(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``source`` (doc_id, text) whose id is in ``ids``. Up to FEW ids are broadcast, so that no text is shuffled for a few."""
+    few = ids.limit(FEW + 1).count() <= FEW
+    return source.join(F.broadcast(ids) if few else ids, source["doc_id"] == ids["id"], "left_semi")
+
+
+def _verified(pairs: DataFrame, source: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
+    pairs = cut_lineage(pairs)
+    texts = _of(source, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()).mapInArrow(_squeeze, "id long, z binary")
     a, b = texts.select(F.col("id").alias("a"), F.col("z").alias("za")), texts.select(F.col("id").alias("b"), F.col("z").alias("zb"))
-    both = pairs.hint("merge").join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "za", "zb")
+    both = pairs.join(b, "b").join(a.hint("merge"), "a").select("a", "b", "za", "zb")
     return both.mapInArrow(lambda it: _verify(it, shingle, percent), "a long, b long")
 
 
+def _small_sets(batches, shingle: int):
+    """The set of each text as 32-bit hashes."""
+    for batch in batches:
+        data, offsets = string_buffer(batch.column(1))
+        for a, b in slices(np.diff(offsets), 1 << 20):
+            sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in sets], pa.binary())], names=["doc", "small"])
+
+
 def _marks(part: pa.Table):
     doc, comp, n, side = (part.column(c).to_numpy() for c in ("doc", "component", "n", "side"))
     return doc, comp, n, side, np.frombuffer(b"".join(part.column("prints").to_pylist()), np.uint8).reshape(len(doc), -1)
@@ -144,8 +163,16 @@ def _forest(part: pa.Table, likely: float) -> pa.Table:
 
 
 def _cross_pairs(part: pa.Table, percent: int, slack: float) -> pa.Table:
-    """Pairs of a bucket's members, one of either block, in different components, that their sketches do not rule out."""
+    """Pairs of a bucket's members, one of either block, in different components, that may be similar.
+
+    A pair is looked at in the first band that both share only. Sketches rule out
+    most pairs, the sets of 32-bit hashes nearly all of the rest.
+    """
     doc, comp, n, side, marks = _marks(part)
+    band = part.column("band")[0].as_py()
+    keys = np.array(part.column("keys").to_pylist(), np.int64)
+    small = [np.frombuffer(x, np.uint32) for x in part.column("small").to_pylist()]
+    size = np.array([len(x) for x in small])
     alone = (side == 2).any()
     right = np.flatnonzero(side != 0)  # side 2: a block against itself
     a, b = [], []
@@ -153,22 +180,32 @@ def _cross_pairs(part: pa.Table, percent: int, slack: float) -> pa.Table:
         other = right[right > i] if alone else right
         other = other[(comp[other] != comp[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
         if len(other):
-            close = other[(marks[other] == marks[i]).sum(axis=1) >= slack * marks.shape[1]]
-            a.append(np.full(len(close), doc[i]))
-            b.append(doc[close])
+            other = other[(marks[other] == marks[i]).sum(axis=1) >= slack * marks.shape[1]]
+        if len(other):
+            other = other[(keys[other] == keys[i]).argmax(axis=1) == band]
+        if len(other):
+            joined = np.concatenate([small[j] for j in other])
+            at = np.searchsorted(small[i], joined)
+            at[at == size[i]] = 0
+            shared = np.add.reduceat((small[i][at] == joined).astype(np.int64), np.cumsum(size[other]) - size[other])
+            shared += 1 + (size[other] + size[i]) // 4096  # for hashes that fall together
+            other = other[100 * shared >= percent * (n[other] + n[i] - shared)]
+        if len(other):
+            a.append(np.full(len(other), doc[i]))
+            b.append(doc[other])
     return _pairs_table(a, b)
 
 
 def _unsettled(reps: DataFrame, placed: DataFrame) -> DataFrame:
-    """The members of buckets that still hold several components, dealt to pairs of blocks: key, i, j, side, doc, n, component, prints."""
+    """The members of buckets that still hold several components, dealt to pairs of blocks: key, band, i, j, side, doc, n, component, prints."""
     known = reps.select("doc", "n", "keys").join(placed.select(F.col("id").alias("doc"), "component"), "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"), "keys")
-    member = known.select("doc", "n", "component", F.explode("keys").alias("key"))
+    member = known.select("doc", "n", "component", F.posexplode("keys").alias("band", "key"))
     open_ = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high")
     open_ = open_.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     # block i meets block j for all i <= j; a bucket of one block is the case i = j = 0
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"), F.when(j == F.col("block"), 2).when(F.col("block") < j, 0).otherwise(1).alias("side")))
-    dealt = member.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).select("key", "doc", "n", "component", F.explode(meets).alias("m"))
-    return dealt.join(reps.select("doc", "prints"), "doc").select("key", "m.*", "doc", "n", "component", "prints")
+    dealt = member.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).select("key", "band", "doc", "n", "component", F.explode(meets).alias("m"))
+    return dealt.join(reps.select("doc", "prints"), "doc").select("key", "band", "m.*", "doc", "n", "component", "prints")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins: int = 200, bands: int = 40) -> DataFrame:
@@ -181,7 +218,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins:
     sets = features.where("set_key is not null and doc_id is not null")
     reps = sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "keys", "prints")).alias("x")).select("set_key", F.col("x.doc_id").alias("doc"), F.col("x.n_shingles").alias("n"), "x.keys", "x.prints")
     reps = cut_lineage(reps)
-    texts = source.where("doc_id is not null").mapInArrow(_squeeze, "id long, z binary")
+    texts = source.where("doc_id is not null")
 
     rows = reps.select("doc", F.explode("keys").alias("key"))
     leaders = rows.groupBy("key").agg(F.min("doc").alias("a"), F.count("*").alias("members")).where("members > 1")
@@ -194,7 +231,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins:
     hubs = _unsettled(reps, first).groupBy("key", "i", "j").applyInArrow(lambda t: _forest(t, percent / 100), "a long, b long").distinct()
     links = cut_lineage(links.union(_verified(hubs, texts, shingle, percent)))
     second = components(links)
-    crossing = _unsettled(reps, second).groupBy("key", "i", "j").applyInArrow(lambda t: _cross_pairs(t, percent, percent / 100 - 6.5 * spread), "a long, b long").distinct()
+    open_ = cut_lineage(_unsettled(reps, second))
+    ids = open_.select(F.col("doc").alias("id")).distinct()
+    sets = _of(texts, ids).mapInArrow(lambda it: _small_sets(it, shingle), "doc long, small binary").join(reps.select("doc", "keys"), "doc")
+    crossing = open_.join(sets, "doc").groupBy("key", "i", "j").applyInArrow(lambda t: _cross_pairs(t, percent, percent / 100 - 6.5 * spread), "a long, b long").distinct()
     more = _verified(crossing, texts, shingle, percent)
     whole = components(links.union(more))
 
