@@ -196,16 +196,15 @@ def _cross_pairs(part: pa.Table, percent: int, slack: float) -> pa.Table:
     return _pairs_table(a, b)
 
 
-def _unsettled(reps: DataFrame, placed: DataFrame) -> DataFrame:
+def _unsettled(shared: DataFrame, reps: DataFrame, placed: DataFrame) -> DataFrame:
     """The members of buckets that still hold several components, dealt to pairs of blocks: key, band, i, j, side, doc, n, component, prints."""
-    known = reps.select("doc", "n", "keys").join(placed.select(F.col("id").alias("doc"), "component"), "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"), "keys")
-    member = known.select("doc", "n", "component", F.posexplode("keys").alias("band", "key"))
+    member = shared.join(placed.select(F.col("id").alias("doc"), "component"), "doc", "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("component"))
     open_ = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high")
     open_ = open_.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     # block i meets block j for all i <= j; a bucket of one block is the case i = j = 0
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"), F.when(j == F.col("block"), 2).when(F.col("block") < j, 0).otherwise(1).alias("side")))
-    dealt = member.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).select("key", "band", "doc", "n", "component", F.explode(meets).alias("m"))
-    return dealt.join(reps.select("doc", "prints"), "doc").select("key", "band", "m.*", "doc", "n", "component", "prints")
+    dealt = member.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).select("key", "band", "doc", "component", F.explode(meets).alias("m"))
+    return dealt.join(reps.select("doc", "n", "prints"), "doc").select("key", "band", "m.*", "doc", "n", "component", "prints")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins: int = 200, bands: int = 40) -> DataFrame:
@@ -220,18 +219,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins:
     reps = cut_lineage(reps)
     texts = source.where("doc_id is not null")
 
-    rows = reps.select("doc", F.explode("keys").alias("key"))
+    # most buckets have one member; the rest is all that later steps read
+    rows = reps.select("doc", F.posexplode("keys").alias("band", "key")).repartition("key")
     leaders = rows.groupBy("key").agg(F.min("doc").alias("a"), F.count("*").alias("members")).where("members > 1")
-    stars = rows.join(leaders, "key").where("doc > a").select("a", F.col("doc").alias("b")).distinct()
+    shared = cut_lineage(rows.join(leaders, "key").select("key", "band", "doc", "a"))
+    stars = shared.where("doc > a").select("a", F.col("doc").alias("b")).distinct()
     links = cut_lineage(_verified(stars, texts, shingle, percent))
     first = components(links)
 
     rest = 1 - percent / 100
     spread = (percent / 100 * rest / bins) ** 0.5
-    hubs = _unsettled(reps, first).groupBy("key", "i", "j").applyInArrow(lambda t: _forest(t, percent / 100), "a long, b long").distinct()
+    hubs = _unsettled(shared, reps, first).groupBy("key", "i", "j").applyInArrow(lambda t: _forest(t, percent / 100), "a long, b long").distinct()
     links = cut_lineage(links.union(_verified(hubs, texts, shingle, percent)))
     second = components(links)
-    open_ = cut_lineage(_unsettled(reps, second))
+    open_ = cut_lineage(_unsettled(shared, reps, second))
     ids = open_.select(F.col("doc").alias("id")).distinct()
     sets = _of(texts, ids).mapInArrow(lambda it: _small_sets(it, shingle), "doc long, small binary").join(reps.select("doc", "keys"), "doc")
     crossing = open_.join(sets, "doc").groupBy("key", "i", "j").applyInArrow(lambda t: _cross_pairs(t, percent, percent / 100 - 6.5 * spread), "a long, b long").distinct()
