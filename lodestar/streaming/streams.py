@@ -42,14 +42,19 @@ def ingest(stream: DataFrame, base: str, checkpoint: str, key: str = "doc_id") -
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def timed(rows: DataFrame, time: str, late: str) -> DataFrame:
+    """With a watermark; a time without a zone counts as the session's."""
+    return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def intake(stream: DataFrame, by: list[str], time: str, late: str = "24 hours") -> DataFrame:
     """STR2: the first row of each key within the watermark."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(by)
+    return timed(stream, time, late).dropDuplicatesWithinWatermark(by)
 
 
 def rolling(rows: DataFrame, time: str, by: list[str], value: str, length: str = "24 hours", slide: str = "1 hour", late: str | None = None) -> DataFrame:
     """STR3: count, errors and mean of sliding windows; the same on a batch and, with ``late``, on a stream."""
-    rows = rows.withWatermark(time, late) if late else rows
+    rows = timed(rows, time, late) if late else rows
     w = F.window(time, length, slide)
     return rows.groupBy(w.alias("w"), *by).agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "error").alias("errors"), F.round(F.avg(value), 4).alias("mean")).select(F.col("w.start").alias("start"), *by, "n", "errors", "mean")
 
@@ -71,7 +76,7 @@ def audit(stream: DataFrame, details: Column) -> DataFrame:
 
 def sessions(rows: DataFrame, time: str, by: list[str], gap: str = "30 minutes", late: str | None = None) -> DataFrame:
     """STR6: sessions by gap; the same on a batch and, with ``late``, on a stream."""
-    rows = rows.withWatermark(time, late) if late else rows
+    rows = timed(rows, time, late) if late else rows
     w = F.session_window(time, gap)
     return rows.groupBy(w.alias("w"), *by).agg(F.count("*").alias("turns")).select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "turns")
 
