@@ -161,7 +161,7 @@ def score_quality(docs: DataFrame, max_docs: int = 4000, limit: float = 0.5, rou
     model = LabelModel(np.array([[r[k] for k in names] for r in patterns]), np.array([r["count"] for r in patterns], float))
 
     ids = source.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    sample = ballots.join(F.broadcast(ids), "doc_id")
+    sample = voted(source.join(F.broadcast(ids), "doc_id"))  # joined first, so that only these are voted on
     rows = sample.select("text", *names).collect()
     weights = _train([r["text"] or "" for r in rows], np.array([model.posterior[tuple(r[k] for k in names)] for r in rows]), rounds, ridge) if rows else np.zeros(BUCKETS, np.float32)
     shared = spark.sparkContext.broadcast((weights, model.posterior))
