@@ -252,7 +252,7 @@ _RANKED = f"(SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY do
 
 
 def passages(spark, sf_dir):
-    """Documents that hold a benchmark text's first or last 40 characters, ranked by id; found by their first word triples, then checked."""
+    """Documents that hold a benchmark text's first or last 40 characters, ranked by id: a containment join, the benchmark broadcast if it is small."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(40)).alias("head"), F.right("text", F.lit(40)).alias("tail"))
     d = docs(spark, sf_dir).select("doc_id", "text")
     small = b.limit(100_001).count() <= 100_000

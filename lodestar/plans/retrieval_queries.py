@@ -75,7 +75,7 @@ def ret2_bm25(spark, sf_dir):
     return lexical.bm25(asks(spark, sf_dir), rows(spark, sf_dir), "query_id", "doc_id", scope=SCOPE).withColumn("bm25", F.round("bm25", 6))
 
 
-@query(f"WITH {ROWS_SQL}, {bm25_sql('tenant, kb')} SELECT tenant, kb, token, count(*) AS pairs, sum(qtf * tf) AS weight FROM bq JOIN bp USING (tenant, kb, token) GROUP BY ALL")
+@query(f"WITH {ROWS_SQL}, {bm25_sql('tenant, kb')} SELECT tenant, kb, token, count(*) AS pairs, CAST(sum(qtf * tf) AS BIGINT) AS weight FROM bq JOIN bp USING (tenant, kb, token) GROUP BY ALL")
 def jn10_token_join(spark, sf_dir):
     d, q = rows(spark, sf_dir), asks(spark, sf_dir)
     return lexical.matches(lexical.query_terms(q, "query_id", "text", SCOPE), lexical.postings(d, "doc_id", "text", SCOPE), SCOPE).groupBy(*SCOPE, "token").agg(F.count("*").alias("pairs"), F.sum(F.col("qtf") * F.col("tf")).alias("weight"))
