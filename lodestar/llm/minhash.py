@@ -13,14 +13,13 @@ row a document.
    links it holds join nothing new. In the others, sketches are compared, block
    against block. First a spanning forest of the pairs that look similar is
    verified, fewer pairs than members, and components are found anew.
-4. What still lies in different components of one bucket and could be similar by
-   the sketches is compared by its sets of 32-bit hashes, in the bucket's task;
-   only pairs that pass are verified on the full sets.
+4. What still lies in different components of one bucket is compared by its sets
+   of 32-bit hashes, in the bucket's task; only pairs that pass are verified on the
+   full sets.
 
 So a group of n near copies costs about n verifications, not n * n, and no link
 between components that any band has seen is left out. With 40 bands of 5 bins a
-pair at 0.8 is missed by all bands with probability 1e-7; the sketch comparison
-lets pairs through down to an estimate 6.5 standard deviations below.
+pair at 0.8 is missed by all bands with probability 1e-7.
 
 Nulls: a document with a null or empty text, or with no words, is linked with
 nothing and has n_shingles 0. A null doc_id is linked with nothing and has a
@@ -162,15 +161,15 @@ def _forest(part: pa.Table, likely: float) -> pa.Table:
     return _pairs_table(a, b)
 
 
-def _cross_pairs(part: pa.Table, percent: int, slack: float) -> pa.Table:
+def _cross_pairs(part: pa.Table, percent: int) -> pa.Table:
     """Pairs of a bucket's members, one of either block, in different components, that may be similar.
 
-    A pair is looked at in the first band that both share only. Sketches rule out
-    most pairs, the sets of 32-bit hashes nearly all of the rest.
+    A pair is looked at in the first band that both share only. The sets of 32-bit
+    hashes rule out nearly all pairs.
     """
-    doc, comp, n, side, marks = _marks(part)
+    doc, comp, n, side = (part.column(c).to_numpy() for c in ("doc", "component", "n", "side"))
     band = part.column("band")[0].as_py()
-    keys = np.array(part.column("keys").to_pylist(), np.int64)
+    keys = np.array(part.column("keys").to_pylist(), np.int32)
     small = [np.frombuffer(x, np.uint32) for x in part.column("small").to_pylist()]
     size = np.array([len(x) for x in small])
     alone = (side == 2).any()
@@ -179,8 +178,6 @@ def _cross_pairs(part: pa.Table, percent: int, slack: float) -> pa.Table:
     for i in np.flatnonzero(side != 1):
         other = right[right > i] if alone else right
         other = other[(comp[other] != comp[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
-        if len(other):
-            other = other[(marks[other] == marks[i]).sum(axis=1) >= slack * marks.shape[1]]
         if len(other):
             other = other[(keys[other] == keys[i]).argmax(axis=1) == band]
         if len(other):
@@ -197,14 +194,14 @@ def _cross_pairs(part: pa.Table, percent: int, slack: float) -> pa.Table:
 
 
 def _unsettled(shared: DataFrame, reps: DataFrame, placed: DataFrame) -> DataFrame:
-    """The members of buckets that still hold several components, dealt to pairs of blocks: key, band, i, j, side, doc, n, component, prints."""
+    """The members of buckets that still hold several components, dealt to pairs of blocks: key, band, i, j, side, doc, n, component."""
     member = shared.join(placed.select(F.col("id").alias("doc"), "component"), "doc", "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("component"))
     open_ = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high")
     open_ = open_.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     # block i meets block j for all i <= j; a bucket of one block is the case i = j = 0
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"), F.when(j == F.col("block"), 2).when(F.col("block") < j, 0).otherwise(1).alias("side")))
     dealt = member.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).select("key", "band", "doc", "component", F.explode(meets).alias("m"))
-    return dealt.join(reps.select("doc", "n", "prints"), "doc").select("key", "band", "m.*", "doc", "n", "component", "prints")
+    return dealt.join(reps.select("doc", "n"), "doc").select("key", "band", "m.*", "doc", "n", "component")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins: int = 200, bands: int = 40) -> DataFrame:
@@ -227,15 +224,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins:
     links = cut_lineage(_verified(stars, texts, shingle, percent))
     first = components(links)
 
-    rest = 1 - percent / 100
-    spread = (percent / 100 * rest / bins) ** 0.5
-    hubs = _unsettled(shared, reps, first).groupBy("key", "i", "j").applyInArrow(lambda t: _forest(t, percent / 100), "a long, b long").distinct()
+    hubs = _unsettled(shared, reps, first).join(reps.select("doc", "prints"), "doc").groupBy("key", "i", "j").applyInArrow(lambda t: _forest(t, percent / 100), "a long, b long").distinct()
     links = cut_lineage(links.union(_verified(hubs, texts, shingle, percent)))
     second = components(links)
     open_ = cut_lineage(_unsettled(shared, reps, second))
     ids = open_.select(F.col("doc").alias("id")).distinct()
-    sets = _of(texts, ids).mapInArrow(lambda it: _small_sets(it, shingle), "doc long, small binary").join(reps.select("doc", "keys"), "doc")
-    crossing = open_.join(sets, "doc").groupBy("key", "i", "j").applyInArrow(lambda t: _cross_pairs(t, percent, percent / 100 - 6.5 * spread), "a long, b long").distinct()
+    sets = _of(texts, ids).mapInArrow(lambda it: _small_sets(it, shingle), "doc long, small binary").join(reps.select("doc", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("keys")), "doc")
+    crossing = open_.join(sets, "doc").groupBy("key", "i", "j").applyInArrow(lambda t: _cross_pairs(t, percent), "a long, b long").distinct()
     more = _verified(crossing, texts, shingle, percent)
     whole = components(links.union(more))
 
