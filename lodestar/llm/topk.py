@@ -16,7 +16,8 @@ queries and one chunk. What the driver sees is the d x d Gram matrix and at most
 Vectors that are null or hold a null or non-finite component, and rows with a
 null id, take no part. Vectors of unlike length count as padded with zeros. Rows
 with a query's own id are never its results. Equal scores go by the smaller id;
-repeated rows of one id count once. Extra columns are ignored.
+repeated rows of one id count once. An id with different vectors, as a query or
+as a result, has the best score of them. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,13 +54,20 @@ def _chunks(part: pa.Table, d: int, size: int) -> pa.Table:
 
 
 class _Best:
-    """The k best of each query so far."""
+    """The k best ids of each query so far, each once."""
 
-    def __init__(self, n: int, k: int, threshold: np.ndarray):
+    def __init__(self, n: int, k: int, threshold: np.ndarray, repeats: bool):
+        """repeats: an id may come more than once."""
+        self.repeats = repeats
         self.score, self.id, self.threshold, self.k = np.full((n, k), LOW), np.full((n, k), np.iinfo(np.int64).max), threshold.copy(), k
 
     def add(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Pairs (query, vector) with their scores."""
+        if self.repeats:
+            order = np.lexsort((-scores, ids, q))
+            q, ids, scores = q[order], ids[order], scores[order]
+            new = np.append(True, (q[1:] != q[:-1]) | (ids[1:] != ids[:-1]))
+            q, ids, scores = q[new], ids[new], scores[new]
         order = np.lexsort((ids, -scores, q))
         q, ids, scores = q[order], ids[order], scores[order]
         first = np.searchsorted(q, q)
@@ -70,6 +78,12 @@ class _Best:
         s[:, : self.k], i[:, : self.k] = self.score[rows], self.id[rows]
         at = np.searchsorted(rows, q)
         s[at, self.k + place], i[at, self.k + place] = scores, ids
+        if self.repeats:
+            by_id = np.lexsort((-s, i), axis=1)
+            s, i = np.take_along_axis(s, by_id, 1), np.take_along_axis(i, by_id, 1)
+            again = np.zeros(i.shape, bool)
+            again[:, 1:] = i[:, 1:] == i[:, :-1]
+            s[again], i[again] = LOW, np.iinfo(np.int64).max
         best = np.lexsort((i, -s), axis=1)[:, : self.k]
         self.score[rows], self.id[rows] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
         self.threshold[rows] = np.maximum(self.threshold[rows], self.score[rows, -1])
@@ -78,7 +92,7 @@ class _Best:
 def _search(queries: tuple, chunk: tuple, rotation: np.ndarray, k: int, d: int) -> _Best:
     qid, q, threshold = queries
     ids, x = chunk
-    best = _Best(len(qid), k, threshold)
+    best = _Best(len(qid), k, threshold, len(np.unique(ids)) < len(ids))
     stages = sorted({max(1, d // 4), max(1, d // 2)})
     qr, q_norm = q @ rotation, np.sqrt((q * q).sum(1).astype(float))
     rest_q = np.sqrt(np.maximum(np.cumsum((qr * qr)[:, ::-1], 1)[:, ::-1], 0))
@@ -157,6 +171,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 25
     value = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     clean = vectors.where(good).select(F.col("vec_id").alias("id"), value.alias("v"), is_query.alias("q"))
+    clean = clean.groupBy("id", "v").agg(F.bool_or("q").alias("q"))  # equal rows would fill the k places of a query
     clean = cut_lineage(clean)
     d, n, asked = clean.agg(F.max(F.size("v")), F.count("*"), F.count_if("q")).first()
     schema = "query_id long, rank int, vec_id long, score long"
@@ -181,7 +196,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 25
     for r in placed.groupBy("band").agg(F.max("norm2").alias("m")).collect():  # at most max_bands rows
         tops[r["band"]] = np.sqrt(float(r["m"]))
     # a band is dealt out by id too, so that one with many equal lengths is not one task's
-    piece = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // (bands * chunk)) * 2)))
+    piece = F.pmod(F.xxhash64("id", "v"), F.lit(max(1, -(-n // (bands * chunk)) * 2)))
     chunks = placed.withColumn("piece", piece).select("band", "piece", "id", "v").groupBy("band", "piece").applyInArrow(lambda t: _chunks(t, d, chunk), "band long, chunk binary")
     chunks = cut_lineage(chunks)
     blocks = max(1, -(-asked // block))
@@ -191,6 +206,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 25
     lead = queries.withColumn("band", F.lit(0).cast("long")).join(chunks, "band").select("block", "queries", "chunk")
     first = lead.mapInArrow(lambda it: _meet(it, rotation, k, d, "threshold"), "block long, t binary")
     open_ = queries.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(lambda a, b: _raise(a, b, d, tops), "block long, band long, queries binary")
-    found = open_.join(chunks, "band").select("block", "queries", "chunk").mapInArrow(lambda it: _meet(it, rotation, k, d, "pairs"), "query_id long, vec_id long, score long").distinct()
+    found = open_.join(chunks, "band").select("block", "queries", "chunk").mapInArrow(lambda it: _meet(it, rotation, k, d, "pairs"), "query_id long, vec_id long, score long")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # an id's vectors can lie in several chunks
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

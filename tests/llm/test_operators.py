@@ -149,6 +149,27 @@ def test_topk_against_brute_force(spark):
             assert got[q, k] == (j, s[j])
 
 
+@pytest.mark.parametrize("chunk", [7, 30, 500])
+def test_topk_counts_an_id_once(spark, chunk):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(100, 6)).round(2)
+    x[[3, 21, 44, 45]] *= 5  # the best rows of many queries, stored often
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, x[i].tolist()) for i in (3, 21, 44, 45, 60) for _ in range(7)]
+    rows += [(i, (x[i] * f).tolist()) for i in (3, 40, 77, 80) for f in (0.3, 1.5, -4.0, 4.0)]  # one id, different vectors; 40 and 80 are queries
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = exact_topk(v, F.col("vec_id") % 20 == 0, chunk=chunk, block=2).collect()
+    ids, z = np.array([i for i, _ in rows]), np.floor(256 * np.array([e for _, e in rows])).astype(int)
+    want = {}
+    for q in range(0, 100, 20):
+        best = {}
+        for e in z[ids == q]:
+            for i, s in zip(ids.tolist(), (z @ e).tolist()):
+                if i != q:
+                    best[i] = max(best.get(i, s), s)
+        want |= {(q, k): x for k, x in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5], 1)}
+    assert {(g.query_id, g.rank): (g.vec_id, g.score) for g in found} == want and len(found) == 25
+
+
 def test_decontamination_tolerates_substitutions(spark):
     item = prose(50, 30).split()
     changed = list(item)
