@@ -9,15 +9,17 @@ document is contaminated by an item if some ``window`` words in a row, or the
 whole item if it is shorter, agree in at least ``percent`` of the words.
 
 With the default masks every window of 12 words with up to 2 substitutions is hit
-by one of them at least, wherever those fall.
+by one of them at least, wherever those fall. An item shorter than ``window`` is
+cut into one piece more than the substitutions it may have; one piece at least is
+then free of them, and pieces are seeds too, down to the whole item. Documents
+have seeds of those lengths only that the items' pieces have.
 
 The seeds of the items are broadcast only if they number ``broadcast_rows`` or
 fewer; beyond that the join is shuffled. The documents' seeds are never shuffled
 in the first case, and in both only hits go on.
 
-Nulls and edges: rows with a null id or text, documents shorter than the masks
-and items shorter than ``window`` words are matched by what they have; an item or
-document of fewer words than the shortest mask matches nothing. Rows that repeat
+Nulls and edges: rows with a null id and texts without words match nothing. An
+item that hangs over an edge of the document lacks those words. Rows that repeat
 an id give one result a pair, the best. Extra columns are ignored.
 """
 
@@ -50,16 +52,45 @@ def seeds(h: Column, masks: tuple[str, ...]) -> Column:
     return F.concat(*[of(n, m) for n, m in enumerate(masks)])
 
 
+def stretch(h: Column, p: Column, length: Column) -> Column:
+    """(p, seed) of ``length`` words in a row."""
+    return F.struct(p.alias("p"), F.xxhash64(-length, F.slice(h, p + 1, length)).alias("seed"))
+
+
+def pieces(h: Column, percent: int) -> Column:
+    """An array of (p, length): the words of a short item in one piece more than may be substituted."""
+    n = F.size(h)
+    count = F.least(n, n - F.ceil(n * percent / F.lit(100)).cast("int") + 1)
+    cut = lambda k: F.floor(k * n / count).cast("int")
+    places = F.when(n > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda k: F.struct(cut(k).alias("p"), (cut(k + 1) - cut(k)).alias("length")))
+
+
+def grams(h: Column, lengths: list[int]) -> list[Column]:
+    """For each length an array of (p, seed) at each word position p where it fits."""
+
+    def of(length: int) -> Column:
+        places = F.when(F.size(h) >= length, F.sequence(F.lit(0), F.size(h) - length)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda p: stretch(h, p, F.lit(length)))
+
+    return [of(n) for n in lengths]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = 12, percent: int = 80, broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, item_id, matched (agreeing words on the best diagonal), best (most agreeing words in a window of it).
 
     docs: doc_id, text; benchmark: item_id, text. One row for each pair that is contaminated.
     """
     items = hashed(benchmark, "item_id")
-    item_seeds = items.select("item_id", F.explode(seeds(F.col("h"), masks)).alias("s")).select("item_id", F.col("s.p").alias("ip"), F.col("s.seed").alias("seed"))
+    short = items.where(F.size("h") < window).select("item_id", "h", pieces(F.col("h"), percent).alias("pieces"))
+    lengths = sorted(r[0] for r in short.select(F.explode("pieces.length")).distinct().collect())  # fewer than window
+    item_seeds = items.where(F.size("h") >= window).select("item_id", F.explode(seeds(F.col("h"), masks)).alias("s"))
+    if lengths:
+        item_seeds = item_seeds.unionByName(short.select("item_id", F.explode(F.transform("pieces", lambda x: stretch(F.col("h"), x["p"], x["length"]))).alias("s")))
+    item_seeds = item_seeds.select("item_id", F.col("s.p").alias("ip"), F.col("s.seed").alias("seed"))
     few = item_seeds.limit(broadcast_rows + 1).count() <= broadcast_rows
     texts = hashed(docs, "doc_id")
-    doc_seeds = texts.select("doc_id", F.explode(seeds(F.col("h"), masks)).alias("s")).select("doc_id", F.col("s.p").alias("dp"), F.col("s.seed").alias("seed"))
+    doc_seeds = texts.select("doc_id", F.explode(F.concat(seeds(F.col("h"), masks), *grams(F.col("h"), lengths))).alias("s")).select("doc_id", F.col("s.p").alias("dp"), F.col("s.seed").alias("seed"))
     hits = doc_seeds.join(F.broadcast(item_seeds) if few else item_seeds, "seed")
     lines = hits.select("doc_id", "item_id", (F.col("dp") - F.col("ip")).alias("shift")).distinct()
 

@@ -1,6 +1,7 @@
 """Small fixtures against brute force, and the edge cases each operator defines."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -181,6 +182,30 @@ def test_decontamination_tolerates_substitutions(spark):
     assert {r.doc_id for r in decontaminate.clean(docs(spark, rows), b).collect()} == {3, 4, 5}
 
 
+def test_decontamination_of_short_items(spark):
+    items = [(n, prose(300 + n, n).split()) for n in range(1, 13)] + [(20, ["one"]), (21, [])]
+    rows, r = [], random.Random(5)
+    for n, item in items:
+        for wrong in range(4):
+            for places in itertools.combinations(range(n if n < 13 else 0), wrong):
+                w = [f"x{k}" if k in places else word for k, word in enumerate(item)]
+                pad = prose(r.randrange(10**6), r.randrange(4)), prose(r.randrange(10**6), r.randrange(4))
+                rows.append((len(rows), " ".join([pad[0], *w, pad[1]])))
+        rows += [(len(rows), " ".join(item[1:])), (len(rows) + 1, " ".join(item[: len(item) * 4 // 5])), (len(rows) + 2, " ".join(item[len(item) // 5 :] + ["z"]))]
+    want = {}
+    for i, t in rows:
+        d = t.split()
+        for key, item in items:
+            for shift in range(-len(item) + 1, len(d)):
+                same = [item[k] == d[k + shift] for k in range(max(0, -shift), min(len(item), len(d) - shift))]
+                best = max(sum(same[p : p + 12]) for p in range(max(1, len(same) - 11)))
+                if item and best * 100 >= min(len(item), 12) * 80:
+                    want[i, key] = max(want.get((i, key), (0, 0)), (sum(same), best))
+    b = spark.createDataFrame([(key, " ".join(item)) for key, item in items], "item_id long, text string")
+    for few in (0, 1_000_000):
+        assert {(r.doc_id, r.item_id): (r.matched, r.best) for r in decontaminate.contaminated(docs(spark, rows), b, broadcast_rows=few).collect()} == want
+
+
 def test_preferences(spark):
     rows = [(1, s, t, r, x) for s in ("chosen", "rejected") for t, r, x in ((0, "user", "hi"), (1, "assistant", "same"))]
     rows += [(1, "chosen", 2, "assistant", "good"), (1, "rejected", 2, "assistant", "bad one"), (1, "rejected", 3, None, None), (2, "chosen", 0, "user", "alone"), (None, "chosen", 0, "user", "x"), (1, "chosen", 0, "user", "hi")]
