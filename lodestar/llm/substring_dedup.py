@@ -16,10 +16,12 @@ same anchor form a run.
 3. ``_send_runs``: those send their bytes to the bucket. A bucket cuts them into
    shards, makes a suffix array of each by Larsson-Sadakane refinement, Kasai
    common prefixes over it, and merges the shards' windows by binary search.
-   Runs of a hot anchor go by window hash to buckets of their own instead.
+   Runs of a hot anchor go by window hash to buckets of their own instead, each
+   different window once a shard, from its smallest document there.
 4. ``_cut``: the removed ranges meet their documents again, by shard.
 
 Everything is linear in the input; no step holds more than a shard or a bucket.
+One window of a hot anchor puts at most a record a shard into its bucket.
 
 Nulls: a null text is empty; a null doc_id counts as larger than every other.
 Rows with one doc_id never remove bytes from each other. Extra columns are
@@ -353,12 +355,20 @@ def _verdicts(part: pa.Table, hot: int) -> pa.Table:
     })
 
 
-def _records(key, shard, doc, row, start, data, begin, length):
-    """Rows of (key, shard, packed records), one for each key."""
+def _records(key, shard, doc, row, start, data, begin, length, also=None):
+    """Rows of (key, shard, packed records), one for each key. also: (record, row, start) of more places that share a record's fate."""
     order = np.argsort(key, kind="stable")
+    of, more_row, more_start = also or [np.zeros(0, np.int64)] * 3
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    sort = np.argsort(place[of], kind="stable")
+    of, more_row, more_start = place[of][sort], more_row[sort], more_start[sort]
+    at = 0
     for r in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
         if len(r):
-            yield int(key[r[0]]), shard, pack(doc[r], row[r], start[r], length[r], data[flat_ranges(begin[r], length[r])])
+            m = slice(*np.searchsorted(of, [at, at + len(r)]))
+            yield int(key[r[0]]), shard, pack(doc[r], row[r], start[r], length[r], data[flat_ranges(begin[r], length[r])], of[m] - at, more_row[m], more_start[m])
+            at += len(r)
 
 
 def _send_runs(docs: pa.Table, answers: pa.Table, width: int, buckets: int) -> pa.Table:
@@ -387,8 +397,15 @@ def _send_runs(docs: pa.Table, answers: pa.Table, width: int, buckets: int) -> p
         count = (end - begin)[many]
         at = flat_ranges(begin[many], count)
         hashes = RangeHash(_CODES[shard.data]).of(at, at + width)
-        key = buckets + (((hashes >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
-        rows += _records(key, me, np.repeat(doc[many], count), np.repeat(row[many], count), at - np.repeat(shard.offsets[row[many]], count), shard.data, at, np.full(len(at), width))
+        order, _, first = _different(np.repeat(shard.anchor[run][many], count), hashes, np.repeat(doc[many], count))
+        at, hashes, w_doc, w_row = at[order], hashes[order], np.repeat(doc[many], count)[order], np.repeat(row[many], count)[order]
+        w_start, same = at - shard.offsets[w_row], np.cumsum(first) - 1  # same: which different window it is
+        gone = w_doc > w_doc[first][same]  # a smaller document of the shard has it
+        if gone.any():
+            rows.append((-1 - me, me, pack(*_unite(w_row[gone], w_start[gone], w_start[gone] + width))))
+        key = buckets + (((hashes[first] >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
+        more = ~gone & ~first
+        rows += _records(key, me, w_doc[first], w_row[first], w_start[first], shard.data, at[first], np.full(len(key), width), (same[more], w_row[more], w_start[more]))
     if not rows:
         return empty
     key, own_shard, blob = zip(*rows, strict=True)
@@ -419,13 +436,16 @@ def _compare(part: pa.Table, width: int, shard_bytes: int) -> pa.Table:
     parts = [unpack(b) for b in _blobs(part)]
     shard = np.repeat(part.column("shard").to_numpy(), [len(p[0]) for p in parts])
     doc, row, start, length, data = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    base = np.cumsum([0] + [len(p[0]) for p in parts])
+    of, more_row, more_start = (np.concatenate(x) for x in ([p[5] + b for p, b in zip(parts, base, strict=False)], [p[6] for p in parts], [p[7] for p in parts]))
     record, place = repeated_windows(doc, length, data, width, shard_bytes)
-    home, at = shard[record], start[record] + place
+    hit = np.isin(of, record)  # such a record is one window
+    home, row, at = np.append(shard[record], shard[of[hit]]), np.append(row[record], more_row[hit]), np.append(start[record] + place, more_start[hit])
     out = []
     order = np.argsort(home, kind="stable")
     for r in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
         if len(r):
-            out.append((int(home[r[0]]), pack(*_unite(row[record[r]], at[r], at[r] + width))))
+            out.append((int(home[r[0]]), pack(*_unite(row[r], at[r], at[r] + width))))
     return pa.table({"shard": pa.array([x[0] for x in out], pa.int64()), "blob": pa.array([x[1] for x in out], pa.binary())})
 
 

@@ -7,10 +7,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, preferences, revisits, secrets, toxicity
+from lodestar.llm import decontaminate, preferences, revisits, secrets, substring_dedup, toxicity
+from lodestar.llm.common import unpack
 from lodestar.llm.minhash import near_duplicates
 from lodestar.llm.packing import WordTokenizer, pack_documents
 from lodestar.llm.quality import score_quality
@@ -69,6 +72,31 @@ def test_repeats_against_brute_force(spark, hot):
     assert got == want
 
 
+def test_hot_windows_go_once_a_shard():
+    passage, width, buckets = prose(9, 30), 50, 3
+    rows = [(i // 2, prose(i, 6) + passage + prose(100 + i, 3) + passage[: 20 * (i % 9)] + ("a" * 90 if i % 5 == 0 else "")) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows]), pa.array([i % 2 for i, _ in rows])], names=["doc_id", "text", "shard"])
+    packed = pa.Table.from_batches(substring_dedup._pack_documents([batch], width))
+    only = lambda t, name, value: t.filter(pc.equal(t[name], value))
+    shards = [only(packed, "shard", i) for i in (0, 1)]
+    runs = pa.concat_tables([substring_dedup._runs(s, width, buckets) for s in shards])
+    answers = pa.concat_tables([substring_dedup._verdicts(only(runs, "bucket", b), 1) for b in pc.unique(runs["bucket"]).to_pylist()])
+    sent = pa.concat_tables([substring_dedup._send_runs(s, only(answers, "shard", i), width, buckets) for i, s in enumerate(shards)])
+    windows = [(r["shard"], bytes(w)) for r in sent.to_pylist() if r["key"] >= buckets for w in unpack(r["blob"])[4].reshape(-1, width)]
+    assert len(windows) > 200 and len(windows) == len(set(windows))
+    ranges = pa.concat_tables([substring_dedup._compare(only(sent, "key", k), width, 1 << 10) for k in pc.unique(sent["key"]).to_pylist()])
+    got = pa.concat_tables([substring_dedup._cut(s, only(ranges, "shard", i), False) for i, s in enumerate(shards)]).to_pylist()
+    seen = {}
+    for i, t in rows:
+        for k in range(len(t) - width + 1):
+            seen[t[k : k + width]] = min(seen.get(t[k : k + width], i), i)
+    kept = []
+    for i, t in rows:
+        gone = {j for k in range(len(t) - width + 1) if seen[t[k : k + width]] < i for j in range(k, k + width)}
+        kept.append((i, len(gone), hashlib.sha256("".join(c for j, c in enumerate(t) if j not in gone).encode()).hexdigest()))
+    assert sorted((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(kept)
+
+
 def test_repeats_edges(spark):
     got = remove_repeats(docs(spark, EDGE)).collect()
     assert len(got) == len(EDGE)
