@@ -68,7 +68,10 @@ def strings(segments: DataFrame) -> DataFrame:
 
 
 def stale_replies(conversations: DataFrame) -> DataFrame:
-    """Pairs from plain conversations: chosen is the conversation; rejected has its last assistant turn answered with its first assistant turn's text again, or with nothing if that is the same turn."""
+    """Pairs from plain conversations: chosen is the conversation; rejected has its last assistant turn answered with its first assistant turn's text again, or with nothing if that is the same turn.
+
+    A conversation without an assistant turn gives no pair and is left out.
+    """
     turns = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
     said = turns.where("role = 'assistant' and turn is not null")
     ends = said.groupBy("pair_id").agg(F.min(F.struct("turn", "text")).alias("first"), F.max("turn").alias("last")).select("pair_id", "last", F.when(F.col("first.turn") < F.col("last"), F.col("first.text")).otherwise("").alias("stale"))
