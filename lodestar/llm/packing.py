@@ -3,9 +3,10 @@
 Each partition packs its documents as they come. A document gives as many full
 windows as it fills; the rest goes into the fill level h (0 is a new window) that
 makes the sum of squares of the level counts smallest, where ``levels[h]`` is how
-many open windows are filled to h. When the partition ends, what is in open
-windows is laid end to end and cut into full windows, and the last remainder is
-cut into windows of powers of two, which need no padding. So no token is padded.
+many open windows are filled to h. When the partition ends, or the open windows
+hold ``most_open`` tokens, what is in them is laid end to end and cut into full
+windows, and the last remainder is cut into windows of powers of two, which need
+no padding. So no token is padded, and a partition holds a bounded number of them.
 
 There is no shuffle: a window never spans partitions, and its id holds the
 partition's number. A partition that is run again gives the same windows, since
@@ -18,7 +19,7 @@ result. Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
+import string
 import zlib
 
 import numpy as np
@@ -26,65 +27,143 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import U64, RangeHash, byte_codes, flat_ranges, slices, string_buffer
+from .shingles import word_ranges
 
 WINDOW = 4096
 END = 2
 TOKENIZER = "word_bpe_49k.json"
-_ODD = re.compile("[\x1c-\x1f]|<\\|")  # white space to Python only, or a special token's name
-
-
-class WordTokenizer(dict):
-    """Token ids, as little-endian bytes, of each white-space word; exact, since the tokenizer splits at white space before all else.
-
-    It also splits letters from what is no letter, so a word's final marks are
-    looked up on their own; and it lowers case, so plain letters are lowered first.
+_CODES = byte_codes(70)
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in string.punctuation]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[ord(c) for c in string.ascii_letters]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+class WordTokenizer:
+    """Token ids of whole texts, from a store of the ids of each word.
+
+    Exact, since the tokenizer splits at white space, and between an ASCII letter
+    and a mark, before all else; and it lowers case, so ASCII letters are lowered
+    first, but for those that a combining mark may follow. The store is looked up by
+    64-bit hashes, confirmed by the word's first bytes and length. New words are encoded
+    many at a time.
     """
 
-    LIMIT = 500_000
+    LIMIT = 400_000  # words; beyond, those that did not come back since the last time are dropped (the ids do not change)
     BLOCK = 1000  # new words that are encoded at once
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        parts = {}
-        for w in words:
-            n = len(w)
-            while n > 1 and w[n - 1] in ".,;:!?" and (w[n - 2].isalpha() or w[n - 2] in ".,;:!?"):
-                n -= 1
-            # several marks in a row are one piece to the tokenizer
-            core = w[:n] if w[n - 1].isalpha() else w
-            parts[w] = (core.lower() if core.isascii() else core, w[len(core) :])
-        new = {x for pair in parts.values() for x in pair if x} - self.keys()
-        letters = [x for x in new if x.isalpha()]
-        for a in range(0, len(letters), self.BLOCK):
-            block = letters[a : a + self.BLOCK]
-            found = self.tokenizer.encode(" ".join(block), add_special_tokens=False)
-            at = np.array(found.word_ids)
-            edges = np.searchsorted(at, np.arange(len(block) + 1))
-            if len(at) and at[-1] == len(block) - 1 and (np.diff(edges) > 0).all() and (np.diff(at) >= 0).all():
-                raw = np.array(found.ids, "<u4").tobytes()
-                self.update(zip(block, (raw[4 * i : 4 * j] for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)), strict=True))
-        for x in new - self.keys():
-            self[x] = self.whole(x)
-        for w, (core, tail) in parts.items():
-            self[w] = self[core] + self[tail] if tail else self[core]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        if len(self) > self.LIMIT:
-            self.clear()
-        split = [None if _ODD.search(t) else t.split() for t in texts]
-        if new := set().union(*(w for w in split if w)) - self.keys():
-            self._learn(new)
-        return [self.whole(t) if w is None else b"".join(map(self.__getitem__, w)) for t, w in zip(texts, split, strict=True)]
+        known = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(known.values(), default=0) + 1, bool)  # tokens that end a piece
+        self.ends[[i for token, i in known.items() if token.endswith("</w>")]] = True
+        self.key, self.check = np.zeros(0, U64), np.zeros(0, U64)  # by rising key
+        self.at, self.size, self.back = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.pool = np.zeros(0, "<u4")
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    @staticmethod
+    def _pieces(word: str) -> int:
+        """How many pieces the tokenizer makes of a word, 0 if that is not plain."""
+        if word.isalpha():
+            return 1
+        core = word.rstrip(string.punctuation)
+        return 1 if not core else 2 if core.isalpha() else len(word) if word.isascii() and word.isdigit() else 0
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words in a row, and how many each has."""
+        size = np.zeros(len(words), np.int64)
+        pieces = np.fromiter(map(self._pieces, words), np.int64, len(words))
+        out: list[np.ndarray] = []
+        for a in range(0, len(words), self.BLOCK):
+            block, n = words[a : a + self.BLOCK], pieces[a : a + self.BLOCK]
+            plain = np.flatnonzero(n)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([block[i] for i in plain.tolist()])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            total = np.cumsum(n[plain])
+            own = dict.fromkeys(np.flatnonzero(n == 0).tolist())
+            if len(plain) and len(ends) == total[-1] and ends[-1] == len(ids):
+                edges = ends[total - 1]
+                size[a + plain] = np.diff(edges, prepend=0)
+            else:
+                own, plain, ids = dict.fromkeys(range(len(block))), plain[:0], ids[:0]
+            for i in own:
+                own[i] = self.whole(block[i])
+                size[a + i] = len(own[i])
+            if own:
+                at, here = np.cumsum(size[a : a + self.BLOCK]) - size[a : a + self.BLOCK], size[a : a + self.BLOCK]
+                both = np.empty(int(here.sum()), "<u4")
+                both[flat_ranges(at[plain], here[plain])] = ids
+                for i, x in own.items():
+                    both[at[i] : at[i] + len(x)] = x
+                ids = both
+            out.append(ids)
+        return np.concatenate(out) if out else np.zeros(0, "<u4"), size
+
+    def _store(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        if len(self.key) > self.LIMIT:
+            kept = np.flatnonzero(self.back)
+            self.pool = self.pool[flat_ranges(self.at[kept], self.size[kept])]
+            self.key, self.check, self.size = self.key[kept], self.check[kept], self.size[kept]
+            self.at, self.back = np.cumsum(self.size) - self.size, np.zeros(len(kept), bool)
+        at = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate([self.pool, ids])
+        key = np.concatenate([self.key, key])
+        order = np.argsort(key, kind="stable")
+        self.key = key[order]
+        self.check, self.at, self.size = (np.concatenate(x)[order] for x in ((self.check, check), (self.at, at), (self.size, size)))
+        self.back = np.concatenate([self.back, np.zeros(len(at), bool)])[order]
+
+    def encode_all(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that lie one after the other as UTF-8 bytes, and the offsets of each text in them."""
+        start, end = word_ranges(data, offsets)
+        if not len(start):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
+        special = b"<|" in data.tobytes()  # perhaps a special token, which is whole and in this case only
+        if not special:
+            low = _LOWER[data]
+            low[:-1] = np.where(data[1:] < 128, low[:-1], data[:-1])
+            data = low
+        last = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data))))[end - 1]  # not a mark
+        cut = (last >= start) & (last + 1 < end) & _LETTER[data[last]] & (not special)
+        both = np.repeat(np.arange(len(start)), 1 + cut)
+        tail = np.append(False, both[1:] == both[:-1])
+        start, end = np.where(tail, last[both] + 1, start[both]), np.where(cut[both] & ~tail, last[both] + 1, end[both])
+        key = RangeHash(_CODES[data]).of(start, end)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        kinds, first, kind = np.unique(key, return_index=True, return_inverse=True)
+        begin, size = start[first], (end - start)[first]
+        check = np.ndarray((len(data),), "<u8", padded, 0, (1,))[begin] & (U64(2**64 - 1) >> (U64(8) * (8 - np.minimum(size, 8)).astype(U64)))
+        check ^= size.astype(U64) << U64(56)
+
+        def find() -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(self.key, kinds), max(len(self.key) - 1, 0))
+            return at, (self.key[at] == kinds) & (self.check[at] == check) if len(self.key) else np.zeros(len(kinds), bool)
+
+        at, have = find()
+        self.back[at[have]] = True
+        if len(new := np.flatnonzero(~have)):
+            raw = data.tobytes()
+            words = [raw[a:b].decode() for a, b in zip(begin[new].tolist(), (begin + size)[new].tolist(), strict=True)]
+            self._store(kinds[new], check[new], *self.encode_words(words))
+            at, have = find()
+            if not have.all():  # dropped meanwhile, or another word of the same hash
+                return self._plain(raw, offsets)
+        at = at[kind]
+        ids = self.pool[flat_ranges(self.at[at], self.size[at])]
+        tokens = np.concatenate([[0], np.cumsum(self.size[at])])
+        return ids, tokens[np.searchsorted(start, offsets)]
+
+    def _plain(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.whole(raw[a:b].decode()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        return np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
 
 
 class SumOfSquares:
@@ -119,19 +198,29 @@ def _powers(n: int) -> list[int]:
 
 
 def _encoded(batch, words: WordTokenizer):
-    """(doc_id, ids) of each row, some texts at a time."""
-    docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-    for a, b in slices(np.array([len(t) + 1 for t in texts]), 1 << 20):
-        yield from zip(docs[a:b], words.encode_all(texts[a:b]), strict=True)
-
-
-def _pack(batches, path: str, size: int):
+    """(doc_id, ids with the end token) of each row, some texts at a time."""
+    docs = batch.column(0).to_pylist()
+    data, offsets = string_buffer(batch.column(1))
+    for a, b in slices(np.diff(offsets), 1 << 19):
+        ids, edges = words.encode_all(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        ends = edges[1:] + np.arange(b - a)
+        out = np.full(len(ids) + b - a, END, "<u4")
+        hole = np.ones(len(out), bool)
+        hole[ends] = False
+        out[hole] = ids
+        raw, ends = out.tobytes(), [0, *(4 * ends + 4).tolist()]
+        for i in range(a, b):
+            yield docs[i], raw[ends[i - a] : ends[i - a + 1]]
+
+
+def _pack(batches, path: str, size: int, most_open: int):
     base = TaskContext.get().partitionId() << 32
     words, packer, windows = WordTokenizer(path), SumOfSquares(size), 0
     held: dict[int, list] = {}  # open window -> its pieces (doc_id, doc_tokens, start, ids)
+    waiting = 0  # tokens in them
     rows: list[tuple] = []
 
-    def emit(window: int, pieces: list) -> None:
+    def emit(pieces: list, window: int) -> None:
         at = 0
         for doc, total, start, ids in pieces:
             rows.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, base + window, at))
@@ -142,13 +231,28 @@ def _pack(batches, path: str, size: int):
         rows.clear()
         return out
 
+    def lay() -> list[list]:
+        """What the open windows hold, the fullest first, end to end and cut into full windows and a rest of powers of two."""
+        pieces = iter([piece for _, found in sorted(held.items(), key=lambda x: (-sum(len(p[3]) for p in x[1]), x[0])) for piece in found])
+        held.clear()
+        piece, out = next(pieces, None), []
+        for n in [size] * (waiting // size) + _powers(waiting % size):
+            got = []
+            while n:
+                doc, total, start, ids = piece
+                take = min(n, len(ids) // 4)
+                got.append((doc, total, start, ids[: 4 * take]))
+                n -= take
+                piece = (doc, total, start + take, ids[4 * take :]) if take < len(ids) // 4 else next(pieces, None)
+            out.append(got)
+        return out
+
     for batch in batches:
         for doc, ids in _encoded(batch, words):
-            ids += END.to_bytes(4, "little")
             total = len(ids) // 4
             full = total // size * size
             for start in range(0, full, size):
-                emit(windows, [(doc, total, start, ids[4 * start : 4 * (start + size)])])
+                emit([(doc, total, start, ids[4 * start : 4 * (start + size)])], windows)
                 windows += 1
             if rest := total - full:
                 fill, window = packer.place(rest)
@@ -156,40 +260,35 @@ def _pack(batches, path: str, size: int):
                     window, windows = windows, windows + 1
                     held[window] = []
                 held[window].append((doc, total, full, ids[4 * full :]))
+                waiting += rest
                 if fill + rest == size:
-                    emit(window, held.pop(window))
+                    emit(held.pop(window), window)
+                    waiting -= size
                 else:
                     packer.put(window, fill + rest)
+            if waiting > most_open:
+                for pieces in lay():
+                    emit(pieces, windows)
+                    windows += 1
+                packer, waiting = SumOfSquares(size), 0
             if len(rows) >= 4096:
                 yield flush()
-    # the end: open windows, the fullest first, end to end
-    left = [piece for _, pieces in sorted(held.items(), key=lambda x: (-sum(len(p[3]) for p in x[1]), x[0])) for piece in pieces]
-    tokens = sum(len(p[3]) for p in left) // 4
-    sizes = [size] * (tokens // size) + _powers(tokens % size)
-    pieces = iter(left)
-    piece = next(pieces, None)
-    for n in sizes:
-        got = []
-        while n:
-            doc, total, start, ids = piece
-            take = min(n, len(ids) // 4)
-            got.append((doc, total, start, ids[: 4 * take]))
-            n -= take
-            piece = (doc, total, start + take, ids[4 * take :]) if take < len(ids) // 4 else next(pieces, None)
-        emit(windows, got)
+    for pieces in lay():
+        emit(pieces, windows)
         windows += 1
     if rows:
         yield flush()
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = WINDOW) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = WINDOW, most_open: int = 1 << 21) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     docs: doc_id long, text string. tokenizer: the path of a tokenizers file that
-    is on every machine; by default the public one of this name.
+    is on every machine; by default the public one of this name. most_open: tokens
+    in open windows beyond which a partition lays them end to end, as at its end.
     """
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path(TOKENIZER)
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _pack(it, tokenizer, size), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return docs.select("doc_id", "text").mapInArrow(lambda it: _pack(it, tokenizer, size, most_open), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -13,9 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontaminate, preferences, revisits, secrets, substring_dedup, toxicity
-from lodestar.llm.common import unpack
+from lodestar.llm.common import string_buffer, unpack
 from lodestar.llm.minhash import near_duplicates
-from lodestar.llm.packing import WordTokenizer, pack_documents
+from lodestar.llm.packing import SumOfSquares, WordTokenizer, pack_documents
 from lodestar.llm.quality import score_quality
 from lodestar.llm.substring_dedup import common_prefixes, remove_repeats, suffix_array
 from lodestar.llm.topk import exact_topk
@@ -141,16 +141,24 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in near_duplicates(docs(spark, EDGE)).collect())
 
 
-def test_packing_round_trip(spark):
+@pytest.mark.parametrize("most_open", [1 << 21, 20_000])
+def test_packing_round_trip(spark, most_open):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    texts = ["Hello... World!? it's a.b. 12,5", "x\x1cy <|endoftext|>", "中文。测试 ÉCOLE. İx", "", "a" * 300 + "."]
-    assert [np.frombuffer(b, "<u4").tolist() for b in WordTokenizer(path).encode_all(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    texts = ["Hello... World!? it's a.b. 12,5", "x\x1cy <|endoftext|>", "中文。测试 ÉCOLE. İx", "", "a" * 300 + ".", "J\u030c J\u030c. Don'T... don't,, x\u00a0y $$$ a$$$ 77 7a Ω. Σας'S ΣΑΣ", " <|EndOfText|> ", "-a- don'.t"]
+    for some in (texts, texts[::-1], [texts[1]], [texts[3]]):
+        words = WordTokenizer(path)
+        for _ in range(2):  # new words, and known ones
+            data, offsets = string_buffer(pa.array(some))
+            ids, edges = words.encode_all(data, offsets)
+            assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in some]
     rows = [(i, prose(i, 30 * i)) for i in range(30)] + [(98, None), (99, prose(5, 3000))]
-    got = pack_documents(docs(spark, rows)).collect()
+    rows += [(i, prose(i, 700 + i)) for i in range(100, 130)]
+    assert pack_documents(docs(spark, rows).limit(0)).count() == 0
+    got = pack_documents(docs(spark, rows).coalesce(2), most_open=most_open).collect()
     for i, text in rows:
         ids, at = plain.encode(text or "", add_special_tokens=False).ids + [2], 0
         for p in sorted((p for p in got if p.doc_id == i), key=lambda p: p.start):
@@ -164,6 +172,33 @@ def test_packing_round_trip(spark):
     assert all(n <= 4096 and (n == 4096 or n & (n - 1) == 0) for n in fill.values())
 
 
+def test_level_rule_against_a_plain_one():
+    """Each length goes where the sum of squares of the level counts is least; of equal ones, on the fullest window."""
+    r, size = random.Random(3), 16
+    packer, levels, fills = SumOfSquares(size), [0] * size, {}
+    for step in range(400):
+        n = r.randint(1, size - 1)
+        best = None
+        for h in range(size - n + 1):
+            if h and not levels[h]:
+                continue
+            after = list(levels)
+            if h:
+                after[h] -= 1
+            if h + n < size:
+                after[h + n] += 1
+            cost = sum(x * x for x in after)
+            if best is None or cost <= best[0]:
+                best = cost, h, after
+        fill, window = packer.place(n)
+        assert fill == best[1] and (window == -1) == (fill == 0) and fills.pop(window, 0) == fill
+        levels, window = best[2], step if window < 0 else window
+        packer.put(window, fill + n)
+        if fill + n < size:
+            fills[window] = fill + n
+        assert packer.levels[1:size].tolist() == levels[1:]
+
+
 def test_topk_against_brute_force(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=(120, 6)).round(2)
