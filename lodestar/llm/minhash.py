@@ -10,21 +10,22 @@ row a document.
    leader and member are verified on their full sets, and the links give
    first components.
 3. A bucket whose members are in one component by now is settled: whatever other
-   links it holds join nothing new. In the others, sketches are compared, block
-   against block. First a spanning forest of the pairs that look similar is
-   verified, fewer pairs than members, and components are found anew.
-4. What still lies in different components of one bucket is compared by its sets
-   of 32-bit hashes, in the bucket's task; only pairs that pass are verified on the
-   full sets.
+   links it holds join nothing new. Members of the others are compared by their
+   sets of 32-bit hashes, within the bucket's task, if they are in different
+   components. Of pairs that are similar enough beyond doubt one is kept for each two
+   components that it joins, of pairs in doubt each; those are verified on the full sets.
 
 So a group of n near copies costs about n verifications, not n * n, and no link
 between components that any band has seen is left out. With 40 bands of 5 bins a
-pair at 0.8 is missed by all bands with probability 1e-7.
+pair at 0.8 is missed by all bands with probability 1e-7. A bucket with more
+members than a task should hold is dealt out as pairs of blocks; its rows are then
+sent once a block, the only step that is not linear in the members.
 
 Nulls: a document with a null or empty text, or with no words, is linked with
 nothing and has n_shingles 0. A null doc_id is linked with nothing and has a
 null component_id; it is kept. Rows that repeat a doc_id share its component.
-Extra columns are ignored.
+Texts are read whole, however long. An empty table gives an empty result. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,12 +38,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, slices, string_buffer
+from .common import cut_lineage, flat_ranges, slices, string_buffer
 from .graph import components
 from .shingles import band_keys, overlap, shingle_sets, sketches
 
 FEW = 200_000  # ids that may be broadcast
 BLOCK = 2048  # members of a bucket that one task compares with as many others
+BLOCK_HASHES = 1 << 21  # and hashes in their sets
 
 
 def _features(batches, shingle: int, bins: int, bands: int):
@@ -52,7 +54,6 @@ def _features(batches, shingle: int, bins: int, bands: int):
             sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
             sketch = sketches(sets, bins)
             keys = band_keys(sketch, bands).view(np.int64)
-            short = (sketch & np.uint64(255)).astype(np.uint8)
             some = np.array([len(s) > 0 for s in sets])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -60,9 +61,8 @@ def _features(batches, shingle: int, bins: int, bands: int):
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([k if ok else None for k, ok in zip(keys, some, strict=True)], pa.list_(pa.int64())),
-                    pa.array([x.tobytes() for x in short], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "set_key", "keys", "prints"],
+                names=["doc_id", "n_shingles", "set_key", "keys"],
             )
 
 
@@ -101,10 +101,10 @@ def _verify(batches, shingle: int, percent: int):
             yield pa.RecordBatch.from_arrays([pa.array([left[i] for i in hits], pa.int64()), pa.array([right[i] for i in hits], pa.int64())], names=["a", "b"])
 
 
-def _of(source: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``source`` (doc_id, text) whose id is in ``ids``. Up to FEW ids are broadcast, so that no text is shuffled for a few."""
+def _of(source: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``source`` whose ``key`` is in ``ids``. Up to FEW ids are broadcast, so that no text is shuffled for a few."""
     few = ids.limit(FEW + 1).count() <= FEW
-    return source.join(F.broadcast(ids) if few else ids, source["doc_id"] == ids["id"], "left_semi")
+    return source.join(F.broadcast(ids) if few else ids, source[key] == ids["id"], "left_semi")
 
 
 def _verified(pairs: DataFrame, source: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -125,83 +125,63 @@ def _small_sets(batches, shingle: int):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in sets], pa.binary())], names=["doc", "small"])
 
 
-def _marks(part: pa.Table):
-    doc, comp, n, side = (part.column(c).to_numpy() for c in ("doc", "component", "n", "side"))
-    return doc, comp, n, side, np.frombuffer(b"".join(part.column("prints").to_pylist()), np.uint8).reshape(len(doc), -1)
-
-
-def _pairs_table(a: list, b: list) -> pa.Table:
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-
-def _forest(part: pa.Table, likely: float) -> pa.Table:
-    """A spanning forest, over what components there are, of pairs that the sketches take for similar: fewer pairs than members."""
-    doc, comp, _, side, marks = _marks(part)
-    alone = (side == 2).any()
-    waiting = np.ones(len(doc), bool)
-    by_comp: dict[int, list[int]] = {}
-    for i, c in enumerate(comp.tolist()):
-        by_comp.setdefault(c, []).append(i)
-    a, b = [], []
-    for start in by_comp:
-        queue = [i for i in by_comp[start] if waiting[i]]
-        waiting[queue] = False
-        while queue:
-            i = queue.pop()
-            other = np.flatnonzero(waiting if alone else waiting & (side != side[i]))
-            other = other[(marks[other] == marks[i]).sum(axis=1) >= likely * marks.shape[1]] if len(other) else other
-            if len(other):
-                _, first = np.unique(comp[other], return_index=True)
-                a.append(np.full(len(first), doc[i]))
-                b.append(doc[other[first]])
-                new = [j for c in comp[other[first]].tolist() for j in by_comp[c]]
-                waiting[new] = False
-                queue += new
-    return _pairs_table(a, b)
-
-
 def _cross_pairs(part: pa.Table, percent: int) -> pa.Table:
-    """Pairs of a bucket's members, one of either block, in different components, that may be similar.
+    """Pairs of a bucket's members, one of either block, in different components, that may be similar enough; see the module.
 
-    A pair is looked at in the first band that both share only. The sets of 32-bit
-    hashes rule out nearly all pairs.
+    A pair is looked at in the first band that both share only. What hashes fall
+    together can add or hide is allowed for, and pairs within that are in doubt.
     """
     doc, comp, n, side = (part.column(c).to_numpy() for c in ("doc", "component", "n", "side"))
-    band = part.column("band")[0].as_py()
     keys = np.array(part.column("keys").to_pylist(), np.int32)
+    band = int((keys == np.int32(part.column("key")[0].as_py() >> 32)).all(axis=0).argmax())
     small = [np.frombuffer(x, np.uint32) for x in part.column("small").to_pylist()]
     size = np.array([len(x) for x in small])
-    alone = (side == 2).any()
-    right = np.flatnonzero(side != 0)  # side 2: a block against itself
+    start = np.cumsum(size) - size
+    _, token = np.unique(np.concatenate(small), return_inverse=True)
+    have = np.zeros(int(token.max(initial=0)) + 1, bool)
+    _, comp = np.unique(comp, return_inverse=True)
+    alone = (side == 2).any()  # a block against itself
+    right = np.flatnonzero(side != 0)
     a, b = [], []
-    for i in np.flatnonzero(side != 1):
+    for i in np.flatnonzero(side != 1).tolist():
         other = right[right > i] if alone else right
         other = other[(comp[other] != comp[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
         if len(other):
             other = other[(keys[other] == keys[i]).argmax(axis=1) == band]
-        if len(other):
-            joined = np.concatenate([small[j] for j in other])
-            at = np.searchsorted(small[i], joined)
-            at[at == size[i]] = 0
-            shared = np.add.reduceat((small[i][at] == joined).astype(np.int64), np.cumsum(size[other]) - size[other])
-            shared += 1 + (size[other] + size[i]) // 4096  # for hashes that fall together
-            other = other[100 * shared >= percent * (n[other] + n[i] - shared)]
-        if len(other):
-            a.append(np.full(len(other), doc[i]))
-            b.append(doc[other])
-    return _pairs_table(a, b)
+        if not len(other):
+            continue
+        mine = token[start[i] : start[i] + size[i]]
+        have[mine] = True
+        shared = np.zeros(len(other), np.int64)
+        for x, y in slices(size[other], 1 << 20):
+            hit = have[token[flat_ranges(start[other[x:y]], size[other[x:y]])]]
+            shared[x:y] = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[other[x:y]]) - size[other[x:y]])
+        have[mine] = False
+        odd = n[other] * (n[i] / 2.0**32)  # hashes that fall together, in the mean
+        odd = np.ceil(odd + 6 * np.sqrt(odd) + 1).astype(np.int64)
+        likely = 100 * (shared + odd) >= percent * (n[other] + n[i] - shared - odd)
+        sure = 100 * (shared - odd) >= percent * (n[other] + n[i] - shared + odd)
+        pick = other[likely & ~sure]
+        if sure.any():
+            found = other[sure]
+            _, first = np.unique(comp[found], return_index=True)
+            pick = np.append(pick, found[first])
+            comp[np.isin(comp, comp[found[first]])] = comp[i]
+        a.append(np.full(len(pick), doc[i]))
+        b.append(doc[pick])
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def _unsettled(shared: DataFrame, reps: DataFrame, placed: DataFrame) -> DataFrame:
-    """The members of buckets that still hold several components, dealt to pairs of blocks: key, band, i, j, side, doc, n, component."""
-    member = shared.join(placed.select(F.col("id").alias("doc"), "component"), "doc", "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("component"))
-    open_ = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high")
-    open_ = open_.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+def _unsettled(shared: DataFrame, placed: DataFrame) -> DataFrame:
+    """The members of buckets that still hold several components, dealt to pairs of blocks: key, i, j, side, doc, n, component."""
+    member = shared.join(placed.select(F.col("id").alias("doc"), "component"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
+    open_ = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum("n").alias("hashes")).where("low < high")
+    open_ = open_.select("key", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("hashes") / BLOCK_HASHES)).cast("int").alias("blocks"))
     # block i meets block j for all i <= j; a bucket of one block is the case i = j = 0
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"), F.when(j == F.col("block"), 2).when(F.col("block") < j, 0).otherwise(1).alias("side")))
-    dealt = member.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).select("key", "band", "doc", "component", F.explode(meets).alias("m"))
-    return dealt.join(reps.select("doc", "n"), "doc").select("key", "band", "m.*", "doc", "n", "component")
+    dealt = member.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    return dealt.select("key", "doc", "n", "component", F.explode(meets).alias("m")).select("key", "m.*", "doc", "n", "component")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins: int = 200, bands: int = 40) -> DataFrame:
@@ -209,32 +189,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins:
     if bins % bands:
         raise ValueError("bands must divide bins")
     source = docs.select("doc_id", "text")
-    schema = "doc_id long, n_shingles long, set_key binary, keys array<long>, prints binary"
-    features = cut_lineage(source.mapInArrow(lambda it: _features(it, shingle, bins, bands), schema))
+    features = cut_lineage(source.mapInArrow(lambda it: _features(it, shingle, bins, bands), "doc_id long, n_shingles long, set_key binary, keys array<long>"))
     sets = features.where("set_key is not null and doc_id is not null")
-    reps = sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "keys", "prints")).alias("x")).select("set_key", F.col("x.doc_id").alias("doc"), F.col("x.n_shingles").alias("n"), "x.keys", "x.prints")
+    reps = sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("x")).select("set_key", F.col("x.doc_id").alias("doc"), F.col("x.n_shingles").alias("n"), "x.keys")
     reps = cut_lineage(reps)
     texts = source.where("doc_id is not null")
 
     # most buckets have one member; the rest is all that later steps read
-    rows = reps.select("doc", F.posexplode("keys").alias("band", "key")).repartition("key")
-    leaders = rows.groupBy("key").agg(F.min("doc").alias("a"), F.count("*").alias("members")).where("members > 1")
-    shared = cut_lineage(rows.join(leaders, "key").select("key", "band", "doc", "a"))
+    rows = reps.select("doc", "n", F.explode("keys").alias("key"))
+    leaders = rows.groupBy("key").agg(F.min("doc").alias("a"), F.count("*").alias("members")).where("members > 1").select("key", "a")
+    shared = cut_lineage(rows.join(leaders, "key").select("key", "doc", "n", "a"))
     stars = shared.where("doc > a").select("a", F.col("doc").alias("b")).distinct()
-    links = cut_lineage(_verified(stars, texts, shingle, percent))
-    first = components(links)
+    first = components(cut_lineage(_verified(stars, texts, shingle, percent)))
 
-    hubs = _unsettled(shared, reps, first).join(reps.select("doc", "prints"), "doc").groupBy("key", "i", "j").applyInArrow(lambda t: _forest(t, percent / 100), "a long, b long").distinct()
-    links = cut_lineage(links.union(_verified(hubs, texts, shingle, percent)))
-    second = components(links)
-    open_ = cut_lineage(_unsettled(shared, reps, second))
+    open_ = cut_lineage(_unsettled(shared, first))
     ids = open_.select(F.col("doc").alias("id")).distinct()
-    sets = _of(texts, ids).mapInArrow(lambda it: _small_sets(it, shingle), "doc long, small binary").join(reps.select("doc", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("keys")), "doc")
-    crossing = open_.join(sets, "doc").groupBy("key", "i", "j").applyInArrow(lambda t: _cross_pairs(t, percent), "a long, b long").distinct()
-    more = _verified(crossing, texts, shingle, percent)
-    whole = components(links.union(more))
-
-    classes = reps.join(whole, reps["doc"] == whole["id"], "left").select("set_key", F.coalesce("component", "doc").alias("component"))
+    keys = _of(reps.select("doc", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("keys")), ids, "doc")
+    compared = _of(texts, ids).mapInArrow(lambda it: _small_sets(it, shingle), "doc long, small binary").join(keys, "doc")
+    crossing = open_.join(compared, "doc").groupBy("key", "i", "j").applyInArrow(lambda t: _cross_pairs(t, percent), "a long, b long").distinct()
+    more = cut_lineage(_verified(crossing, texts, shingle, percent))
+    # what these links join are the first components
+    at = lambda side: first.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+    second = components(more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+
+    named = reps.join(first, reps["doc"] == first["id"], "left").select("set_key", F.coalesce("component", "doc").alias("one"))
+    classes = named.join(second, named["one"] == second["id"], "left").select("set_key", F.coalesce("component", "one").alias("component"))
     out = features.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -12,8 +12,9 @@ import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, preferences, revisits, secrets, substring_dedup, toxicity
+from lodestar.llm import decontaminate, minhash, preferences, revisits, secrets, substring_dedup, toxicity
 from lodestar.llm.common import string_buffer, unpack
+from lodestar.llm.graph import components
 from lodestar.llm.minhash import near_duplicates
 from lodestar.llm.packing import SumOfSquares, WordTokenizer, pack_documents
 from lodestar.llm.quality import score_quality
@@ -126,7 +127,10 @@ def jaccard_components(rows, size, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def test_near_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize(("block", "few"), [(2048, 200_000), (3, 0)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, block, few):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "FEW", few)
     base = prose(3, 60).split()
     rows = [(100 + i, prose(i, 30)) for i in range(10)]
     for i in range(40):
@@ -135,10 +139,31 @@ def test_near_duplicates_against_brute_force(spark):
         for _ in range(r.randint(0, 9)):
             w[r.randrange(len(w))] = f"new{i}"
         rows.append((i, " ".join(w).upper() if i % 7 == 0 else " ".join(w)))
-    rows += [(200, ""), (201, None), (202, "word"), (203, "Word")]
+    rows += [(200, ""), (201, None), (202, "word"), (203, "Word"), (300, prose(77, 30_000)), (301, prose(77, 30_000) + " more")]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, rows), shingle=2).collect()}
     assert got == jaccard_components(rows, 2, 80)
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in near_duplicates(docs(spark, EDGE)).collect())
+    assert near_duplicates(docs(spark, EDGE).limit(0)).count() == 0
+
+
+def test_near_duplicates_beyond_the_leaders(spark):
+    """Chains of documents that are linked to the next ones only, so that most links are none of a leader's."""
+    w = prose(8, 400).split()
+    rows = [(r.randrange(10**9), " ".join(w[3 * k : 3 * k + 60])) for k in range(100) for r in [random.Random(k)]]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, rows), shingle=2).collect()}
+    assert got == jaccard_components(rows, 2, 80)
+
+
+def test_components(spark):
+    r = random.Random(4)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(140)] + [(1000 + i, 1001 + i) for i in range(80)]
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    found = {x["id"]: x["component"] for x in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    assert found == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
 @pytest.mark.parametrize("most_open", [1 << 21, 20_000])
