@@ -43,7 +43,7 @@ from .graph import components
 from .shingles import band_keys, overlap, shingle_sets, sketches
 
 FEW = 200_000  # ids that may be broadcast
-BLOCK = 2048  # members of a bucket that one task compares with as many others
+BLOCK = 1024  # members of a bucket that one task compares with as many others
 BLOCK_HASHES = 1 << 21  # and hashes in their sets
 
 
