@@ -80,6 +80,52 @@ class RangeHash:
         return mix64(raw ^ ((end - start).astype(U64) * U64(0xD6E8FEB86659FD93)))
 
 
+class TokenKinds:
+    """The different byte strings among ranges of one buffer: ``kind`` of each range, and where each kind first is."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray):
+        """codes: a uint64 code of each byte."""
+        self.key, first, self.kind = np.unique(RangeHash(codes[data]).of(start, end), return_index=True, return_inverse=True)
+        self.begin, self.size = start[first], (end - start)[first]
+        head = np.ndarray((len(data),), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))[self.begin]
+        self.check = (head & (U64(2**64 - 1) >> (U64(8) * (8 - np.minimum(self.size, 8)).astype(U64)))) ^ (self.size.astype(U64) << U64(56))
+
+
+class TokenSlots:
+    """Slots, counted from 0, of byte strings that were met before: by 64-bit hash, confirmed by first bytes and length."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.key, self.check = np.zeros(0, U64), np.zeros(0, U64)  # by rising key
+        self.slot, self.back = np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def find(self, kinds: TokenKinds) -> np.ndarray:
+        """The slot of each kind, -1 if it has none."""
+        if not len(self.key):
+            return np.full(len(kinds.key), -1)
+        at = np.minimum(np.searchsorted(self.key, kinds.key), len(self.key) - 1)
+        have = (self.key[at] == kinds.key) & (self.check[at] == kinds.check)
+        self.back[at[have]] = True
+        return np.where(have, self.slot[at], -1)
+
+    def trim(self) -> np.ndarray | None:
+        """Beyond the limit, keep the strings that came back since the last time. Returns their slots, which are 0, 1, ... from now on."""
+        if len(self.key) <= self.limit:
+            return None
+        kept = np.flatnonzero(self.back)
+        slots = self.slot[kept]
+        self.key, self.check, self.slot, self.back = self.key[kept], self.check[kept], np.arange(len(kept)), np.zeros(len(kept), bool)
+        return slots
+
+    def add(self, kinds: TokenKinds, new: np.ndarray) -> None:
+        """The kinds ``new`` get the next slots."""
+        key = np.concatenate([self.key, kinds.key[new]])
+        order = np.argsort(key, kind="stable")
+        self.key, self.check = key[order], np.concatenate([self.check, kinds.check[new]])[order]
+        self.slot = np.concatenate([self.slot, len(self.slot) + np.arange(len(new))])[order]
+        self.back = np.concatenate([self.back, np.zeros(len(new), bool)])[order]
+
+
 def byte_codes(seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**64 - 1, 256, dtype=U64)
 

@@ -1,18 +1,20 @@
 """Linear-chain conditional random fields in numpy: fitting, forward-backward marginals and Viterbi paths.
 
 A token's potentials are sums of weights of its own features and of those of its
-neighbours. ``Potentials`` keeps them by token string, so a token that comes again
-costs one dictionary look-up, and all that depends on position is array work over
-many documents at once.
+neighbours. ``Potentials`` keeps them by token, so features are named once for a
+token that comes again, and all else is array work over many documents at once.
 """
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
 
+from .common import TokenKinds, TokenSlots, byte_codes
+
+_CODES = byte_codes(90)
+
 
 class Crf:
     """Weights of one model. ``features(token)`` names the features of a token; ``around`` the offsets at which a token sees its neighbours' names."""
@@ -37,8 +39,8 @@ class Crf:
             out.append(have)
         return out
 
-    def fit(self, chains: list[tuple[list[str], list[int], list[str]]], rounds: int = 60, ridge: float = 1e-3, rate: float = 0.2, least: int = 3) -> Crf:
-        """Maximum likelihood with an L2 penalty by Adam on all chains (tokens, tags, file features) at once; ``least``: how often a feature must come."""
+    def fit(self, chains: list[tuple[list[str], list[int], list[str]]], rounds: int = 60, ridge: float = 1e-3, rate: float = 0.2, least: int = 3, warm: bool = False) -> Crf:
+        """Maximum likelihood with an L2 penalty by Adam on all chains (tokens, tags, file features) at once; ``least``: how often a feature must come; ``warm``: go on from the weights there are, if the features are the same."""
         chains = [c for c in chains if c[0]]
         if not chains:
             return self
@@ -49,7 +51,7 @@ class Crf:
             for have in chain:
                 for f in have:
                     counts[f] = counts.get(f, 0) + 1
-        self.index = {f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= least))}
+        before, self.index = self.index, {f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= least))}
         longest = max(len(c) for c in named)
         at, feature, base = [], [], 0
         tags = np.zeros((longest, len(chains)), np.int64)
@@ -70,7 +72,7 @@ class Crf:
         seen = np.zeros((k, k))
         np.add.at(seen, (tags[:-1][both], tags[1:][both]), 1)
         total = real.sum()
-        w, moves = np.zeros((size, k)), np.zeros((k, k))
+        w, moves = (self.weights.copy(), self.moves.copy()) if warm and before == self.index else (np.zeros((size, k)), np.zeros((k, k)))
         state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(moves), np.zeros_like(moves)]
         for step in range(1, rounds + 1):
             unary = np.stack([np.bincount(at, w[feature, s], places) for s in range(k)], 1).reshape(longest, len(chains), k)
@@ -108,52 +110,55 @@ class Crf:
         return self
 
 
-class Potentials(dict):
+class Potentials:
     """Rows of potentials by token; a token's row holds those of itself, then those it lends to neighbours at each offset of ``around``."""
 
-    LIMIT = 400_000  # tokens kept; beyond, the store starts anew (the values do not change)
+    LIMIT = 500_000  # tokens kept; beyond, those that did not come back are dropped (the values do not change)
 
     def __init__(self, model: Crf):
-        super().__init__()
         self.model = model
-        weights = model.weights.tolist()
-        self.own = {f: tuple(weights[i]) for f, i in model.index.items()}
-        self.lent = [{f[len(p) :]: w for f, w in self.own.items() if f.startswith(p)} for p in (f"{d:+d}" for d in model.around)]
-        self.store = array("d")
+        self.weights = model.weights
+        self.known = [model.index] + [{f[len(p) :]: i for f, i in model.index.items() if f.startswith(p)} for p in (f"{d:+d}" for d in model.around)]
+        self.slots = TokenSlots(self.LIMIT)
+        self.table = np.zeros((0, len(self.known) * model.states))
+
+    def _rows(self, tokens: list[str]) -> np.ndarray:
+        own = [self.model.features(t) for t in tokens]
+        near = [self.model.neighbour(t) for t in tokens]
+        out = []
+        for k, known in enumerate(self.known):
+            names = near if k else own
+            sizes = np.fromiter(map(len, names), np.int64, len(names))
+            at = np.array([known.get(f, -1) for have in names for f in have], np.int64)
+            which = np.repeat(np.arange(len(names)), sizes)[at >= 0]
+            out.append(np.stack([np.bincount(which, self.weights[at[at >= 0], s], len(names)) for s in range(self.model.states)], 1))
+        return np.concatenate(out, 1)
 
-    def __missing__(self, token: str) -> int:
-        model = self.model
-        states = range(model.states)
-        row = [0.0] * model.states
-        get = self.own.get
-        for f in model.features(token):
-            if w := get(f):
-                for s in states:
-                    row[s] += w[s]
-        self.store.extend(row)
-        names = model.neighbour(token)
-        for lent in self.lent:
-            row = [0.0] * model.states
-            for f in names:
-                if w := lent.get(f):
-                    for s in states:
-                        row[s] += w[s]
-            self.store.extend(row)
-        self[token] = at = len(self)
-        return at
+    def rows(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The row of each token, a range of the bytes ``data``."""
+        kinds = TokenKinds(data, start, end, _CODES)
+        at = self.slots.find(kinds)
+        if len(new := np.flatnonzero(at < 0)):
+            raw = data.tobytes()
+            fresh = self._rows([raw[a:b].decode() for a, b in zip(kinds.begin[new].tolist(), (kinds.begin + kinds.size)[new].tolist(), strict=True)])
+            if (kept := self.slots.trim()) is not None:
+                self.table = self.table[kept]
+            self.slots.add(kinds, new)
+            self.table = np.concatenate([self.table, fresh])
+            at = self.slots.find(kinds)
+            for i in np.flatnonzero(at < 0).tolist():  # two tokens of one hash
+                at[i] = len(self.table)
+                self.table = np.concatenate([self.table, self._rows([raw[kinds.begin[i] : kinds.begin[i] + kinds.size[i]].decode()])])
+        out = self.table[at[kinds.kind]]
+        self.table = self.table[: len(self.slots.key)]
+        return out
 
-    def unary(self, chains: list[list[str]], extras: list[list[str]] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The potentials of all tokens of these chains in a row, and the offsets of the chains in them."""
-        if len(self) > self.LIMIT:
-            self.clear()
-            self.store = array("d")
-        look = self.__getitem__
-        ids = np.array([i for c in chains for i in map(look, c)], np.int64)
-        offsets = np.concatenate([[0], np.cumsum([len(c) for c in chains])]).astype(np.int64)
+    def unary(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, offsets: np.ndarray, extras: list[list[str]] | None = None) -> np.ndarray:
+        """The potentials of all tokens of chains that lie one after the other; ``offsets`` of the chains in them."""
         m, k = self.model, self.model.states
-        rows = np.frombuffer(self.store).reshape(-1, (1 + len(m.around)) * k)[ids]
+        rows = self.rows(data, start, end)
         out = rows[:, :k].copy()
-        chain = np.repeat(np.arange(len(chains)), np.diff(offsets))
+        chain = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         for j, d in enumerate(m.around):
             lent = rows[:, (1 + j) * k : (2 + j) * k]
             if d < 0:
@@ -163,13 +168,13 @@ class Potentials(dict):
                 same = chain[:-d] == chain[d:]
                 out[:-d] += lent[d:] * same[:, None]
         if extras is not None:
-            add = np.zeros((len(chains), k))
+            add = np.zeros((len(offsets) - 1, k))
             for i, names in enumerate(extras):
                 for f in names:
                     if (x := m.index.get(f)) is not None:
                         add[i] += m.weights[x]
             out += add[chain]
-        return out, offsets
+        return out
 
 
 def marginals(unary: np.ndarray, offsets: np.ndarray, moves: np.ndarray, lanes: int = 2048) -> np.ndarray:

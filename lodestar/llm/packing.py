@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import U64, RangeHash, byte_codes, flat_ranges, slices, string_buffer
+from .common import TokenKinds, TokenSlots, byte_codes, flat_ranges, slices, string_buffer
 from .shingles import word_ranges
 
 WINDOW = 4096
@@ -62,9 +62,8 @@ class WordTokenizer:
         known = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(known.values(), default=0) + 1, bool)  # tokens that end a piece
         self.ends[[i for token, i in known.items() if token.endswith("</w>")]] = True
-        self.key, self.check = np.zeros(0, U64), np.zeros(0, U64)  # by rising key
-        self.at, self.size, self.back = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-        self.pool = np.zeros(0, "<u4")
+        self.slots = TokenSlots(self.LIMIT)
+        self.at, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")  # by slot; all ids
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -107,19 +106,13 @@ class WordTokenizer:
             out.append(ids)
         return np.concatenate(out) if out else np.zeros(0, "<u4"), size
 
-    def _store(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
-        if len(self.key) > self.LIMIT:
-            kept = np.flatnonzero(self.back)
-            self.pool = self.pool[flat_ranges(self.at[kept], self.size[kept])]
-            self.key, self.check, self.size = self.key[kept], self.check[kept], self.size[kept]
-            self.at, self.back = np.cumsum(self.size) - self.size, np.zeros(len(kept), bool)
-        at = len(self.pool) + np.cumsum(size) - size
+    def _store(self, kinds: TokenKinds, new: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        if (kept := self.slots.trim()) is not None:
+            self.pool, self.size = self.pool[flat_ranges(self.at[kept], self.size[kept])], self.size[kept]
+            self.at = np.cumsum(self.size) - self.size
+        self.slots.add(kinds, new)
+        self.at, self.size = np.concatenate([self.at, len(self.pool) + np.cumsum(size) - size]), np.concatenate([self.size, size])
         self.pool = np.concatenate([self.pool, ids])
-        key = np.concatenate([self.key, key])
-        order = np.argsort(key, kind="stable")
-        self.key = key[order]
-        self.check, self.at, self.size = (np.concatenate(x)[order] for x in ((self.check, check), (self.at, at), (self.size, size)))
-        self.back = np.concatenate([self.back, np.zeros(len(at), bool)])[order]
 
     def encode_all(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts that lie one after the other as UTF-8 bytes, and the offsets of each text in them."""
@@ -136,27 +129,16 @@ class WordTokenizer:
         both = np.repeat(np.arange(len(start)), 1 + cut)
         tail = np.append(False, both[1:] == both[:-1])
         start, end = np.where(tail, last[both] + 1, start[both]), np.where(cut[both] & ~tail, last[both] + 1, end[both])
-        key = RangeHash(_CODES[data]).of(start, end)
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        kinds, first, kind = np.unique(key, return_index=True, return_inverse=True)
-        begin, size = start[first], (end - start)[first]
-        check = np.ndarray((len(data),), "<u8", padded, 0, (1,))[begin] & (U64(2**64 - 1) >> (U64(8) * (8 - np.minimum(size, 8)).astype(U64)))
-        check ^= size.astype(U64) << U64(56)
-
-        def find() -> tuple[np.ndarray, np.ndarray]:
-            at = np.minimum(np.searchsorted(self.key, kinds), max(len(self.key) - 1, 0))
-            return at, (self.key[at] == kinds) & (self.check[at] == check) if len(self.key) else np.zeros(len(kinds), bool)
-
-        at, have = find()
-        self.back[at[have]] = True
-        if len(new := np.flatnonzero(~have)):
+        kinds = TokenKinds(data, start, end, _CODES)
+        at = self.slots.find(kinds)
+        if len(new := np.flatnonzero(at < 0)):
             raw = data.tobytes()
-            words = [raw[a:b].decode() for a, b in zip(begin[new].tolist(), (begin + size)[new].tolist(), strict=True)]
-            self._store(kinds[new], check[new], *self.encode_words(words))
-            at, have = find()
-            if not have.all():  # dropped meanwhile, or another word of the same hash
+            words = [raw[a:b].decode() for a, b in zip(kinds.begin[new].tolist(), (kinds.begin + kinds.size)[new].tolist(), strict=True)]
+            self._store(kinds, new, *self.encode_words(words))
+            at = self.slots.find(kinds)
+            if (at < 0).any():  # two words of one hash
                 return self._plain(raw, offsets)
-        at = at[kind]
+        at = at[kinds.kind]
         ids = self.pool[flat_ranges(self.at[at], self.size[at])]
         tokens = np.concatenate([[0], np.cumsum(self.size[at])])
         return ids, tokens[np.searchsorted(start, offsets)]
