@@ -1,36 +1,41 @@
 """Exact top-k by inner product over norm-sorted vectors (operator 4).
 
-Vectors are made integers, component by component, so scores are exact. They lie
-in bands of falling length, and each band in chunks sorted by length. A first
-pass scores every query against the longest band, which gives each query a
-threshold. Then a block of queries meets the chunks of those bands only whose
-longest vector could still reach a threshold (Cauchy-Schwarz). Within a chunk,
-vectors go by falling length. Partial sums over the leading coordinates after an
-SVD rotation, plus the product of what is left of both lengths, bound the score;
-only pairs whose bound reaches the threshold are scored in full.
-
-Both sides are met block by block, so no task holds more than one block of
-queries and one chunk. What the driver sees is the d x d Gram matrix and at most
-``max_bands`` band edges and lengths.
+Vectors are made integers, component by component, so scores are exact. Of equal
+vectors the k + 1 smallest ids take part, for no other can be a result. They lie in
+bands of falling length, and each band in chunks sorted by length. Every query meets
+one chunk of the longest vectors first, which gives it a threshold. Then a block of
+queries meets the chunks of those bands only whose longest vector could still reach
+a threshold (Cauchy-Schwarz). Within a chunk, vectors go by falling length. Partial
+sums over the leading coordinates after an SVD rotation, plus the product of what is
+left of both lengths, bound the score; only pairs whose bound reaches the threshold
+are scored in full.
+
+Both sides are met block by block, so no task holds more than one block of queries
+and one chunk at a time, and each chunk is a key of its own. What the driver sees is
+one chunk, at most ``max_bands`` band edges and lengths, and sums of d x d Gram
+matrices, about as many as the square root of the number of partitions.
 
 Vectors that are null or hold a null or non-finite component, and rows with a
-null id, take no part. Vectors of unlike length count as padded with zeros. Rows
-with a query's own id are never its results. Equal scores go by the smaller id;
-repeated rows of one id count once. An id with different vectors, as a query or
-as a result, has the best score of them. Extra columns are ignored.
+null id, take no part; with no others, or no query, the result is empty. Vectors of
+unlike length count as padded with zeros. Rows with a query's own id are never its
+results. Equal scores go by the smaller id; repeated rows of one id count once. An id
+with different vectors, as a query or as a result, has the best score of them.
+Components and scores beyond the range of a long count as its ends. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, pack, unpack
+from .common import cut_lineage, pack, shuffle_partitions, unpack
 
 STEP = 1024  # vectors of a chunk that are bounded at once
-LOW = -(1 << 62)  # under every score
+LOW = np.iinfo(np.int64).min  # under every score
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -39,18 +44,37 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 
 
 def _gram(batches, d: int):
+    """The partition's Gram matrix, as one row."""
     total = np.zeros((d, d))
     for batch in batches:
-        x = _matrix(batch.column(1), d).astype(float)
+        x = _matrix(batch.column(0), d).astype(float)
         total += x.T @ x
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(d * d)), pa.array(total.reshape(-1))], names=["cell", "v"])
+    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "v"])
+
+
+def _gram_sum(part: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, float) for x in part.column("v").to_pylist())
+    return pa.table({"v": pa.array([total.tobytes()], pa.binary())})
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    x = x.astype(float)
+    return np.sqrt((x * x).sum(1))
+
+
+def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of two integer matrices."""
+    out = np.einsum("ij,ij->i", q, x)  # modulo 2 ** 64, so right wherever the true value is a long
+    for i in np.flatnonzero(np.abs(np.einsum("ij,ij->i", q.astype(float), x.astype(float))) > 2.0**62).tolist():
+        out[i] = min(max(sum(map(int.__mul__, q[i].tolist(), x[i].tolist())), LOW + 1), -(LOW + 1))
+    return out
 
 
 def _chunks(part: pa.Table, d: int, size: int) -> pa.Table:
     ids, x = part.column("id").to_numpy(), _matrix(part.column("v"), d)
-    order = np.lexsort((ids, -(x * x).sum(1)))
+    order = np.lexsort((ids, -_lengths(x)))
     blobs = [pack(ids[r], x[r].reshape(-1)) for r in np.split(order, range(size, len(order), size))]
-    return pa.table({"band": pa.array([part.column("band")[0].as_py()] * len(blobs), pa.int64()), "chunk": pa.array(blobs, pa.binary())})
+    return pa.table({"band": pa.array([part.column("band")[0].as_py()] * len(blobs), pa.int64()), "piece": pa.array([part.column("piece")[0].as_py()] * len(blobs), pa.int64()), "chunk": pa.array(blobs, pa.binary())})
 
 
 class _Best:
@@ -64,11 +88,11 @@ class _Best:
     def add(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Pairs (query, vector) with their scores."""
         if self.repeats:
-            order = np.lexsort((-scores, ids, q))
+            order = np.lexsort((~scores, ids, q))
             q, ids, scores = q[order], ids[order], scores[order]
             new = np.append(True, (q[1:] != q[:-1]) | (ids[1:] != ids[:-1]))
             q, ids, scores = q[new], ids[new], scores[new]
-        order = np.lexsort((ids, -scores, q))
+        order = np.lexsort((ids, ~scores, q))
         q, ids, scores = q[order], ids[order], scores[order]
         first = np.searchsorted(q, q)
         keep = np.arange(len(q)) - first < self.k
@@ -79,12 +103,12 @@ class _Best:
         at = np.searchsorted(rows, q)
         s[at, self.k + place], i[at, self.k + place] = scores, ids
         if self.repeats:
-            by_id = np.lexsort((-s, i), axis=1)
+            by_id = np.lexsort((~s, i), axis=1)
             s, i = np.take_along_axis(s, by_id, 1), np.take_along_axis(i, by_id, 1)
             again = np.zeros(i.shape, bool)
             again[:, 1:] = i[:, 1:] == i[:, :-1]
             s[again], i[again] = LOW, np.iinfo(np.int64).max
-        best = np.lexsort((i, -s), axis=1)[:, : self.k]
+        best = np.lexsort((i, ~s), axis=1)[:, : self.k]
         self.score[rows], self.id[rows] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
         self.threshold[rows] = np.maximum(self.threshold[rows], self.score[rows, -1])
 
@@ -94,11 +118,11 @@ def _search(queries: tuple, chunk: tuple, rotation: np.ndarray, k: int, d: int)
     ids, x = chunk
     best = _Best(len(qid), k, threshold, len(np.unique(ids)) < len(ids))
     stages = sorted({max(1, d // 4), max(1, d // 2)})
-    qr, q_norm = q @ rotation, np.sqrt((q * q).sum(1).astype(float))
+    qr, q_norm = q @ rotation, _lengths(q)
     rest_q = np.sqrt(np.maximum(np.cumsum((qr * qr)[:, ::-1], 1)[:, ::-1], 0))
     for at in range(0, len(ids), STEP):
         part, part_ids = x[at : at + STEP], ids[at : at + STEP]
-        norm = np.sqrt((part * part).sum(1).astype(float))
+        norm = _lengths(part)
         slack = 1e-9 * q_norm * norm[0] + 1e-6
         live = np.flatnonzero(q_norm * norm[0] + slack >= best.threshold)
         if not len(live):
@@ -116,53 +140,36 @@ def _search(queries: tuple, chunk: tuple, rotation: np.ndarray, k: int, d: int)
             rows, cols, partial, done = rows[ok], cols[ok], partial[ok], stage
         for a in range(0, len(rows), 1 << 16):
             r, c = live[rows[a : a + (1 << 16)]], cols[a : a + (1 << 16)]
-            exact = np.einsum("ij,ij->i", q[r], part[c])
+            exact = _scores(q[r], part[c])
             ok = exact >= best.threshold[r]
             if ok.any():
                 best.add(r[ok], part_ids[c[ok]], exact[ok])
     return best
 
 
-def _meet(batches, rotation, k: int, d: int, answer: str):
+def _meet(batches, rotation, k: int, d: int):
+    """The best pairs of each row's query block and chunk."""
     for batch in batches:
-        out = []
-        for block, queries, chunk in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for queries, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             qid, q, threshold = unpack(queries)
             ids, x = unpack(chunk)
             best = _search((qid, q.reshape(-1, d), threshold), (ids, x.reshape(-1, d)), rotation, k, d)
-            if answer == "threshold":
-                out.append((block, pack(qid, best.threshold)))
-            else:
-                hit = best.id < np.iinfo(np.int64).max
-                out += zip(np.repeat(qid, hit.sum(1)).tolist(), best.id[hit].tolist(), best.score[hit].tolist(), strict=True)
-        if answer == "threshold":
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["block", "t"])
-        else:
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
-
-
-def _query_blocks(part: pa.Table, d: int) -> pa.Table:
-    ids, x = part.column("id").to_numpy(), _matrix(part.column("v"), d)
-    order = np.argsort(ids)
-    low = np.full(len(ids), LOW)
-    return pa.table({"block": pa.array([part.column("block")[0].as_py()], pa.int64()), "queries": pa.array([pack(ids[order], x[order].reshape(-1), low)], pa.binary())})
-
-
-def _raise(part: pa.Table, first: pa.Table, d: int, tops: np.ndarray) -> pa.Table:
-    """A query block with its thresholds, for every band that can still matter to it; band 0 is among them."""
-    qid, flat, low = unpack(part.column("queries")[0].as_py())
-    for blob in first.column("t").to_pylist():
-        _, t = unpack(blob)
-        low = np.maximum(low, t)
-    x = flat.reshape(-1, d)
-    norm = np.sqrt((x * x).sum(1).astype(float))
-    reach = [b for b, top in enumerate(tops.tolist()) if (norm * top * (1 + 1e-9) + 1e-6 >= low).any()]
-    blob = pack(qid, flat, low)
-    block = part.column("block")[0].as_py()
-    return pa.table({"block": pa.array([block] * len(reach), pa.int64()), "band": pa.array(reach, pa.int64()), "queries": pa.array([blob] * len(reach), pa.binary())})
-
-
-def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, chunk: int = 8192, block: int = 1024, max_bands: int = 256) -> DataFrame:
+            hit = best.id < np.iinfo(np.int64).max
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, hit.sum(1))), pa.array(best.id[hit]), pa.array(best.score[hit])], names=["query_id", "vec_id", "score"])
+
+
+def _query_blocks(part: pa.Table, lead: bytes, rotation: np.ndarray, k: int, d: int, tops: np.ndarray) -> pa.Table:
+    """A query block with its thresholds, for every band that can still matter to it."""
+    qid, q = part.column("id").to_numpy(), _matrix(part.column("v"), d)
+    order = np.argsort(qid, kind="stable")
+    qid, q = qid[order], q[order]
+    ids, x = unpack(lead)
+    low = _search((qid, q, np.full(len(qid), LOW)), (ids, x.reshape(-1, d)), rotation, k, d).threshold
+    reach = [b for b, top in enumerate(tops.tolist()) if (_lengths(q) * top * (1 + 1e-9) + 1e-6 >= low).any()]
+    return pa.table({"band": pa.array(reach, pa.int64()), "queries": pa.array([pack(qid, q.reshape(-1), low)] * len(reach), pa.binary())})
+
+
+def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, chunk: int = 4096, block: int = 1024, max_bands: int = 256) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k largest inner products of each query over all other rows.
 
     vectors: vec_id long, embedding array of numbers; is_query: which rows are
@@ -170,43 +177,46 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 25
     """
     value = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    clean = vectors.where(good).select(F.col("vec_id").alias("id"), value.alias("v"), is_query.alias("q"))
-    clean = clean.groupBy("id", "v").agg(F.bool_or("q").alias("q"))  # equal rows would fill the k places of a query
-    clean = cut_lineage(clean)
-    d, n, asked = clean.agg(F.max(F.size("v")), F.count("*"), F.count_if("q")).first()
+    rows = vectors.where(good).select(F.col("vec_id").alias("id"), value.alias("v"), is_query.alias("q"))
+    rows = rows.groupBy("id", "v").agg(F.bool_or("q").alias("q"))  # equal rows would fill the k places of a query
+    rows = cut_lineage(rows)
+    d, asked = rows.agg(F.max(F.size("v")), F.count_if("q")).first()
     schema = "query_id long, rank int, vec_id long, score long"
-    if not n or not asked:
+    if not asked:
         return vectors.sparkSession.createDataFrame([], schema)
     padded = F.when(F.size("v") == d, F.col("v")).otherwise(F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(d) - F.size("v"))))
-    clean = clean.withColumn("v", padded).withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x))
-
-    gram = np.zeros(d * d)
-    for r in clean.select("id", "v").mapInArrow(lambda it: _gram(it, d), "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect():  # d * d cells
-        gram[r["cell"]] = r["v"]
+    rows = rows.select("id", padded.alias("v"), "q")
+    among = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    clean = cut_lineage(rows.select("id", "v").withColumn("among", among).where(F.col("among") <= k + 1).select("id", "v", length.alias("norm")))
+    n = clean.count()
+
+    parts = clean.rdd.getNumPartitions()
+    sums = clean.select("v").mapInArrow(lambda it: _gram(it, d), "part long, v binary").groupBy(F.pmod("part", F.lit(max(1, int(parts**0.5))))).applyInArrow(_gram_sum, "v binary").collect()
+    gram = sum((np.frombuffer(r["v"], float) for r in sums), np.zeros(d * d))
     _, rotation = np.linalg.eigh(gram.reshape(d, d))
     rotation = np.ascontiguousarray(rotation[:, ::-1])
 
     bands = max(1, min(max_bands, -(-n // chunk)))
-    edges = clean.stat.approxQuantile("norm2", [i / bands for i in range(1, bands)], 0.001) if bands > 1 else []
+    edges = clean.stat.approxQuantile("norm", [i / bands for i in range(1, bands)], 0.001) if bands > 1 else []
     edges = sorted(set(edges), reverse=True)
-    band = F.lit(0)
-    band = F.aggregate(F.array(*[F.lit(e) for e in edges]), F.lit(0), lambda s, e: s + (F.col("norm2") < e).cast("int")) if edges else band
+    band = F.aggregate(F.array(*[F.lit(e) for e in edges]), F.lit(0), lambda s, e: s + (F.col("norm") < e).cast("int")) if edges else F.lit(0)
     placed = clean.withColumn("band", band.cast("long"))
     tops = np.zeros(len(edges) + 1)
-    for r in placed.groupBy("band").agg(F.max("norm2").alias("m")).collect():  # at most max_bands rows
-        tops[r["band"]] = np.sqrt(float(r["m"]))
+    for r in placed.groupBy("band").agg(F.max("norm").alias("m")).collect():  # at most max_bands rows
+        tops[r["band"]] = r["m"]
     # a band is dealt out by id too, so that one with many equal lengths is not one task's
-    piece = F.pmod(F.xxhash64("id", "v"), F.lit(max(1, -(-n // (bands * chunk)) * 2)))
-    chunks = placed.withColumn("piece", piece).select("band", "piece", "id", "v").groupBy("band", "piece").applyInArrow(lambda t: _chunks(t, d, chunk), "band long, chunk binary")
+    pieces = max(1, -(-n // (bands * chunk)) * 2)
+    cells = len(tops) * pieces
+    chunks = placed.withColumn("piece", F.pmod(F.xxhash64("id", "v"), F.lit(pieces))).select("band", "piece", "id", "v").groupBy("band", "piece").applyInArrow(lambda t: _chunks(t, d, chunk), "band long, piece long, chunk binary")
     chunks = cut_lineage(chunks)
+    lead = chunks.orderBy("band", "piece", F.xxhash64("chunk")).select("chunk").first()["chunk"]  # the longest vectors, of at most ``chunk``
     blocks = max(1, -(-asked // block))
-    queries = clean.where("q").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).select("block", "id", "v").groupBy("block").applyInArrow(lambda t: _query_blocks(t, d), "block long, queries binary")
-    queries = cut_lineage(queries)
-
-    lead = queries.withColumn("band", F.lit(0).cast("long")).join(chunks, "band").select("block", "queries", "chunk")
-    first = lead.mapInArrow(lambda it: _meet(it, rotation, k, d, "threshold"), "block long, t binary")
-    open_ = queries.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(lambda a, b: _raise(a, b, d, tops), "block long, band long, queries binary")
-    found = open_.join(chunks, "band").select("block", "queries", "chunk").mapInArrow(lambda it: _meet(it, rotation, k, d, "pairs"), "query_id long, vec_id long, score long")
+    queries = rows.where("q").withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks))).select("block", "id", "v").groupBy("block").applyInArrow(lambda t: _query_blocks(t, lead, rotation, k, d, tops), "band long, queries binary")
+    spread = cut_lineage(queries).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))))
+    tasks = max(shuffle_partitions(vectors.sparkSession), 2 * cells)
+    met = spread.repartition(tasks, "band", "piece").join(chunks.repartition(tasks, "band", "piece"), ["band", "piece"]).select("queries", "chunk")
+    found = met.mapInArrow(lambda it: _meet(it, rotation, k, d), "query_id long, vec_id long, score long")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # an id's vectors can lie in several chunks
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -238,6 +238,23 @@ def test_topk_against_brute_force(spark):
             assert got[q, k] == (j, s[j])
 
 
+def test_topk_of_large_components_and_unlike_lengths(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.normal(size=4 - i % 2) * 10.0 ** r.choice([0, 3, 7, 12, 16])]) for i in range(60)]
+    rows += [(i, [1e7, 1e7, 1e7]) for i in range(100, 140)] + [(200, [1e300, -1e300]), (201, []), (202, [None, 1.0])]
+    v = spark.createDataFrame([(i, e, 1, 2) for i, e in rows], "vec_id long, embedding array<double>, score int, v int")
+    end = 2**63 - 1
+    z = {i: [max(-end - 1, min(end, int(np.floor(256 * x)) if abs(x) < 1e200 else (end if x > 0 else -end - 1))) for x in e] + [0] * (4 - len(e)) for i, e in rows if e and None not in e}
+    got = {(g.query_id, g.rank): (g.vec_id, g.score) for g in exact_topk(v, F.col("vec_id") % 20 == 0, chunk=9, block=3).collect()}
+    want = {}
+    for q in (i for i in z if i % 20 == 0):
+        best = sorted(((max(-end, min(end, sum(a * b for a, b in zip(z[q], z[i])))), i) for i in z if i != q), key=lambda x: (-x[0], x[1]))
+        want |= {(q, k): (i, s) for k, (s, i) in enumerate(best[:5], 1)}
+    assert got == want
+    assert exact_topk(v.limit(0), F.lit(True)).count() == exact_topk(v.where("vec_id > 200"), F.lit(True)).count() == 0
+    assert exact_topk(v.where("vec_id = 3"), F.lit(True)).count() == 0
+
+
 @pytest.mark.parametrize("chunk", [7, 30, 500])
 def test_topk_counts_an_id_once(spark, chunk):
     r = np.random.default_rng(1)
