@@ -10,22 +10,27 @@ same anchor form a run.
 
 1. ``_runs``: each shard of documents sends one (anchor, hash of the run's
    bytes, smallest doc_id) per different run to the anchor's bucket.
-2. ``_verdicts``: a bucket answers with a code a run. A run that equals one of a
-   smaller document goes whole; a run alone under its anchor stays; the rest
-   (same anchor, other bytes around it) must be compared byte by byte.
-3. ``_send_runs``: those send their bytes to the bucket. A bucket cuts them into
-   shards, makes a suffix array of each by Larsson-Sadakane refinement, Kasai
-   common prefixes over it, and merges the shards' windows by binary search.
-   Runs of a hot anchor go by window hash to buckets of their own instead, each
-   different window once a shard, from its smallest document there.
-4. ``_cut``: the removed ranges meet their documents again, by shard.
+2. ``_verdicts``: a bucket answers which runs have to be compared, for no other
+   document has a run with the anchor of the rest. Hashes decide no more than
+   that, and where bytes go.
+3. ``_send_runs``: a shard finds its own documents' copies of a run in suffix arrays
+   of its own, and sends the bytes of each different run that is to be compared to
+   the bucket, once. Copies of a run that is in more than ``crowd`` shards go to
+   buckets of ``crowd`` shards, each with the run of the smallest document. Runs of a hot
+   anchor go by window to buckets of their own instead, each different window once
+   a shard, from its smallest document there.
+4. ``_compare``: a bucket cuts what it got into pieces, makes a suffix array of
+   each by Larsson-Sadakane refinement, Kasai common prefixes over it, and merges
+   the pieces' windows by binary search. Every byte that goes was found so.
+5. ``_cut``: the removed ranges meet their documents again, by shard.
 
 Everything is linear in the input; no step holds more than a shard or a bucket.
 One window of a hot anchor puts at most a record a shard into its bucket.
 
 Nulls: a null text is empty; a null doc_id counts as larger than every other.
-Rows with one doc_id never remove bytes from each other. Extra columns are
-ignored; an empty table gives an empty result.
+Rows with one doc_id never remove bytes from each other. Texts are taken whole; one
+that is longer than a shard is a shard's only one. Extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +45,8 @@ from pyspark.sql import functions as F
 from .common import NO_DOC, U64, RangeHash, byte_codes, flat_ranges, mix64, pack, shuffle_partitions, slices, string_buffer, text_bytes, unpack
 
 GRAM = 24  # bytes of an anchor, in words of 8
-NONE, WHOLE, COMPARE, SPREAD = 0, 1, 2, 3
+NONE, COMPARE, FOLLOW, SPREAD = 0, 1, 2, 3
+PIECE = 1 << 20  # bytes of a suffix array
 
 
 # ---------------------------------------------------------------- suffix arrays
@@ -335,23 +341,29 @@ def _runs(part: pa.Table, width: int, buckets: int) -> pa.Table:
     })
 
 
-def _verdicts(part: pa.Table, hot: int) -> pa.Table:
+def _verdicts(part: pa.Table, hot: int, crowd: int) -> pa.Table:
+    """A code for each run, and a number: of a run that others follow how many buckets they have, of a follower which one is its own."""
     parts = [unpack(b) for b in _blobs(part)]
     sizes = [len(p[0]) for p in parts]
     anchor, content, doc = (np.concatenate([p[k] for p in parts]) for k in range(3))
     order, new, first = _different(anchor, content, doc)
     d = doc[order]
-    starts = np.flatnonzero(new)
+    starts, heads = np.flatnonzero(new), np.flatnonzero(first)
     which = np.cumsum(new) - 1
     kinds = np.add.reduceat(first.astype(np.int64), starts)[which]
     several = (np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts))[which]
-    lead = d[np.flatnonzero(first)][np.cumsum(first) - 1]
-    code = np.where(d > lead, WHOLE, np.where(several & (kinds > 1), np.where(kinds > hot, SPREAD, COMPARE), NONE)).astype(np.uint8)
-    back = np.empty(len(order), np.uint8)
-    back[order] = code
+    kind = np.cumsum(first) - 1
+    shards = np.diff(np.append(heads, len(order)))[kind]
+    place = np.arange(len(order)) - heads[kind]
+    code = np.where(several, np.where(kinds > hot, SPREAD, np.where((shards > crowd) & (place > 0), FOLLOW, COMPARE)), NONE).astype(np.uint8)
+    buckets = np.where(shards > crowd, -(-shards // crowd), 0)
+    number = np.where(code == FOLLOW, place % np.maximum(buckets, 1), np.where(code == COMPARE, buckets, 0))
+    back, more = np.empty(len(order), np.uint8), np.empty(len(order), np.int32)
+    back[order], more[order] = code, number
+    cuts = np.cumsum(sizes)[:-1]
     return pa.table({
         "shard": part.column("shard"), "bucket": part.column("bucket"),
-        "blob": pa.array([pack(x) for x in np.split(back, np.cumsum(sizes)[:-1])], pa.binary()),
+        "blob": pa.array([pack(x, y) for x, y in zip(np.split(back, cuts), np.split(more, cuts), strict=True)], pa.binary()),
     })
 
 
@@ -371,7 +383,7 @@ def _records(key, shard, doc, row, start, data, begin, length, also=None):
             at += len(r)
 
 
-def _send_runs(docs: pa.Table, answers: pa.Table, width: int, buckets: int) -> pa.Table:
+def _send_runs(docs: pa.Table, answers: pa.Table, width: int, buckets: int, piece: int = PIECE) -> pa.Table:
     empty = pa.table({"key": pa.array([], pa.int64()), "shard": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
     if not docs.num_rows:
         return empty
@@ -379,57 +391,86 @@ def _send_runs(docs: pa.Table, answers: pa.Table, width: int, buckets: int) -> p
     shard.find_runs(width, buckets)
     me = docs.column("shard")[0].as_py()
     by_bucket = dict(zip(answers.column("bucket").to_pylist(), _blobs(answers), strict=True))
-    code = np.concatenate([unpack(by_bucket[b])[0] for b in np.unique(shard.bucket).tolist()] or [np.zeros(0, np.uint8)])
+    told = [unpack(by_bucket[b]) for b in np.unique(shard.bucket).tolist()]
+    code, number = (np.concatenate([t[k] for t in told] or [np.zeros(0, np.int64)]) for k in range(2))
     run, kind = shard.order, shard.kind
-    doc = shard.doc[shard.row[run]]
-    lead = shard.doc[shard.row[shard.heads]][kind]
-    own = np.where(doc > lead, WHOLE, code[kind])  # a copy within the shard of a smaller document's run goes too
-    begin, end = shard.start[run], shard.end[run]
-    row = shard.row[run]
+    doc, row = shard.doc[shard.row[run]], shard.row[run]
+    begin, length = shard.start[run], (shard.end - shard.start)[run] + width - 1
     start = begin - shard.offsets[row]
+    head = np.append(True, kind[1:] != kind[:-1])[: len(kind)]
+    first = np.flatnonzero(head)[kind]
     rows = []
-    if (whole := own == WHOLE).any():
-        r, s, e = _unite(row[whole], start[whole], (start + end - begin + width - 1)[whole])
-        rows.append((-1 - me, me, pack(r, s, e)))
-    if (few := own == COMPARE).any():
-        rows += _records(shard.bucket[run][few], me, doc[few], row[few], start[few], shard.data, begin[few], (end - begin + width - 1)[few])
-    if (many := own == SPREAD).any():
-        count = (end - begin)[many]
-        at = flat_ranges(begin[many], count)
-        hashes = RangeHash(_CODES[shard.data]).of(at, at + width)
-        order, _, first = _different(np.repeat(shard.anchor[run][many], count), hashes, np.repeat(doc[many], count))
-        at, hashes, w_doc, w_row = at[order], hashes[order], np.repeat(doc[many], count)[order], np.repeat(row[many], count)[order]
-        w_start, same = at - shard.offsets[w_row], np.cumsum(first) - 1  # same: which different window it is
-        gone = w_doc > w_doc[first][same]  # a smaller document of the shard has it
-        if gone.any():
-            rows.append((-1 - me, me, pack(*_unite(w_row[gone], w_start[gone], w_start[gone] + width))))
-        key = buckets + (((hashes[first] >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
-        more = ~gone & ~first
-        rows += _records(key, me, w_doc[first], w_row[first], w_start[first], shard.data, at[first], np.full(len(key), width), (same[more], w_row[more], w_start[more]))
+    gone: list[tuple] = []  # (row, start) of windows
+
+    # copies here of a smaller document's run here
+    copy = doc > doc[first]
+    some = np.flatnonzero(np.bincount(kind, copy, kind[-1] + 1)[kind] > 0) if len(kind) else run
+    record, place = repeated_windows(doc[some], length[some], shard.data[flat_ranges(begin[some], length[some])], width, piece)
+    gone.append((row[some][record], start[some][record] + place))
+
+    # one of each kind that is to be compared; the others of the same document share its fate
+    sent = np.flatnonzero(head & np.isin(code[kind], (COMPARE, FOLLOW)))
+    also = np.flatnonzero(~head & ~copy & np.isin(code[kind], (COMPARE, FOLLOW)))
+    to, key = sent, np.where(code[kind[sent]] == COMPARE, shard.bucket[run[sent]], 0)
+    salted = lambda content, salt: 2 * buckets + (mix64(content + salt.astype(U64) * U64(0x9E3779B97F4A7C15)) % U64(buckets)).astype(np.int64)
+    follow = code[kind[sent]] == FOLLOW
+    key[follow] = salted(shard.content[run[sent[follow]]], number[kind[sent[follow]]])
+    lead = sent[~follow & (number[kind[sent]] > 0)]
+    copies = number[kind[lead]].astype(np.int64)
+    to = np.append(to, np.repeat(lead, copies))
+    key = np.append(key, salted(shard.content[run[np.repeat(lead, copies)]], flat_ranges(np.zeros(len(lead), np.int64), copies)))
+    if len(to):
+        at = np.full(len(run), -1)
+        at[sent] = np.arange(len(sent))
+        rows += _records(key, me, doc[to], row[to], start[to], shard.data, begin[to], length[to], (at[first[also]], row[also], start[also]))
+
+    if len(many := np.flatnonzero(code[kind] == SPREAD)):
+        data = shard.data[flat_ranges(begin[many], length[many])]
+        own: list[tuple] = []
+        for array, which, place in suffix_pieces(doc[many], length[many], data, width, piece):
+            gone.append((row[many][which[p := array.repeated()]], start[many][which[p]] + place[p]))
+            least = np.flatnonzero(array.owner[array.order] == array.least[array.group])
+            p, group = array.order[least], array.group[least]
+            new = np.append(True, group[1:] != group[:-1])[: len(group)]
+            own.append((many[which[p]], place[p], np.cumsum(new) - 1, new))
+        for r, place, group, new in own:
+            at = begin[r] + place
+            hashes = RangeHash(_CODES[shard.data]).of(at[new], at[new] + width)
+            key = buckets + (((hashes >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
+            rows += _records(key, me, doc[r[new]], row[r[new]], (start[r] + place)[new], shard.data, at[new], np.full(len(key), width), (group[~new], row[r[~new]], (start[r] + place)[~new]))
+
+    r, w = (np.concatenate(x) for x in zip(*gone, strict=True))
+    if len(r):
+        rows.append((-1 - me, me, pack(*_unite(r, w, w + width))))
     if not rows:
         return empty
     key, own_shard, blob = zip(*rows, strict=True)
     return pa.table({"key": pa.array(key, pa.int64()), "shard": pa.array(own_shard, pa.int64()), "blob": pa.array(blob, pa.binary())})
 
 
-def repeated_windows(doc: np.ndarray, length: np.ndarray, data: np.ndarray, width: int, shard_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(record, offset in it) of each window that a record of a smaller document has too."""
-    shards = []
+def suffix_pieces(doc: np.ndarray, length: np.ndarray, data: np.ndarray, width: int, piece: int = PIECE) -> list[tuple]:
+    """(array, record of each position, place of each in its record) of records cut into pieces; the arrays' windows are merged."""
+    pieces: list[tuple] = []
     ends = np.cumsum(length)
-    for a, b in slices(length, shard_bytes):
+    for a, b in slices(length, piece):
         base = ends[a] - length[a]
         size = length[a:b]
         which = np.repeat(np.arange(a, b), size)
         place = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
         part = SuffixShard(data[base : ends[b - 1]], doc[which], place <= length[which] - width, width)
-        for earlier in shards:
+        for earlier in pieces:
             earlier[0].merge(part)
-        shards.append((part, which, place))
-    found = [(which[p], place[p]) for part, which, place in shards for p in [part.repeated()]]
+        pieces.append((part, which, place))
+    return pieces
+
+
+def repeated_windows(doc: np.ndarray, length: np.ndarray, data: np.ndarray, width: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """(record, place in it) of each window that a record of a smaller document has too."""
+    found = [(which[p], place[p]) for part, which, place in suffix_pieces(doc, length, data, width, piece) for p in [part.repeated()]]
     return np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]), np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])
 
 
-def _compare(part: pa.Table, width: int, shard_bytes: int) -> pa.Table:
+def _compare(part: pa.Table, width: int, piece: int = PIECE) -> pa.Table:
     key = part.column("key")[0].as_py()
     if key < 0:
         return part.select(["shard", "blob"])
@@ -438,9 +479,12 @@ def _compare(part: pa.Table, width: int, shard_bytes: int) -> pa.Table:
     doc, row, start, length, data = (np.concatenate([p[k] for p in parts]) for k in range(5))
     base = np.cumsum([0] + [len(p[0]) for p in parts])
     of, more_row, more_start = (np.concatenate(x) for x in ([p[5] + b for p, b in zip(parts, base, strict=False)], [p[6] for p in parts], [p[7] for p in parts]))
-    record, place = repeated_windows(doc, length, data, width, shard_bytes)
-    hit = np.isin(of, record)  # such a record is one window
-    home, row, at = np.append(shard[record], shard[of[hit]]), np.append(row[record], more_row[hit]), np.append(start[record] + place, more_start[hit])
+    record, place = repeated_windows(doc, length, data, width, piece)
+    # other places of the same bytes in the same document go with a record's
+    by = np.argsort(of, kind="stable")
+    low, high = np.searchsorted(of[by], record), np.searchsorted(of[by], record, side="right")
+    hit, other = np.repeat(np.arange(len(record)), high - low), by[flat_ranges(low, high - low)]
+    home, row, at = np.append(shard[record], shard[of[other]]), np.append(row[record], more_row[other]), np.append(start[record] + place, more_start[other] + place[hit])
     out = []
     order = np.argsort(home, kind="stable")
     for r in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
@@ -472,13 +516,14 @@ def _cut(docs: pa.Table, ranges: pa.Table, with_text: bool) -> pa.Table:
     return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, shard_mb: int = 4, bucket_mb: int = 8, hot: int = 2000, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, shard_mb: int = 4, bucket_mb: int = 8, hot: int = 2000, crowd: int = 64, piece: int = PIECE, with_text: bool = False) -> DataFrame:
     """Documents without the strings of ``width`` bytes that a smaller document has.
 
     docs: doc_id long, text string. Returns doc_id, n_bytes, n_removed, n_spans,
     kept_sha256 (and kept_text, binary, on request): one row for each row.
-    width: at least 24. hot: runs with different bytes under one anchor beyond
-    which its windows are dealt out by their own hash.
+    width: at least 32. hot: runs with different bytes under one anchor beyond
+    which its windows are dealt out by their own hash. crowd: shards with a run
+    beyond which its copies are dealt out. piece: bytes of a suffix array.
     """
     if width < GRAM + 8:
         raise ValueError(f"width must be {GRAM + 8} or more")
@@ -488,9 +533,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, shard_mb: int = 4, bucket_m
     parts = min(max(shuffle_partitions(spark), shards // 2), shards * 2)
     source = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(int(NO_DOC)))), F.lit(shards)).alias("shard"))
     packed = source.mapInArrow(lambda it: _pack_documents(it, width), "shard long, blob binary").repartition(parts, "shard")
-    runs = packed.groupBy("shard").applyInArrow(lambda t: _runs(t, width, buckets), "bucket long, shard long, blob binary")
-    answers = runs.groupBy("bucket").applyInArrow(lambda t: _verdicts(t, hot), "shard long, bucket long, blob binary")
-    sent = packed.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(lambda d, a: _send_runs(d, a, width, buckets), "key long, shard long, blob binary")
-    ranges = sent.groupBy("key").applyInArrow(lambda t: _compare(t, width, 1 << 20), "shard long, blob binary")
+    runs = packed.groupBy("shard").applyInArrow(lambda t: _runs(t, width, buckets), "bucket long, shard long, blob binary").repartition(parts, "bucket")
+    answers = runs.groupBy("bucket").applyInArrow(lambda t: _verdicts(t, hot, crowd), "shard long, bucket long, blob binary").repartition(parts, "shard")
+    sent = packed.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(lambda d, a: _send_runs(d, a, width, buckets, piece), "key long, shard long, blob binary").repartition(parts, "key")
+    ranges = sent.groupBy("key").applyInArrow(lambda t: _compare(t, width, piece), "shard long, blob binary").repartition(parts, "shard")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text binary" * with_text
     return packed.groupBy("shard").cogroup(ranges.groupBy("shard")).applyInArrow(lambda d, r: _cut(d, r, with_text), schema)

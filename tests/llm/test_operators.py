@@ -64,12 +64,13 @@ def test_suffix_array_and_kasai():
         assert n == min(real, 50)
 
 
-@pytest.mark.parametrize("hot", [1, 2000])
-def test_repeats_against_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "crowd", "piece"), [(1, 64, 1 << 20), (2000, 64, 1 << 20), (2000, 2, 300), (3, 1, 1 << 20)])
+def test_repeats_against_brute_force(spark, monkeypatch, hot, crowd, piece):
+    monkeypatch.setattr(substring_dedup, "text_bytes", lambda d: 40 << 20)  # so that there are ten shards
     common = prose(9, 30)
     rows = [(i, (prose(i, 20) + common if i % 2 else common[:60] + prose(i // 3, 50)) + ("a" * 130 if i % 5 == 0 else "")) for i in range(40)]
     want = brute_removed(rows)
-    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in remove_repeats(docs(spark, rows), hot=hot).collect()}
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in remove_repeats(docs(spark, rows), hot=hot, crowd=crowd, piece=piece).collect()}
     assert got == want
 
 
@@ -81,9 +82,9 @@ def test_hot_windows_go_once_a_shard():
     only = lambda t, name, value: t.filter(pc.equal(t[name], value))
     shards = [only(packed, "shard", i) for i in (0, 1)]
     runs = pa.concat_tables([substring_dedup._runs(s, width, buckets) for s in shards])
-    answers = pa.concat_tables([substring_dedup._verdicts(only(runs, "bucket", b), 1) for b in pc.unique(runs["bucket"]).to_pylist()])
+    answers = pa.concat_tables([substring_dedup._verdicts(only(runs, "bucket", b), 1, 64) for b in pc.unique(runs["bucket"]).to_pylist()])
     sent = pa.concat_tables([substring_dedup._send_runs(s, only(answers, "shard", i), width, buckets) for i, s in enumerate(shards)])
-    windows = [(r["shard"], bytes(w)) for r in sent.to_pylist() if r["key"] >= buckets for w in unpack(r["blob"])[4].reshape(-1, width)]
+    windows = [(r["shard"], bytes(w)) for r in sent.to_pylist() if 2 * buckets > r["key"] >= buckets for w in unpack(r["blob"])[4].reshape(-1, width)]
     assert len(windows) > 200 and len(windows) == len(set(windows))
     ranges = pa.concat_tables([substring_dedup._compare(only(sent, "key", k), width, 1 << 10) for k in pc.unique(sent["key"]).to_pylist()])
     got = pa.concat_tables([substring_dedup._cut(s, only(ranges, "shard", i), False) for i, s in enumerate(shards)]).to_pylist()
@@ -101,6 +102,9 @@ def test_hot_windows_go_once_a_shard():
 def test_repeats_edges(spark):
     got = remove_repeats(docs(spark, EDGE)).collect()
     assert len(got) == len(EDGE)
+    long = prose(5, 400_000)
+    got_long = {r.doc_id: r.n_removed for r in remove_repeats(docs(spark, [(1, long), (2, "x" + long[:-9] + "y"), (3, None)])).collect()}
+    assert got_long == {1: 0, 2: len(long) - 9, 3: 0}
     assert sorted(r.n_removed for r in got if r.doc_id == 5) == [0, 0]
     assert remove_repeats(docs(spark, EDGE).limit(0)).count() == 0
 
