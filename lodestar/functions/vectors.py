@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -43,11 +43,19 @@ def md5_slot(token: Column, dimensions: int) -> Column:
 
 
 def hashed_embedding(rows: DataFrame, key: str, text: str, dimensions: int = 256, portable: bool = False) -> DataFrame:
-    """EMB1, EMB2: (key, bucket, weight) sparse unit vectors of signed token hashes. Each different token is hashed once."""
+    """EMB1, EMB2: (key, bucket, weight) sparse unit vectors of signed token hashes.
+
+    The portable hash is a built-in function, so it is summed as tokens come; with
+    the other one each different token is hashed once.
+    """
+    if portable:
+        slots = rows.select(key, F.explode(tokens(F.col(text))).alias("token")).select(key, md5_slot(F.col("token"), dimensions).alias("s"))
+        sums = slots.groupBy(key, "s.bucket").agg(F.sum("s.sign").alias("x"))
+        norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)).cast("double"))  # as many rows as dimensions
+        return sums.withColumn("norm", norm).where("norm > 0").select(key, "bucket", (F.col("x") / F.col("norm")).alias("weight"))
     terms = rows.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").count()
     different = terms.select("token").distinct()
-    slot = md5_slot(F.col("token"), dimensions) if portable else blake_slot("token", F.lit(dimensions))
-    slots = different.select("token", slot.alias("s")).select("token", "s.bucket", "s.sign")
+    slots = different.select("token", blake_slot("token", F.lit(dimensions)).alias("s")).select("token", "s.bucket", "s.sign")
     sums = terms.join(slots, "token").groupBy(key, "bucket").agg(F.sum(F.col("count") * F.col("sign")).alias("x"))
     norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x")).cast("double")).alias("norm"))
     return sums.join(norms, key).where("norm > 0").select(key, "bucket", (F.col("x") / F.col("norm")).alias("weight"))

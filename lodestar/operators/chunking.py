@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,7 +24,8 @@ def cut(text: str, size: int, overlap: int) -> list[str]:
 
     def after(low: int, high: int) -> int:
         """The end of the last mark that lies whole within [low, high), or -1."""
-        return next((e for s, e in zip(reversed(starts), reversed(ends), strict=True) if s >= low and e <= high), -1)
+        k = bisect_right(ends, high) - 1
+        return ends[k] if k >= 0 and starts[k] >= low else -1
 
     out, at = [], 0
     while at < len(text):
@@ -83,25 +85,32 @@ def pack_parents(elements: DataFrame, parent_size: int = 1600) -> DataFrame:
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         rows, held = [], []
+        size, heading = 0, None  # of what is held
 
         def flush():
+            nonlocal size, heading
             if held:
                 pages = [h[2] for h in held if pd.notna(h[2])]
-                rows.append((frame["document_id"].iloc[0], len(rows), "\n\n".join(h[1] for h in held), held[0][0], held[-1][0], min(pages, default=None), max(pages, default=None), next((h[3] for h in held if h[3]), None)))
+                rows.append((frame["document_id"].iloc[0], len(rows), "\n\n".join(h[1] for h in held), held[0][0], held[-1][0], min(pages, default=None), max(pages, default=None), heading))
                 held.clear()
+                size, heading = 0, None
+
+        def hold(element, text: str):
+            nonlocal size, heading
+            held.append((element.element_index, text, element.page_number, element.heading))
+            size, heading = size + len(text) + 2, heading or element.heading or None
 
         for e in frame.sort_values("element_index").itertuples():
             text = re.sub("[ \t]+", " ", (e.text or "").replace("\r\n", "\n").replace("\r", "\n")).strip()
             if not text:
                 continue
-            heading = next((h[3] for h in held if h[3]), None)
-            if held and (e.heading and e.heading != heading or sum(len(h[1]) + 2 for h in held) + len(text) > parent_size):
+            if held and (e.heading and e.heading != heading or size + len(text) > parent_size):
                 flush()
             if len(text) <= parent_size:
-                held.append((e.element_index, text, e.page_number, e.heading))
+                hold(e, text)
                 continue
             for piece in cut(text, parent_size, 0):
-                held.append((e.element_index, piece, e.page_number, e.heading))
+                hold(e, piece)
                 flush()
         flush()
         out = pd.DataFrame(rows, columns=["document_id", "parent_index", "text", "element_start", "element_end", "page_start", "page_end", "heading"])

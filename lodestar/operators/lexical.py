@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lookup_terms, tokens
+from ..session import settled
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -25,14 +26,25 @@ def corpus_stats(rows: DataFrame, text: str, scope: list[str] = ()) -> DataFrame
     return rows.select(*scope, F.size(tokens(F.col(text))).alias("len")).groupBy(*scope).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
 
 
-def idf(post: DataFrame, stats: DataFrame, scope: list[str] = ()) -> DataFrame:
-    """AG12: scope, token, idf; a negative one becomes 0.25 times the scope's mean raw idf."""
-    df = post.groupBy(*scope, "token").agg(F.count("*").alias("df"))
-    joined = df.join(stats, list(scope)) if scope else df.crossJoin(F.broadcast(stats))  # one row of statistics
+def weights(rows: DataFrame, text: str, scope: list[str] = ()) -> DataFrame:
+    """AG12: scope, token, idf, n, avgdl; a negative idf becomes 0.25 times the scope's mean raw idf.
+
+    One pass over the texts and one aggregation, summed before it is shuffled: each
+    row counts once for each of its different tokens, and once with its length under none.
+    """
+    t = rows.select(*scope, tokens(F.col(text)).alias("t"))
+    each = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("token"), F.size("t").alias("len"))), F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("token"), F.lit(0).alias("len"))))
+    df = t.select(*scope, F.explode(each).alias("x")).groupBy(*scope, "x.token").agg(F.count("*").alias("df"), F.sum("x.len").alias("total"))
+    if scope:  # the row without a token has what its scope's other rows need
+        stats = df.where("token is null").select(*scope, F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
+        joined = df.where("token is not null").join(stats, list(scope))
+    else:
+        stats = df.where("token is null").select(F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
+        joined = df.where("token is not null").crossJoin(F.broadcast(stats))  # one row of statistics
     raw = joined.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*scope).agg(F.avg("raw").alias("mean"))
     with_mean = raw.join(mean, list(scope)) if scope else raw.crossJoin(F.broadcast(mean))
-    return with_mean.select(*scope, "token", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return with_mean.select(*scope, "token", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "n", "avgdl")
 
 
 def query_terms(queries: DataFrame, query: str, text: str, scope: list[str] = ()) -> DataFrame:
@@ -45,21 +57,40 @@ def matches(terms: DataFrame, post: DataFrame, scope: list[str] = ()) -> DataFra
     return terms.join(post, [*scope, "token"])
 
 
-def bm25(queries: DataFrame, rows: DataFrame, query: str, key: str, text: str = "text", query_text: str = "text", scope: list[str] = (), broadcast_queries: bool = False) -> DataFrame:
-    """RET2: scope, query, key, bm25 of all pairs that share a token. ``broadcast_queries``: for query sets known to be small."""
-    post, stats = postings(rows, key, text, scope), corpus_stats(rows, text, scope)
+ASKED = 200_000  # different tokens of queries that may be broadcast
+
+
+def asked_postings(terms: DataFrame, rows: DataFrame, key: str, text: str, scope: list[str] = ()) -> DataFrame:
+    """The postings of the tokens that some query of the scope has. Up to ``ASKED`` of them are broadcast, so that no others are shuffled."""
+    asked = terms.select(*scope, "token").distinct()
+    few = asked.limit(ASKED + 1).count() <= ASKED
+    t = rows.select(*scope, key, tokens(F.col(text)).alias("t"))
+    found = t.select(*scope, key, F.size("t").alias("len"), F.explode("t").alias("token")).join(F.broadcast(asked) if few else asked, [*scope, "token"], "left_semi")
+    return found.groupBy(*scope, key, "len", "token").agg(F.count("*").alias("tf"))
+
+
+def bm25_and_keyword(queries: DataFrame, rows: DataFrame, query: str, key: str, text: str = "text", query_text: str = "text", scope: list[str] = ()) -> DataFrame:
+    """RET1, RET2: scope, query, key, bm25, keyword of all pairs that share a token."""
     terms = query_terms(queries, query, query_text, scope)
-    weight = idf(post, stats, scope)
-    terms = terms.join(weight, [*scope, "token"])
-    terms = terms.join(stats, list(scope)) if scope else terms.crossJoin(F.broadcast(stats))
-    joined = post.join(F.broadcast(terms) if broadcast_queries else terms, [*scope, "token"])
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    return joined.groupBy(*scope, query, key).agg(F.sum(part).alias("bm25"))
+    post = asked_postings(terms, rows, key, text, scope)
+    joined = post.join(terms.join(weights(rows, text, scope), [*scope, "token"]), [*scope, "token"])
+    return joined.groupBy(*scope, query, key).agg(F.sum(bm25_part()).alias("bm25"), (F.sum(F.least("qtf", "tf")) / F.first("qlen")).alias("keyword"))
+
+
+def bm25(queries: DataFrame, rows: DataFrame, query: str, key: str, text: str = "text", query_text: str = "text", scope: list[str] = ()) -> DataFrame:
+    """RET2: scope, query, key, bm25 of all pairs that share a token."""
+    return bm25_and_keyword(queries, rows, query, key, text, query_text, scope).drop("keyword")
+
+
+def bm25_part() -> Column:
+    """What a token of a query adds; columns qtf, idf, tf, len, avgdl."""
+    return F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
 
 
 def keyword(queries: DataFrame, rows: DataFrame, query: str, key: str, text: str = "text", query_text: str = "text", scope: list[str] = ()) -> DataFrame:
     """RET1: multiset overlap divided by the number of query tokens."""
-    joined = matches(query_terms(queries, query, query_text, scope), postings(rows, key, text, scope), scope)
+    terms = query_terms(queries, query, query_text, scope)
+    joined = matches(terms, asked_postings(terms, rows, key, text, scope), scope)
     return joined.groupBy(*scope, query, key).agg((F.sum(F.least("qtf", "tf")) / F.first("qlen")).alias("keyword"))
 
 
@@ -90,12 +121,13 @@ def top_k(scored: DataFrame, query: list[str], score: str, key: str, k: int, pla
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def candidates(queries: DataFrame, rows: DataFrame, query: str, key: str, text: str = "text", query_text: str = "text", scope: list[str] = ()) -> DataFrame:
+def candidates(queries: DataFrame, rows: DataFrame, query: str, key: str, text: str = "text", query_text: str = "text", scope: list[str] = (), limit: int | None = None) -> DataFrame:
     """RET8: pairs whose row contains a lookup term of the query; a query without any gets its whole scope.
 
     A term lies within one run of word characters of the row, so terms meet the
     vocabulary (by trigram, then containment) and the vocabulary the rows; no query
-    is compared with every row and no text is carried through a join.
+    is compared with every row and no text is carried through a join. limit: the rows
+    with the most different terms stay, equal ones by key, 10 at least and 5000 at most.
     """
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     runs = F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9_+\\-]{3,}"), 0), lookup_terms(F.regexp_replace(low, "[^一-鿿]+", " "), 1 << 30))
@@ -104,8 +136,33 @@ def candidates(queries: DataFrame, rows: DataFrame, query: str, key: str, text:
     vocabulary = index.select("word").distinct().select("word", F.explode(grams).alias("gram"))
     terms = queries.select(*scope, query, F.explode(lookup_terms(F.col(query_text))).alias("term"))
     words = terms.select("term").distinct().withColumn("gram", F.substring("term", 1, 3)).join(vocabulary, "gram").where(F.col("word").contains(F.col("term"))).select("term", "word").distinct()
-    checked = terms.join(words, "term").select(*scope, query, "word").distinct().join(index, [*scope, "word"]).select(*scope, query, key).distinct()
-    without = queries.select(*scope, query).join(checked, [*scope, query], "left_anti")
-    if not scope:
+    held = terms.join(words, "term").join(index, [*scope, "word"]).groupBy(*scope, query, key).agg(F.count_distinct("term").alias("terms"))
+    checked = held.select(*scope, query, key)
+    if limit is not None:
+        w = Window.partitionBy(*scope, query).orderBy(F.desc("terms"), key)
+        checked = held.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(10, min(limit, 5000))).select(*scope, query, key)
+    without = queries.select(*scope, query).join(held.select(*scope, query).distinct(), [*scope, query], "left_anti")
+    if not scope:  # no scan of everything for a query without a hit
         return checked
-    return checked.unionByName(without.join(rows.select(*scope, key), list(scope)))
+    return checked.unionByName(without.join(rows.select(*scope, key), list(scope)).select(*scope, query, key))
+
+
+def bm25_among(pairs: DataFrame, queries: DataFrame, rows: DataFrame, query: str, key: str, text: str = "text", query_text: str = "text", scope: list[str] = ()) -> DataFrame:
+    """RET2 after RET8: bm25 of each of ``pairs`` (scope, query, key), with the statistics of the query's own candidates; keyword and lexical (RET3) beside it.
+
+    Candidates meet the postings of their rows by key, not their texts. Pairs
+    without a shared token have 0.
+    """
+    on = [*scope, query]
+    pairs = settled(pairs)
+    post = postings(rows, key, text, scope)
+    size = rows.select(*scope, key, F.size(tokens(F.col(text))).alias("len"))
+    terms = query_terms(queries, query, query_text, scope)
+    own = pairs.join(post.drop("len"), [*scope, key])
+    stats = pairs.join(size, [*scope, key]).groupBy(*on).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    df = own.groupBy(*on, "token").agg(F.count("*").alias("df"))
+    raw = df.join(stats, on).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.groupBy(*on).agg(F.avg("raw").alias("mean"))
+    weight = raw.join(terms, [*on, "token"]).join(mean, on).select(*on, "token", "qtf", "qlen", "avgdl", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    scored = own.join(weight, [*on, "token"]).join(size, [*scope, key]).groupBy(*on, key).agg(F.sum(bm25_part()).alias("bm25"), (F.sum(F.least("qtf", "tf")) / F.first("qlen")).alias("keyword"))
+    return bm25_or_keyword(pairs.join(scored, [*on, key], "left").fillna(0.0, ["bm25", "keyword"]), on)

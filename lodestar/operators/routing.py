@@ -27,7 +27,7 @@ def _cues(text: Column, cues: tuple[str, ...]) -> Column:
 def query_features(queries: DataFrame, text: str = "question") -> DataFrame:
     """RET12: adds chars, tokens, identifiers, quoted, semantic_cues, long_cues, multi_part; a blank question is an error."""
     q = F.col(text)
-    low = F.lower(strip(q))
+    low = F.replace(F.lower(strip(q)), F.lit("ß"), F.lit("ss"))  # as case folding has it
     ok = F.when(F.length(low) == 0, F.raise_error(F.lit("a query must not be empty"))).otherwise(low)
     staged = queries.withColumn("_low", ok)
     low = F.col("_low")

@@ -3,32 +3,39 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fusion import first_by, rrf, weighted
-from .lexical import bm25, bm25_or_keyword, keyword, min_max, top_k
+from ..functions.vectors import hashed_embedding
+from ..session import settled
+from .fusion import RRF, first_by, rank_of, rrf, weighted
+from .lexical import bm25_among, bm25_and_keyword, bm25_or_keyword, candidates, max_normalised, min_max, top_k
+from .routing import expand, query_features, route
 
 STRATEGIES = ("keyword", "vector", "weighted", "bm25", "rrf")
 
 
+def lexical_scores(queries: DataFrame, rows: DataFrame, query: str, key: str, scope: list[str], text: str = "text", query_text: str = "text") -> DataFrame:
+    """RET3: for all pairs of a query and a row of its scope: bm25, keyword, lexical. The pairs are an equi-join on the scope, since a rank covers all candidates."""
+    on = [*scope, query, key]
+    rows = rows.join(queries.select(*scope).distinct(), list(scope), "left_semi")  # scopes that nobody asks are not read on
+    pairs = queries.select(*scope, query).join(rows.select(*scope, key), list(scope))
+    out = pairs.join(bm25_and_keyword(queries, rows, query, key, text, query_text, scope), on, "left")
+    return bm25_or_keyword(out.fillna(0.0, ["bm25", "keyword"]), [*scope, query])
+
+
 def component_scores(queries: DataFrame, rows: DataFrame, query_vectors: DataFrame, row_vectors: DataFrame, query: str, key: str, scope: list[str], text: str = "text", query_text: str = "text") -> DataFrame:
-    """RET7: for all pairs of a query and a row of its scope: bm25, keyword, vector, lexical.
+    """RET7: for all pairs of a query and a row of its scope: bm25, keyword, lexical, vector.
 
-    Vectors are sparse rows (id, bucket, weight). The pairs are an equi-join on the
-    scope, since a rank covers all candidates.
+    Vectors are sparse rows (id, bucket, weight).
     """
     on = [*scope, query, key]
-    pairs = queries.select(*scope, query).join(rows.select(*scope, key), list(scope))
-    words = keyword(queries, rows, query, key, text, query_text, scope)
-    ranks = bm25(queries, rows, query, key, text, query_text, scope)
+    asked = rows.join(queries.select(*scope).distinct(), list(scope), "left_semi").select(*scope, key)
     q = query_vectors.withColumnRenamed("weight", "qw").join(queries.select(*scope, query), query)
-    r = row_vectors.join(rows.select(*scope, key), key)
-    dots = q.join(r, [*scope, "bucket"]).groupBy(*on).agg(F.sum(F.col("qw") * F.col("weight")).alias("vector"))
-    out = pairs.join(ranks, on, "left").join(words, on, "left").join(dots, on, "left").fillna(0.0, ["bm25", "keyword", "vector"])
-    out = out.withColumn("vector", F.greatest(F.lit(0.0), "vector"))
-    return bm25_or_keyword(out, [*scope, query])
+    dots = q.join(row_vectors.join(asked, key), [*scope, "bucket"]).groupBy(*on).agg(F.sum(F.col("qw") * F.col("weight")).alias("vector"))
+    out = lexical_scores(queries, rows, query, key, scope, text, query_text).join(dots, on, "left").fillna(0.0, ["vector"])
+    return out.withColumn("vector", F.greatest(F.lit(0.0), "vector"))
 
 
 def strategy_scores(components: DataFrame, query: list[str], key: str) -> DataFrame:
@@ -39,11 +46,52 @@ def strategy_scores(components: DataFrame, query: list[str], key: str) -> DataFr
 
 
 def search_batch(scores: DataFrame, query: list[str], key: str, k: int, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
-    """EV14, RET14: strategy, rank and score of the k best rows for each query and strategy."""
+    """EV14: strategy, rank and score of the k best rows for each query and strategy."""
     stacked = scores.select(*query, key, F.explode(F.create_map(*[x for s in strategies for x in (F.lit(s), F.col(f"score_{s}"))])).alias("strategy", "score"))
     return top_k(stacked, [*query, "strategy"], "score", key, k).select(*query, "strategy", "rank", key, "score")
 
 
+VARIANTS = 8  # more than a question can have
+
+
+def routed_search(questions: DataFrame, rows: DataFrame, children: DataFrame, scope: list[str], k: int, model: str, dense_available: bool = True) -> DataFrame:
+    """RET14: each question through the strategy that RET13 picks for it: scope, query_id, strategy, rank, key, score.
+
+    questions: scope, query_id, question, query_transform (RET10); rows: scope, key,
+    text, embedding_model; children: scope, key, parent_id, text. Lexical questions
+    are scored among their candidates (RET8), with those rows' statistics (RET2).
+    Dense ones see only rows whose embedding has the tag ``model`` (EMB3, FLT4).
+    parent_child takes the best child of each parent (RET9). A question with several
+    variants is fused over all its rows (RET11). Each branch gets its own questions only.
+    """
+    on = [*scope, "query_id"]
+    routed = settled(route(query_features(questions), dense_available).select(*on, "question", "query_transform", "strategy"))
+    asked = settled(expand(routed).select(*scope, (F.col("query_id") * VARIANTS + F.col("variant")).alias("vid"), "strategy", F.col("variant_text").alias("text")))
+
+    few = routed.where("strategy in ('bm25', 'keyword')")
+    pairs = candidates(few.select(*on, F.col("question").alias("text")), rows, "query_id", "key", scope=scope, limit=max(800, 100 * k))
+    lexical = asked.where("strategy in ('bm25', 'keyword')")
+    own = pairs.join(lexical.select(*scope, F.floor(F.col("vid") / VARIANTS).alias("query_id"), "vid"), on).select(*scope, "vid", "key")
+    found = bm25_among(own, lexical, rows, "vid", "key", scope=scope).select(*scope, "vid", "key", F.lit(None).cast("long").alias("parent_id"), F.round("lexical", 6).alias("score"))
+
+    dense = asked.where("strategy = 'rrf'")
+    tagged = rows.where(F.col("embedding_model") == model)
+    in_scope = tagged.join(dense.select(*scope).distinct(), list(scope), "left_semi")
+    both = component_scores(dense, in_scope, hashed_embedding(dense, "vid", "text", portable=True), hashed_embedding(in_scope, "key", "text", portable=True), "vid", "key", scope)
+    found = found.unionByName(strategy_scores(both, [*scope, "vid"], "key").select(*scope, "vid", "key", F.lit(None).cast("long").alias("parent_id"), F.col("score_rrf").alias("score")))
+
+    broad = asked.where("strategy = 'parent_child'")
+    hits = lexical_scores(broad, children, "vid", "key", scope).join(children.select(*scope, "key", "parent_id"), [*scope, "key"])
+    found = found.unionByName(hits.select(*scope, "vid", "key", "parent_id", F.round("lexical", 6).alias("score")))
+
+    ranked = found.withColumn("rank", rank_of("score", [*scope, "vid"], "key")).withColumn("query_id", F.floor(F.col("vid") / VARIANTS))
+    fused = ranked.groupBy(*on, "key").agg(F.sum(1.0 / (RRF + F.col("rank"))).alias("raw"), F.max("score").alias("score"), F.max("parent_id").alias("parent_id"))
+    several = asked.groupBy(*scope, F.floor(F.col("vid") / VARIANTS).alias("query_id")).agg((F.count("*") > 1).alias("several"), F.first("strategy").alias("strategy"))
+    scored = fused.join(several, on).withColumn("score", F.when(F.col("several"), F.round(max_normalised(F.col("raw"), on), 6)).otherwise(F.col("score")))
+    best = first_by(scored.withColumn("one", F.when(F.col("strategy") == "parent_child", F.col("parent_id")).otherwise(F.col("key"))), on, "one", "score", "key", k)
+    return best.select(*on, "strategy", "rank", "key", "score")
+
+
 def parent_child(child_scores: DataFrame, children: DataFrame, parents: DataFrame, query: list[str], k: int, score: str = "score") -> DataFrame:
     """RET9: the best child of each parent, then the k best parents, with the parent's text. children: chunk_id, parent_id; parents: parent_id, parent_text."""
     hits = first_by(child_scores.join(children.select("chunk_id", "parent_id"), "chunk_id"), query, "parent_id", score, "chunk_id", k)
@@ -61,28 +109,37 @@ def visual_search(rows: DataFrame, query: list[str], key: str, k: int, ocr_weigh
     return top_k(scaled.withColumn("score", F.round(score, 6)), query, "score", key, k)
 
 
-def exact_knn(queries: DataFrame, rows: DataFrame, k: int, group: str = "label", key: str = "vec_id", vector: str = "embedding", block: int = 16) -> DataFrame:
+def exact_knn(queries: DataFrame, rows: DataFrame, k: int, group: str = "label", key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
     """RET17: the k rows of each query's group with the largest inner products, (query_id, rank, key, score).
 
-    Queries and rows of a group meet block by block; each task multiplies two
-    matrices and keeps its k best, which a window merges.
+    A group's rows are dealt to blocks of about ``block``, its queries to blocks of a
+    quarter of that, by their counts. A task multiplies one block of either kind and
+    keeps the k best of each query, which a window merges.
     """
-    q = queries.select(F.col(key).alias("query_id"), F.col(group).alias("g"), F.col(vector).alias("q"))
-    r = rows.select(key, F.col(group).alias("g"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(block)).alias("rb"))
-    blocks = r.select(F.col("g").alias("bg"), F.col("rb").alias("b")).distinct()
-    left = q.join(blocks, F.col("g") == F.col("bg")).select("query_id", F.col("bg").alias("lg"), F.col("b").alias("lb"), "q")
-
-    def best(k_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    dealt = lambda t, n: F.pmod(F.xxhash64(key), F.ceil(F.col(n) / block if n == "rows" else F.col(n) * 4 / block).cast("int"))
+    size = rows.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("rows")).join(queries.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("asked")), "g")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / block if n == "rows" else F.col(n) * 4 / block).cast("int") - 1))
+    q = queries.select(key, F.col(group).alias("g"), F.transform(vector, lambda x: x.cast("double")).alias("x")).join(size, "g").select(F.lit(True).alias("asks"), key, "x", "g", dealt(queries, "asked").alias("qb"), every("rows").alias("rb"))
+    r = rows.select(key, F.col(group).alias("g"), F.transform(vector, lambda x: x.cast("double")).alias("x")).join(size, "g").select(F.lit(False).alias("asks"), key, "x", "g", every("asked").alias("qb"), dealt(rows, "rows").alias("rb"))
+
+    def best(part: pa.Table) -> pa.Table:
+        asks, ids = part.column("asks").to_numpy(zero_copy_only=False), part.column(key).to_numpy()
+        x = np.stack(part.column("x").to_numpy(zero_copy_only=False)) if len(ids) else np.zeros((0, 1))
+        a, b, x_ids = x[asks], x[~asks], ids[~asks]
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], key: [], "score": []}).astype({"query_id": "int64", key: "int64", "score": "float64"})
-        s = np.array(a["q"].tolist(), float) @ np.array(b["v"].tolist(), float).T
-        ids = b[key].to_numpy()
-        s[a["query_id"].to_numpy()[:, None] == ids] = -np.inf
-        order = np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, 6)), axis=1)[:, :k]
-        out = pd.DataFrame({"query_id": np.repeat(a["query_id"].to_numpy(), order.shape[1]), key: ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-        return out[np.isfinite(out["score"])]
-
-    found = left.groupBy("lg", "lb").cogroup(r.groupBy("g", "rb")).applyInPandas(lambda k_, a, b: best(k_, a, b), f"query_id long, {key} long, score double")
+            return pa.table({"query_id": pa.array([], pa.int64()), key: pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        s = a @ b.T
+        s[ids[asks][:, None] == x_ids] = -np.inf
+        rounded = np.round(s, 6)
+        if s.shape[1] > k:  # what is under the k-th score is no result; equal ones go by id
+            rounded[rounded < np.partition(rounded, -k, axis=1)[:, -k, None]] = -np.inf
+        at, col = np.nonzero(np.isfinite(rounded))
+        order = np.lexsort((x_ids[col], -rounded[at, col], at))
+        at, col = at[order], col[order]
+        keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+        return pa.table({"query_id": pa.array(ids[asks][at[keep]]), key: pa.array(x_ids[col[keep]]), "score": pa.array(s[at[keep], col[keep]])})
+
+    found = q.unionByName(r).groupBy("g", "qb", "rb").applyInArrow(best, f"query_id long, {key} long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), key)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", key, F.round("score", 6).alias("score"))
 

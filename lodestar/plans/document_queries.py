@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import answers, chunking, evaluate, policy
 from ..operators.fusion import first_by, margin
 from .registry import query, table, tokens_sql
+from .retrieval_queries import TOPK_SQL, bm25_topk
 
 
 def docs(spark, sf_dir):
@@ -246,41 +247,46 @@ def cnv4_append(spark, sf_dir):
 
 
 _GOLD = "(SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category FROM benchmark)"
-# each benchmark text's gold: documents that contain its first 40 characters; ranked: documents with any of three of its fragments
-_HIT = "(SELECT item_id AS query_id, doc_id, contains(d.text, left(b.text, 40)) AS gold FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 40)) OR contains(d.text, right(b.text, 40)))"
-_RANKED = f"(SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS INTEGER) AS rank FROM {_HIT})"
-
-
-def passages(spark, sf_dir):
-    """Documents that hold a benchmark text's first or last 40 characters, ranked by id: a containment join, the benchmark broadcast if it is small."""
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(40)).alias("head"), F.right("text", F.lit(40)).alias("tail"))
-    d = docs(spark, sf_dir).select("doc_id", "text")
+# ranked: the five best documents by BM25; gold: the documents that hold the whole text
+_RANKED = f"{TOPK_SQL}, gold AS (SELECT item_id AS query_id, doc_id, true AS gold FROM documents d JOIN benchmark b ON contains(d.text, b.text)), h AS (SELECT query_id, rank, doc_id, coalesce(gold, false) AS gold FROM best LEFT JOIN gold USING (query_id, doc_id))"
+GOLD_WORDS = 5
+
+
+def gold_pairs(spark, sf_dir):
+    """query_id, doc_id: documents that hold a whole benchmark text, found by five words within it; a text of fewer than seven words has none."""
+    split = F.split("text", " ")
+    b = table(spark, sf_dir, "benchmark").where(F.size(split) >= GOLD_WORDS + 2).select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.xxhash64(*[F.get(split, k + 1) for k in range(GOLD_WORDS)]).alias("seed"))
+    shifted = F.arrays_zip(*[F.slice(split, k + 1, F.size(split) - GOLD_WORDS + 1) for k in range(GOLD_WORDS)])
+    grams = F.transform(shifted, lambda z: F.xxhash64(*[z[str(k)] for k in range(GOLD_WORDS)]))
+    d = docs(spark, sf_dir).where(F.size(split) >= GOLD_WORDS).select("doc_id", F.explode(grams).alias("seed"))
     small = b.limit(100_001).count() <= 100_000
-    hits = d.join(F.broadcast(b) if small else b, F.col("text").contains(F.col("head")) | F.col("text").contains(F.col("tail"))).select("query_id", "doc_id", F.col("text").contains(F.col("head")).alias("gold"))
-    return evaluate.rank_rows(hits.withColumn("s", F.lit(0)), ["query_id"], "s", "doc_id").drop("s")
+    pairs = d.join(F.broadcast(b.select("seed", "query_id")) if small else b.select("seed", "query_id"), "seed").select("query_id", "doc_id").distinct()
+    held = pairs.join(b.select("query_id", "passage"), "query_id").join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    return held.where(F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
 
 
-def gold_of(spark, sf_dir, hits):
-    g = hits.where("gold").groupBy("query_id").agg(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("expected_sources"))
-    return g.withColumn("category", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd"))
+def ranked_with_gold(spark, sf_dir):
+    """The ranks of ``bm25_topk`` as (query_id, rank, source), and the gold sources of each question with any."""
+    ranked = bm25_topk(spark, sf_dir).select("query_id", "rank", F.col("doc_id").cast("string").alias("source"))
+    g = gold_pairs(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("expected_sources"))
+    return ranked, g.withColumn("category", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd"))
 
 
-@query(f"""WITH h AS (SELECT *, rank + query_id % 3 AS r FROM {_RANKED}), f AS (SELECT query_id, min(r) FILTER (gold) AS first_rank FROM h GROUP BY 1 HAVING bool_or(gold)), g AS (SELECT *, CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category FROM f)
-SELECT category, count(*) AS n, round(avg((first_rank <= 1)::INT), 4) AS hit1, round(avg((first_rank <= 3)::INT), 4) AS hit3, round(avg((first_rank <= 5)::INT), 4) AS hit5, round(avg(1.0 / first_rank), 4) AS mrr, round(avg(1.0 / log2(first_rank + 1)), 4) AS ndcg FROM g GROUP BY ROLLUP (category)""")
+@query(f"""WITH {_RANKED}, f AS (SELECT g.query_id, CASE WHEN g.query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, first_rank AS r FROM (SELECT DISTINCT query_id FROM gold) g LEFT JOIN (SELECT query_id, min(rank) AS first_rank FROM h WHERE gold GROUP BY 1) x USING (query_id))
+SELECT category, count(*) AS n, round(avg((coalesce(r, 99) <= 1)::INT), 4) AS hit1, round(avg((coalesce(r, 99) <= 3)::INT), 4) AS hit3, round(avg((coalesce(r, 99) <= 5)::INT), 4) AS hit5, round(avg(coalesce(1.0 / r, 0)), 4) AS mrr, round(avg(coalesce(1.0 / log2(r + 1), 0)), 4) AS ndcg FROM f GROUP BY ROLLUP (category)""")
 def ev1_ranking_metrics(spark, sf_dir):
-    """EV1, EV2, AG16."""
-    h = passages(spark, sf_dir)
-    ranked = h.select("query_id", (F.col("rank") + F.col("query_id") % 3).alias("rank"), F.col("doc_id").cast("string").alias("source"))
-    return evaluate.ranking_metrics(evaluate.first_ranks(ranked, gold_of(spark, sf_dir, h), "query_id", "source"))
+    """EV1, EV2, AG16: of BM25, against the documents that hold the text asked."""
+    ranked, gold = ranked_with_gold(spark, sf_dir)
+    return evaluate.ranking_metrics(evaluate.first_ranks(ranked, gold, "query_id", "source"))
 
 
-@query(f"""WITH h AS (SELECT * FROM {_RANKED}), g AS (SELECT query_id, list(doc_id) FILTER (gold) AS e, coalesce(list(doc_id) FILTER (rank <= 3), []) AS s3, coalesce(list(doc_id) FILTER (rank <= 5), []) AS s5 FROM h GROUP BY 1 HAVING bool_or(gold)),
-c AS (SELECT CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, len(list_intersect(e, s3)) / len(e) AS r3, len(list_intersect(e, s5)) / len(e) AS r5 FROM g)
+@query(f"""WITH {_RANKED}, e AS (SELECT query_id, count(*) AS n FROM gold GROUP BY 1), s AS (SELECT query_id, count(*) FILTER (gold AND rank <= 3) AS s3, count(*) FILTER (gold) AS s5 FROM h GROUP BY 1),
+c AS (SELECT CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, coalesce(s3, 0) / n AS r3, coalesce(s5, 0) / n AS r5 FROM e LEFT JOIN s USING (query_id))
 SELECT category, count(*) AS n, round(avg(r3), 4) AS recall3, round(avg((r3 = 1)::INT), 4) AS full3, round(avg(r5), 4) AS recall5, round(avg((r5 = 1)::INT), 4) AS full5 FROM c GROUP BY ROLLUP (category)""")
 def ev3_coverage(spark, sf_dir):
     """EV3, ST2."""
-    h = passages(spark, sf_dir)
-    return evaluate.coverage(h.select("query_id", "rank", F.col("doc_id").cast("string").alias("source")), gold_of(spark, sf_dir, h), "query_id")
+    ranked, gold = ranked_with_gold(spark, sf_dir)
+    return evaluate.coverage(ranked, gold, "query_id")
 
 
 @query("SELECT doc_id % 50 AS query_id, round(avg((doc_id % 3 = 0)::INT), 4) AS recall FROM documents GROUP BY 1")
@@ -325,17 +331,17 @@ def ev9_near_pairs(spark, sf_dir):
     return evaluate.near_pairs(q, q, "doc_id", "text")
 
 
-@query("SELECT source AS name, source <> 'src3' AS frozen FROM documents GROUP BY 1")
-def ev10_freeze(spark, sf_dir):
-    f = docs(spark, sf_dir).groupBy(F.col("source").alias("name")).agg(F.count("*").alias("rows"), F.sha2(F.sum("doc_id").cast("string"), 256).alias("sha256"))
-    return evaluate.freeze_check(f, f.withColumn("rows", F.when(F.col("name") == "src3", F.col("rows") + 1).otherwise(F.col("rows"))))
+_DIGEST = "sum(CAST('0x' || substr(sha256(coalesce({}, '')), 1, 15) AS BIGINT))"
 
 
-@query("SELECT doc_id, source AS owner FROM documents WHERE doc_id % 25 = 0 AND source <> 'src0'")
-def ev11_leak_probe(spark, sf_dir):
+@query(f"""WITH f AS (SELECT source AS name, count(*) AS n, {_DIGEST.format('text')} AS digest FROM documents GROUP BY 1), m AS (SELECT source AS name, count(*) AS n, {_DIGEST.format("CASE WHEN source = 'src3' AND doc_id % 7 = 0 THEN text || '.' ELSE text END")} AS digest FROM documents GROUP BY 1)
+SELECT name, f.n = m.n AND f.digest = m.digest AS frozen FROM m LEFT JOIN f USING (name)""")
+def ev10_freeze(spark, sf_dir):
+    """EV10: a file is one source's documents; its hash is of the sum of their texts' SHA-256, which needs no order and no gathering."""
+    whole = lambda t: t.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("rows"), F.sha2(F.sum(F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string"), 256).alias("sha256"))
     d = docs(spark, sf_dir)
-    asked = d.select("doc_id", F.when(F.col("doc_id") % 25 == 0, "src0").otherwise(F.col("source")).alias("tenant"))
-    return evaluate.leak_probe(asked, d.select("doc_id", F.col("source").alias("owner")), "doc_id").select("doc_id", "owner")
+    changed = d.withColumn("text", F.when((F.col("source") == "src3") & (F.col("doc_id") % 7 == 0), F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    return evaluate.freeze_check(whole(d), whole(changed))
 
 
 @query("SELECT period, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(least(p, c)) AS BIGINT) AS cached_tokens, CAST(sum(o) AS BIGINT) AS completion_tokens, round(sum(((p - least(p, c)) * r1 + least(p, c) * r2 + o * r3) / 1000000), 8) AS cost FROM (SELECT CASE WHEN event_id % 2 = 0 THEN 'peak' ELSE 'off' END AS period, event_id % 900 AS p, event_id % 1200 AS c, event_id % 70 AS o, CASE WHEN event_id % 2 = 0 THEN 0.27 ELSE 0.135 END::DOUBLE AS r1, CASE WHEN event_id % 2 = 0 THEN 0.07 ELSE 0.035 END::DOUBLE AS r2, CASE WHEN event_id % 2 = 0 THEN 1.1 ELSE 0.55 END::DOUBLE AS r3 FROM events) GROUP BY 1")
@@ -357,10 +363,10 @@ def ag17_document_profile(spark, sf_dir):
     return p.withColumn("modalities", F.array_join(F.transform(F.map_entries("modalities"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
 
 
-@query(f"SELECT round(avg(c1), 4) AS complete1, round(avg(c5), 4) AS complete5, round(avg(m), 4) AS mean_chars FROM (SELECT query_id, max(CASE WHEN rank <= 1 THEN gold::INT END) AS c1, max(CASE WHEN rank <= 5 THEN gold::INT END) AS c5, avg(length(CAST(doc_id AS VARCHAR))) AS m FROM {_RANKED} GROUP BY 1)")
+@query(f"WITH {_RANKED} SELECT round(avg(c1), 4) AS complete1, round(avg(c5), 4) AS complete5, round(avg(m), 4) AS mean_chars FROM (SELECT query_id, max(CASE WHEN rank <= 1 THEN gold::INT END) AS c1, max(CASE WHEN rank <= 5 THEN gold::INT END) AS c5, avg(length(CAST(doc_id AS VARCHAR))) AS m FROM h GROUP BY 1)")
 def ev13_context_completeness(spark, sf_dir):
-    h = passages(spark, sf_dir).withColumn("text", F.col("doc_id").cast("string"))
-    return evaluate.context_completeness(h, "query_id", F.col("gold"), "text")
+    hits = bm25_topk(spark, sf_dir).join(gold_pairs(spark, sf_dir).withColumn("gold", F.lit(True)), ["query_id", "doc_id"], "left").withColumn("gold", F.coalesce("gold", F.lit(False)))
+    return evaluate.context_completeness(hits.withColumn("text", F.col("doc_id").cast("string")), "query_id", F.col("gold"), "text")
 
 
 @query("SELECT lang, count(*) AS n, lang = 'fr' AND count(*) = 0 AS as_agreed, true AS unique_ids FROM documents GROUP BY 1")
@@ -391,7 +397,7 @@ def ret9_parent_child(spark, sf_dir):
 
     parents = chunking.pack_parents(elements(spark, sf_dir))
     children = chunking.children_of(parents).withColumn("chunk_id", F.xxhash64("parent_id", "child_index"))
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     scored = lexical.bm25(q, children, "query_id", "chunk_id").withColumn("score", F.round(lexical.max_normalised(F.col("bm25"), ["query_id"]), 6))
     keyed = parents.select(F.xxhash64("document_id", "parent_index").alias("parent_id"), F.col("text").alias("parent_text"))
     return search.parent_child(scored, children, keyed, ["query_id"], 5).select("query_id", "rank", "parent_id", "chunk_id", "score", "parent_text")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import fusion, lexical, routing, search
+from ..operators import evaluate, fusion, lexical, routing, search
+from ..operators.chunking import fixed_chunks
 from .registry import query, table, tokens_sql
 
 SCOPE = ["tenant", "kb"]
-WORDS = "array_join(slice(split(text, ' '), 1, 12), ' ')"
+KB = "element_at(array('en', 'de', 'fr', 'es'), cast(item_id % 4 AS INT) + 1)"
 
 
 def rows(spark, sf_dir):
@@ -17,11 +18,12 @@ def rows(spark, sf_dir):
 
 
 def asks(spark, sf_dir):
-    """The first 12 words of each benchmark text, asked of one tenant's English knowledge base."""
-    return table(spark, sf_dir, "benchmark").selectExpr("concat('src', item_id % 20) AS tenant", "'en' AS kb", "item_id AS query_id", f"{WORDS} AS text")
+    """Each benchmark text, asked of one tenant's knowledge base of one language."""
+    return table(spark, sf_dir, "benchmark").selectExpr("concat('src', item_id % 20) AS tenant", f"{KB} AS kb", "item_id AS query_id", "text")
 
 
-ROWS_SQL = "d AS (SELECT source AS tenant, lang AS kb, doc_id, text FROM documents), q AS (SELECT 'src' || (item_id % 20) AS tenant, 'en' AS kb, item_id AS query_id, array_to_string(string_split(text, ' ')[1:12], ' ') AS text FROM benchmark)"
+KB_SQL = "(['en', 'de', 'fr', 'es'])[item_id % 4 + 1]"
+ROWS_SQL = f"d AS (SELECT source AS tenant, lang AS kb, doc_id, text FROM documents), q AS (SELECT 'src' || (item_id % 20) AS tenant, {KB_SQL} AS kb, item_id AS query_id, text FROM benchmark)"
 
 
 def bm25_sql(scope: str, name: str = "b", rows: str = "d", asked: str = "q", key: str = "doc_id") -> str:
@@ -39,27 +41,24 @@ def bm25_sql(scope: str, name: str = "b", rows: str = "d", asked: str = "q", key
 {name} AS (SELECT {s}query_id, {key}, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) AS bm25 FROM {name}q JOIN {name}i {using} JOIN {name}p {using} JOIN {name}s {on} GROUP BY ALL)"""
 
 
-@query(f"""WITH d AS (SELECT doc_id, text FROM documents), q AS (SELECT item_id AS query_id, array_to_string({tokens_sql('text')}[1:8], ' ') AS text FROM benchmark), {bm25_sql('')},
+TOPK_SQL = f"""d AS (SELECT doc_id, text FROM documents), q AS (SELECT item_id AS query_id, text FROM benchmark), {bm25_sql('')},
 m AS (SELECT *, max(bm25) OVER (PARTITION BY query_id) AS top FROM b),
-r AS (SELECT query_id, doc_id, round(CASE WHEN top > 0 THEN greatest(0.0, bm25) / top ELSE 0 END, 6) AS score FROM m)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 5""")
-def bm25_topk(spark, sf_dir):
-    """FN1, AG12, JN10, RET2, WN7, TK1: the 5 best documents for the first 8 tokens of each benchmark text."""
-    from ..functions.text import tokens
+r AS (SELECT query_id, doc_id, round(CASE WHEN top > 0 THEN greatest(0.0, bm25) / top ELSE 0 END, 6) AS score FROM m),
+best AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 5)"""
+
 
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 1, 8), " ").alias("text"))
-    small = q.limit(10_001).count() <= 10_000  # broadcast only a small query set
-    scored = lexical.bm25(q, table(spark, sf_dir, "documents"), "query_id", "doc_id", broadcast_queries=small)
+@query(f"WITH {TOPK_SQL} SELECT * FROM best")
+def bm25_topk(spark, sf_dir):
+    """FN1, AG12, JN10, RET2, WN7, TK1: the 5 best documents for each benchmark text."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    scored = lexical.bm25(q, table(spark, sf_dir, "documents"), "query_id", "doc_id")
     score = F.round(lexical.max_normalised(F.col("bm25"), ["query_id"]), 6)
     return lexical.top_k(scored.withColumn("score", score), ["query_id"], "score", "doc_id", 5).select("query_id", "rank", "doc_id", "score")
 
 
 @query(f"WITH {ROWS_SQL}, {bm25_sql('tenant, kb')} SELECT tenant, kb, n, round(avgdl, 6) AS avgdl, terms, round(mean, 9) AS mean_idf FROM bs JOIN (SELECT tenant, kb, count(*) AS terms, avg(idf) AS mean FROM bi GROUP BY ALL) USING (tenant, kb)")
 def ag12_corpus_statistics(spark, sf_dir):
-    d = rows(spark, sf_dir)
-    stats = lexical.corpus_stats(d, "text", SCOPE)
-    terms = lexical.idf(lexical.postings(d, "doc_id", "text", SCOPE), stats, SCOPE).groupBy(*SCOPE).agg(F.count("*").alias("terms"), F.round(F.avg("idf"), 9).alias("mean_idf"))
-    return stats.withColumn("avgdl", F.round("avgdl", 6)).join(terms, SCOPE)
+    return lexical.weights(rows(spark, sf_dir), "text", SCOPE).groupBy(*SCOPE).agg(F.max("n").alias("n"), F.round(F.max("avgdl"), 6).alias("avgdl"), F.count("*").alias("terms"), F.round(F.avg("idf"), 9).alias("mean_idf"))
 
 
 _KEYWORD = "k AS (SELECT tenant, kb, query_id, doc_id, sum(least(qtf, tf)) / first(qlen) AS keyword FROM bq JOIN bp USING (tenant, kb, token) GROUP BY ALL)"
@@ -87,17 +86,21 @@ def vector_sql(name: str, of: str, key: str) -> str:
 {name} AS (SELECT {key}, bucket, x / norm AS w FROM {name}x JOIN (SELECT {key}, sqrt(sum(x * x)) AS norm FROM {name}x GROUP BY {key}) USING ({key}) WHERE norm > 0)"""
 
 
-COMPONENTS_SQL = f"""{ROWS_SQL}, {bm25_sql('tenant, kb')}, {_KEYWORD}, {vector_sql('dv', 'd', 'doc_id')}, {vector_sql('qv', 'q', 'query_id')},
+def components_sql(rows_sql: str = ROWS_SQL) -> str:
+    return f"""{rows_sql}, {bm25_sql('tenant, kb')}, {_KEYWORD}, {vector_sql('dv', 'd', 'doc_id')}, {vector_sql('qv', 'q', 'query_id')},
 pairs AS (SELECT q.tenant, q.kb, query_id, doc_id FROM q JOIN d ON q.tenant = d.tenant AND q.kb = d.kb),
 dots AS (SELECT query_id, doc_id, sum(qv.w * dv.w) AS vector FROM pairs JOIN qv USING (query_id) JOIN dv USING (doc_id, bucket) GROUP BY ALL),
 c0 AS (SELECT tenant, kb, query_id, doc_id, coalesce(bm25, 0.0) AS bm25, coalesce(keyword, 0.0) AS keyword, greatest(0.0, coalesce(vector, 0.0)) AS vector
   FROM pairs LEFT JOIN b USING (tenant, kb, query_id, doc_id) LEFT JOIN k USING (tenant, kb, query_id, doc_id) LEFT JOIN dots USING (query_id, doc_id)),
-c AS (SELECT *, CASE WHEN max(bm25) OVER w > 0 THEN greatest(0.0, bm25) / max(bm25) OVER w ELSE keyword END AS lexical,
-  row_number() OVER (PARTITION BY tenant, kb, query_id ORDER BY round(bm25, 9) DESC, doc_id) AS sr, row_number() OVER (PARTITION BY tenant, kb, query_id ORDER BY round(vector, 9) DESC, doc_id) AS dr FROM c0 WINDOW w AS (PARTITION BY tenant, kb, query_id)),
+c1 AS (SELECT *, CASE WHEN max(bm25) OVER w > 0 THEN greatest(0.0, bm25) / max(bm25) OVER w ELSE keyword END AS lexical FROM c0 WINDOW w AS (PARTITION BY tenant, kb, query_id)),
+c AS (SELECT *, row_number() OVER (PARTITION BY tenant, kb, query_id ORDER BY round(lexical, 9) DESC, doc_id) AS sr, row_number() OVER (PARTITION BY tenant, kb, query_id ORDER BY round(vector, 9) DESC, doc_id) AS dr FROM c1),
 f AS (SELECT *, raw / max(raw) OVER (PARTITION BY tenant, kb, query_id) AS rrf FROM (SELECT *, 1.0::DOUBLE / (60 + sr) + 1.0::DOUBLE / (60 + dr) AS raw FROM c)),
 s AS (SELECT *, round(keyword, 6) AS score_keyword, round(vector, 6) AS score_vector, round(0.55 * vector + 0.45 * keyword, 6) AS score_weighted, round(lexical, 6) AS score_bm25, round(rrf, 6) AS score_rrf FROM f)"""
 
 
+COMPONENTS_SQL = components_sql()
+
+
 def components(spark, sf_dir):
     d, q = rows(spark, sf_dir), asks(spark, sf_dir)
     dv, qv = V.hashed_embedding(d, "doc_id", "text", portable=True), V.hashed_embedding(q, "query_id", "text", portable=True)
@@ -134,18 +137,46 @@ def ev14_strategy_grid(spark, sf_dir):
     return search.search_batch(scores, [*SCOPE, "query_id"], "doc_id", 5).groupBy("strategy", "rank").agg(F.count("*").alias("results"), F.round(F.avg("score"), 6).alias("mean"))
 
 
-@query(f"""WITH {ROWS_SQL}, t AS (SELECT tenant, kb, query_id, unnest(list_distinct([lower(w) FOR w IN regexp_extract_all(text, '[A-Za-z0-9_+\\-]{{3,}}')])) AS term FROM q),
-h AS (SELECT DISTINCT tenant, kb, query_id, doc_id FROM t JOIN d USING (tenant, kb) WHERE contains(lower(d.text), term))
-SELECT * FROM h UNION ALL SELECT tenant, kb, query_id, doc_id FROM q JOIN d USING (tenant, kb) WHERE query_id NOT IN (SELECT query_id FROM h)""")
+def terms_sql(x: str) -> str:
+    """FN6 in DuckDB for texts without CJK: the first 48 different words of three or more letters, in order."""
+    found = f"[lower(w) FOR w IN regexp_extract_all({x}, '[A-Za-z0-9_+\\-]{{3,}}')]"
+    return f"list_slice(list_filter({found}, lambda w, i: list_position({found}, w) = i), 1, 48)"
+
+
+CANDIDATES_SQL = f"""t AS (SELECT tenant, kb, query_id, unnest({terms_sql('text')}) AS term FROM q),
+h AS (SELECT tenant, kb, query_id, doc_id, count(*) AS terms FROM t JOIN d USING (tenant, kb) WHERE contains(lower(d.text), term) GROUP BY ALL),
+cand AS (SELECT tenant, kb, query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY tenant, kb, query_id ORDER BY terms DESC, doc_id) AS r FROM h) WHERE r <= 800
+  UNION ALL SELECT tenant, kb, query_id, doc_id FROM q JOIN d USING (tenant, kb) WHERE query_id NOT IN (SELECT query_id FROM h))"""
+
+
+@query(f"WITH {ROWS_SQL}, {CANDIDATES_SQL} SELECT * FROM cand")
 def ret8_candidates(spark, sf_dir):
-    return lexical.candidates(asks(spark, sf_dir), rows(spark, sf_dir), "query_id", "doc_id", scope=SCOPE)
+    return lexical.candidates(asks(spark, sf_dir), rows(spark, sf_dir), "query_id", "doc_id", scope=SCOPE, limit=800)
+
+
+AMONG_SQL = f"""al AS (SELECT tenant, kb, doc_id, {tokens_sql('text')} AS t FROM d), ap AS (SELECT tenant, kb, doc_id, token, count(*) AS tf FROM (SELECT tenant, kb, doc_id, unnest(t) AS token FROM al) GROUP BY ALL),
+aq AS (SELECT tenant, kb, vid, query_id, token, qlen, count(*) AS qtf FROM (SELECT tenant, kb, vid, query_id, len({tokens_sql('text')}) AS qlen, unnest({tokens_sql('text')}) AS token FROM av) GROUP BY ALL),
+ac AS (SELECT cand.*, len(t) AS len, avg(len(t)) OVER w AS avgdl, count(*) OVER w AS n FROM cand JOIN al USING (tenant, kb, doc_id) WINDOW w AS (PARTITION BY tenant, kb, query_id)),
+ad AS (SELECT tenant, kb, query_id, token, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM ac JOIN ap USING (tenant, kb, doc_id) GROUP BY tenant, kb, query_id, token, n),
+ai AS (SELECT tenant, kb, query_id, token, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY tenant, kb, query_id) ELSE raw END AS idf FROM ad),
+ab AS (SELECT tenant, kb, vid, query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) AS bm25, sum(least(qtf, tf)) / first(qlen) AS keyword FROM ac JOIN ap USING (tenant, kb, doc_id) JOIN ai USING (tenant, kb, query_id, token) JOIN aq USING (tenant, kb, query_id, token) GROUP BY ALL),
+ae AS (SELECT tenant, kb, vid, query_id, doc_id, coalesce(bm25, 0.0) AS bm25, coalesce(keyword, 0.0) AS keyword FROM cand JOIN av USING (tenant, kb, query_id) LEFT JOIN ab USING (tenant, kb, vid, query_id, doc_id)),
+among AS (SELECT *, CASE WHEN max(bm25) OVER w > 0 THEN greatest(0.0, bm25) / max(bm25) OVER w ELSE keyword END AS lexical FROM ae WINDOW w AS (PARTITION BY tenant, kb, vid))"""
 
 
-_FEATURES = r"""e AS (SELECT item_id, lower(regexp_replace(regexp_replace(question, '^\s+', ''), '\s+$', '')) AS low, question FROM (SELECT item_id, CASE item_id %% 4 WHEN 0 THEN 'Why ' || left(text, 40) WHEN 1 THEN 'List all steps and the full procedure ' || left(text, 90) WHEN 2 THEN '"' || left(text, 30) || '" error' ELSE left(text, 60) END AS question FROM benchmark)),
+@query(f"WITH {ROWS_SQL}, {CANDIDATES_SQL}, av AS (SELECT *, query_id AS vid FROM q), {AMONG_SQL} SELECT tenant, kb, query_id, doc_id, round(bm25, 6) AS bm25, round(lexical, 6) AS lexical FROM among")
+def ret2_bm25_among_candidates(spark, sf_dir):
+    """RET8 into RET2: statistics of each question's own candidates."""
+    q, d = asks(spark, sf_dir), rows(spark, sf_dir)
+    pairs = lexical.candidates(q, d, "query_id", "doc_id", scope=SCOPE, limit=800)
+    return lexical.bm25_among(pairs, q, d, "query_id", "doc_id", scope=SCOPE).select(*SCOPE, "query_id", "doc_id", F.round("bm25", 6).alias("bm25"), F.round("lexical", 6).alias("lexical"))
+
+
+_FEATURES = r"""e AS (SELECT item_id, replace(lower(regexp_replace(regexp_replace(question, '^\s+', ''), '\s+$', '')), 'ß', 'ss') AS low, question FROM (SELECT item_id, CASE item_id %% 4 WHEN 0 THEN 'Why ' || text WHEN 1 THEN 'List all steps and the full procedure ' || text WHEN 2 THEN '"' || text || '" error' ELSE text END AS question FROM benchmark)),
 n AS (SELECT item_id, length(low) AS chars, len(%s) AS tokens, len(regexp_extract_all(question, '%s')) AS quoted, %s AS semantic_cues, %s AS long_cues, regexp_matches(low, '%s') AS multi_part FROM e)""" % (
     tokens_sql("low"), routing.QUOTED.replace("'", "''"), " + ".join(f"contains(low, '{c}')::INT" for c in routing.SEMANTIC), " + ".join(f"contains(low, '{c}')::INT" for c in routing.LONG_CONTEXT), routing.MULTI_PART,
 )
-_QUESTION = """CASE item_id % 4 WHEN 0 THEN concat('Why ', left(text, 40)) WHEN 1 THEN concat('List all steps and the full procedure ', left(text, 90)) WHEN 2 THEN concat('"', left(text, 30), '" error') ELSE left(text, 60) END AS question"""
+_QUESTION = """CASE item_id % 4 WHEN 0 THEN concat('Why ', text) WHEN 1 THEN concat('List all steps and the full procedure ', text) WHEN 2 THEN concat('"', text, '" error') ELSE text END AS question"""
 
 
 def questions(spark, sf_dir):
@@ -173,14 +204,6 @@ def ev12_route_distribution(spark, sf_dir):
     return routing.route(routing.query_features(questions(spark, sf_dir)), dense_available=True).groupBy("strategy", "reason_code").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {COMPONENTS_SQL}, a AS (SELECT *, CASE query_id % 2 WHEN 0 THEN 'rrf' ELSE 'bm25' END AS strategy FROM s), p AS (SELECT *, CASE strategy WHEN 'rrf' THEN score_rrf ELSE score_bm25 END AS score FROM a) SELECT tenant, kb, query_id, strategy, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY tenant, kb, query_id ORDER BY score DESC, doc_id) AS rank FROM p) WHERE rank <= 3")
-def ret14_routed_search(spark, sf_dir):
-    """Each question through its own strategy; the dense branch gets its questions only through the filter on strategy."""
-    scores = search.strategy_scores(components(spark, sf_dir), [*SCOPE, "query_id"], "doc_id").withColumn("strategy", F.when(F.col("query_id") % 2 == 0, "rrf").otherwise("bm25"))
-    picked = scores.withColumn("score", F.when(F.col("strategy") == "rrf", F.col("score_rrf")).otherwise(F.col("score_bm25")))
-    return lexical.top_k(picked, [*SCOPE, "query_id"], "score", "doc_id", 3).select(*SCOPE, "query_id", "strategy", "rank", "doc_id", "score")
-
-
 _WANTED = "CASE item_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'rewrite' WHEN 2 THEN 'multi_query' ELSE 'auto' END"
 _ASKED = "concat('Please explain: ', text)"
 _NEW = r"trim(regexp_replace(regexp_replace(regexp_replace(concat('Please explain: ', text), '(?i)" + r"\b(?:what is|how should|which controlled action|please|operators?|the required response|for this issue|resolves? this issue)\b" + r"', ' ', 'g'), '[?？:：,，;；]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -194,21 +217,70 @@ def ret10_expand(spark, sf_dir):
     return routing.expand(b).select("item_id", "resolved", "variant", "variant_text")
 
 
-_HALF = ", ".join(f"q{i} AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[{a}:{z}], ' ') AS text FROM benchmark)" for i, a, z in ((0, 1, 8), (1, 9, 16)))
+def rewritten_sql(x: str) -> str:
+    """FN10 in DuckDB, for English."""
+    return _NEW.replace(_ASKED, x)
 
 
-@query(f"""WITH d AS (SELECT doc_id, text FROM documents), {_HALF}, {bm25_sql('', 'b0', asked='q0')}, {bm25_sql('', 'b1', asked='q1')},
-u AS (SELECT *, row_number() OVER (PARTITION BY v, query_id ORDER BY round(bm25, 9) DESC, doc_id) AS r FROM (SELECT 0 AS v, * FROM b0 UNION ALL SELECT 1, * FROM b1)),
-z AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + r)) AS raw FROM u GROUP BY ALL), n AS (SELECT query_id, doc_id, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM z)
-SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM n) WHERE rank <= 5""")
+_VARIANTS_SQL = f"""d AS (SELECT source AS tenant, lang AS kb, doc_id, text FROM documents), o AS (SELECT 'src' || (item_id % 20) AS tenant, {KB_SQL} AS kb, item_id, {_ASKED} AS a, {_NEW} AS b FROM benchmark),
+q AS (SELECT tenant, kb, item_id * 8 AS query_id, a AS text FROM o UNION ALL SELECT tenant, kb, item_id * 8 + 1, b FROM o WHERE a <> b)"""
+_PAIRS_SQL = f"""{bm25_sql('tenant, kb')}, {_KEYWORD}, pairs AS (SELECT q.tenant, q.kb, query_id, doc_id FROM q JOIN d ON q.tenant = d.tenant AND q.kb = d.kb),
+e0 AS (SELECT tenant, kb, query_id, doc_id, coalesce(bm25, 0.0) AS bm25, coalesce(keyword, 0.0) AS keyword FROM pairs LEFT JOIN b USING (tenant, kb, query_id, doc_id) LEFT JOIN k USING (tenant, kb, query_id, doc_id)),
+e AS (SELECT *, CASE WHEN max(bm25) OVER w > 0 THEN greatest(0.0, bm25) / max(bm25) OVER w ELSE keyword END AS lexical FROM e0 WINDOW w AS (PARTITION BY tenant, kb, query_id))"""
+
+
+@query(f"""WITH {_VARIANTS_SQL}, {_PAIRS_SQL}, u AS (SELECT tenant, kb, query_id // 8 AS query_id, doc_id, row_number() OVER (PARTITION BY tenant, kb, query_id ORDER BY round(lexical, 9) DESC, doc_id) AS r FROM e),
+z AS (SELECT tenant, kb, query_id, doc_id, sum(1.0::DOUBLE / (60 + r)) AS raw FROM u GROUP BY ALL), n AS (SELECT *, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM z)
+SELECT tenant, kb, query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM n) WHERE rank <= 5""")
 def ret11_multi_query_fusion(spark, sf_dir):
-    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    parts = []
-    for v, a in ((0, 1), (1, 9)):
-        q = b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), a, 8), " ").alias("text"))
-        scored = lexical.bm25(q, d, "query_id", "doc_id")
-        parts.append(scored.withColumn("variant", F.lit(v)).withColumn("rank", fusion.rank_of("bm25", ["query_id"], "doc_id")))
-    return lexical.top_k(fusion.fuse_variants(parts[0].unionByName(parts[1]), ["query_id"], "doc_id"), ["query_id"], "score", "doc_id", 5)
+    """Each question and its rewritten form, each ranking all rows of the scope."""
+    asked = table(spark, sf_dir, "benchmark").selectExpr("concat('src', item_id % 20) AS tenant", f"{KB} AS kb", "item_id AS query_id", f"{_ASKED} AS question", "'multi_query' AS query_transform")
+    variants = routing.expand(asked).select(*SCOPE, (F.col("query_id") * search.VARIANTS + F.col("variant")).alias("vid"), F.col("variant_text").alias("text"))
+    scored = search.lexical_scores(variants, rows(spark, sf_dir), "vid", "doc_id", SCOPE)
+    ranked = scored.withColumn("rank", fusion.rank_of("lexical", [*SCOPE, "vid"], "doc_id")).withColumn("query_id", F.floor(F.col("vid") / search.VARIANTS))
+    return lexical.top_k(fusion.fuse_variants(ranked, [*SCOPE, "query_id"], "doc_id"), ["query_id"], "score", "doc_id", 5)
+
+
+_TRANSFORM = "CASE item_id % 3 WHEN 0 THEN 'multi_query' ELSE 'none' END"
+_MODEL_SQL = "CASE WHEN doc_id % 10 = 9 THEN 'other' ELSE 'md5-256' END"
+_ROUTED_SQL = f"""{_ROUTE}, r0 AS (SELECT 'src' || (item_id % 20) AS tenant, {KB_SQL} AS kb, item_id, question, strategy, {rewritten_sql('question')} AS b, {_TRANSFORM} AS wanted FROM rt JOIN e USING (item_id)),
+vs AS (SELECT tenant, kb, item_id AS query_id, item_id * 8 AS vid, strategy, question AS text FROM r0 UNION ALL SELECT tenant, kb, item_id, item_id * 8 + 1, strategy, b FROM r0 WHERE wanted = 'multi_query' AND b <> question),
+d AS (SELECT source AS tenant, lang AS kb, doc_id, text FROM documents),
+lx AS (WITH q AS (SELECT tenant, kb, item_id AS query_id, question AS text FROM r0 WHERE strategy = 'bm25'), {CANDIDATES_SQL}, av AS (SELECT * FROM vs WHERE strategy = 'bm25'), {AMONG_SQL} SELECT tenant, kb, vid, doc_id AS key, NULL::BIGINT AS parent_id, round(lexical, 6) AS score FROM among),
+dn AS (WITH {components_sql("d AS (SELECT source AS tenant, lang AS kb, doc_id, text FROM documents WHERE " + _MODEL_SQL + " = 'md5-256'), q AS (SELECT tenant, kb, vid AS query_id, text FROM vs WHERE strategy = 'rrf')")} SELECT tenant, kb, query_id AS vid, doc_id AS key, NULL::BIGINT AS parent_id, score_rrf AS score FROM s),
+pc AS (WITH d AS (SELECT source AS tenant, lang AS kb, doc_id * 100000 + i AS doc_id, doc_id AS parent_id, substr(text, CAST(i * 450 + 1 AS BIGINT), 500) AS text FROM (SELECT *, unnest(range(CASE WHEN length(text) > 0 THEN greatest(1, CAST(ceil((length(text) - 50) / 450) AS BIGINT)) ELSE 0 END)) AS i FROM documents)),
+  q AS (SELECT tenant, kb, vid AS query_id, text FROM vs WHERE strategy = 'parent_child'), {_PAIRS_SQL} SELECT tenant, kb, query_id AS vid, doc_id AS key, parent_id, round(lexical, 6) AS score FROM e JOIN d USING (tenant, kb, doc_id)),
+al_ AS (SELECT * FROM lx UNION ALL SELECT * FROM dn UNION ALL SELECT * FROM pc),
+rk AS (SELECT *, vid // 8 AS query_id, row_number() OVER (PARTITION BY tenant, kb, vid ORDER BY round(score, 9) DESC, key) AS r FROM al_),
+fu AS (SELECT tenant, kb, query_id, key, max(score) AS score, max(parent_id) AS parent_id, sum(1.0::DOUBLE / (60 + r)) AS raw FROM rk GROUP BY ALL),
+sv AS (SELECT tenant, kb, query_id, count(*) > 1 AS several, first(strategy) AS strategy FROM vs GROUP BY ALL),
+sc_ AS (SELECT fu.* EXCLUDE (score), strategy, CASE WHEN several THEN round(raw / max(raw) OVER (PARTITION BY tenant, kb, query_id), 6) ELSE score END AS score FROM fu JOIN sv USING (tenant, kb, query_id)),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant, kb, query_id, CASE WHEN strategy = 'parent_child' THEN parent_id ELSE key END ORDER BY score DESC, key) AS first_ FROM sc_) WHERE first_ = 1),
+answer AS (SELECT tenant, kb, query_id, strategy, CAST(rank AS INTEGER) AS rank, key, score FROM (SELECT *, row_number() OVER (PARTITION BY tenant, kb, query_id ORDER BY score DESC, key) AS rank FROM one) WHERE rank <= 3)"""
+
+
+def routed(spark, sf_dir, tenant: str = "concat('src', item_id % 20)"):
+    """RET14 over the questions of RET13, a third of them with their rewritten form; children are windows of 500 characters."""
+    asked = table(spark, sf_dir, "benchmark").selectExpr(f"{tenant} AS tenant", f"{KB} AS kb", "item_id AS query_id", _QUESTION, f"{_TRANSFORM} AS query_transform")
+    found = rows(spark, sf_dir)
+    whole = found.select(*SCOPE, F.col("doc_id").alias("key"), "text", F.when(F.col("doc_id") % 10 == 9, "other").otherwise("md5-256").alias("embedding_model"))
+    children = fixed_chunks(found, "doc_id", "text").join(found.select("doc_id", *SCOPE), "doc_id").select(*SCOPE, (F.col("doc_id") * 100_000 + F.col("chunk_index")).alias("key"), F.col("doc_id").alias("parent_id"), F.col("chunk").alias("text"))
+    return search.routed_search(asked, whole, children, SCOPE, 3, "md5-256")
+
+
+@query(f"WITH {_ROUTED_SQL} SELECT * FROM answer")
+def ret14_routed_search(spark, sf_dir):
+    """RET8 to RET14, FLT4: candidates, routes, variants and parents in one search."""
+    return routed(spark, sf_dir)
+
+
+@query(f"WITH {_ROUTED_SQL}, o AS (SELECT tenant, kb, query_id, strategy, CASE WHEN strategy = 'parent_child' THEN key // 100000 ELSE key END AS doc_id FROM answer) SELECT count(*) AS results, count(*) FILTER (d.source <> o.tenant) AS foreign_rows, count(*) FILTER (d.lang <> o.kb) AS foreign_kb FROM o JOIN documents d USING (doc_id)")
+def ev11_leak_probe(spark, sf_dir):
+    """EV11: what RET14 returns belongs to who asked, and to the knowledge base asked."""
+    found = routed(spark, sf_dir).withColumn("doc_id", F.when(F.col("strategy") == "parent_child", F.floor(F.col("key") / 100_000)).otherwise(F.col("key")))
+    owned = found.select("tenant", F.col("kb").alias("asked_kb"), "doc_id").join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("owner"), "lang"), "doc_id")
+    foreign = evaluate.leak_probe(found.select("tenant", "kb", "doc_id"), table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("owner")), "doc_id").agg(F.count("*").alias("foreign_rows"))
+    return owned.agg(F.count("*").alias("results"), F.count_if(F.col("asked_kb") != F.col("lang")).alias("foreign_kb")).crossJoin(foreign).select("results", "foreign_rows", "foreign_kb")  # one row each
 
 
 @query("SELECT item_id, role, CASE WHEN role = 'admin' THEN top_k ELSE 5 END AS top_k, CASE WHEN role = 'admin' THEN strategy ELSE 'auto' END AS strategy FROM (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'admin' ELSE 'user' END AS role, 9 AS top_k, 'rrf' AS strategy FROM benchmark)")

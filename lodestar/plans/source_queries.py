@@ -77,7 +77,7 @@ def snk4_metrics(spark, sf_dir):
     return sinks.metric_rows(e)
 
 
-@query("SELECT start, event_type, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(avg(value), 4) AS mean FROM (SELECT *, unnest(generate_series(time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 23 HOUR, time_bucket(INTERVAL 1 HOUR, ts), INTERVAL 1 HOUR)) AS start FROM events) GROUP BY 1, 2")
+@query("SELECT start, event_type, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(sum(CAST(value AS DECIMAL(18,6)))::DOUBLE / count(value) + 1e-9, 4) AS mean FROM (SELECT *, unnest(generate_series(time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 23 HOUR, time_bucket(INTERVAL 1 HOUR, ts), INTERVAL 1 HOUR)) AS start FROM events) GROUP BY 1, 2")
 def str3_rolling(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("outcome", F.when(F.col("event_type") == "error", "error").otherwise("ok"))
     return streams.rolling(e, "ts", ["event_type"], "value")
