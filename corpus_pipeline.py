@@ -11,7 +11,6 @@ All stages but the last return the columns they are given.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +21,7 @@ from lodestar.llm import toxicity as toxic_tags
 from lodestar.llm.common import table
 from lodestar.llm.minhash import near_duplicates
 from lodestar.llm.packing import pack_documents
+from lodestar.session import shared_folder
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; intermediate tables go to the shared folder the cluster names in spark.checkpoint.dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    base = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 U64 = np.uint64
 NO_DOC = np.int64(2**63 - 1)  # stands for a null document id: after every real one
 
@@ -23,16 +23,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+    """Write ``df`` to the shared checkpoint folder that the cluster names in ``spark.checkpoint.dir``, and read it back."""
+    return settled(df)
+
+
+BATCH = 1000  # rows of texts that go to a Python worker at once
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that sends rows to Python workers in batches that suit texts.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session without one (a unit test) gets a folder of its own.
+    Spark's own 10,000 rows would be tens of MB on either side. A session that sets
+    another number keeps it.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(BATCH))
+    return df
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:

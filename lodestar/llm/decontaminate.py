@@ -18,8 +18,9 @@ The seeds of the items are broadcast only if they number ``broadcast_rows`` or
 fewer; beyond that the join is shuffled. The documents' seeds are never shuffled
 in the first case, and in both only hits go on.
 
-Nulls and edges: rows with a null id and texts without words match nothing. An
-item that hangs over an edge of the document lacks those words. Rows that repeat
+Nulls and edges: rows with a null id and texts without words match nothing (``clean``
+judges rows with a null id by their texts). Texts are read whole, however long; an
+empty table on either side gives an empty result. An item that hangs over an edge of the document lacks those words. Rows that repeat
 an id give one result a pair, the best. Extra columns are ignored.
 """
 
@@ -28,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 MASKS = ("11010011", "11000111", "1110011")
 
 
@@ -92,8 +95,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     texts = hashed(docs, "doc_id")
     doc_seeds = texts.select("doc_id", F.explode(F.concat(seeds(F.col("h"), masks), *grams(F.col("h"), lengths))).alias("s")).select("doc_id", F.col("s.p").alias("dp"), F.col("s.seed").alias("seed"))
     hits = doc_seeds.join(F.broadcast(item_seeds) if few else item_seeds, "seed")
-    lines = hits.select("doc_id", "item_id", (F.col("dp") - F.col("ip")).alias("shift")).distinct()
+    lines = cut_lineage(hits.select("doc_id", "item_id", (F.col("dp") - F.col("ip")).alias("shift")).distinct())
 
+    # only texts with a hit are hashed again and shuffled
+    ids = lines.select("doc_id").distinct()
+    known = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
+    texts = hashed(docs.join(F.broadcast(ids) if known else ids, "doc_id", "left_semi"), "doc_id")
     both = lines.join(texts.withColumnRenamed("h", "dh"), "doc_id").join(items.withColumnRenamed("h", "ih"), "item_id")
     low, high = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("ih"), F.size("dh") - F.col("shift"))
     same = F.transform(F.sequence(low, high - 1), lambda i: (F.get("ih", i) == F.get("dh", i + F.col("shift"))).cast("int"))
@@ -108,8 +115,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates, all columns as they are."""
-    return docs.join(contaminated(docs, benchmark, **how).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that no item contaminates, all columns as they are. Rows without a doc_id are judged by their texts."""
+    named = docs.join(contaminated(docs, benchmark, **how).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return named
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    bad = contaminated(nameless.select(digest.alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("digest")).distinct()
+    return named.where("doc_id is not null").unionByName(nameless.join(bad, digest == bad["digest"], "left_anti").select(*docs.columns))
 
 
 def sql(masks: tuple[str, ...] = MASKS, window: int = 12, percent: int = 80) -> str:

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, flat_ranges, slices, string_buffer
+from .common import cut_lineage, flat_ranges, slices, small_batches, string_buffer
 from .graph import components
 from .shingles import band_keys, overlap, shingle_sets, sketches
 
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins:
     """doc_id, n_shingles, component_id, kept: the near-duplicate component of each row of ``docs`` (doc_id long, text string)."""
     if bins % bands:
         raise ValueError("bands must divide bins")
-    source = docs.select("doc_id", "text")
+    source = small_batches(docs).select("doc_id", "text")
     features = cut_lineage(source.mapInArrow(lambda it: _features(it, shingle, bins, bands), "doc_id long, n_shingles long, set_key binary, keys array<long>"))
     sets = features.where("set_key is not null and doc_id is not null")
     reps = sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("x")).select("set_key", F.col("x.doc_id").alias("doc"), F.col("x.n_shingles").alias("n"), "x.keys")

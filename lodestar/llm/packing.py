@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import TokenKinds, TokenSlots, byte_codes, flat_ranges, slices, string_buffer
+from .common import TokenKinds, TokenSlots, byte_codes, flat_ranges, slices, small_batches, string_buffer
 from .shingles import word_ranges
 
 WINDOW = 4096
@@ -273,4 +273,4 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = WI
         import public_tokenizers
 
         tokenizer = public_tokenizers.path(TOKENIZER)
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _pack(it, tokenizer, size, most_open), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(lambda it: _pack(it, tokenizer, size, most_open), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -16,7 +16,8 @@ Nulls and edges: a row with a null pair_id, side or turn is left out, as is one
 of another side; a null role or text renders as empty. Of rows that repeat a
 (pair, side, turn) the least (role, text) counts. A pair with one side only has an
 empty prompt and one completion. If one side is the other's beginning, its
-completion is empty. Extra columns are ignored.
+completion is empty. Texts are rendered whole, however long. An empty table gives
+an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,19 +44,22 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     side = lambda s: F.max(F.when(F.col("side") == s, F.col("m")))
     both = rows.groupBy("pair_id", "turn").agg(side("chosen").alias("c"), side("rejected").alias("r"))
     parts = both.withColumn("same", F.col("c").isNotNull() & F.col("r").isNotNull() & (F.col("c") == F.col("r")))
-    split = parts.groupBy("pair_id").agg(F.min(F.when(~F.col("same"), F.col("turn"))).alias("split"))
-    placed = parts.join(split, "pair_id").withColumn("prompt", F.col("split").isNull() | (F.col("turn") < F.col("split")))
+    parts = parts.withColumn("block", F.floor(F.col("turn") / BLOCK))
+    # what is known of a pair is a row for each of its blocks, so that a large pair's turns meet it block by block
+    split = parts.groupBy("pair_id").agg(F.min(F.when(~F.col("same"), F.col("turn"))).alias("split"), F.collect_set("block").alias("block"))
+    split = split.select("pair_id", "split", F.explode("block").alias("block"))
+    placed = parts.join(split, ["pair_id", "block"]).withColumn("prompt", F.col("split").isNull() | (F.col("turn") < F.col("split")))
     piece = F.explode(F.when(F.col("prompt"), F.array(F.struct(F.lit("prompt").alias("part"), F.col("c").alias("m")))).otherwise(F.array(F.struct(F.lit("chosen").alias("part"), F.col("c").alias("m")), F.struct(F.lit("rejected").alias("part"), F.col("r").alias("m")))))
-    pieces = placed.select("pair_id", "turn", piece.alias("x")).where("x.m is not null").select("pair_id", "turn", "x.part", "x.m.role", rendered(F.col("x.m.role"), F.col("x.m.text")).alias("rendered"))
-    pieces = pieces.withColumn("n", F.length("rendered").cast("long")).withColumn("block", F.floor(F.col("turn") / BLOCK))
+    pieces = placed.select("pair_id", "block", "turn", piece.alias("x")).where("x.m is not null").select("pair_id", "block", "turn", "x.part", "x.m.role", rendered(F.col("x.m.role"), F.col("x.m.text")).alias("rendered"))
+    pieces = pieces.withColumn("n", F.length("rendered").cast("long"))
 
     blocks = pieces.groupBy("pair_id", "part", "block").agg(F.sum("n").alias("size"))
     earlier = F.coalesce(F.sum("size").over(Window.partitionBy("pair_id", "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select("pair_id", "part", "block", earlier.alias("before"))
-    prompt = pieces.where("part = 'prompt'").groupBy("pair_id").agg(F.sum("n").alias("prompt_size"))
+    prompt = F.coalesce(F.sum(F.when(F.col("part") == "prompt", F.col("size"))).over(Window.partitionBy("pair_id")), F.lit(0))
+    blocks = blocks.select("pair_id", "part", "block", earlier.alias("before"), prompt.alias("prompt_size"))
     within = F.sum("n").over(Window.partitionBy("pair_id", "part", "block").orderBy("turn"))
-    out = pieces.withColumn("within", within).join(blocks, ["pair_id", "part", "block"]).join(prompt, "pair_id", "left")
-    end = F.col("before") + F.col("within") + F.when(F.col("part") == "prompt", 0).otherwise(F.coalesce("prompt_size", F.lit(0)))
+    out = pieces.withColumn("within", within).join(blocks, ["pair_id", "part", "block"])
+    end = F.col("before") + F.col("within") + F.when(F.col("part") == "prompt", 0).otherwise(F.col("prompt_size"))
     mask = ((F.col("part") != "prompt") & (F.col("role") == "assistant")).cast("int")
     return out.select("pair_id", "part", "turn", "role", "rendered", (end - F.col("n")).alias("char_start"), end.alias("char_end"), mask.alias("loss_mask"))
 

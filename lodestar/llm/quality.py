@@ -6,12 +6,13 @@ documents is its whole input, at most 3 ** labellers rows however many documents
 there are. Expectation-maximisation estimates each labeller's accuracy on good
 and on bad documents and the share of good ones; every pattern then has a
 posterior. A linear model over hashed words and vote-free shape features learns
-the posteriors from a bounded sample (the first ``max_docs`` by a hash of doc_id)
-and scores every whole text.
+the posteriors from a bounded sample (the first ``max_docs`` by a hash of doc_id, of
+each the first ``max_chars`` characters; votes are of whole texts) and scores every whole text.
 
 Nulls: a null or empty text gets the votes of an empty text and is never kept.
-A null doc_id is scored, but never trained on. Rows that repeat are scored each.
-Extra columns are ignored. An empty table gives an empty result.
+A null doc_id is scored, but never trained on. Rows that repeat are scored each; of
+those with one doc_id the model learns from the least text. With no document at all,
+or none to learn from, every score is 0.5 and posteriors are as told by the votes. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 # fixed values: frequent function words of the four languages
 STOP = "the of and to in a is that for it as with be by on not was are this or und der die das den von zu mit ein ist le la les des et en un une que pour dans qui el los las del y de se por con una su".split()
@@ -69,20 +70,23 @@ def voted(docs: DataFrame) -> DataFrame:
 class LabelModel:
     """Shares of good documents and each labeller's vote probabilities given good and bad."""
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior: float = 0.7, faith: float = 0.5):
-        """patterns: votes (rows x labellers) of -1, 0, 1; counts: documents with each."""
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, prior: float = 0.7, weight: float = 20.0):
+        """patterns: votes (rows x labellers) of -1, 0, 1; counts: documents with each.
+
+        A labeller seldom calls a good document bad; what it says of bad ones is open.
+        That is where the estimate begins, so that the classes are told apart, and its
+        prior, which weighs as much as ``weight`` documents of each class.
+        """
         m = patterns.shape[1]
         p = np.zeros((2, m, 3))  # class, labeller, vote + 1
-        # a labeller seldom calls a good document bad; what it says of bad ones is open. The first is also
-        # the prior of a MAP estimate, or else the classes would settle on any one kind of bad document
         p[1], p[0] = np.array([0.1, 0.02, 0.88]), np.array([0.2, 0.35, 0.45])
-        believed = p[1, 0] * counts.sum() * faith
+        believed = weight * p
         share = prior
         hot = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)
         for _ in range(rounds):
             q = self._posterior(hot, p, share)
             for c, w in ((1, q * counts), (0, (1 - q) * counts)):
-                seen = np.einsum("r,rmv->mv", w, hot) + (believed if c else 1.0)
+                seen = np.einsum("r,rmv->mv", w, hot) + believed[c]
                 p[c] = seen / seen.sum(1, keepdims=True)
             new = float((q @ counts + 1) / (counts.sum() + 2))
             if abs(new - share) < 1e-9:
@@ -149,10 +153,10 @@ def _train(texts: list[str], target: np.ndarray, rounds: int, ridge: float) -> n
     return out
 
 
-def score_quality(docs: DataFrame, max_docs: int = 4000, limit: float = 0.5, rounds: int = 80, ridge: float = 1e-5) -> DataFrame:
+def score_quality(docs: DataFrame, max_docs: int = 4000, max_chars: int = 20_000, limit: float = 0.5, rounds: int = 80, ridge: float = 1e-5) -> DataFrame:
     """doc_id, posterior (of the label model), score (of the linear model), kept (score >= limit) of every row of ``docs`` (doc_id long, text string)."""
     spark = docs.sparkSession
-    source = docs.select("doc_id", "text")
+    source = small_batches(docs).select("doc_id", "text")
     names = list(LABELLERS)
     ballots = voted(source)
     patterns = ballots.groupBy(*names).count().collect()  # at most 3 ** len(names) rows
@@ -161,8 +165,9 @@ def score_quality(docs: DataFrame, max_docs: int = 4000, limit: float = 0.5, rou
     model = LabelModel(np.array([[r[k] for k in names] for r in patterns]), np.array([r["count"] for r in patterns], float))
 
     ids = source.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    sample = voted(source.join(F.broadcast(ids), "doc_id"))  # joined first, so that only these are voted on
-    rows = sample.select("text", *names).collect()
+    sample = source.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # so that only these are voted on
+    sample = voted(sample).select(F.left("text", F.lit(max_chars)).alias("text"), *names).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = sample.collect()  # at most max_docs rows of max_chars characters
     weights = _train([r["text"] or "" for r in rows], np.array([model.posterior[tuple(r[k] for k in names)] for r in rows]), rounds, ridge) if rows else np.zeros(BUCKETS, np.float32)
     shared = spark.sparkContext.broadcast((weights, model.posterior))
 

@@ -16,8 +16,10 @@ Nulls and edges: captures with a null url or ts are unresolved. Of captures at
 one time the smaller record_id is the earlier; null record_ids come first. A
 revisit without an earlier response, or whose validators differ, is kept with
 ``outcome`` 'no_response' or 'validator_mismatch' and a null payload; one with no
-validator on either side in common is 'unvalidated', and resolved. Extra columns
-are ignored.
+validator on either side in common is 'unvalidated', and resolved. Header names
+that differ in case only are one, and the later entry counts. Captures that repeat a
+(record_id, url, ts) are resolved each, to one response. Payloads are never compared or
+cut, however long. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +44,13 @@ def strong(etag: Column) -> Column:
     return F.regexp_replace(etag, "^W/", "")
 
 
+def folded(headers: Column) -> Column:
+    """Headers by name in lower case; of names that differ in case only the later entry counts."""
+    none = F.create_map().cast("map<string,string>")
+    add = lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != F.lower(e["key"])), F.create_map(F.lower(e["key"]), e["value"]))
+    return F.aggregate(F.map_entries(F.coalesce(headers, none)), none, add)
+
+
 def resolve_revisits(captures: DataFrame, block: int = 4096) -> DataFrame:
     """record_id, url, canonical_url, ts, refers_to, outcome, headers, payload of each revisit. ts: a long; block: its length of a time block."""
     c = captures.select("record_id", "url", canonical(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"), "kind", "status", "etag", "last_modified", "headers", "payload").withColumn("part", F.floor(F.col("ts") / block))
@@ -52,7 +61,7 @@ def resolve_revisits(captures: DataFrame, block: int = 4096) -> DataFrame:
     before = Window.partitionBy("canonical_url").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.select("canonical_url", "part", F.last("at", ignorenulls=True).over(before).alias("carried"))
     # only the keys of captures go through the windows; payloads join at the end, once for each revisit
-    keys = c.select("record_id", "canonical_url", "ts", "part", "kind", "status")
+    keys = c.where("canonical_url is not null and ts is not null").select("record_id", "canonical_url", "ts", "part", "kind", "status")
     within = Window.partitionBy("canonical_url", "part").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     found = keys.withColumn("own", F.last(F.when(full, at), ignorenulls=True).over(within)).where((F.col("kind") == "revisit") & (F.col("status") == 304)).join(carried, ["canonical_url", "part"], "left")
     points = found.select("record_id", "canonical_url", "ts", F.coalesce("own", "carried").alias("to")).select("record_id", "canonical_url", "ts", F.col("to.record_id").alias("to_id"), F.col("to.ts").alias("to_ts"))
@@ -72,9 +81,8 @@ def resolve_revisits(captures: DataFrame, block: int = 4096) -> DataFrame:
         .otherwise("unvalidated")
     )
     good = F.col("outcome").isin("validated", "unvalidated")
-    lower = lambda m: F.transform_keys(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
-    fresh = F.map_filter(lower(F.col("headers")), lambda k, v: k.isin(*UPDATED))
-    kept = F.map_filter(lower(F.col("to_headers")), lambda k, v: ~F.array_contains(F.map_keys(fresh), k))
+    fresh = F.map_filter(folded(F.col("headers")), lambda k, v: k.isin(*UPDATED))
+    kept = F.map_filter(folded(F.col("to_headers")), lambda k, v: ~F.array_contains(F.map_keys(fresh), k))
     return joined.withColumn("outcome", outcome).select(
         "record_id", "url", "canonical_url", "ts", F.when(good, F.col("to_id")).alias("refers_to"), "outcome", F.when(good, F.map_concat(kept, fresh)).alias("headers"), F.when(good, F.col("to_payload")).alias("payload")
     )

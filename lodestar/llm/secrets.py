@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, string_buffer
+from .common import slices, small_batches, string_buffer
 from .crf import Crf, Potentials, viterbi
 
 # fixed values: the patterns of the three kinds, and the least lengths
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, max_docs: int = 5000, max_chains: int = 4000, hidden: s
 
     hidden: a kind of pattern of which the field learns nothing, to measure how many of its matches it finds by itself.
     """
-    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    ids = small_batches(docs).where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     without = KINDS.index(hidden or "crf")
     chains = sample.mapInArrow(lambda it: _training(it, without), "doc_id long, start long, variant int, tokens array<string>, tags array<int>, file array<string>")
@@ -216,7 +216,7 @@ def _parts(batch, column: int):
 
 def find_secrets(docs: DataFrame, model: Crf) -> DataFrame:
     """doc_id, the number of matches of each pattern, spans (kind, start, end) and the digest of the pattern matches, of every row of ``docs`` (doc_id long, text string)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         store = Potentials(shared.value)
@@ -240,7 +240,7 @@ def find_secrets(docs: DataFrame, model: Crf) -> DataFrame:
 
 def redact(docs: DataFrame, model: Crf, mask: str = "[SECRET]") -> DataFrame:
     """The rows of ``docs`` with every span in ``text`` replaced by ``mask`` and, if there is such a column, ``n_chars`` counted anew; all else as it is."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     column, length = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 

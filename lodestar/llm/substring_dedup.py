@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_DOC, U64, RangeHash, byte_codes, flat_ranges, mix64, pack, shuffle_partitions, slices, string_buffer, text_bytes, unpack
+from .common import NO_DOC, U64, RangeHash, byte_codes, flat_ranges, mix64, pack, shuffle_partitions, slices, small_batches, string_buffer, text_bytes, unpack
 
 GRAM = 24  # bytes of an anchor, in words of 8
 NONE, COMPARE, FOLLOW, SPREAD = 0, 1, 2, 3
@@ -531,7 +531,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, shard_mb: int = 4, bucket_m
     total = text_bytes(docs)
     shards, buckets = max(1, -(-total // (shard_mb << 20))), max(1, -(-total // (bucket_mb << 20)))
     parts = min(max(shuffle_partitions(spark), shards // 2), shards * 2)
-    source = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(int(NO_DOC)))), F.lit(shards)).alias("shard"))
+    source = small_batches(docs).select("doc_id", "text", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(int(NO_DOC)))), F.lit(shards)).alias("shard"))
     packed = source.mapInArrow(lambda it: _pack_documents(it, width), "shard long, blob binary").repartition(parts, "shard")
     runs = packed.groupBy("shard").applyInArrow(lambda t: _runs(t, width, buckets), "bucket long, shard long, blob binary").repartition(parts, "bucket")
     answers = runs.groupBy("bucket").applyInArrow(lambda t: _verdicts(t, hot, crowd), "shard long, bucket long, blob binary").repartition(parts, "shard")

@@ -17,7 +17,7 @@ from lodestar.llm.common import string_buffer, unpack
 from lodestar.llm.graph import components
 from lodestar.llm.minhash import near_duplicates
 from lodestar.llm.packing import SumOfSquares, WordTokenizer, pack_documents
-from lodestar.llm.quality import score_quality
+from lodestar.llm.quality import LabelModel, score_quality
 from lodestar.llm.substring_dedup import common_prefixes, remove_repeats, suffix_array
 from lodestar.llm.topk import exact_topk
 
@@ -289,6 +289,11 @@ def test_decontamination_tolerates_substitutions(spark):
     for few in (0, 1_000_000):
         assert {r.doc_id for r in decontaminate.contaminated(docs(spark, rows), b, broadcast_rows=few).collect()} == {1, 2}
     assert {r.doc_id for r in decontaminate.clean(docs(spark, rows), b).collect()} == {3, 4, 5}
+    more = docs(spark, [*rows[2:], (None, rows[0][1]), (None, rows[2][1]), (None, None), (7, rows[0][1]), (7, rows[0][1]), (8, prose(9, 50_000) + " " + " ".join(item))]).withColumn("item_id", F.lit(1)).withColumn("h", F.lit("x"))
+    kept = decontaminate.clean(more, b)
+    assert kept.columns == more.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(3, rows[2][1]), (4, ""), (5, ""), (0, rows[2][1]), (0, "")])
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(more, b).collect()) == [(7, 1), (8, 1)]
+    assert decontaminate.contaminated(more.limit(0), b).count() == decontaminate.contaminated(more, b.limit(0)).count() == 0
 
 
 def test_decontamination_of_short_items(spark):
@@ -325,6 +330,25 @@ def test_preferences(spark):
     assert out[1].chosen == "<|im_start|>assistant\ngood<|im_end|>\n"
     assert [tuple(x) for x in out[1].rejected_spans] == [(len(out[1].prompt), len(out[1].prompt) + len("<|im_start|>assistant\nbad one<|im_end|>\n"))]
     assert out[2].prompt == "" and None not in out
+    assert preferences.format_preferences(t.limit(0)).count() == 0
+    named = t.withColumn("block", F.lit(1)).withColumn("split", F.lit("x")).withColumn("part", F.lit(None))
+    assert sorted(map(str, preferences.format_preferences(named).collect())) == sorted(map(str, s.collect()))
+
+
+def test_preferences_of_a_long_pair(spark):
+    """More turns than a block, and a text of a million characters."""
+    turns = [(t, "user" if t % 2 == 0 else "assistant", "x" * (10**6 if t == 3 else t % 7)) for t in range(600)]
+    rows = [(1, side, t, role, text + ("!" if side == "rejected" and t >= 500 else "")) for side in ("chosen", "rejected") for t, role, text in turns]
+    got = preferences.format_preferences(spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string")).collect()
+    at = 0
+    for part, first, end in (("prompt", 0, 500), ("chosen", 500, 600), ("rejected", 500, 600)):
+        here = sorted((r for r in got if r.part == part), key=lambda r: r.turn)
+        assert [r.turn for r in here] == list(range(first, end))
+        place = 0 if part == "prompt" else at
+        for r in here:
+            assert (r.char_start, r.char_end) == (place, place + len(r.rendered)) and r.loss_mask == (part != "prompt" and r.role == "assistant")
+            place = r.char_end
+        at = place if part == "prompt" else at
 
 
 def test_revisits(spark):
@@ -343,6 +367,17 @@ def test_revisits(spark):
     assert (got[4].outcome, got[4].payload) == ("validator_mismatch", None)
     assert (got[5].outcome, got[5].refers_to) == ("unvalidated", 2)
     assert got[6].outcome == got[7].outcome == "no_response" and len(got) == 5
+    more = [
+        (10, "http://c.com/", 10, "response", 200, '"t"', None, {"Date": "old", "date": "new", "X-A": "1", "x-a": "2"}, "p" * 10**6),
+        (11, "http://c.com/", 10, "response", 200, '"u"', None, {}, "second of one time"),
+        (12, "http://c.com/", 12, "revisit", 304, '"u"', None, {"ETag": "a", "etag": "b"}, None),
+        (12, "http://c.com/", 12, "revisit", 304, '"u"', None, {"ETag": "a", "etag": "b"}, None),
+        (13, "http://c.com/", 10, "revisit", 304, None, None, {"Vary": "v"}, None),
+    ]
+    wide = spark.createDataFrame(more, c.schema).withColumn("outcome", F.lit("x")).withColumn("part", F.lit(3)).withColumn("to_id", F.lit(4))
+    found = sorted(revisits.resolve_revisits(wide).collect(), key=lambda r: r.record_id)
+    assert [(r.record_id, r.outcome, r.refers_to, r.payload, r.headers) for r in found] == [(12, "validated", 11, "second of one time", {"etag": "b"})] * 2 + [(13, "unvalidated", 11, "second of one time", {"vary": "v"})]
+    assert revisits.resolve_revisits(c.limit(0)).count() == 0
 
 
 def enumerated(unary, moves):
@@ -452,8 +487,36 @@ def test_toxicity_finds_planted_words(spark):
     assert {r.score >= 0.5 for r in toxicity.score(d, untrained).collect()} == {False}
 
 
+def test_label_model_against_a_plain_one():
+    """Expectation-maximisation over single documents, label by label, in plain numbers."""
+    r = random.Random(1)
+    votes = [[r.choice([-1, 0, 1, 1]) if r.random() < 0.4 else int(good) for _ in range(4)] for good in [r.random() < 0.8 for _ in range(300)]]
+    patterns = sorted(map(list, {tuple(v) for v in votes}))
+    counts = [sum(v == p for v in votes) for p in patterns]
+    model = LabelModel(np.array(patterns), np.array(counts, float), rounds=30, weight=20.0)
+    first = {1: [0.1, 0.02, 0.88], 0: [0.2, 0.35, 0.45]}
+    p, share = {c: [list(first[c]) for _ in range(4)] for c in (0, 1)}, 0.7
+
+    def posterior(v):
+        like = {c: (share if c else 1 - share) * np.prod([p[c][k][x + 1] for k, x in enumerate(v)]) for c in (0, 1)}
+        return like[1] / (like[0] + like[1])
+
+    for _ in range(30):
+        q = [posterior(v) for v in votes]
+        for c in (0, 1):
+            for k in range(4):
+                seen = [20.0 * first[c][x + 1] + sum((w if c else 1 - w) for w, v in zip(q, votes) if v[k] == x) for x in (-1, 0, 1)]
+                p[c][k] = [s / sum(seen) for s in seen]
+        share = (sum(q) + 1) / (len(votes) + 2)
+    assert all(abs(model.posterior[tuple(v)] - posterior(v)) < 1e-6 for v in patterns)
+
+
 def test_quality_separates_junk(spark):
     good = [(i, "The " + prose(i, 60) + " and the of it is.\n" + prose(i + 70, 30) + " the and.") for i in range(80)]
     junk = [(200 + i, "$$$ ### |||" * 30 + " A!! B!! " * 20) for i in range(20)]
     got = {r.doc_id: r.kept for r in score_quality(docs(spark, good + junk + [(900, None), (901, "")])).collect()}
     assert sum(got[i] for i, _ in good) >= 78 and not any(got[i] for i, _ in junk) and not got[900] and not got[901]
+    rows = good[:40] + junk[:10] + [(7, good[7][1]), (7, good[7][1]), (None, good[8][1]), (902, good[3][1] * 500)]
+    again = score_quality(docs(spark, rows)).collect()
+    assert len(again) == len(rows) and len({r.score for r in again if r.doc_id == 7}) == 1
+    assert score_quality(docs(spark, good).limit(0)).count() == 0
