@@ -163,14 +163,14 @@ def slices(lengths: np.ndarray, limit: int):
         at = to
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Numeric arrays as one zstd frame; bytes of equal weight lie together, which compresses ids well."""
     parts = [len(arrays).to_bytes(4, "little")]
     for a in arrays:
         a = np.ascontiguousarray(a)
         code = a.dtype.str.encode().ljust(8)
         parts += [code, len(a).to_bytes(8, "little"), a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:

@@ -13,15 +13,16 @@ same anchor form a run.
 2. ``_verdicts``: a bucket answers which runs have to be compared, for no other
    document has a run with the anchor of the rest. Hashes decide no more than
    that, and where bytes go.
-3. ``_send_runs``: a shard finds its own documents' copies of a run in suffix arrays
-   of its own, and sends the bytes of each different run that is to be compared to
+3. ``_send_runs``: a shard finds its own documents' copies of a run as a bucket does,
+   and sends the bytes of each different run that is to be compared to
    the bucket, once. Copies of a run that is in more than ``crowd`` shards go to
    buckets of ``crowd`` shards, each with the run of the smallest document. Runs of a hot
    anchor go by window to buckets of their own instead, each different window once
    a shard, from its smallest document there.
-4. ``_compare``: a bucket cuts what it got into pieces, makes a suffix array of
-   each by Larsson-Sadakane refinement, Kasai common prefixes over it, and merges
-   the pieces' windows by binary search. Every byte that goes was found so.
+4. ``_compare``: a bucket takes records with the same bytes as one string, cuts the
+   strings into pieces, makes a suffix array of each by Larsson-Sadakane refinement,
+   Kasai common prefixes over it, and merges the pieces' windows by binary search.
+   Every byte that goes was compared there.
 5. ``_cut``: the removed ranges meet their documents again, by shard.
 
 Everything is linear in the input; no step holds more than a shard or a bucket.
@@ -319,7 +320,7 @@ def _pack_documents(batches, width):
         cuts = np.flatnonzero(np.diff(shard[order])) + 1
         rows = [r for r in np.split(order, cuts) if len(r)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([int(shard[r[0]]) for r in rows], pa.int64()), pa.array([pack(ids[r], lengths[r], data[flat_ranges(offsets[r], lengths[r])]) for r in rows], pa.binary())], names=["shard", "blob"]
+            [pa.array([int(shard[r[0]]) for r in rows], pa.int64()), pa.array([pack(ids[r], lengths[r], data[flat_ranges(offsets[r], lengths[r])], level=3) for r in rows], pa.binary())], names=["shard", "blob"]
         )
 
 
@@ -379,7 +380,7 @@ def _records(key, shard, doc, row, start, data, begin, length, also=None):
     for r in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
         if len(r):
             m = slice(*np.searchsorted(of, [at, at + len(r)]))
-            yield int(key[r[0]]), shard, pack(doc[r], row[r], start[r], length[r], data[flat_ranges(begin[r], length[r])], of[m] - at, more_row[m], more_start[m])
+            yield int(key[r[0]]), shard, pack(doc[r], row[r], start[r], length[r], data[flat_ranges(begin[r], length[r])], of[m] - at, more_row[m], more_start[m], level=3)
             at += len(r)
 
 
@@ -464,10 +465,44 @@ def suffix_pieces(doc: np.ndarray, length: np.ndarray, data: np.ndarray, width:
     return pieces
 
 
+def one_of_each(doc: np.ndarray, length: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """For each record the one of the smallest document with the same bytes. Hashes say which ones to compare, the bytes decide."""
+    begin = np.cumsum(length) - length
+    key = RangeHash(_CODES[data]).of(begin, begin + length)
+    order = np.lexsort((doc, key))
+    new = np.append(True, key[order][1:] != key[order][:-1])[: len(order)]
+    first = np.empty(len(order), np.int64)
+    first[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+    other = np.flatnonzero((first != np.arange(len(first))) & (length[first] == length))
+    same = np.zeros(len(first), bool)
+    for a, b in slices(length[other], 1 << 22):
+        at = other[a:b]
+        equal = data[flat_ranges(begin[at], length[at])] == data[flat_ranges(begin[first[at]], length[at])]
+        same[at] = np.logical_and.reduceat(equal, np.cumsum(length[at]) - length[at])
+    return np.where(same, first, np.arange(len(first)))
+
+
 def repeated_windows(doc: np.ndarray, length: np.ndarray, data: np.ndarray, width: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
-    """(record, place in it) of each window that a record of a smaller document has too."""
-    found = [(which[p], place[p]) for part, which, place in suffix_pieces(doc, length, data, width, piece) for p in [part.repeated()]]
-    return np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]), np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])
+    """(record, place in it) of windows that a record of a smaller document has too: all, or as many as cover them.
+
+    Records with the same bytes are one in the arrays, that of the smallest document.
+    The windows of the others are that one's: all of them go, or, in the same
+    document, those that go there.
+    """
+    first = one_of_each(doc, length, data)
+    own = np.flatnonzero(first == np.arange(len(first)))
+    begin = np.cumsum(length) - length
+    found = [(own[which[p]], place[p]) for part, which, place in suffix_pieces(doc[own], length[own], data[flat_ranges(begin[own], length[own])], width, piece) for p in [part.repeated()]]
+    record, at = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(2))
+    later = np.flatnonzero(doc > doc[first])
+    windows = -(-length[later] // width)  # enough to cover them
+    twin = np.flatnonzero((first != np.arange(len(first))) & (doc == doc[first]))
+    by = np.argsort(record, kind="stable")
+    low, high = np.searchsorted(record[by], first[twin]), np.searchsorted(record[by], first[twin], side="right")
+    return (
+        np.concatenate([record, np.repeat(later, windows), np.repeat(twin, high - low)]),
+        np.concatenate([at, np.minimum(width * flat_ranges(np.zeros(len(later), np.int64), windows), np.repeat(length[later] - width, windows)), at[by[flat_ranges(low, high - low)]]]),
+    )
 
 
 def _compare(part: pa.Table, width: int, piece: int = PIECE) -> pa.Table:
