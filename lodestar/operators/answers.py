@@ -10,6 +10,8 @@ from ..functions.text import formal, sentences, tokens
 # ---- fixed values -------------------------------------------------------------
 PROVENANCE = ("source:", "topic url:", "bulk feed generated:", "safety:", "数据集：", "hugging face 仓库：", "固定版本：", "原始文件：", "许可证标记：", "证据说明：", "安全说明：", "发布机构：", "发布日期：", "资料类别：", "官方原文：", "固定文件 sha-256：", "来源等级：")
 QUANTITY, LISTED, CLASSES = "多少|几(?:种|类|项)?", "多少|几(?:种|类|项)?|哪(?:些|三类)", "哪三类|分为.*类|几类"
+CONCEPTS = ("烹调油", "食盐")
+UNITS, CLASSIFIED, CLASS = "(?i)[0-9]|[一二三四五六七八九十]+类|(?:mg|kg|g|ml|%)", "分类管理|分为[^。]{0,20}类", "第[一二三]类"
 FOLLOW_UP = ("它", "这个", "那个", "那", "还有", "呢", "刚才", "前面", "为啥", "怎么", "咋", "有啥", "再")
 MARKED = "(?s)## 数据集答案\\s*(.+?)(?=\n\\s*## |\\z)"
 # -------------------------------------------------------------------------------
@@ -23,8 +25,8 @@ def candidates(evidence: DataFrame, query: str = "query_id") -> DataFrame:
         plain = plain & ~F.lower("sentence").startswith(prefix)
     q = F.col("question")
     overlap = F.size(F.array_intersect(F.array_distinct(tokens(q)), F.array_distinct(tokens(F.col("sentence")))))
-    counted = F.when(q.rlike(LISTED) & F.col("sentence").rlike("(?i)[0-9]|[一二三四五六七八九十]+类|(?:mg|kg|g|ml|%)"), 2).otherwise(0)
-    classed = F.when(q.rlike(CLASSES), F.when(F.col("sentence").rlike("分类管理|分为[^。]{0,20}类"), 10).when(F.col("sentence").rlike("第[一二三]类"), 4).otherwise(0)).otherwise(0)
+    counted = F.when(q.rlike(LISTED) & F.col("sentence").rlike(UNITS), 2).otherwise(0)
+    classed = F.when(q.rlike(CLASSES), F.when(F.col("sentence").rlike(CLASSIFIED), 10).when(F.col("sentence").rlike(CLASS), 4).otherwise(0)).otherwise(0)
     return cut.where(plain).withColumn("score", overlap + counted + classed)
 
 
@@ -39,12 +41,20 @@ def extractive_answers(evidence: DataFrame, query: str = "query_id") -> DataFram
     top = once.where("place = 1").select(query, F.col("rank").alias("top_rank"), F.col("position").alias("top_position"))
     with_top = once.join(top, query)
     q = F.col("question")
-    classes, both = q.rlike(CLASSES), q.contains("烹调油") & q.contains("食盐")
-    near = (F.col("rank") == F.col("top_rank")) & (F.col("position") > F.col("top_position")) & (F.col("position") <= F.col("top_position") + 4) & F.col("sentence").rlike("第[一二三]类")
-    wanted = F.when(q.rlike(QUANTITY), 1).otherwise(2)
-    numbered = F.col("sentence").rlike("[0-9]") & (F.col("sentence").contains("烹调油") | F.col("sentence").contains("食盐"))
-    chosen = with_top.where((F.col("place") == 1) | (classes & near) | (~classes & both & numbered) | (~classes & ~both & (F.col("place") <= wanted)))
-    joined = chosen.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("place", "sentence", "rank"))).alias("a"))  # a few sentences
+    classes = q.rlike(CLASSES)
+    near = (F.col("rank") == F.col("top_rank")) & (F.col("position") > F.col("top_position")) & (F.col("position") <= F.col("top_position") + 4) & F.col("sentence").rlike(CLASS)
+    # two quantities asked for: the first numbered sentence of each; then the best others, up to the number wanted
+    everywhere, by_place = Window.partitionBy(query), Window.partitionBy(query).orderBy("place")
+    said = [F.min(F.when(F.col("sentence").contains(c) & F.col("sentence").rlike("[0-9]"), F.col("place"))).over(everywhere) for c in CONCEPTS]
+    asked = [q.contains(c) for c in CONCEPTS]
+    hit = [F.coalesce(asked[0] & asked[1] & (F.col("place") == x), F.lit(False)) for x in said]
+    fixed = (F.col("place") == 1) | hit[0] | hit[1]
+    wanted = F.greatest(F.when(q.rlike(QUANTITY), 1).otherwise(2), asked[0].cast("int") + asked[1].cast("int"))
+    staged = with_top.withColumn("_fixed", fixed).withColumn("_n", F.sum(F.col("_fixed").cast("int")).over(everywhere)).withColumn("_other", F.sum((~F.col("_fixed")).cast("int")).over(by_place))
+    turn = F.when(F.col("place") == 1, 0).when(classes, 1 + F.col("position") - F.col("top_position")).when(hit[0], 1).when(hit[1], 2).otherwise(2 + F.col("place"))
+    staged = staged.withColumn("_turn", turn)
+    chosen = staged.where((F.col("place") == 1) | (classes & near) | (~classes & (F.col("_fixed") | (F.col("_other") <= wanted - F.col("_n")))))
+    joined = chosen.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("_turn", "sentence", "rank"))).alias("a"))  # a few sentences
     text = F.array_join(F.transform("a", lambda x: F.concat(x["sentence"], F.lit(" [source:"), x["rank"], F.lit("]"))), " ")
     plain = F.concat(F.substring("first_text", 1, 240), F.lit(" [source:1]"))
     return first.join(joined, query, "left").select(query, F.when(marked != "", F.concat(F.substring(marked, 1, 800), F.lit(" [source:1]"))).otherwise(F.coalesce(text, plain)).alias("answer"))

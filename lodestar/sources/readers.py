@@ -7,11 +7,12 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import lookup, nfkc, strip
+from ..session import settled
 
 # ---- fixed values -------------------------------------------------------------
 MIME = {"txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "json": "application/json", "jsonl": "application/x-ndjson", "html": "text/html", "xml": "application/xml", "pdf": "application/pdf", "parquet": "application/vnd.apache.parquet"}
@@ -28,15 +29,24 @@ def text_elements(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """SRC2: of the known delimiters the most frequent in the header line."""
-    first = spark.read.text(path).limit(1).collect()
-    line = first[0][0] if first else ""
-    return max(DELIMITERS, key=line.count)
+    """SRC2: the known delimiter that comes as often in most of the first lines (8,192 characters at most) as in the header, and most often there."""
+    lines, size = [], 0
+    for (line,) in spark.read.text(path).limit(200).collect():
+        size += len(line) + 1
+        if size > 8192 and lines:
+            break
+        lines.append(line)
+    if not lines or not lines[0].strip():
+        raise ValueError("a CSV file needs a header")
+    return max(DELIMITERS, key=lambda d: (lines[0].count(d) > 0, sum(x.count(d) == lines[0].count(d) for x in lines), lines[0].count(d)))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """SRC2: all columns as text; a header is required."""
-    return spark.read.csv(path, header=True, sep=sniff_delimiter(spark, path), encoding="UTF-8")
+    """SRC2: all columns as text; a header and a row are required. The files under one path have one delimiter."""
+    rows = spark.read.csv(path, header=True, sep=sniff_delimiter(spark, path), encoding="UTF-8")
+    if rows.isEmpty():
+        raise ValueError("a CSV file needs data rows")
+    return rows
 
 
 def read_json_records(spark: SparkSession, path: str, lines: bool) -> DataFrame:
@@ -106,8 +116,13 @@ def html_text_plain(value: pd.Series) -> pd.Series:
 
 
 def read_qa(spark: SparkSession, path: str, limit: int | None = None, max_bytes: int = 1_000_000) -> DataFrame:
-    """SRC7: QA JSON lines: row_index, question, answer: all strings, nested or not, different ones in order, joined."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("row_index")).where(F.octet_length("value") <= max_bytes)
+    """SRC7: QA JSON lines: row_index (the line's number, files in the order of their paths), question, answer: all strings, nested or not, different ones in order, joined."""
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    put = settled(read.orderBy("file", "block", "at")).withColumn("part", F.spark_partition_id())
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    parts = put.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("file", "block", "at")) - 1
+    raw = put.withColumn("within", within).join(F.broadcast(parts), "part").select("value", (F.col("before") + F.col("within")).alias("row_index")).where(F.octet_length("value") <= max_bytes)
 
     def strings(field: str) -> Column:
         text = F.get_json_object("value", f"$.{field}")

@@ -56,3 +56,70 @@ def test_extractive_answer_prefers_the_marked_section(spark):
     got = {r.query_id: r.answer for r in answers.extractive_answers(e).collect()}
     assert got[1] == "答案 文本 [source:1]"
     assert got[2].startswith("Redis timeout means the pool is full. [source:1]")
+
+
+def test_extractive_answers_to_two_quantities(spark):
+    q = "烹调油和食盐每天多少"
+    text = "每天烹调油和食盐都要控制在合理范围多少合适呢这里说明。食盐每天不超过5克为宜请注意。烹调油每天25至30克为宜请注意。烹调油40克就太多了请一定注意。"
+    e = spark.createDataFrame([(1, q, 1, text), (2, "how to restart the pump", 1, "Stop the pump and wait. Restart the pump slowly. Nothing else matters here.")], "query_id long, question string, rank int, text string")
+    got = {r.query_id: r.answer for r in answers.extractive_answers(e).collect()}
+    parts = got[1].split(" [source:1]")
+    assert "烹调油40克就太多了请一定注意" not in got[1] and any("25至30" in x for x in parts) and any("5克" in x for x in parts)
+    assert got[2].count("[source:1]") == 2
+
+
+def test_places_of_large_groups(spark):
+    import random
+
+    from lodestar.operators import logs
+
+    r = random.Random(1)
+    rows = [(g, float(r.choice([1, 2, r.random() * 1000]))) for g in ("a", "b") for _ in range(3000)] + [("c", 5.0), ("d", 1.0), ("d", 4.0), ("e", None)]
+    t = spark.createDataFrame(rows, "g string, v double")
+    values = {g: sorted(v for x, v in rows if x == g and v is not None) for g in "abcd"}
+    got = {x.g: x.p for x in logs.nearest_rank(t, ["g"], "v", 0.95, "p").collect()}
+    assert got == {g: round(v[round((len(v) - 1) * 0.95)], 3) for g, v in values.items()}
+    middle = {x.g: x.median for x in logs.median(t, ["g"], "v").collect()}
+    assert all(abs(middle[g] - (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2) < 1e-3 for g, v in values.items())
+
+
+def test_cut_finds_the_last_mark():
+    import random
+
+    from lodestar.operators.chunking import MARKS, cut
+
+    r = random.Random(2)
+    text = "".join(r.choice(["word ", "end. ", "Wort; ", "x", "。", "\n", "? "]) for _ in range(4000)).strip()
+    marks = [(m.start(), m.end()) for m in MARKS.finditer(text)]
+    after = lambda low, high: max((e for b, e in marks if b >= low and e <= high), default=-1)
+    want, at = [], 0
+    while at < len(text):
+        stop = min(at + 200, len(text))
+        if stop < len(text):
+            stop = max(after(at + 100, stop), 0) or stop
+        want.append(text[at:stop].strip())
+        if stop == len(text):
+            break
+        back = max(stop - 40, at + 1)
+        snapped = after(max(at, back - 40), back + 1)
+        at = snapped if snapped > at else back
+    assert cut(text, 200, 40) == [w for w in want if w]
+    assert len(cut("a. " * 200_000, 600, 80)) > 900  # in no time, however long
+
+
+def test_routed_search_follows_the_route(spark):
+    from lodestar.operators import search
+
+    rows = [("t", "k", i, f"document {w} about {w} and pumps", "m" if i != 3 else "other") for i, w in enumerate(["alpha", "beta", "gamma", "alpha beta"])] + [("u", "k", 9, "document alpha of another tenant", "m")]
+    d = spark.createDataFrame(rows, "tenant string, kb string, key long, text string, embedding_model string")
+    c = spark.createDataFrame([("t", "k", 100 * i + j, i, part) for (t, _, i, text, _) in rows if t == "t" for j, part in enumerate((text, "alpha alpha"))], "tenant string, kb string, key long, parent_id long, text string")
+    q = spark.createDataFrame([("t", "k", 1, "alpha", "none"), ("t", "k", 2, "why and how does beta explain gamma", "none"), ("t", "k", 3, "full procedure with all steps of alpha", "none"), ("t", "k", 4, "please alpha", "multi_query"), ("t", "k", 5, "nothing here", "none")], "tenant string, kb string, query_id long, question string, query_transform string")
+    got = {}
+    for r in search.routed_search(q, d, c, ["tenant", "kb"], 3, "m").collect():
+        got.setdefault((r.query_id, r.strategy), []).append((r["rank"], r.key))
+    assert {s for _, s in got} == {"bm25", "rrf", "parent_child"} and len(got) == 5
+    assert sorted(k for _, k in got[1, "bm25"]) == [0, 3]  # candidates only, none of another tenant
+    assert 3 not in [k for _, k in got[2, "rrf"]] and 9 not in [k for v in got.values() for _, k in v]  # only rows with the model's tag
+    parents = [k // 100 for _, k in got[3, "parent_child"]]
+    assert len(parents) == len(set(parents)) == 3
+    assert len(got[5, "bm25"]) == 3  # no hit: all rows of the scope
