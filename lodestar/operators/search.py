@@ -144,8 +144,8 @@ def exact_knn(queries: DataFrame, rows: DataFrame, k: int, group: str = "label",
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", key, F.round("score", 6).alias("score"))
 
 
-def approximate_knn(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", bucket: float = 0.6, tables: int = 8) -> DataFrame:
-    """RET18: candidates from random projections, then exact scores: (query_id, rank, key, score)."""
+def approximate_knn(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", bucket: float = 0.1, tables: int = 8) -> DataFrame:
+    """RET18: candidates from random projections, then exact scores: (query_id, rank, key, score). bucket: for unit vectors of some 64 components."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
 

@@ -123,3 +123,23 @@ def test_routed_search_follows_the_route(spark):
     parents = [k // 100 for _, k in got[3, "parent_child"]]
     assert len(parents) == len(set(parents)) == 3
     assert len(got[5, "bm25"]) == 3  # no hit: all rows of the scope
+
+
+def test_approximate_neighbours_have_recall(spark):
+    """At least 0.9 of the true ten, as EV7 measures it; exact_knn against a plain product."""
+    import numpy as np
+
+    from lodestar.operators import evaluate, search
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, 64))
+    x[150:] = x[:150] + 0.2 * r.normal(size=(150, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, 0, e.tolist()) for i, e in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    q = v.where("vec_id % 10 = 0")
+    true = search.exact_knn(q, v, 10, block=64)
+    score = np.round(x @ x.T, 6)
+    np.fill_diagonal(score, -9)
+    assert {(t.query_id, t["rank"]): t.vec_id for t in true.collect()} == {(i, k + 1): int(j) for i in range(0, 300, 10) for k, j in enumerate(np.lexsort((np.arange(300), -score[i]))[:10])}
+    recall = evaluate.list_recall(search.approximate_knn(q, v, 10), true, "query_id", "vec_id").collect()
+    assert sum(t.recall for t in recall) / len(recall) >= 0.9
