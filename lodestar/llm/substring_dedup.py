@@ -368,7 +368,7 @@ def _verdicts(part: pa.Table, hot: int, crowd: int) -> pa.Table:
     })
 
 
-def _records(key, shard, doc, row, start, data, begin, length, also=None):
+def _records(key, shard, doc, row, start, data, begin, length, anchor, also=None):
     """Rows of (key, shard, packed records), one for each key. also: (record, row, start) of more places that share a record's fate."""
     order = np.argsort(key, kind="stable")
     of, more_row, more_start = also or [np.zeros(0, np.int64)] * 3
@@ -380,7 +380,7 @@ def _records(key, shard, doc, row, start, data, begin, length, also=None):
     for r in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
         if len(r):
             m = slice(*np.searchsorted(of, [at, at + len(r)]))
-            yield int(key[r[0]]), shard, pack(doc[r], row[r], start[r], length[r], data[flat_ranges(begin[r], length[r])], of[m] - at, more_row[m], more_start[m], level=3)
+            yield int(key[r[0]]), shard, pack(doc[r], row[r], start[r], length[r], data[flat_ranges(begin[r], length[r])], of[m] - at, more_row[m], more_start[m], anchor[r], level=3)
             at += len(r)
 
 
@@ -406,7 +406,7 @@ def _send_runs(docs: pa.Table, answers: pa.Table, width: int, buckets: int, piec
     # copies here of a smaller document's run here
     copy = doc > doc[first]
     some = np.flatnonzero(np.bincount(kind, copy, kind[-1] + 1)[kind] > 0) if len(kind) else run
-    record, place = repeated_windows(doc[some], length[some], shard.data[flat_ranges(begin[some], length[some])], width, piece)
+    record, place = repeated_windows(doc[some], length[some], shard.data[flat_ranges(begin[some], length[some])], shard.anchor[run[some]], width, piece)
     gone.append((row[some][record], start[some][record] + place))
 
     # one of each kind that is to be compared; the others of the same document share its fate
@@ -423,12 +423,12 @@ def _send_runs(docs: pa.Table, answers: pa.Table, width: int, buckets: int, piec
     if len(to):
         at = np.full(len(run), -1)
         at[sent] = np.arange(len(sent))
-        rows += _records(key, me, doc[to], row[to], start[to], shard.data, begin[to], length[to], (at[first[also]], row[also], start[also]))
+        rows += _records(key, me, doc[to], row[to], start[to], shard.data, begin[to], length[to], shard.anchor[run[to]], (at[first[also]], row[also], start[also]))
 
     if len(many := np.flatnonzero(code[kind] == SPREAD)):
         data = shard.data[flat_ranges(begin[many], length[many])]
         own: list[tuple] = []
-        for array, which, place in suffix_pieces(doc[many], length[many], data, width, piece):
+        for array, which, place in suffix_pieces(doc[many], length[many], data, shard.anchor[run[many]], width, piece):
             gone.append((row[many][which[p := array.repeated()]], start[many][which[p]] + place[p]))
             least = np.flatnonzero(array.owner[array.order] == array.least[array.group])
             p, group = array.order[least], array.group[least]
@@ -438,7 +438,7 @@ def _send_runs(docs: pa.Table, answers: pa.Table, width: int, buckets: int, piec
             at = begin[r] + place
             hashes = RangeHash(_CODES[shard.data]).of(at[new], at[new] + width)
             key = buckets + (((hashes >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
-            rows += _records(key, me, doc[r[new]], row[r[new]], (start[r] + place)[new], shard.data, at[new], np.full(len(key), width), (group[~new], row[r[~new]], (start[r] + place)[~new]))
+            rows += _records(key, me, doc[r[new]], row[r[new]], (start[r] + place)[new], shard.data, at[new], np.full(len(key), width), hashes, (group[~new], row[r[~new]], (start[r] + place)[~new]))
 
     r, w = (np.concatenate(x) for x in zip(*gone, strict=True))
     if len(r):
@@ -449,8 +449,11 @@ def _send_runs(docs: pa.Table, answers: pa.Table, width: int, buckets: int, piec
     return pa.table({"key": pa.array(key, pa.int64()), "shard": pa.array(own_shard, pa.int64()), "blob": pa.array(blob, pa.binary())})
 
 
-def suffix_pieces(doc: np.ndarray, length: np.ndarray, data: np.ndarray, width: int, piece: int = PIECE) -> list[tuple]:
-    """(array, record of each position, place of each in its record) of records cut into pieces; the arrays' windows are merged."""
+def suffix_pieces(doc: np.ndarray, length: np.ndarray, data: np.ndarray, anchor: np.ndarray, width: int, piece: int = PIECE) -> list[tuple]:
+    """(array, record of each position, place of each in its record) of records cut into pieces; the arrays' windows are merged.
+
+    The records are by rising anchor, so that only pieces that share one are merged.
+    """
     pieces: list[tuple] = []
     ends = np.cumsum(length)
     for a, b in slices(length, piece):
@@ -460,7 +463,8 @@ def suffix_pieces(doc: np.ndarray, length: np.ndarray, data: np.ndarray, width:
         place = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
         part = SuffixShard(data[base : ends[b - 1]], doc[which], place <= length[which] - width, width)
         for earlier in pieces:
-            earlier[0].merge(part)
+            if anchor[earlier[1][-1]] >= anchor[a]:
+                earlier[0].merge(part)
         pieces.append((part, which, place))
     return pieces
 
@@ -482,7 +486,7 @@ def one_of_each(doc: np.ndarray, length: np.ndarray, data: np.ndarray) -> np.nda
     return np.where(same, first, np.arange(len(first)))
 
 
-def repeated_windows(doc: np.ndarray, length: np.ndarray, data: np.ndarray, width: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(doc: np.ndarray, length: np.ndarray, data: np.ndarray, anchor: np.ndarray, width: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
     """(record, place in it) of windows that a record of a smaller document has too: all, or as many as cover them.
 
     Records with the same bytes are one in the arrays, that of the smallest document.
@@ -491,8 +495,9 @@ def repeated_windows(doc: np.ndarray, length: np.ndarray, data: np.ndarray, widt
     """
     first = one_of_each(doc, length, data)
     own = np.flatnonzero(first == np.arange(len(first)))
+    own = own[np.argsort(anchor[own], kind="stable")]
     begin = np.cumsum(length) - length
-    found = [(own[which[p]], place[p]) for part, which, place in suffix_pieces(doc[own], length[own], data[flat_ranges(begin[own], length[own])], width, piece) for p in [part.repeated()]]
+    found = [(own[which[p]], place[p]) for part, which, place in suffix_pieces(doc[own], length[own], data[flat_ranges(begin[own], length[own])], anchor[own], width, piece) for p in [part.repeated()]]
     record, at = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(2))
     later = np.flatnonzero(doc > doc[first])
     windows = -(-length[later] // width)  # enough to cover them
@@ -514,7 +519,8 @@ def _compare(part: pa.Table, width: int, piece: int = PIECE) -> pa.Table:
     doc, row, start, length, data = (np.concatenate([p[k] for p in parts]) for k in range(5))
     base = np.cumsum([0] + [len(p[0]) for p in parts])
     of, more_row, more_start = (np.concatenate(x) for x in ([p[5] + b for p, b in zip(parts, base, strict=False)], [p[6] for p in parts], [p[7] for p in parts]))
-    record, place = repeated_windows(doc, length, data, width, piece)
+    anchor = np.concatenate([p[8] for p in parts])
+    record, place = repeated_windows(doc, length, data, anchor, width, piece)
     # other places of the same bytes in the same document go with a record's
     by = np.argsort(of, kind="stable")
     low, high = np.searchsorted(of[by], record), np.searchsorted(of[by], record, side="right")
