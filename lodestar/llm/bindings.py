@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, preferences, revisits, secrets, toxicity
+from . import decontaminate, preferences, repair, revisits, secrets, toxicity
 from .common import table
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -63,5 +63,9 @@ def op10_minhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_preferences, op2_revisits, op3_suffix_array_dedup, op4_exact_topk, op5_decontamination, op6_quality, op7_packing, op8_toxicity, op9_secrets, op10_minhash)}
-ORACLES: dict[str, str] = {"op1_preferences": preferences.SQL, "op2_revisits": revisits.SQL, "op5_decontamination": decontaminate.sql()}
+def op11_structure_repair(spark, sf_dir):
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_preferences, op2_revisits, op3_suffix_array_dedup, op4_exact_topk, op5_decontamination, op6_quality, op7_packing, op8_toxicity, op9_secrets, op10_minhash, op11_structure_repair)}
+ORACLES: dict[str, str] = {"op1_preferences": preferences.SQL, "op2_revisits": revisits.SQL, "op5_decontamination": decontaminate.sql(), "op11_structure_repair": repair.sql()}
