@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, preferences, repair, revisits, secrets, toxicity
+from . import best_position, decontaminate, preferences, quality_rules, repair, revisits, secrets, toxicity
 from .common import table
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -67,5 +67,14 @@ def op11_structure_repair(spark, sf_dir):
     return repair.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_preferences, op2_revisits, op3_suffix_array_dedup, op4_exact_topk, op5_decontamination, op6_quality, op7_packing, op8_toxicity, op9_secrets, op10_minhash, op11_structure_repair)}
-ORACLES: dict[str, str] = {"op1_preferences": preferences.SQL, "op2_revisits": revisits.SQL, "op5_decontamination": decontaminate.sql(), "op11_structure_repair": repair.sql()}
+def op12_quality_rules(spark, sf_dir):
+    found = quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")
+
+
+def op13_best_position(spark, sf_dir):
+    return best_position.best_position_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_preferences, op2_revisits, op3_suffix_array_dedup, op4_exact_topk, op5_decontamination, op6_quality, op7_packing, op8_toxicity, op9_secrets, op10_minhash, op11_structure_repair, op12_quality_rules, op13_best_position)}
+ORACLES: dict[str, str] = {"op1_preferences": preferences.SQL, "op2_revisits": revisits.SQL, "op5_decontamination": decontaminate.sql(), "op11_structure_repair": repair.sql(), "op13_best_position": best_position.SQL}
