@@ -49,10 +49,7 @@ def hashed_embedding(rows: DataFrame, key: str, text: str, dimensions: int = 256
     the other one each different token is hashed once.
     """
     if portable:
-        slots = rows.select(key, F.explode(tokens(F.col(text))).alias("token")).select(key, md5_slot(F.col("token"), dimensions).alias("s"))
-        sums = slots.groupBy(key, "s.bucket").agg(F.sum("s.sign").alias("x"))
-        norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)).cast("double"))  # as many rows as dimensions
-        return sums.withColumn("norm", norm).where("norm > 0").select(key, "bucket", (F.col("x") / F.col("norm")).alias("weight"))
+        return hashed_tokens(rows.select(key, tokens(F.col(text)).alias("t")), [key], dimensions)
     terms = rows.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").count()
     different = terms.select("token").distinct()
     slots = different.select("token", blake_slot("token", F.lit(dimensions)).alias("s")).select("token", "s.bucket", "s.sign")
@@ -61,6 +58,14 @@ def hashed_embedding(rows: DataFrame, key: str, text: str, dimensions: int = 256
     return sums.join(norms, key).where("norm > 0").select(key, "bucket", (F.col("x") / F.col("norm")).alias("weight"))
 
 
+def hashed_tokens(lists: DataFrame, by: list[str], dimensions: int = 256) -> DataFrame:
+    """EMB2: (by, bucket, weight) of lists of tokens (by, t)."""
+    slots = lists.select(*by, F.explode("t").alias("token")).select(*by, md5_slot(F.col("token"), dimensions).alias("s"))
+    sums = slots.groupBy(*by, "s.bucket").agg(F.sum("s.sign").alias("x"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(*by)).cast("double"))  # as many rows as dimensions
+    return sums.withColumn("norm", norm).where("norm > 0").select(*by, "bucket", (F.col("x") / F.col("norm")).alias("weight"))
+
+
 def dense(sparse: DataFrame, key: str, dimensions: int = 256) -> DataFrame:
     """(key, embedding): sparse rows as arrays."""
     m = F.map_from_entries(F.collect_list(F.struct("bucket", "weight")))

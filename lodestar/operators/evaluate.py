@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
 def first_ranks(ranked: DataFrame, gold: DataFrame, query: str, source: str) -> DataFrame:
@@ -69,28 +65,6 @@ def leakage(current: DataFrame, earlier: dict[str, DataFrame], columns: list[str
     return out
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """UDF5: Ratcliff/Obershelp similarity."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
-
-
-def near_pairs(a: DataFrame, b: DataFrame, key: str, text: str, shingle: int = 6, least: float = 0.85, seeds: int = 4) -> DataFrame:
-    """EV9, JN12: pairs of short questions with a sequence ratio of ``least`` and more.
-
-    Candidates share one of the ``seeds`` character shingles with the smallest
-    hashes of a set; a ratio of 0.85 shares nearly all of them.
-    """
-
-    def banded(t: DataFrame, name: str) -> DataFrame:
-        n = F.greatest(F.length(text) - shingle + 1, F.lit(1))
-        grams = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(shingle))))))
-        return t.select(F.col(key).alias(f"{name}_id"), F.col(text).alias(f"{name}_text"), F.explode(F.slice(grams, 1, seeds)).alias("band"))
-
-    pairs = banded(a, "a").join(banded(b, "b"), "band").where("a_id < b_id").dropDuplicates(["a_id", "b_id"])
-    return pairs.withColumn("ratio", sequence_ratio("a_text", "b_text")).where(F.col("ratio") >= least).select("a_id", "b_id", "ratio")
-
-
 def freeze_check(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """EV10: hash and row count of each file against the manifest. Both: name, sha256, rows."""
     m = manifest.select("name", F.col("sha256").alias("want_sha"), F.col("rows").alias("want_rows"))

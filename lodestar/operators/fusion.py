@@ -21,11 +21,10 @@ def weighted(vector: Column, lexical: Column) -> Column:
     return VECTOR * vector + KEYWORD * lexical
 
 
-def rrf(scored: DataFrame, query: list[str], key: str, sparse: str = "lexical", dense: str = "vector") -> DataFrame:
-    """RET6: reciprocal ranks of the effective lexical score and of the vector score over all candidates of a query, divided by the query's largest; adds ``rrf``."""
-    ranked = scored.withColumn("sparse_rank", rank_of(sparse, query, key)).withColumn("dense_rank", rank_of(dense, query, key))
-    ranked = ranked.withColumn("raw_rrf", 1.0 / (RRF + F.col("sparse_rank")) + 1.0 / (RRF + F.col("dense_rank")))
-    return ranked.withColumn("rrf", max_normalised(F.col("raw_rrf"), query)).drop("raw_rrf")
+def rrf(ranked: DataFrame, query: list[str]) -> DataFrame:
+    """RET6: reciprocal ranks of the effective lexical score and of the vector score over all candidates of a query, divided by the query's largest; adds ``rrf``. Columns sparse_rank, dense_rank in, those of the first row of each included."""
+    raw = 1.0 / (RRF + F.col("sparse_rank")) + 1.0 / (RRF + F.col("dense_rank"))
+    return ranked.withColumn("raw_rrf", raw).withColumn("rrf", max_normalised(F.col("raw_rrf"), query)).drop("raw_rrf")
 
 
 def fuse_variants(ranked: DataFrame, query: list[str], key: str) -> DataFrame:

@@ -9,16 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lookup_terms, tokens
+from ..functions.text import tokens
 from ..session import settled
+from .term_index import grams_of, query_lookup, ranked_candidates, runs, sizes_of, with_fallback
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
 def postings(rows: DataFrame, key: str, text: str, scope: list[str] = ()) -> DataFrame:
     """scope, key, token, tf, len."""
-    t = rows.select(*scope, key, tokens(F.col(text)).alias("t"))
-    return t.select(*scope, key, F.size("t").alias("len"), F.explode("t").alias("token")).groupBy(*scope, key, "len", "token").agg(F.count("*").alias("tf"))
+    return list_postings(token_lists(rows, key, text, scope), key, scope)
+
+
+def token_lists(rows: DataFrame, key: str, text: str, scope: list[str] = ()) -> DataFrame:
+    """scope, key, t: the tokens of each row, found once for all that is made of them."""
+    return rows.select(*scope, key, tokens(F.col(text)).alias("t"))
+
+
+def list_postings(lists: DataFrame, key: str, scope: list[str] = ()) -> DataFrame:
+    """scope, key, token, tf, len of ``token_lists``."""
+    return lists.select(*scope, key, F.size("t").alias("len"), F.explode("t").alias("token")).groupBy(*scope, key, "len", "token").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(rows: DataFrame, text: str, scope: list[str] = ()) -> DataFrame:
@@ -27,15 +37,23 @@ def corpus_stats(rows: DataFrame, text: str, scope: list[str] = ()) -> DataFrame
 
 
 def weights(rows: DataFrame, text: str, scope: list[str] = ()) -> DataFrame:
-    """AG12: scope, token, idf, n, avgdl; a negative idf becomes 0.25 times the scope's mean raw idf.
+    """AG12: scope, token, idf, n, avgdl; a negative idf becomes 0.25 times the scope's mean raw idf."""
+    return list_weights(rows.select(*scope, tokens(F.col(text)).alias("t")), scope)
 
-    One pass over the texts and one aggregation, summed before it is shuffled: each
+
+def list_weights(lists: DataFrame, scope: list[str] = ()) -> DataFrame:
+    """``weights`` of ``token_lists``.
+
+    One aggregation, summed before it is shuffled: each
     row counts once for each of its different tokens, and once with its length under none.
     """
-    t = rows.select(*scope, tokens(F.col(text)).alias("t"))
     each = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("token"), F.size("t").alias("len"))), F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("token"), F.lit(0).alias("len"))))
-    df = t.select(*scope, F.explode(each).alias("x")).groupBy(*scope, "x.token").agg(F.count("*").alias("df"), F.sum("x.len").alias("total"))
-    if scope:  # the row without a token has what its scope's other rows need
+    return weights_of(lists.select(*scope, F.explode(each).alias("x")).groupBy(*scope, "x.token").agg(F.count("*").alias("df"), F.sum("x.len").alias("total")), scope)
+
+
+def weights_of(df: DataFrame, scope: list[str] = ()) -> DataFrame:
+    """``weights`` from counts: scope, token, df (rows with it), total; the row without a token has all rows and all their tokens."""
+    if scope:
         stats = df.where("token is null").select(*scope, F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
         joined = df.where("token is not null").join(stats, list(scope))
     else:
@@ -62,18 +80,26 @@ ASKED = 200_000  # different tokens of queries that may be broadcast
 
 def asked_postings(terms: DataFrame, rows: DataFrame, key: str, text: str, scope: list[str] = ()) -> DataFrame:
     """The postings of the tokens that some query of the scope has. Up to ``ASKED`` of them are broadcast, so that no others are shuffled."""
+    return asked_list_postings(terms, token_lists(rows, key, text, scope), key, scope)
+
+
+def asked_list_postings(terms: DataFrame, lists: DataFrame, key: str, scope: list[str] = ()) -> DataFrame:
     asked = terms.select(*scope, "token").distinct()
     few = asked.limit(ASKED + 1).count() <= ASKED
-    t = rows.select(*scope, key, tokens(F.col(text)).alias("t"))
-    found = t.select(*scope, key, F.size("t").alias("len"), F.explode("t").alias("token")).join(F.broadcast(asked) if few else asked, [*scope, "token"], "left_semi")
+    found = lists.select(*scope, key, F.size("t").alias("len"), F.explode("t").alias("token")).join(F.broadcast(asked) if few else asked, [*scope, "token"], "left_semi")
     return found.groupBy(*scope, key, "len", "token").agg(F.count("*").alias("tf"))
 
 
 def bm25_and_keyword(queries: DataFrame, rows: DataFrame, query: str, key: str, text: str = "text", query_text: str = "text", scope: list[str] = ()) -> DataFrame:
     """RET1, RET2: scope, query, key, bm25, keyword of all pairs that share a token."""
-    terms = query_terms(queries, query, query_text, scope)
-    post = asked_postings(terms, rows, key, text, scope)
-    joined = post.join(terms.join(weights(rows, text, scope), [*scope, "token"]), [*scope, "token"])
+    return bm25_of_lists(token_lists(queries, query, query_text, scope), settled(token_lists(rows, key, text, scope)), query, key, scope)
+
+
+def bm25_of_lists(asked: DataFrame, lists: DataFrame, query: str, key: str, scope: list[str] = ()) -> DataFrame:
+    """``bm25_and_keyword`` of the ``token_lists`` of queries and rows."""
+    terms = list_postings(asked, query, scope).withColumnsRenamed({"tf": "qtf", "len": "qlen"})
+    post = asked_list_postings(terms, lists, key, scope)
+    joined = post.join(terms.join(list_weights(lists, scope), [*scope, "token"]), [*scope, "token"])
     return joined.groupBy(*scope, query, key).agg(F.sum(bm25_part()).alias("bm25"), (F.sum(F.least("qtf", "tf")) / F.first("qlen")).alias("keyword"))
 
 
@@ -122,29 +148,11 @@ def top_k(scored: DataFrame, query: list[str], score: str, key: str, k: int, pla
 
 
 def candidates(queries: DataFrame, rows: DataFrame, query: str, key: str, text: str = "text", query_text: str = "text", scope: list[str] = (), limit: int | None = None) -> DataFrame:
-    """RET8: pairs whose row contains a lookup term of the query; a query without any gets its whole scope.
-
-    A term lies within one run of word characters of the row, so terms meet the
-    vocabulary (by trigram, then containment) and the vocabulary the rows; no query
-    is compared with every row and no text is carried through a join. limit: the rows
-    with the most different terms stay, equal ones by key, 10 at least and 5000 at most.
-    """
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    runs = F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9_+\\-]{3,}"), 0), lookup_terms(F.regexp_replace(low, "[^一-鿿]+", " "), 1 << 30))
-    index = rows.select(*scope, key, F.explode(F.array_distinct(runs)).alias("word"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring("word", i, F.lit(3))))
-    vocabulary = index.select("word").distinct().select("word", F.explode(grams).alias("gram"))
-    terms = queries.select(*scope, query, F.explode(lookup_terms(F.col(query_text))).alias("term"))
-    words = terms.select("term").distinct().withColumn("gram", F.substring("term", 1, 3)).join(vocabulary, "gram").where(F.col("word").contains(F.col("term"))).select("term", "word").distinct()
-    held = terms.join(words, "term").join(index, [*scope, "word"]).groupBy(*scope, query, key).agg(F.count_distinct("term").alias("terms"))
-    checked = held.select(*scope, query, key)
-    if limit is not None:
-        w = Window.partitionBy(*scope, query).orderBy(F.desc("terms"), key)
-        checked = held.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(10, min(limit, 5000))).select(*scope, query, key)
-    without = queries.select(*scope, query).join(held.select(*scope, query).distinct(), [*scope, query], "left_anti")
-    if not scope:  # no scan of everything for a query without a hit
-        return checked
-    return checked.unionByName(without.join(rows.select(*scope, key), list(scope)).select(*scope, query, key))
+    """RET8 over rows that no index holds: scope, query, key, score, place, as ``TermIndex`` would answer."""
+    lists = settled(rows.select(*scope, key, runs(F.col(text)).alias("w")))
+    words = lists.select(*scope, key, F.explode("w").alias("word"), F.lit(1).alias("tf"))  # each use; only those that are asked for are counted
+    found = ranked_candidates(query_lookup(queries, query, query_text, scope), words, grams_of(words), sizes_of(rows, key, text, scope), query, key, scope, limit)
+    return with_fallback(found, queries, rows, query, key, scope)
 
 
 def bm25_among(pairs: DataFrame, queries: DataFrame, rows: DataFrame, query: str, key: str, text: str = "text", query_text: str = "text", scope: list[str] = ()) -> DataFrame:
@@ -155,14 +163,14 @@ def bm25_among(pairs: DataFrame, queries: DataFrame, rows: DataFrame, query: str
     """
     on = [*scope, query]
     pairs = settled(pairs)
-    post = postings(rows, key, text, scope)
-    size = rows.select(*scope, key, F.size(tokens(F.col(text))).alias("len"))
+    held = settled(token_lists(rows.join(pairs.select(*scope, key).distinct(), [*scope, key], "left_semi"), key, text, scope))  # no other row's text is read on
+    size = held.select(*scope, key, F.size("t").alias("len"))
     terms = query_terms(queries, query, query_text, scope)
-    own = pairs.join(post.drop("len"), [*scope, key])
     stats = pairs.join(size, [*scope, key]).groupBy(*on).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    df = own.groupBy(*on, "token").agg(F.count("*").alias("df"))
-    raw = df.join(stats, on).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    df = pairs.join(held.select(*scope, key, F.explode(F.array_distinct("t")).alias("token")), [*scope, key]).groupBy(*on, "token").agg(F.count("*").alias("df"))
+    raw = settled(df.join(stats, on).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     mean = raw.groupBy(*on).agg(F.avg("raw").alias("mean"))
     weight = raw.join(terms, [*on, "token"]).join(mean, on).select(*on, "token", "qtf", "qlen", "avgdl", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    scored = own.join(weight, [*on, "token"]).join(size, [*scope, key]).groupBy(*on, key).agg(F.sum(bm25_part()).alias("bm25"), (F.sum(F.least("qtf", "tf")) / F.first("qlen")).alias("keyword"))
+    post = asked_list_postings(terms, held, key, scope)
+    scored = pairs.join(post, [*scope, key]).join(weight, [*on, "token"]).groupBy(*on, key).agg(F.sum(bm25_part()).alias("bm25"), (F.sum(F.least("qtf", "tf")) / F.first("qlen")).alias("keyword"))
     return bm25_or_keyword(pairs.join(scored, [*on, key], "left").fillna(0.0, ["bm25", "keyword"]), on)

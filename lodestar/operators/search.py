@@ -2,45 +2,52 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import hashed_embedding
+from ..functions.vectors import hashed_tokens
 from ..session import settled
+from .counted_ranks import counted_rank, id_order, with_unscored
 from .fusion import RRF, first_by, rank_of, rrf, weighted
-from .lexical import bm25_among, bm25_and_keyword, bm25_or_keyword, candidates, max_normalised, min_max, top_k
+from .lexical import bm25_among, bm25_and_keyword, bm25_of_lists, bm25_or_keyword, candidates, max_normalised, min_max, token_lists, top_k
 from .routing import expand, query_features, route
+from .term_index import TermIndex
 
 STRATEGIES = ("keyword", "vector", "weighted", "bm25", "rrf")
 
 
 def lexical_scores(queries: DataFrame, rows: DataFrame, query: str, key: str, scope: list[str], text: str = "text", query_text: str = "text") -> DataFrame:
-    """RET3: for all pairs of a query and a row of its scope: bm25, keyword, lexical. The pairs are an equi-join on the scope, since a rank covers all candidates."""
-    on = [*scope, query, key]
+    """RET3: bm25, keyword, lexical of each query and row of its scope that share a token. Any other row of the scope has 0 for all three."""
     rows = rows.join(queries.select(*scope).distinct(), list(scope), "left_semi")  # scopes that nobody asks are not read on
-    pairs = queries.select(*scope, query).join(rows.select(*scope, key), list(scope))
-    out = pairs.join(bm25_and_keyword(queries, rows, query, key, text, query_text, scope), on, "left")
-    return bm25_or_keyword(out.fillna(0.0, ["bm25", "keyword"]), [*scope, query])
+    return bm25_or_keyword(bm25_and_keyword(queries, rows, query, key, text, query_text, scope), [*scope, query])
 
 
-def component_scores(queries: DataFrame, rows: DataFrame, query_vectors: DataFrame, row_vectors: DataFrame, query: str, key: str, scope: list[str], text: str = "text", query_text: str = "text") -> DataFrame:
-    """RET7: for all pairs of a query and a row of its scope: bm25, keyword, lexical, vector.
+def component_scores(queries: DataFrame, rows: DataFrame, query: str, key: str, scope: list[str], limit: int | Column | None = None, text: str = "text", query_text: str = "text", owner: str | None = None) -> DataFrame:
+    """RET7: bm25, keyword, lexical, vector and both ranks of each query and row of its scope that share a token or a bucket; of the others the first ``limit`` by key, or all.
 
-    Vectors are sparse rows (id, bucket, weight).
+    Vectors are hashed embeddings (EMB2) of the same tokens as the postings, which are found once.
     """
-    on = [*scope, query, key]
-    asked = rows.join(queries.select(*scope).distinct(), list(scope), "left_semi").select(*scope, key)
-    q = query_vectors.withColumnRenamed("weight", "qw").join(queries.select(*scope, query), query)
-    dots = q.join(row_vectors.join(asked, key), [*scope, "bucket"]).groupBy(*on).agg(F.sum(F.col("qw") * F.col("weight")).alias("vector"))
-    out = lexical_scores(queries, rows, query, key, scope, text, query_text).join(dots, on, "left").fillna(0.0, ["vector"])
-    return out.withColumn("vector", F.greatest(F.lit(0.0), "vector"))
+    asked_rows = rows.join(queries.select(*scope).distinct(), list(scope), "left_semi")
+    held, asked = settled(token_lists(asked_rows, key, text, scope)), token_lists(queries, query, query_text, scope)
+    lexical = bm25_or_keyword(bm25_of_lists(asked, held, query, key, scope), [*scope, query])
+    q = hashed_tokens(asked, [*scope, query]).withColumnRenamed("weight", "qw")
+    dots = q.join(hashed_tokens(held, [*scope, key]), [*scope, "bucket"]).groupBy(*scope, query, key).agg(F.sum(F.col("qw") * F.col("weight")).alias("vector"))
+    both = settled(lexical.join(dots, [*scope, query, key], "full").fillna(0.0, PARTS).withColumn("vector", F.greatest(F.lit(0.0), "vector")))
+    out = with_unscored(both, id_order(held, scope, key), queries, scope, query, key, PARTS, limit, owner)
+    on = [*scope, query]
+    return out.withColumns({"sparse_rank": counted_rank("lexical", on), "dense_rank": counted_rank("vector", on)})
+
+
+PARTS = ["bm25", "keyword", "lexical", "vector"]
 
 
 def strategy_scores(components: DataFrame, query: list[str], key: str) -> DataFrame:
     """RET4 to RET6 and RET1 to RET3 side by side: score_<strategy> for each strategy."""
-    out = rrf(components, query, key)
+    out = rrf(components, query)
     score = {"keyword": F.col("keyword"), "vector": F.col("vector"), "weighted": weighted(F.col("vector"), F.col("keyword")), "bm25": F.col("lexical"), "rrf": F.col("rrf")}
     return out.withColumns({f"score_{k}": F.round(v, 6) for k, v in score.items()})
 
@@ -52,46 +59,86 @@ def search_batch(scores: DataFrame, query: list[str], key: str, k: int, strategi
 
 
 VARIANTS = 8  # more than a question can have
+LEXICAL, DENSE = ("keyword", "bm25"), ("vector", "weighted", "rrf")
+
+
+def chosen_strategy(questions: DataFrame, dense_available: bool = True) -> DataFrame:
+    """RET14: ``strategy`` as asked for; where that is auto or null, or there is no such column, as RET13 routes. An unknown one is an error."""
+    wanted = F.coalesce(F.col("strategy"), F.lit("auto")) if "strategy" in questions.columns else F.lit("auto")
+    known = wanted.isin("auto", "parent_child", *LEXICAL, *DENSE)
+    asked = questions.withColumn("wanted", F.when(known, wanted).otherwise(F.raise_error(F.concat(F.lit("unknown retrieval strategy: "), wanted))))
+    routed = route(query_features(asked.drop("strategy")), dense_available)
+    return routed.withColumn("strategy", F.when(F.col("wanted") == "auto", F.col("strategy")).otherwise(F.col("wanted"))).drop("wanted")
 
 
-def routed_search(questions: DataFrame, rows: DataFrame, children: DataFrame, scope: list[str], k: int, model: str, dense_available: bool = True) -> DataFrame:
-    """RET14: each question through the strategy that RET13 picks for it: scope, query_id, strategy, rank, key, score.
+def routed_search(questions: DataFrame, rows: DataFrame, children: DataFrame, scope: list[str], k: int, model: str, dense_available: bool = True, index: TermIndex | None = None) -> DataFrame:
+    """RET14: each question by the strategy it asks for, or else by RET13's: scope, query_id, strategy, rank, key, score.
 
-    questions: scope, query_id, question, query_transform (RET10); rows: scope, key,
-    text, embedding_model; children: scope, key, parent_id, text. Lexical questions
+    questions: scope, query_id, question, query_transform (RET10), and strategy if wanted; rows: scope, key,
+    text, embedding_model; children: scope, key, parent_id, text; index: a stored RET8 of ``rows``, else one is made. Lexical questions
     are scored among their candidates (RET8), with those rows' statistics (RET2).
     Dense ones see only rows whose embedding has the tag ``model`` (EMB3, FLT4).
     parent_child takes the best child of each parent (RET9). A question with several
     variants is fused over all its rows (RET11). Each branch gets its own questions only.
+
+    Rows that share nothing with a question are counted (``counted_ranks``), and made only as far as one can be among the k best: of two such rows
+    the one with the lower key is ahead in each variant, so k of them will do, or as many children as k parents can have. Only where reciprocal ranks of
+    several variants are fused again are all made, since there such rows come between others.
     """
-    on = [*scope, "query_id"]
-    routed = settled(route(query_features(questions), dense_available).select(*on, "question", "query_transform", "strategy"))
-    asked = settled(expand(routed).select(*scope, (F.col("query_id") * VARIANTS + F.col("variant")).alias("vid"), "strategy", F.col("variant_text").alias("text")))
-
-    few = routed.where("strategy in ('bm25', 'keyword')")
-    pairs = candidates(few.select(*on, F.col("question").alias("text")), rows, "query_id", "key", scope=scope, limit=max(800, 100 * k))
-    lexical = asked.where("strategy in ('bm25', 'keyword')")
-    own = pairs.join(lexical.select(*scope, F.floor(F.col("vid") / VARIANTS).alias("query_id"), "vid"), on).select(*scope, "vid", "key")
-    found = bm25_among(own, lexical, rows, "vid", "key", scope=scope).select(*scope, "vid", "key", F.lit(None).cast("long").alias("parent_id"), F.round("lexical", 6).alias("score"))
-
-    dense = asked.where("strategy = 'rrf'")
-    tagged = rows.where(F.col("embedding_model") == model)
-    in_scope = tagged.join(dense.select(*scope).distinct(), list(scope), "left_semi")
-    both = component_scores(dense, in_scope, hashed_embedding(dense, "vid", "text", portable=True), hashed_embedding(in_scope, "key", "text", portable=True), "vid", "key", scope)
-    found = found.unionByName(strategy_scores(both, [*scope, "vid"], "key").select(*scope, "vid", "key", F.lit(None).cast("long").alias("parent_id"), F.col("score_rrf").alias("score")))
-
-    broad = asked.where("strategy = 'parent_child'")
-    hits = lexical_scores(broad, children, "vid", "key", scope).join(children.select(*scope, "key", "parent_id"), [*scope, "key"])
-    found = found.unionByName(hits.select(*scope, "vid", "key", "parent_id", F.round("lexical", 6).alias("score")))
-
-    ranked = found.withColumn("rank", rank_of("score", [*scope, "vid"], "key")).withColumn("query_id", F.floor(F.col("vid") / VARIANTS))
-    fused = ranked.groupBy(*on, "key").agg(F.sum(1.0 / (RRF + F.col("rank"))).alias("raw"), F.max("score").alias("score"), F.max("parent_id").alias("parent_id"))
-    several = asked.groupBy(*scope, F.floor(F.col("vid") / VARIANTS).alias("query_id")).agg((F.count("*") > 1).alias("several"), F.first("strategy").alias("strategy"))
+    on, vid = [*scope, "query_id"], [*scope, "vid"]
+    routed = settled(chosen_strategy(questions, dense_available).select(*on, "question", "query_transform", "strategy"))
+    asked = settled(expand(routed).select(*on, (F.col("query_id") * VARIANTS + F.col("variant")).alias("vid"), "strategy", F.col("variant_text").alias("text")))
+    several = asked.groupBy(*on).agg((F.count("*") > 1).alias("several"), F.first("strategy").alias("strategy"))
+    used = {r["strategy"] for r in routed.select("strategy").distinct().collect()}  # six at most
+    found = [asked.select(*on, "vid", F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("parent_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)]
+    if used & set(LEXICAL):
+        found.append(_lexical_branch(routed, asked, rows, scope, max(800, 100 * k), index))
+    if used & set(DENSE):
+        found.append(_dense_branch(asked, rows.where(F.col("embedding_model") == model), scope, k))
+    if "parent_child" in used:
+        found.append(_parent_branch(asked, children, scope, k))
+
+    fused = reduce(DataFrame.unionByName, found).groupBy(*on, "key").agg(F.sum(1.0 / (RRF + F.col("rank"))).alias("raw"), F.max("score").alias("score"), F.max("parent_id").alias("parent_id"))
     scored = fused.join(several, on).withColumn("score", F.when(F.col("several"), F.round(max_normalised(F.col("raw"), on), 6)).otherwise(F.col("score")))
     best = first_by(scored.withColumn("one", F.when(F.col("strategy") == "parent_child", F.col("parent_id")).otherwise(F.col("key"))), on, "one", "score", "key", k)
     return best.select(*on, "strategy", "rank", "key", "score")
 
 
+_RANKED = ("query_id", "vid", "key", "parent_id", "score", "rank")
+
+
+def _lexical_branch(routed: DataFrame, asked: DataFrame, rows: DataFrame, scope: list[str], limit: int, index: TermIndex | None) -> DataFrame:
+    on, vid = [*scope, "query_id"], [*scope, "vid"]
+    terms = routed.where(F.col("strategy").isin(*LEXICAL)).select(*on, F.col("question").alias("text"))
+    pairs = index.candidates(terms, "query_id", limit=limit) if index else candidates(terms, rows, "query_id", "key", scope=scope, limit=limit)
+    mine = asked.where(F.col("strategy").isin(*LEXICAL))
+    own = pairs.select(*on, "key").join(mine.select(*on, "vid"), on)
+    among = bm25_among(own.select(*vid, "key"), mine, rows, "vid", "key", scope=scope).join(mine.select(*vid, "query_id", "strategy"), vid)
+    among = among.withColumn("score", F.round(F.when(F.col("strategy") == "keyword", F.col("keyword")).otherwise(F.col("lexical")), 6))
+    return among.withColumn("rank", rank_of("score", vid, "key")).withColumn("parent_id", F.lit(None).cast("long")).select(*scope, *_RANKED)
+
+
+def _dense_branch(asked: DataFrame, tagged: DataFrame, scope: list[str], k: int) -> DataFrame:
+    on, vid = [*scope, "query_id"], [*scope, "vid"]
+    mine = asked.where(F.col("strategy").isin(*DENSE))
+    every = mine.groupBy(*on).agg(((F.count("*") > 1) & (F.first("strategy") == "rrf")).alias("every"))
+    both = component_scores(mine.join(every, on), tagged, "vid", "key", scope, F.when(~F.col("every"), F.lit(k)), owner="query_id")
+    by = strategy_scores(both, vid, "key").join(mine.select(*vid, "strategy"), vid)
+    by = by.withColumn("score", F.when(F.col("strategy") == "vector", F.col("score_vector")).when(F.col("strategy") == "weighted", F.col("score_weighted")).otherwise(F.col("score_rrf")))
+    rank = F.when(F.col("strategy") == "rrf", rank_of("score", vid, "key")).otherwise(counted_rank("score", vid))
+    return by.withColumn("rank", rank).withColumn("parent_id", F.lit(None).cast("long")).select(*scope, *_RANKED)
+
+
+def _parent_branch(asked: DataFrame, children: DataFrame, scope: list[str], k: int) -> DataFrame:
+    vid = [*scope, "vid"]
+    mine = asked.where("strategy = 'parent_child'")
+    own = settled(children.join(mine.select(*scope).distinct(), list(scope), "left_semi"))
+    most = own.groupBy(*scope, "parent_id").count().groupBy(*scope).agg((F.max("count") * k).alias("most"))
+    hits = settled(lexical_scores(mine, own, "vid", "key", scope).withColumn("score", F.round("lexical", 6)))
+    filled = with_unscored(hits, id_order(own, scope, "key"), mine.join(most, list(scope)), scope, "vid", "key", ["score"], F.col("most"), owner="query_id")
+    return filled.join(own.select(*scope, "key", "parent_id"), [*scope, "key"]).withColumn("rank", counted_rank("score", vid)).select(*scope, *_RANKED)
+
+
 def parent_child(child_scores: DataFrame, children: DataFrame, parents: DataFrame, query: list[str], k: int, score: str = "score") -> DataFrame:
     """RET9: the best child of each parent, then the k best parents, with the parent's text. children: chunk_id, parent_id; parents: parent_id, parent_text."""
     hits = first_by(child_scores.join(children.select("chunk_id", "parent_id"), "chunk_id"), query, "parent_id", score, "chunk_id", k)
@@ -144,21 +191,6 @@ def exact_knn(queries: DataFrame, rows: DataFrame, k: int, group: str = "label",
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", key, F.round("score", 6).alias("score"))
 
 
-def approximate_knn(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", bucket: float = 0.1, tables: int = 8) -> DataFrame:
-    """RET18: candidates from random projections, then exact scores: (query_id, rank, key, score). bucket: for unit vectors of some 64 components."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    v = array_to_vector(F.transform(vector, lambda x: x.cast("double")))
-    a, b = queries.select(F.col(key).alias("query_id"), v.alias("x")), rows.select(key, v.alias("x"))
-    lsh = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7).fit(b)
-    keyed = lambda t: lsh.transform(t).select("*", F.posexplode("h").alias("t", "hv")).withColumn("hv", vector_to_array("hv")[0])
-    pairs = keyed(a).select("query_id", F.col("x").alias("qx"), "t", "hv").join(keyed(b).select(key, "x", "t", "hv"), ["t", "hv"]).where(F.col("query_id") != F.col(key)).dropDuplicates(["query_id", key])
-    score = F.aggregate(F.zip_with(vector_to_array("qx"), vector_to_array("x"), lambda p, q: p * q), F.lit(0.0), lambda s, y: s + y)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return pairs.select("query_id", key, F.round(score, 6).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def rerank(ranked: DataFrame, query: list[str], key: str, scorer, depth: int = 10) -> DataFrame:
     """RET20: the first ``depth`` rows ranked anew by ``scorer``, a column or an Arrow UDF's result."""
     w = Window.partitionBy(*query).orderBy(F.desc("rerank_score"), key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, chunking, evaluate, policy
+from ..operators import answers, chunking, evaluate, near_text, policy
 from ..operators.fusion import first_by, margin
 from .registry import query, table, tokens_sql
 from .retrieval_queries import TOPK_SQL, bm25_topk
@@ -324,11 +324,23 @@ def ev8_leakage(spark, sf_dir):
     return evaluate.leakage(d.where("doc_id % 3 = 0"), {f"set{i}": d.where(F.col("doc_id") % 3 == i) for i in (1, 2)}, ["question", "source", "digest"])
 
 
+def asked_before(spark, sf_dir):
+    """Users' turns of two halves of the conversations: what is asked now and what was asked before, a row for each different text of a half."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user' AND length(text) > 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ask"), (F.col("conv_id") % 2).alias("half"), "text")
+    least = turns.groupBy("half", "text").agg(F.min("ask").alias("ask"))
+    return least.where("half = 0").drop("half"), least.where("half = 1").drop("half")
+
+
 @query()
 def ev9_near_pairs(spark, sf_dir):
-    """EV9, JN12, UDF5: over the first lines of documents, different ones."""
-    q = docs(spark, sf_dir).select("doc_id", F.split("text", "\n")[0].alias("text")).groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    return evaluate.near_pairs(q, q, "doc_id", "text")
+    """EV9, JN12, UDF5: what is asked now and nearly so before; whole texts."""
+    return near_text.near_pairs(*asked_before(spark, sf_dir), "ask", "text")
+
+
+@query()
+def ev9_nearest_pair(spark, sf_dir):
+    """EV9: the largest ratio of a pair."""
+    return near_text.nearest_pair(*asked_before(spark, sf_dir), "ask", "text")
 
 
 _DIGEST = "sum(CAST('0x' || substr(sha256(coalesce({}, '')), 1, 15) AS BIGINT))"

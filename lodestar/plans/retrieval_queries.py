@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import evaluate, fusion, lexical, routing, search
+from ..operators import counted_ranks, evaluate, fusion, inverted_file, lexical, routing, search
 from ..operators.chunking import fixed_chunks
+from ..operators.term_index import TermIndex
+from ..session import shared_folder
 from .registry import query, table, tokens_sql
 
 SCOPE = ["tenant", "kb"]
@@ -101,10 +105,8 @@ s AS (SELECT *, round(keyword, 6) AS score_keyword, round(vector, 6) AS score_ve
 COMPONENTS_SQL = components_sql()
 
 
-def components(spark, sf_dir):
-    d, q = rows(spark, sf_dir), asks(spark, sf_dir)
-    dv, qv = V.hashed_embedding(d, "doc_id", "text", portable=True), V.hashed_embedding(q, "query_id", "text", portable=True)
-    return search.component_scores(q, d, qv, dv, "query_id", "doc_id", SCOPE)
+def components(spark, sf_dir, limit=None):
+    return search.component_scores(asks(spark, sf_dir), rows(spark, sf_dir), "query_id", "doc_id", SCOPE, limit)
 
 
 @query(f"WITH {COMPONENTS_SQL} SELECT tenant, kb, query_id, doc_id, score_keyword, score_vector, score_weighted, score_bm25, score_rrf FROM s")
@@ -120,7 +122,7 @@ def ranked_sql(strategy: str, k: int) -> str:
 
 def _strategy(name: str, number: str):
     def run(spark, sf_dir):
-        scores = search.strategy_scores(components(spark, sf_dir), [*SCOPE, "query_id"], "doc_id")
+        scores = search.strategy_scores(components(spark, sf_dir, 5), [*SCOPE, "query_id"], "doc_id")
         return search.search_batch(scores, [*SCOPE, "query_id"], "doc_id", 5, (name,))
 
     run.__name__ = f"{number}_{name}_topk"
@@ -133,7 +135,7 @@ for _n, _s in (("ret4", "vector"), ("ret5", "weighted"), ("ret6", "rrf"), ("ret3
 
 @query(f"WITH {COMPONENTS_SQL} SELECT strategy, rank, count(*) AS results, round(avg(score), 6) AS mean FROM ({' UNION ALL '.join(ranked_sql(s, 5) for s in search.STRATEGIES)}) GROUP BY ALL")
 def ev14_strategy_grid(spark, sf_dir):
-    scores = search.strategy_scores(components(spark, sf_dir), [*SCOPE, "query_id"], "doc_id")
+    scores = search.strategy_scores(components(spark, sf_dir, 5), [*SCOPE, "query_id"], "doc_id")
     return search.search_batch(scores, [*SCOPE, "query_id"], "doc_id", 5).groupBy("strategy", "rank").agg(F.count("*").alias("results"), F.round(F.avg("score"), 6).alias("mean"))
 
 
@@ -144,14 +146,25 @@ def terms_sql(x: str) -> str:
 
 
 CANDIDATES_SQL = f"""t AS (SELECT tenant, kb, query_id, unnest({terms_sql('text')}) AS term FROM q),
-h AS (SELECT tenant, kb, query_id, doc_id, count(*) AS terms FROM t JOIN d USING (tenant, kb) WHERE contains(lower(d.text), term) GROUP BY ALL),
-cand AS (SELECT tenant, kb, query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY tenant, kb, query_id ORDER BY terms DESC, doc_id) AS r FROM h) WHERE r <= 800
-  UNION ALL SELECT tenant, kb, query_id, doc_id FROM q JOIN d USING (tenant, kb) WHERE query_id NOT IN (SELECT query_id FROM h))"""
-
-
-@query(f"WITH {ROWS_SQL}, {CANDIDATES_SQL} SELECT * FROM cand")
+wd AS (SELECT tenant, kb, doc_id, word, count(*) AS tf FROM (SELECT tenant, kb, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_+\\-]{{3,}}')) AS word FROM d) GROUP BY ALL),
+vw AS (SELECT term, word, len(list_filter(range(1, length(word) - length(term) + 2), lambda i: substr(word, i, length(term)) = term)) AS times FROM (SELECT DISTINCT term FROM t) JOIN (SELECT DISTINCT word FROM wd) ON contains(word, term)),
+he AS (SELECT term, tenant, kb, doc_id, sum(tf * times) AS f FROM vw JOIN wd USING (word) GROUP BY ALL),
+sz AS (SELECT tenant, kb, doc_id, greatest(length(coalesce(text, '')) - 2, 0) AS size FROM d), al0 AS (SELECT count(*) AS n, avg(size) AS mean FROM sz),
+wt AS (SELECT term, CASE WHEN x > 0 THEN x ELSE 1e-6 END AS idf FROM (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS x FROM he CROSS JOIN al0 GROUP BY term, n)),
+h AS (SELECT tenant, kb, query_id, doc_id, sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / mean))) AS score FROM t JOIN wt USING (term) JOIN he USING (tenant, kb, term) JOIN sz USING (tenant, kb, doc_id) CROSS JOIN al0 GROUP BY ALL),
+hp AS (SELECT *, row_number() OVER (PARTITION BY tenant, kb, query_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM h),
+cd AS (SELECT * FROM hp WHERE place <= 800 UNION ALL SELECT tenant, kb, query_id, doc_id, NULL, NULL FROM q JOIN d USING (tenant, kb) WHERE query_id NOT IN (SELECT query_id FROM h)),
+cand AS (SELECT tenant, kb, query_id, doc_id FROM cd)"""
+
+
+@query(f"WITH {ROWS_SQL}, {CANDIDATES_SQL} SELECT tenant, kb, query_id, doc_id, round(score, 6) AS score, CAST(place AS INTEGER) AS place FROM cd")
 def ret8_candidates(spark, sf_dir):
-    return lexical.candidates(asks(spark, sf_dir), rows(spark, sf_dir), "query_id", "doc_id", scope=SCOPE, limit=800)
+    """RET8: from an index that is written in two batches, the second of which brings a third of the rows anew."""
+    d, q = rows(spark, sf_dir), asks(spark, sf_dir)
+    index = TermIndex(spark, f"{shared_folder(spark)}/terms-{uuid.uuid4().hex}", "doc_id", SCOPE)
+    index.add(d.withColumn("text", F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("outdated "), "text")).otherwise(F.col("text"))), 0)
+    index.add(d.where("doc_id % 3 = 1"), 1)
+    return index.candidates(q, "query_id", limit=800).withColumn("score", F.round("score", 6))
 
 
 AMONG_SQL = f"""al AS (SELECT tenant, kb, doc_id, {tokens_sql('text')} AS t FROM d), ap AS (SELECT tenant, kb, doc_id, token, count(*) AS tf FROM (SELECT tenant, kb, doc_id, unnest(t) AS token FROM al) GROUP BY ALL),
@@ -235,9 +248,11 @@ SELECT tenant, kb, query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (
 def ret11_multi_query_fusion(spark, sf_dir):
     """Each question and its rewritten form, each ranking all rows of the scope."""
     asked = table(spark, sf_dir, "benchmark").selectExpr("concat('src', item_id % 20) AS tenant", f"{KB} AS kb", "item_id AS query_id", f"{_ASKED} AS question", "'multi_query' AS query_transform")
-    variants = routing.expand(asked).select(*SCOPE, (F.col("query_id") * search.VARIANTS + F.col("variant")).alias("vid"), F.col("variant_text").alias("text"))
-    scored = search.lexical_scores(variants, rows(spark, sf_dir), "vid", "doc_id", SCOPE)
-    ranked = scored.withColumn("rank", fusion.rank_of("lexical", [*SCOPE, "vid"], "doc_id")).withColumn("query_id", F.floor(F.col("vid") / search.VARIANTS))
+    variants = routing.expand(asked).select(*SCOPE, "query_id", (F.col("query_id") * search.VARIANTS + F.col("variant")).alias("vid"), F.col("variant_text").alias("text"))
+    d = rows(spark, sf_dir)
+    scored = search.lexical_scores(variants, d, "vid", "doc_id", SCOPE)
+    every = counted_ranks.with_unscored(scored, counted_ranks.id_order(d, SCOPE, "doc_id"), variants, SCOPE, "vid", "doc_id", ["lexical"], 5, owner="query_id")
+    ranked = every.withColumn("rank", counted_ranks.counted_rank("lexical", [*SCOPE, "vid"]))
     return lexical.top_k(fusion.fuse_variants(ranked, [*SCOPE, "query_id"], "doc_id"), ["query_id"], "score", "doc_id", 5)
 
 
@@ -264,7 +279,7 @@ def routed(spark, sf_dir, tenant: str = "concat('src', item_id % 20)"):
     asked = table(spark, sf_dir, "benchmark").selectExpr(f"{tenant} AS tenant", f"{KB} AS kb", "item_id AS query_id", _QUESTION, f"{_TRANSFORM} AS query_transform")
     found = rows(spark, sf_dir)
     whole = found.select(*SCOPE, F.col("doc_id").alias("key"), "text", F.when(F.col("doc_id") % 10 == 9, "other").otherwise("md5-256").alias("embedding_model"))
-    children = fixed_chunks(found, "doc_id", "text").join(found.select("doc_id", *SCOPE), "doc_id").select(*SCOPE, (F.col("doc_id") * 100_000 + F.col("chunk_index")).alias("key"), F.col("doc_id").alias("parent_id"), F.col("chunk").alias("text"))
+    children = fixed_chunks(found, "doc_id", "text").join(found.select("doc_id", *SCOPE), "doc_id").select(*SCOPE, F.when(F.col("chunk_index") < 100_000, F.col("doc_id") * 100_000 + F.col("chunk_index")).otherwise(F.raise_error(F.lit("a document of more than 100,000 chunks"))).alias("key"), F.col("doc_id").alias("parent_id"), F.col("chunk").alias("text"))
     return search.routed_search(asked, whole, children, SCOPE, 3, "md5-256")
 
 
@@ -302,7 +317,7 @@ def ret17_exact_knn(spark, sf_dir):
 @query()
 def ret18_approximate_knn(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return search.approximate_knn(e.where("vec_id % 50 = 0"), e, 10)
+    return inverted_file.approximate_knn(e.where("vec_id % 50 = 0"), e, 10)
 
 
 def _visual_sql(o: float, i: float) -> str:
@@ -336,6 +351,6 @@ def ret16_visual_weights(spark, sf_dir):
 @query(f"""WITH {COMPONENTS_SQL}, t AS ({ranked_sql('bm25', 10)}), y AS (SELECT t.*, score_vector AS rerank_score FROM t JOIN s USING (tenant, kb, query_id, doc_id))
 SELECT tenant, kb, query_id, doc_id, rank, rerank_score, CAST(row_number() OVER (PARTITION BY tenant, kb, query_id ORDER BY rerank_score DESC, doc_id) AS INTEGER) AS new_rank FROM y""")
 def ret20_rerank(spark, sf_dir):
-    scores = search.strategy_scores(components(spark, sf_dir), [*SCOPE, "query_id"], "doc_id")
+    scores = search.strategy_scores(components(spark, sf_dir, 10), [*SCOPE, "query_id"], "doc_id")
     ranked = lexical.top_k(scores, [*SCOPE, "query_id"], "score_bm25", "doc_id", 10)
     return search.rerank(ranked, [*SCOPE, "query_id"], "doc_id", F.col("score_vector")).select(*SCOPE, "query_id", "doc_id", "rank", "rerank_score", "new_rank")
