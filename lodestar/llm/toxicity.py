@@ -225,93 +225,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: in
     return ToxicModel(crf, model.weights)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, ...]:
-    """Ridge logistic regression by Newton's method; the first column, the constant, is free."""
-    w, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
-    penalty[0, 0] = 1e-6
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        hess = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty
-        w = w - np.clip(np.linalg.solve(hess, x.T @ (p - y) + penalty @ w), -5, 5)
-    return tuple(float(v) if math.isfinite(v) else 0.0 for v in w)
-
-
-def score(self, top: np.ndarray, any_: np.ndarray) -> np.ndarray:
-        z = self.weights[0] + self.weights[1] * top + self.weights[2] * any_
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
-
-def _logit(p: np.ndarray) -> np.ndarray:
-    p = np.clip(p, 1e-6, 1 - 1e-6)
-    return np.log(p / (1 - p))
-
-
-def _marginals(data: np.ndarray, offsets: np.ndarray, store: Potentials, ranges: bool = False):
-    """The marginal of each token of texts in UTF-8 and the offsets of the texts in them; on request the tokens' ranges of bytes too."""
-    start, end = word_ranges(data, offsets)
-    at = np.searchsorted(start, offsets)
-    if len(store.model.index) and len(start):
-        p = marginals(store.unary(data, start, end, at), at, store.model.moves)[:, 1]
-    else:
-        p = np.zeros(len(start))
-    return (p, at, start, end) if ranges else (p, at)
-
-
-def _scores(batches, model, spans: bool, columns: int):
-    """Each batch's first ``columns`` columns, then its marginals' two figures, score and spans. The text is column 1."""
-    model = model.value
-    store = Potentials(model.crf)
-    for batch in batches:
-        data, offsets = string_buffer(batch.column(1))
-        for a, b in slices(np.diff(offsets), 1 << 19):
-            part, base = batch.slice(a, b - a), offsets[a]
-            here = data[base : offsets[b]]
-            p, at, start, end = _marginals(here, offsets[a : b + 1] - base, store, True)
-            top, none = np.zeros(b - a), np.zeros(b - a)
-            if len(some := np.flatnonzero(np.diff(at))):
-                top[some] = np.maximum.reduceat(p, at[some])
-                none[some] = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-9)), at[some])
-            top, any_ = _logit(top), _logit(-np.expm1(none))
-            found: list[list] = [[] for _ in range(b - a)]
-            for k in np.flatnonzero(p >= 0.5).tolist() if spans else ():
-                i = int(np.searchsorted(at, k, side="right")) - 1
-                before = here[offsets[a + i] - base : start[k]].tobytes().decode()
-                found[i].append({"start": len(before), "end": len(before) + len(here[start[k] : end[k]].tobytes().decode())})
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(i) for i in range(columns) if i != 1), pa.array(top), pa.array(any_), pa.array(model.score(top, any_)), pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=[*(part.schema.names[i] for i in range(columns) if i != 1), "top", "any", "score", "spans"],
-            )
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: int = 5000, max_chains: int = 4000, least: int = 3, folds: Column | None = None, again: int = 0) -> ToxicModel:
-    """Fit on documents (doc_id, text) with labels (doc_id, toxic). ``folds``: a condition on doc_id that training rows meet; ``again``: how often tokens are tagged anew."""
-    spark = small_batches(docs).sparkSession
-    known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)")
-    if folds is not None:
-        known = known.where(folds)
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    pick = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    ids = pick(1, max_toxic).unionByName(pick(0, max_clean))
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
-    sample = cut_lineage(sample)
-    lexicon = frozenset(word_evidence(sample, least))
-    if not lexicon:
-        return ToxicModel(Crf(2, features, neighbour, (-1, 1)))
-    chains = sample.mapInArrow(lambda it: _stretches(it, lexicon), "doc_id long, start long, tokens array<string>, tags array<int>, kind int")
-    order = [F.xxhash64("doc_id", "start"), "doc_id", "start"]
-    taken = [r for kind, n in ((2, max_chains // 2), (1, max_chains // 8 if again else 0), (0, max_chains // 2)) if n for r in chains.where(F.col("kind") == kind).orderBy(*order).limit(n).collect()]
-    crf = Crf(2, features, neighbour, (-1, 1)).fit([(r["tokens"], r["tags"], []) for r in taken])
-    rows = [(r["doc_id"], r["kind"], r["tokens"], r["tags"]) for r in taken]
-    for _ in range(again):
-        tags = retagged(crf, rows)
-        crf.fit([(tokens, y, []) for (_, _, tokens, _), y in zip(rows, tags, strict=True)], rounds=20, warm=True)
-    model = ToxicModel(crf)
-    shared = spark.sparkContext.broadcast(model)
-    rows = sample.mapInArrow(lambda it: _scores(it, shared, False, 3), "doc_id long, toxic int, top double, any double, score double, spans array<struct<start:long,end:long>>").select("toxic", "top", "any").collect()  # a row a document of the sample
-    model.weights = _logistic(np.array([[1.0, r["top"], r["any"]] for r in rows]), np.array([r["toxic"] for r in rows], float))
-    return ToxicModel(crf, model.weights)
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
     """Ridge logistic regression by Newton's method, classes weighted equally."""
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
