@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import answer_matches
+from ..session import settled
+from .ranks import row_numbers
+
 
 def first_ranks(ranked: DataFrame, gold: DataFrame, query: str, source: str) -> DataFrame:
     """The rank of each query's first expected source; null if none is there. gold: query, category, expected_sources."""
@@ -65,15 +69,49 @@ def leakage(current: DataFrame, earlier: dict[str, DataFrame], columns: list[str
     return out
 
 
+FAN = 1024  # digests that one digest of a tree is made of
+
+
+def tree_digest(rows: DataFrame, by: list[str], order: list[str], leaf: Column) -> DataFrame:
+    """EV10: by, rows, sha256 of each group's leaves in order.
+
+    Digests of ``FAN`` leaves in a row are joined to one, and those again until one is left, so that no group is one task's; any
+    change, swap or move of a row changes it.
+    """
+    level = row_numbers(rows.select(*by, *order, F.sha2(leaf, 256).alias("sha256")), by, order, "n")
+    sizes = level.groupBy(*by).agg(F.max("n").alias("rows"))
+    most = None
+    while most is None or most > 1:
+        block = F.floor((F.col("n") - 1) / FAN) + 1
+        joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "sha256"))), lambda x: x["sha256"]), ""), 256)
+        if most is not None:  # what is one digest already stays
+            joined = F.when(F.count("*") == 1, F.first("sha256")).otherwise(joined)
+        level = settled(level.groupBy(*by, block.alias("b")).agg(joined.alias("sha256")).withColumnRenamed("b", "n"))
+        most = level.agg(F.max("n")).first()[0] or 1
+    return sizes.join(level.drop("n"), by).select(*by, "rows", "sha256")
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """EV10: name, sha256 (of the bytes), rows (lines that are not blank) of each file; a file has less than 2 GB."""
+    lines = F.filter(F.split(F.decode("content", "UTF-8"), "\n"), lambda x: F.trim(x) != "")
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.size(lines).cast("long").alias("rows"))
+
+
 def freeze_check(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """EV10: hash and row count of each file against the manifest. Both: name, sha256, rows."""
     m = manifest.select("name", F.col("sha256").alias("want_sha"), F.col("rows").alias("want_rows"))
     return m.join(files, "name", "left").select("name", F.coalesce((F.col("sha256") == F.col("want_sha")) & (F.col("rows") == F.col("want_rows")), F.lit(False)).alias("frozen"))
 
 
-def leak_probe(results: DataFrame, owners: DataFrame, key: str) -> DataFrame:
-    """EV11: results that belong to another tenant than the one who asked; must be empty. results: tenant, key; owners: key, owner."""
-    return results.join(owners, key).where(F.col("tenant") != F.col("owner"))
+def leak_probe(results: DataFrame, targets: DataFrame, owners: DataFrame, query: str, key: str) -> DataFrame:
+    """EV11: what came back to someone who asked for another tenant's row: results, foreign_rows (of another owner), leaked (targets that came back), targets (that there are at all, or the probe proves nothing).
+
+    results: query, tenant (who asked), key; targets: query, key of rows that another tenant has; owners: key, owner.
+    """
+    owned = results.join(owners, key).agg(F.count("*").alias("results"), F.count_if(F.col("tenant") != F.col("owner")).alias("foreign_rows"))
+    leaked = results.join(targets.select(query, key).distinct(), [query, key], "left_semi").agg(F.count("*").alias("leaked"))
+    there = targets.join(owners, key, "left_semi").agg(F.count("*").alias("targets"))
+    return owned.crossJoin(leaked).crossJoin(there)  # a row each
 
 
 def costs(usage: DataFrame, rates: DataFrame, by: list[str]) -> DataFrame:
@@ -95,9 +133,10 @@ def document_profile(elements: DataFrame, document: str, modality: str, text: st
     return counts.groupBy(document).agg(F.sum("n").alias("elements"), F.sum("chars").alias("characters"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(modality, "n")))).alias("modalities"))
 
 
-def context_completeness(ranked: DataFrame, query: str, complete: Column, text: str) -> DataFrame:
-    """EV13: how often the evidence is complete at 1 and at 5, and the mean length."""
-    q = ranked.groupBy(query).agg(F.max(F.when(F.col("rank") <= 1, complete.cast("int"))).alias("c1"), F.max(F.when(F.col("rank") <= 5, complete.cast("int"))).alias("c5"), F.avg(F.length(text)).alias("chars"))
+def context_completeness(ranked: DataFrame, query: str, source: Column, context: str, expected: Column) -> DataFrame:
+    """EV13: how often the first context, and one of the first five, is of the expected source and contains the expected answer (FN17), and the mean length of contexts. Columns rank and ``context`` in."""
+    complete = (source & answer_matches(F.col(context), expected)).cast("int")
+    q = ranked.groupBy(query).agg(F.max(F.when(F.col("rank") <= 1, complete)).alias("c1"), F.max(F.when(F.col("rank") <= 5, complete)).alias("c5"), F.avg(F.length(context)).alias("chars"))
     return q.agg(F.round(F.avg("c1"), 4).alias("complete1"), F.round(F.avg("c5"), 4).alias("complete5"), F.round(F.avg("chars"), 4).alias("mean_chars"))
 
 

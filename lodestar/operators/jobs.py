@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import row_numbers
+
 
 def intake(requests: DataFrame, known: DataFrame, by: list[str], payload: str, order: str) -> DataFrame:
     """JOB1: adds ``decision``: new, duplicate (same key and payload) or conflict (same key, other payload).
@@ -48,12 +50,13 @@ def upsert_blobs(stored: DataFrame, incoming: DataFrame, model: str) -> DataFram
 
 
 def lease_audit(jobs: DataFrame, as_of: Column) -> DataFrame:
-    """JOB4: adds ``lease``: exhausted, reclaimable, claimable or held, and the claim order of the first two kinds that may run."""
+    """JOB4: adds ``lease``: exhausted, reclaimable, claimable or held, and the claim order within the tenant of those that may run, without a window over a tenant."""
     expired = F.col("lease_expires_at").isNull() | (F.col("lease_expires_at") < as_of)
     lease = F.when((F.col("state") == "running") & expired & (F.col("attempt") >= F.col("max_attempts")), "exhausted").when((F.col("state") == "running") & expired, "reclaimable").when(F.col("state") == "queued", "claimable").when(F.col("state") == "running", "held").otherwise("finished")
     marked = jobs.withColumn("lease", lease)
-    w = Window.partitionBy("tenant_id", F.col("lease").isin("reclaimable", "claimable")).orderBy("created_at", "id")
-    return marked.withColumn("claim_order", F.when(F.col("lease").isin("reclaimable", "claimable"), F.row_number().over(w)))
+    runs = F.col("lease").isin("reclaimable", "claimable")
+    claimed = row_numbers(marked.where(runs), ["tenant_id"], ["created_at", "id"], "claim_order").withColumn("claim_order", F.col("claim_order").cast("int"))
+    return claimed.unionByName(marked.where(~runs).withColumn("claim_order", F.lit(None).cast("int")))
 
 
 def terminal_state(maps: DataFrame, by: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from ..session import settled
 
 
 def row_numbers(rows: DataFrame, by: list[str], order: list[str | Column], name: str) -> DataFrame:
-    """Adds ``name``: 1, 2, ... within ``by`` (not null) in the given order.
+    """Adds ``name``: 1, 2, ... within ``by`` (nulls are one group) in the given order.
 
     Rows are dealt out by ranges of (by, order) and settled there. What stands before a
     group's rows of one range is a sum over the ranges before, of which there is one row
@@ -21,5 +21,6 @@ def row_numbers(rows: DataFrame, by: list[str], order: list[str | Column], name:
     placed = placed.withColumn("_at", F.monotonically_increasing_id())
     pieces = placed.groupBy(*by, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = pieces.select(*by, "_range", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
-    return placed.join(offsets, [*by, "_range"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_range", "_at", "_shift")
+    group = F.struct(*by).alias("_group")  # in which nulls are equal
+    offsets = pieces.select(group, "_range", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return placed.select("*", group).join(offsets, ["_group", "_range"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_group", "_range", "_at", "_shift")

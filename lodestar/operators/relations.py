@@ -64,11 +64,33 @@ def backfill(chunks: DataFrame, parents: DataFrame, children: DataFrame, key: st
     return parents.unionByName(new_parents, allowMissingColumns=True), children.unionByName(new_children, allowMissingColumns=True)
 
 
-def first_match(cases: DataFrame, catalog: DataFrame, fragment: str, url: str, case: str, order: str) -> DataFrame:
-    """JN14: each case with the first catalog row whose url contains its fragment; null if there is none."""
-    hit = cases.join(catalog, F.col(url).contains(F.col(fragment)))
-    best = hit.groupBy(case).agg(F.min(order).alias(order))
-    return cases.select(case, fragment).join(best, case, "left")
+def containing(fragments: DataFrame, rows: DataFrame, fragment: str, text: str, key: str) -> DataFrame:
+    """fragment, key of each different non-empty fragment and row whose text contains it.
+
+    A text that contains a fragment contains all its runs of three characters (a shorter fragment is one run), so both
+    meet on the one of them that the fewest rows have, and are compared there. Texts are cut only into runs of lengths that
+    fragments have, and only runs that some fragment has go on. Keys are unique.
+    """
+    asked = fragments.where(F.length(fragment) > 0).select(F.col(fragment).alias("_f"), F.least(F.length(fragment), F.lit(3)).alias("_q")).distinct()
+    sizes = [r["_q"] for r in asked.select("_q").distinct().collect()]  # three at most
+    cut = lambda t, q: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - q + 1), lambda i: F.substring(t, i, F.lit(q))))
+    runs = lambda t, q: F.when(F.length(t) >= q, cut(t, q)).otherwise(F.array().cast("array<string>"))
+    wanted = asked.select("_f", F.explode(F.when(F.col("_q") < 3, F.array("_f")).otherwise(runs(F.col("_f"), 3))).alias("_g"))
+    every = F.flatten(F.array(*[runs(F.col(text), q) for q in sizes])) if sizes else F.array().cast("array<string>")
+    held = rows.select(key, F.explode(every).alias("_g")).join(wanted.select("_g").distinct(), "_g", "left_semi")
+    common = held.groupBy("_g").agg(F.count("*").alias("_n"))
+    rarest = wanted.join(common, "_g", "left").groupBy("_f").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_g")).alias("_r")).where("_r._n > 0").select("_f", "_r._g")
+    pairs = rarest.join(held, "_g").select("_f", key).join(rows.select(key, F.col(text).alias("_t")), key)
+    return pairs.where(F.col("_t").contains(F.col("_f"))).select(F.col("_f").alias(fragment), key)
+
+
+def first_match(cases: DataFrame, catalog: DataFrame, fragment: str, url: str, case: str, order: str, strict: bool = True) -> DataFrame:
+    """JN14: each case with the first catalog row (by ``order``, unique) whose url contains its fragment. A case without any is an error, or null if not ``strict``. An empty fragment is in every url, a null one in none."""
+    best = containing(cases, catalog, fragment, url, order).groupBy(fragment).agg(F.min(order).alias(order))
+    first = catalog.agg(F.min(order).alias(order)).select(F.lit("").alias(fragment), order)
+    found = cases.select(case, fragment).join(best.unionByName(first), fragment, "left")
+    none = F.raise_error(F.concat(F.lit("no catalog row matches case "), F.coalesce(F.col(case).cast("string"), F.lit("null"))))
+    return found.select(case, fragment, F.coalesce(order, none.cast(catalog.schema[order].dataType)).alias(order) if strict else order)
 
 
 def latest(rows: DataFrame, by: list[str], order: str) -> DataFrame:

@@ -156,13 +156,68 @@ def visual_search(rows: DataFrame, query: list[str], key: str, k: int, ocr_weigh
     return top_k(scaled.withColumn("score", F.round(score, 6)), query, "score", key, k)
 
 
-def exact_knn(queries: DataFrame, rows: DataFrame, k: int, group: str = "label", key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
+QUERY_BYTES = 64 << 20  # vectors of queries that go to all tasks
+
+
+def _best_of(at: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query (by number) the k rows with the highest rounded scores, equal ones by id."""
+    order = np.lexsort((ids, -np.round(score, 6), at))
+    at, ids, score = at[order], ids[order], score[order]
+    keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[keep], ids[keep], score[keep]
+
+
+def _knn_by_scan(asked: pa.Table, rows: DataFrame, k: int, group: str, key: str, vector: str) -> DataFrame:
+    """Each task multiplies what it reads with the queries of the same group and keeps the k best of each query; no row is shuffled."""
+    shared = rows.sparkSession.sparkContext.broadcast((np.array(asked.column(0).to_pylist(), object), asked.column(1).to_numpy(), np.stack(asked.column(2).to_numpy())))
+
+    def run(batches):
+        groups, q_ids, q = shared.value
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for batch in batches:
+            labels, ids = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy()
+            x = _stacked(batch.column(2))
+            parts = [best]
+            for g in set(groups) & set(labels):
+                mine, here = np.flatnonzero(groups == g), np.flatnonzero(labels == g)
+                s = q[mine] @ x[here].T
+                s[q_ids[mine][:, None] == ids[here]] = -np.inf
+                rounded = np.round(s, 6)
+                if s.shape[1] > k:  # what is under the k-th score is no result
+                    rounded[rounded < np.partition(rounded, -k, axis=1)[:, -k, None]] = -np.inf
+                at, col = np.nonzero(np.isfinite(rounded))
+                parts.append((mine[at], ids[here][col], s[at, col]))
+            best = _best_of(*(np.concatenate(p) for p in zip(*parts, strict=True)), k)
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", key, "score"])
+
+    return rows.select(group, key, F.transform(vector, lambda v: v.cast("double")).alias("x")).where("x is not null").mapInArrow(run, f"query_id long, {key} long, score double")
+
+
+def _stacked(column: pa.Array) -> np.ndarray:
+    """A column of equally long lists as a matrix, without a list a row."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def exact_knn(queries: DataFrame, rows: DataFrame, k: int, group: str = "label", key: str = "vec_id", vector: str = "embedding", block: int = 4096, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """RET17: the k rows of each query's group with the largest inner products, (query_id, rank, key, score).
 
-    A group's rows are dealt to blocks of about ``block``, its queries to blocks of a
+    Queries of up to ``query_bytes`` go to all tasks, which read each row once and shuffle none. With more of them a
+    group's rows are dealt to blocks of about ``block``, its queries to blocks of a
     quarter of that, by their counts. A task multiplies one block of either kind and
-    keeps the k best of each query, which a window merges.
+    keeps the k best of each query. A window merges what tasks have kept.
     """
+    asked = queries.select(group, key, F.transform(vector, lambda v: v.cast("double")).alias("x")).where(F.col(group).isNotNull() & F.col("x").isNotNull())
+    few = query_bytes // 8 // 64 + 1  # by vectors of 64 numbers; larger ones are counted
+    some = asked.limit(few).toArrow()
+    if not len(some) or (len(some) < few and some.nbytes <= query_bytes):
+        found = _knn_by_scan(some.combine_chunks(), rows, k, group, key, vector) if len(some) else queries.limit(0).select(F.col(key).alias("query_id"), key, F.lit(0.0).alias("score"))
+    else:
+        found = _knn_by_blocks(queries, rows, k, group, key, vector, block)
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), key)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", key, F.round("score", 6).alias("score"))
+
+
+def _knn_by_blocks(queries: DataFrame, rows: DataFrame, k: int, group: str, key: str, vector: str, block: int) -> DataFrame:
     dealt = lambda t, n: F.pmod(F.xxhash64(key), F.ceil(F.col(n) / block if n == "rows" else F.col(n) * 4 / block).cast("int"))
     size = rows.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("rows")).join(queries.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("asked")), "g")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / block if n == "rows" else F.col(n) * 4 / block).cast("int") - 1))
@@ -178,17 +233,13 @@ def exact_knn(queries: DataFrame, rows: DataFrame, k: int, group: str = "label",
         s = a @ b.T
         s[ids[asks][:, None] == x_ids] = -np.inf
         rounded = np.round(s, 6)
-        if s.shape[1] > k:  # what is under the k-th score is no result; equal ones go by id
+        if s.shape[1] > k:
             rounded[rounded < np.partition(rounded, -k, axis=1)[:, -k, None]] = -np.inf
         at, col = np.nonzero(np.isfinite(rounded))
-        order = np.lexsort((x_ids[col], -rounded[at, col], at))
-        at, col = at[order], col[order]
-        keep = np.arange(len(at)) - np.searchsorted(at, at) < k
-        return pa.table({"query_id": pa.array(ids[asks][at[keep]]), key: pa.array(x_ids[col[keep]]), "score": pa.array(s[at[keep], col[keep]])})
+        at, found, score = _best_of(at, x_ids[col], s[at, col], k)
+        return pa.table({"query_id": pa.array(ids[asks][at]), key: pa.array(found), "score": pa.array(score)})
 
-    found = q.unionByName(r).groupBy("g", "qb", "rb").applyInArrow(best, f"query_id long, {key} long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), key)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", key, F.round("score", 6).alias("score"))
+    return q.unionByName(r).groupBy("g", "qb", "rb").applyInArrow(best, f"query_id long, {key} long, score double")
 
 
 def rerank(ranked: DataFrame, query: list[str], key: str, scorer, depth: int = 10) -> DataFrame:

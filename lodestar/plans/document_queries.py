@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, chunking, evaluate, near_text, policy
+from ..operators import answers, chunking, evaluate, near_text, policy, relations
 from ..operators.fusion import first_by, margin
 from .registry import query, table, tokens_sql
 from .retrieval_queries import TOPK_SQL, bm25_topk
+from .text_queries import KEYED, sentences_sql
 
 
 def docs(spark, sf_dir):
@@ -155,7 +156,12 @@ def pol5_decision(spark, sf_dir):
     return policy.decide(q).select("query_id", "decision")
 
 
-@query()
+_FITS = "CASE WHEN {u} + coalesce({s}, 6000001) <= 6000000 THEN {u} + {s} ELSE {u} END"
+
+
+@query(f"""SELECT query_id, array_to_string([x.id FOR x IN [{{'id': i1, 'fits': u1 > 0}}, {{'id': i2, 'fits': u2 > u1}}, {{'id': i3, 'fits': u3 > u2}}] IF x.fits], ',') AS image_ids, u3 AS bytes FROM
+(SELECT *, {_FITS.format(u='u2', s='s3')} AS u3 FROM (SELECT *, {_FITS.format(u='u1', s='s2')} AS u2 FROM (SELECT *, {_FITS.format(u='0', s='s1')} AS u1 FROM
+(SELECT query_id, {', '.join(f'max(vec_id * 7919 % 4000000) FILTER (rank = {k}) AS s{k}, max(vec_id) FILTER (rank = {k}) AS i{k}' for k in (1, 2, 3))} FROM {_IMG} GROUP BY 1))))""")
 def pol6_payload_budget(spark, sf_dir):
     i = images(spark, sf_dir).select("query_id", "rank", F.col("vec_id").alias("image_id"), (F.col("vec_id") * 7919 % 4_000_000).alias("size"))
     return policy.payload_budget(i, ["query_id"], "size").select("query_id", F.array_join(F.col("image_ids").cast("array<string>"), ",").alias("image_ids"), "bytes")
@@ -196,23 +202,30 @@ def ans3_answer_rows(spark, sf_dir):
     return rows.select("query_id", F.array_join(F.transform("citations", lambda x: x["source"]), ",").alias("cited"))
 
 
-@query()
+_MAPS = f"m AS (SELECT doc_id, source, left(CASE WHEN len(s) > 0 THEN array_to_string(s[1:3], ' ') ELSE left(trim(text), 600) END, 1200) AS summary FROM (SELECT doc_id, source, text, {sentences_sql('text')} AS s FROM documents))"
+_REDUCED = "r AS (SELECT source, left(string_agg('- ' || summary || ' [document:' || doc_id || ']', chr(10) ORDER BY doc_id), 8000) AS s FROM m WHERE summary <> '' GROUP BY 1)"
+
+
+@query(f"WITH {_MAPS} SELECT doc_id, summary, len({tokens_sql('summary')}) AS tokens, CASE WHEN coalesce(length(summary), 0) > 0 THEN 'succeeded' ELSE 'failed' END AS status FROM m")
 def sum1_map(spark, sf_dir):
     """SUM1, SUM4."""
     return answers.map_summaries(docs(spark, sf_dir))
 
 
-@query("WITH m AS (SELECT source, doc_id, left(text, 200) AS summary FROM documents) SELECT source, left(string_agg('- ' || summary || ' [document:' || doc_id || ']', chr(10) ORDER BY doc_id), 8000) AS summary FROM m WHERE summary <> '' GROUP BY 1")
+def summaries(spark, sf_dir):
+    return answers.map_summaries(docs(spark, sf_dir)).join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
+
+
+@query(f"WITH {_MAPS}, {_REDUCED} SELECT source, s AS summary FROM r")
 def sum2_reduce(spark, sf_dir):
-    m = docs(spark, sf_dir).select("source", "doc_id", F.left("text", F.lit(200)).alias("summary"))
-    return answers.reduce_summaries(m, "source")
+    """SUM2: of SUM1's summaries."""
+    return answers.reduce_summaries(summaries(spark, sf_dir), "source")
 
 
-@query("WITH m AS (SELECT source, doc_id, left(text, 200) AS summary FROM documents), r AS (SELECT source, left(string_agg('- ' || summary || ' [document:' || doc_id || ']', chr(10) ORDER BY doc_id), 8000) AS s FROM m WHERE summary <> '' GROUP BY 1) SELECT source, doc_id FROM documents JOIN r USING (source) WHERE NOT contains(s, '[document:' || doc_id || ']')")
+@query(f"WITH {_MAPS}, {_REDUCED} SELECT source, doc_id FROM documents JOIN r USING (source) WHERE NOT contains(s, '[document:' || doc_id || ']')")
 def sum3_missing_citations(spark, sf_dir):
     d = docs(spark, sf_dir)
-    m = d.select("source", "doc_id", F.left("text", F.lit(200)).alias("summary"))
-    return answers.missing_citations(answers.reduce_summaries(m, "source"), d.select("source", "doc_id"), "source")
+    return answers.missing_citations(answers.reduce_summaries(summaries(spark, sf_dir), "source"), d.select("source", "doc_id"), "source")
 
 
 @query("SELECT conv_id, turn, role FROM conversations ORDER BY conv_id, turn")
@@ -253,16 +266,21 @@ GOLD_WORDS = 5
 
 
 def gold_pairs(spark, sf_dir):
-    """query_id, doc_id: documents that hold a whole benchmark text, found by five words within it; a text of fewer than seven words has none."""
+    """query_id, doc_id: documents that hold a whole benchmark text, found by five words within it, or by its rarest characters if it has fewer than seven words."""
     split = F.split("text", " ")
-    b = table(spark, sf_dir, "benchmark").where(F.size(split) >= GOLD_WORDS + 2).select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.xxhash64(*[F.get(split, k + 1) for k in range(GOLD_WORDS)]).alias("seed"))
+    whole = table(spark, sf_dir, "benchmark").where("length(text) > 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), split.alias("words"))
+    b = whole.where(F.size("words") >= GOLD_WORDS + 2).select("query_id", "passage", F.xxhash64(*[F.get("words", k + 1) for k in range(GOLD_WORDS)]).alias("seed"))
     shifted = F.arrays_zip(*[F.slice(split, k + 1, F.size(split) - GOLD_WORDS + 1) for k in range(GOLD_WORDS)])
     grams = F.transform(shifted, lambda z: F.xxhash64(*[z[str(k)] for k in range(GOLD_WORDS)]))
     d = docs(spark, sf_dir).where(F.size(split) >= GOLD_WORDS).select("doc_id", F.explode(grams).alias("seed"))
     small = b.limit(100_001).count() <= 100_000
     pairs = d.join(F.broadcast(b.select("seed", "query_id")) if small else b.select("seed", "query_id"), "seed").select("query_id", "doc_id").distinct()
     held = pairs.join(b.select("query_id", "passage"), "query_id").join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
-    return held.where(F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
+    found = held.where(F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
+    short = whole.where(F.size("words") < GOLD_WORDS + 2).select("query_id", "passage")
+    if short.isEmpty():
+        return found
+    return found.unionByName(short.join(relations.containing(short, docs(spark, sf_dir), "passage", "text", "doc_id"), "passage").select("query_id", "doc_id"))
 
 
 def ranked_with_gold(spark, sf_dir):
@@ -343,17 +361,25 @@ def ev9_nearest_pair(spark, sf_dir):
     return near_text.nearest_pair(*asked_before(spark, sf_dir), "ask", "text")
 
 
-_DIGEST = "sum(CAST('0x' || substr(sha256(coalesce({}, '')), 1, 15) AS BIGINT))"
+_TREE = """(SELECT name, sum(m)::BIGINT AS n, CASE WHEN count(*) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY b)) END AS digest FROM
+(SELECT name, b, count(*) AS m, sha256(string_agg(leaf, '' ORDER BY doc_id)) AS h FROM (SELECT source AS name, doc_id, sha256(doc_id || ':' || coalesce({t}, '')) AS leaf, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 1024 AS b FROM {d}) GROUP BY ALL) GROUP BY name)"""
+_SWAPPED = "(SELECT *, CASE WHEN source = 'src3' AND r = 1 THEN lead(text) OVER w WHEN source = 'src3' AND r = 2 THEN lag(text) OVER w ELSE text END AS other FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WINDOW w AS (PARTITION BY source ORDER BY doc_id))"
 
 
-@query(f"""WITH f AS (SELECT source AS name, count(*) AS n, {_DIGEST.format('text')} AS digest FROM documents GROUP BY 1), m AS (SELECT source AS name, count(*) AS n, {_DIGEST.format("CASE WHEN source = 'src3' AND doc_id % 7 = 0 THEN text || '.' ELSE text END")} AS digest FROM documents GROUP BY 1)
-SELECT name, f.n = m.n AND f.digest = m.digest AS frozen FROM m LEFT JOIN f USING (name)""")
+@query(f"SELECT name, f.n = m.n AND f.digest = m.digest AS frozen FROM {_TREE.format(t='other', d=_SWAPPED)} m LEFT JOIN {_TREE.format(t='text', d='documents')} f USING (name)")
 def ev10_freeze(spark, sf_dir):
-    """EV10: a file is one source's documents; its hash is of the sum of their texts' SHA-256, which needs no order and no gathering."""
-    whole = lambda t: t.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("rows"), F.sha2(F.sum(F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string"), 256).alias("sha256"))
+    """EV10: a file is one source's documents in order; the manifest is of a version in which the first two texts of one source are swapped."""
+    leaf = F.concat_ws(":", "doc_id", F.coalesce("text", F.lit("")))
+
+    def tree(t):
+        return evaluate.tree_digest(t.select(F.col("source").alias("name"), "doc_id", leaf.alias("leaf")), ["name"], ["doc_id"], F.col("leaf"))
+
     d = docs(spark, sf_dir)
-    changed = d.withColumn("text", F.when((F.col("source") == "src3") & (F.col("doc_id") % 7 == 0), F.concat("text", F.lit("."))).otherwise(F.col("text")))
-    return evaluate.freeze_check(whole(d), whole(changed))
+    two = d.where("source = 'src3'").orderBy("doc_id").select("doc_id", "text").limit(2).collect()
+    text = F.col("text")
+    if len(two) == 2:
+        text = F.when(F.col("doc_id") == two[0]["doc_id"], two[1]["text"]).when(F.col("doc_id") == two[1]["doc_id"], two[0]["text"]).otherwise(text)
+    return evaluate.freeze_check(tree(d), tree(d.withColumn("text", text)))
 
 
 @query("SELECT period, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(least(p, c)) AS BIGINT) AS cached_tokens, CAST(sum(o) AS BIGINT) AS completion_tokens, round(sum(((p - least(p, c)) * r1 + least(p, c) * r2 + o * r3) / 1000000), 8) AS cost FROM (SELECT CASE WHEN event_id % 2 = 0 THEN 'peak' ELSE 'off' END AS period, event_id % 900 AS p, event_id % 1200 AS c, event_id % 70 AS o, CASE WHEN event_id % 2 = 0 THEN 0.27 ELSE 0.135 END::DOUBLE AS r1, CASE WHEN event_id % 2 = 0 THEN 0.07 ELSE 0.035 END::DOUBLE AS r2, CASE WHEN event_id % 2 = 0 THEN 1.1 ELSE 0.55 END::DOUBLE AS r3 FROM events) GROUP BY 1")
@@ -375,10 +401,16 @@ def ag17_document_profile(spark, sf_dir):
     return p.withColumn("modalities", F.array_join(F.transform(F.map_entries("modalities"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
 
 
-@query(f"WITH {_RANKED} SELECT round(avg(c1), 4) AS complete1, round(avg(c5), 4) AS complete5, round(avg(m), 4) AS mean_chars FROM (SELECT query_id, max(CASE WHEN rank <= 1 THEN gold::INT END) AS c1, max(CASE WHEN rank <= 5 THEN gold::INT END) AS c5, avg(length(CAST(doc_id AS VARCHAR))) AS m FROM h GROUP BY 1)")
+_KEYS = "SELECT h.query_id, h.rank, h.gold, length(d.text) AS chars, contains(" + KEYED.format("d.text") + ", " + KEYED.format("b.text") + ") AS whole, [x FOR x IN string_split_regex(b.text, '[、，,;；]') IF length(trim(x)) > 0] AS t, " + KEYED.format("d.text") + " AS a FROM h JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = h.query_id"
+
+
+@query(f"WITH {_RANKED}, x AS ({_KEYS}), y AS (SELECT *, gold AND (whole OR (len(t) >= 2 AND len([z FOR z IN t IF NOT contains(a, {KEYED.format('z')})]) = 0)) AS complete FROM x) SELECT round(avg(c1), 4) AS complete1, round(avg(c5), 4) AS complete5, round(avg(m), 4) AS mean_chars FROM (SELECT query_id, max(CASE WHEN rank <= 1 THEN complete::INT END) AS c1, max(CASE WHEN rank <= 5 THEN complete::INT END) AS c5, avg(chars) AS m FROM y GROUP BY 1)")
 def ev13_context_completeness(spark, sf_dir):
-    hits = bm25_topk(spark, sf_dir).join(gold_pairs(spark, sf_dir).withColumn("gold", F.lit(True)), ["query_id", "doc_id"], "left").withColumn("gold", F.coalesce("gold", F.lit(False)))
-    return evaluate.context_completeness(hits.withColumn("text", F.col("doc_id").cast("string")), "query_id", F.col("gold"), "text")
+    """EV13: a context is a whole document of BM25's five; the expected answer is the text asked, the expected sources are the documents that hold it."""
+    gold = gold_pairs(spark, sf_dir).withColumn("gold", F.lit(True))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("asked"))
+    hits = bm25_topk(spark, sf_dir).join(gold, ["query_id", "doc_id"], "left").withColumn("gold", F.coalesce("gold", F.lit(False))).join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id").join(asked, "query_id")
+    return evaluate.context_completeness(hits, "query_id", F.col("gold"), "text", F.col("asked"))
 
 
 @query("SELECT lang, count(*) AS n, lang = 'fr' AND count(*) = 0 AS as_agreed, true AS unique_ids FROM documents GROUP BY 1")

@@ -161,7 +161,7 @@ def jn13_citation_scope(spark, sf_dir):
 @query("SELECT n_nationkey, '/' || lower(left(n_name, 2)) || '/' AS fragment, min(page_id) AS page_id FROM nation LEFT JOIN pages ON contains(url, '/' || lower(left(n_name, 2)) || '/') GROUP BY 1, 2")
 def jn14_first_match(spark, sf_dir):
     cases = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("/"), F.lower(F.left("n_name", F.lit(2))), F.lit("/")).alias("fragment"))
-    return relations.first_match(cases, table(spark, sf_dir, "pages").select("page_id", "url"), "fragment", "url", "n_nationkey", "page_id")
+    return relations.first_match(cases, table(spark, sf_dir, "pages").select("page_id", "url"), "fragment", "url", "n_nationkey", "page_id", strict=False)
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")

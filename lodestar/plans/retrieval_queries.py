@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import counted_ranks, evaluate, fusion, inverted_file, lexical, routing, search
+from ..functions import plugins
+from ..operators import counted_ranks, evaluate, fusion, inverted_file, lexical, relations, routing, search
+from ..operators.best_bm25 import best_bm25
 from ..operators.chunking import fixed_chunks
 from ..operators.term_index import TermIndex
-from ..session import shared_folder
+from ..session import settled, shared_folder
 from .registry import query, table, tokens_sql
 
 SCOPE = ["tenant", "kb"]
@@ -55,7 +57,7 @@ best AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SEL
 def bm25_topk(spark, sf_dir):
     """FN1, AG12, JN10, RET2, WN7, TK1: the 5 best documents for each benchmark text."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    scored = lexical.bm25(q, table(spark, sf_dir, "documents"), "query_id", "doc_id")
+    scored = best_bm25(q, table(spark, sf_dir, "documents"), "query_id", "doc_id", 5)
     score = F.round(lexical.max_normalised(F.col("bm25"), ["query_id"]), 6)
     return lexical.top_k(scored.withColumn("score", score), ["query_id"], "score", "doc_id", 5).select("query_id", "rank", "doc_id", "score")
 
@@ -258,7 +260,8 @@ def ret11_multi_query_fusion(spark, sf_dir):
 
 _TRANSFORM = "CASE item_id % 3 WHEN 0 THEN 'multi_query' ELSE 'none' END"
 _MODEL_SQL = "CASE WHEN doc_id % 10 = 9 THEN 'other' ELSE 'md5-256' END"
-_ROUTED_SQL = f"""{_ROUTE}, r0 AS (SELECT 'src' || (item_id % 20) AS tenant, {KB_SQL} AS kb, item_id, question, strategy, {rewritten_sql('question')} AS b, {_TRANSFORM} AS wanted FROM rt JOIN e USING (item_id)),
+def routed_sql(tenant: str = "item_id % 20") -> str:
+    return f"""{_ROUTE}, r0 AS (SELECT 'src' || ({tenant}) AS tenant, {KB_SQL} AS kb, item_id, question, strategy, {rewritten_sql('question')} AS b, {_TRANSFORM} AS wanted FROM rt JOIN e USING (item_id)),
 vs AS (SELECT tenant, kb, item_id AS query_id, item_id * 8 AS vid, strategy, question AS text FROM r0 UNION ALL SELECT tenant, kb, item_id, item_id * 8 + 1, strategy, b FROM r0 WHERE wanted = 'multi_query' AND b <> question),
 d AS (SELECT source AS tenant, lang AS kb, doc_id, text FROM documents),
 lx AS (WITH q AS (SELECT tenant, kb, item_id AS query_id, question AS text FROM r0 WHERE strategy = 'bm25'), {CANDIDATES_SQL}, av AS (SELECT * FROM vs WHERE strategy = 'bm25'), {AMONG_SQL} SELECT tenant, kb, vid, doc_id AS key, NULL::BIGINT AS parent_id, round(lexical, 6) AS score FROM among),
@@ -283,19 +286,37 @@ def routed(spark, sf_dir, tenant: str = "concat('src', item_id % 20)"):
     return search.routed_search(asked, whole, children, SCOPE, 3, "md5-256")
 
 
-@query(f"WITH {_ROUTED_SQL} SELECT * FROM answer")
+@query(f"WITH {routed_sql()} SELECT * FROM answer")
 def ret14_routed_search(spark, sf_dir):
     """RET8 to RET14, FLT4: candidates, routes, variants and parents in one search."""
     return routed(spark, sf_dir)
 
 
-@query(f"WITH {_ROUTED_SQL}, o AS (SELECT tenant, kb, query_id, strategy, CASE WHEN strategy = 'parent_child' THEN key // 100000 ELSE key END AS doc_id FROM answer) SELECT count(*) AS results, count(*) FILTER (d.source <> o.tenant) AS foreign_rows, count(*) FILTER (d.lang <> o.kb) AS foreign_kb FROM o JOIN documents d USING (doc_id)")
+_OTHER = "(item_id + 7) % 20"  # a tenant that does not own what is asked for
+_TARGETS = f"tg AS (SELECT item_id AS query_id, doc_id FROM documents t JOIN benchmark b ON contains(t.text, b.text) WHERE t.source <> 'src' || ({_OTHER}))"
+_PROBED = "SELECT '{arm}' AS arm, count(*) AS results, count(*) FILTER (t.source <> r.tenant) AS foreign_rows, count(*) FILTER ((r.query_id, r.doc_id) IN (SELECT query_id, doc_id FROM tg)) AS leaked, (SELECT count(*) FROM tg) AS targets FROM {results} r JOIN documents t USING (doc_id)"
+
+
+@query(f"""WITH {_TARGETS}, f1 AS (SELECT item_id AS query_id, doc_id, source AS tenant FROM documents JOIN benchmark b ON contains(documents.text, b.text) WHERE source = 'src' || ({_OTHER})),
+r8 AS (WITH {ROWS_SQL.replace("'src' || (item_id % 20)", "'src' || (" + _OTHER + ")")}, {CANDIDATES_SQL} SELECT tenant, query_id, doc_id FROM cand),
+r14 AS (WITH {routed_sql(_OTHER)} SELECT tenant, query_id, CASE WHEN strategy = 'parent_child' THEN key // 100000 ELSE key END AS doc_id FROM answer)
+{_PROBED.format(arm='filter', results='f1')} UNION ALL {_PROBED.format(arm='candidates', results='r8')} UNION ALL {_PROBED.format(arm='search', results='r14')}""")
 def ev11_leak_probe(spark, sf_dir):
-    """EV11: what RET14 returns belongs to who asked, and to the knowledge base asked."""
-    found = routed(spark, sf_dir).withColumn("doc_id", F.when(F.col("strategy") == "parent_child", F.floor(F.col("key") / 100_000)).otherwise(F.col("key")))
-    owned = found.select("tenant", F.col("kb").alias("asked_kb"), "doc_id").join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("owner"), "lang"), "doc_id")
-    foreign = evaluate.leak_probe(found.select("tenant", "kb", "doc_id"), table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("owner")), "doc_id").agg(F.count("*").alias("foreign_rows"))
-    return owned.agg(F.count("*").alias("results"), F.count_if(F.col("asked_kb") != F.col("lang")).alias("foreign_kb")).crossJoin(foreign).select("results", "foreign_rows", "foreign_kb")  # one row each
+    """EV11: each question asked by a tenant that owns no document with its text, through FLT1, RET8 and RET14; the targets are there, and none comes back."""
+    from .document_queries import gold_pairs
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("owner"))
+    who = table(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", f"concat('src', {_OTHER}) AS tenant", f"{KB} AS kb", "text")
+    held = settled(gold_pairs(spark, sf_dir).join(who.select("query_id", "tenant"), "query_id").join(d, "doc_id"))
+    targets = held.where("owner <> tenant").select("query_id", "doc_id")
+    found = routed(spark, sf_dir, f"concat('src', {_OTHER})").withColumn("doc_id", F.when(F.col("strategy") == "parent_child", F.floor(F.col("key") / 100_000)).otherwise(F.col("key")))
+    arms = {
+        "filter": relations.in_scope(held.withColumnsRenamed({"owner": "tenant_id"}), F.col("tenant")),
+        "candidates": lexical.candidates(who, rows(spark, sf_dir), "query_id", "doc_id", scope=SCOPE, limit=800),
+        "search": found,
+    }
+    probed = [evaluate.leak_probe(r.select("query_id", "tenant", "doc_id"), targets, d, "query_id", "doc_id").select(F.lit(arm).alias("arm"), "results", "foreign_rows", "leaked", "targets") for arm, r in arms.items()]
+    return probed[0].unionByName(probed[1]).unionByName(probed[2])
 
 
 @query("SELECT item_id, role, CASE WHEN role = 'admin' THEN top_k ELSE 5 END AS top_k, CASE WHEN role = 'admin' THEN strategy ELSE 'auto' END AS strategy FROM (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'admin' ELSE 'user' END AS role, 9 AS top_k, 'rrf' AS strategy FROM benchmark)")
@@ -348,6 +369,23 @@ def ret16_visual_weights(spark, sf_dir):
     return _visual(spark, sf_dir, 0.2, 0.8)
 
 
+_SET = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9_+\\-]+'))"
+
+
+@query(f"""WITH {COMPONENTS_SQL}, t AS ({ranked_sql('bm25', 10)}), y AS (SELECT t.tenant, t.kb, t.query_id, t.doc_id, t.rank, {_SET.format('q.text')} AS a, {_SET.format('d.text')} AS b FROM t JOIN q USING (query_id) JOIN d USING (doc_id)),
+z AS (SELECT tenant, kb, query_id, doc_id, rank, CASE WHEN len(a) + len(b) = 0 THEN 0 ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END AS s FROM y)
+SELECT tenant, kb, query_id, doc_id, rank, round(s, 9) AS rerank_score, 'token-overlap-v1' AS model, CAST(row_number() OVER (PARTITION BY tenant, kb, query_id ORDER BY s DESC, doc_id) AS INTEGER) AS new_rank FROM z""")
+def udf6_plugin_rerank(spark, sf_dir):
+    """UDF6, RET20: BM25's first ten ranked anew by a plug-in that each worker loads once."""
+    d, q = rows(spark, sf_dir), asks(spark, sf_dir)
+    scores = search.strategy_scores(components(spark, sf_dir, 10), [*SCOPE, "query_id"], "doc_id")
+    ranked = lexical.top_k(scores, [*SCOPE, "query_id"], "score_bm25", "doc_id", 10).select(*SCOPE, "query_id", "doc_id", "rank")
+    both = ranked.join(q.select("query_id", F.col("text").alias("question")), "query_id").join(d.select("doc_id", "text"), "doc_id")
+    tag = plugins.TokenOverlap.name
+    again = search.rerank(both, [*SCOPE, "query_id"], "doc_id", plugins.scorer(plugins.TokenOverlap, tag)("question", "text"))
+    return again.select(*SCOPE, "query_id", "doc_id", "rank", F.round("rerank_score", 9).alias("rerank_score"), F.lit(tag).alias("model"), "new_rank")
+
+
 @query(f"""WITH {COMPONENTS_SQL}, t AS ({ranked_sql('bm25', 10)}), y AS (SELECT t.*, score_vector AS rerank_score FROM t JOIN s USING (tenant, kb, query_id, doc_id))
 SELECT tenant, kb, query_id, doc_id, rank, rerank_score, CAST(row_number() OVER (PARTITION BY tenant, kb, query_id ORDER BY rerank_score DESC, doc_id) AS INTEGER) AS new_rank FROM y""")
 def ret20_rerank(spark, sf_dir):

@@ -118,11 +118,13 @@ def html_text_plain(value: pd.Series) -> pd.Series:
 def read_qa(spark: SparkSession, path: str, limit: int | None = None, max_bytes: int = 1_000_000) -> DataFrame:
     """SRC7: QA JSON lines: row_index (the line's number, files in the order of their paths), question, answer: all strings, nested or not, different ones in order, joined."""
     read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    put = settled(read.orderBy("file", "block", "at")).withColumn("part", F.spark_partition_id())
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
-    parts = put.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))
-    within = F.row_number().over(Window.partitionBy("part").orderBy("file", "block", "at")) - 1
-    raw = put.withColumn("within", within).join(F.broadcast(parts), "part").select("value", (F.col("before") + F.col("within")).alias("row_index")).where(F.octet_length("value") <= max_bytes)
+    # a part of a file is read by one task, in order: what stands before it is a sum over parts, of which there are as many as tasks
+    parts = read.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = settled(parts.select(F.xxhash64("file").alias("f"), "block", (before - F.col("first")).alias("shift")))
+    shifts = F.broadcast(shifts) if shifts.count() <= 1_000_000 else shifts
+    numbered = read.withColumn("f", F.xxhash64("file")).join(shifts, ["f", "block"])
+    raw = numbered.select("value", (F.col("at") + F.col("shift")).alias("row_index")).where(F.octet_length("value") <= max_bytes)
 
     def strings(field: str) -> Column:
         text = F.get_json_object("value", f"$.{field}")

@@ -177,3 +177,28 @@ def test_each_strategy_can_be_asked_for(spark):
     assert alone == {0: pytest.approx(1 / 3, abs=1e-6), 1: pytest.approx(2 / 3, abs=1e-6), 3: pytest.approx(2 / 3, abs=1e-6)}
     with pytest.raises(PySparkException, match="unknown retrieval strategy"):
         search.routed_search(ask(["best"]), d, c, ["tenant"], 3, "m").collect()
+
+
+@pytest.mark.parametrize("cells", [5, 2_000_000])
+def test_best_rows_equal_all_pairs(spark, monkeypatch, cells):
+    """With many ties, queries that have fewer hits than wanted, tokens that most rows have, repeated keys and nulls."""
+    from lodestar.operators import best_bm25, lexical
+
+    monkeypatch.setattr(best_bm25, "CELLS", cells)
+    r = random.Random(cells)
+    words = ["the", "pump", "alarm", "泵压", "x", "y"] + [f"w{i}" for i in range(30)]
+    text = lambda n: " ".join(r.choice(words[: r.choice([3, 6, 36])]) for _ in range(n))
+    rows = [(i, text(r.choice([0, 2, 5, 20]))) for i in range(120)] + [(i, "the pump pump") for i in range(200, 230)] + [(300, None), (5, "pump w1")]
+    asked = [(i, text(r.choice([1, 3, 8]))) for i in range(10)] + [(20, None), (21, "nowhere"), (22, "w7"), (23, "the the")]
+    d, q = spark.createDataFrame(rows, "key long, text string").repartition(3), spark.createDataFrame(asked, "query long, text string")
+
+    def best(scored):
+        score = F.round(lexical.max_normalised(F.col("bm25"), ["query"]), 6)
+        return sorted((x.query, x["rank"], x.score) if x.key == 5 else (x.query, x["rank"], x.key, x.score) for x in lexical.top_k(scored.withColumn("score", score), ["query"], "score", "key", 5).collect())
+
+    want = best(lexical.bm25(q, d.where("key <> 5"), "query", "key"))
+    assert best(best_bm25.best_bm25(q, d.where("key <> 5"), "query", "key", 5)) == want and len(want) > 40
+    assert len(best(best_bm25.best_bm25(q, d, "query", "key", 5))) >= len(want)
+    assert best_bm25.best_bm25(q.limit(0), d, "query", "key", 5).count() == best_bm25.best_bm25(q, d.limit(0), "query", "key", 5).count() == 0
+    monkeypatch.setattr(best_bm25, "ASKED", 3)  # the other way
+    assert best(best_bm25.best_bm25(q, d.where("key <> 5"), "query", "key", 5)) == want

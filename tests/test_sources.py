@@ -81,14 +81,6 @@ def test_chunks_in_sql(spark):
     assert spark.sql("SELECT chunk FROM VALUES ('" + "word. " * 40 + "') AS d(t), LATERAL chunks(t, 100, 10)").count() >= 3
 
 
-def test_latest_states_merge_over_batches(spark, tmp_path):
-    schema = "id long, seq long, state string"
-    spark.createDataFrame([(1, 1, "queued"), (1, 3, "done"), (2, 2, "running")], schema).repartition(1).write.parquet(f"{tmp_path}/in")
-    live = streams.file_stream(spark, f"{tmp_path}/in", schema)
-    streams.latest_states(live, ["id"], "seq", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    assert {(r.id, r.state) for r in spark.read.parquet(f"{tmp_path}/out/v=0").collect()} == {(1, "done"), (2, "running")}
-
-
 def test_intake_drops_repeats_within_the_watermark(spark, tmp_path):
     rows = spark.sql("SELECT * FROM VALUES ('t', 'k1', TIMESTAMP '2024-01-01 00:00:00'), ('t', 'k1', TIMESTAMP '2024-01-01 00:01:00'), ('t', 'k2', TIMESTAMP '2024-01-01 00:02:00') AS v(tenant, key, ts)")
     rows.write.parquet(f"{tmp_path}/in")

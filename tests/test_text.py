@@ -138,6 +138,8 @@ def test_approximate_neighbours_have_recall(spark):
     v = spark.createDataFrame([(i, 0, e.tolist()) for i, e in enumerate(x)], "vec_id long, label int, embedding array<double>")
     q = v.where("vec_id % 10 = 0")
     true = search.exact_knn(q, v, 10, block=64)
+    blocks = search.exact_knn(q, v, 10, block=64, query_bytes=0)
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, true.collect()))
     score = np.round(x @ x.T, 6)
     np.fill_diagonal(score, -9)
     assert {(t.query_id, t["rank"]): t.vec_id for t in true.collect()} == {(i, k + 1): int(j) for i in range(0, 300, 10) for k, j in enumerate(np.lexsort((np.arange(300), -score[i]))[:10])}
