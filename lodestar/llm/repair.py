@@ -176,12 +176,14 @@ def damage(rows: DataFrame) -> DataFrame:
 
 def _coded(rows: DataFrame) -> DataFrame:
     """conv, turn, seq, role, text, code: the class of the role (s, u, a, x) and the first fault (b, d, t, n)."""
-    numbered = row_numbers(rows, ["conv"], [F.asc_nulls_first("turn"), "role", "text", "copy"], "seq")
-    first = numbered.groupBy("conv", "role", F.sha2("text", 256)).agg(F.min("seq").alias("seq")).select("conv", "seq", F.lit(True).alias("new"))
-    bare = F.rtrim(F.col("text"), F.lit(SPACES))
-    fault = F.when(bare == "", "b").when(F.col("new").isNull(), "d").when(~F.right(bare, F.lit(1)).isin(".", "!", "?"), "t").otherwise("n")
-    letter = F.left("role", F.lit(1))
-    return numbered.join(first, ["conv", "seq"], "left").select("conv", "turn", "seq", "role", "text", F.concat(F.when(letter.isin("s", "u", "a"), letter).otherwise("x"), fault).alias("code"))
+    bare, letter = F.rtrim(F.col("text"), F.lit(SPACES)), F.left("role", F.lit(1))
+    state = F.when(bare == "", "b").when(~F.right(bare, F.lit(1)).isin(".", "!", "?"), "t").otherwise("n")
+    # all that is asked of a text, before it is numbered: only what hashes the repaired texts carries them on
+    marked = rows.select("*", F.when(letter.isin("s", "u", "a"), letter).otherwise("x").alias("kind"), state.alias("state"), F.sha2("text", 256).alias("digest"))
+    numbered = row_numbers(marked, ["conv"], [F.asc_nulls_first("turn"), "role", "text", "copy"], "seq")
+    first = numbered.groupBy("conv", "role", "digest").agg(F.min("seq").alias("seq")).select("conv", "seq", F.lit(True).alias("new"))
+    fault = F.when((F.col("state") != "b") & F.col("new").isNull(), "d").otherwise(F.col("state"))
+    return numbered.join(first, ["conv", "seq"], "left").select("conv", "turn", "seq", "role", "text", F.concat("kind", fault).alias("code"))
 
 
 def _audits(coded: DataFrame, size: int) -> DataFrame:
