@@ -59,6 +59,7 @@ def search_batch(scores: DataFrame, query: list[str], key: str, k: int, strategi
 
 
 VARIANTS = 8  # more than a question can have
+FEW_ASKED = 2_000  # questions whose tokens and buckets (some 256 each) may be broadcast
 LEXICAL, DENSE = ("keyword", "bm25"), ("vector", "weighted", "rrf")
 
 
@@ -87,7 +88,10 @@ def routed_search(questions: DataFrame, rows: DataFrame, children: DataFrame, sc
     """
     on, vid = [*scope, "query_id"], [*scope, "vid"]
     routed = settled(chosen_strategy(questions, dense_available).select(*on, "question", "query_transform", "strategy"))
+    few = routed.limit(FEW_ASKED + 1).count() <= FEW_ASKED
+    routed = F.broadcast(routed) if few else routed
     asked = settled(expand(routed).select(*on, (F.col("query_id") * VARIANTS + F.col("variant")).alias("vid"), "strategy", F.col("variant_text").alias("text")))
+    asked = F.broadcast(asked) if few else asked  # what is made of questions alone meets rows without a shuffle
     several = asked.groupBy(*on).agg((F.count("*") > 1).alias("several"), F.first("strategy").alias("strategy"))
     used = {r["strategy"] for r in routed.select("strategy").distinct().collect()}  # six at most
     found = [asked.select(*on, "vid", F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("parent_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)]
