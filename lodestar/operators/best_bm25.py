@@ -37,7 +37,7 @@ class _Asked:
         at = np.repeat(self.begin[token] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
         cell = np.repeat(doc, times) * self.size + self.query[at]
         n = len(length) * self.size
-        out = np.bincount(cell, np.repeat(part, times) * self.weight[at], n)
+        out = np.bincount(cell, np.repeat(part, times) * self.weight[at], n).astype(float)
         out[np.bincount(cell, minlength=n) == 0] = -np.inf
         return out.reshape(len(length), self.size)
 
