@@ -118,3 +118,71 @@ def test_html_text_of_given_pages(spark):
     for x in pages:
         plain = unescape(re.sub(r"<[^>]*>", " ", re.sub(r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style)\b.*?</\1>", " ", x.html)))
         assert "".join(plain.split()) == "".join(x.t.split())
+
+
+def plain_parents(elements, most):
+    """CHK3 of one document's elements in order, held whole."""
+    out, held, heading = [], [], None
+    size = lambda: sum(len(t) + 2 for _, t, _ in held)
+
+    def flush():
+        nonlocal held, heading
+        if held:
+            pages = [p for *_, p in held if p is not None]
+            out.append((len(out), "\n\n".join(t for _, t, _ in held), held[0][0], held[-1][0], min(pages, default=None), max(pages, default=None), heading))
+        held, heading = [], None
+
+    for at, text, page, title in sorted(elements):
+        text = re.sub("[ \t]+", " ", (text or "").replace("\r\n", "\n").replace("\r", "\n")).strip()
+        if not text:
+            continue
+        if held and (title and title != heading or size() + len(text) > most):
+            flush()
+        for piece in [text] if len(text) <= most else chunking.cut(text, most, 0):
+            held.append((at, piece, page))
+            heading = heading or title or None
+            if len(text) > most:
+                flush()
+    flush()
+    return out
+
+
+def test_parents_equal_plain_ones_without_a_worker_call_a_document(spark):
+    """Long elements, null pages and headings, elements out of order, documents without text; one pass over a partition, not a group a document."""
+    r = random.Random(8)
+    rows = [(d, k, r.choice([None, "", prose(r, r.choice([1, 9, 80]))]), r.choice([None, 1, 2, 7]), r.choice([None, "", "A", "B"])) for d in range(60) for k in range(r.choice([0, 1, 12]))]
+    r.shuffle(rows)
+    e = spark.createDataFrame(rows, "document_id long, element_index int, text string, page_number int, heading string").repartition(5)
+    p = chunking.pack_parents(e, 300)
+    want = {(d, *x) for d in {x[0] for x in rows} for x in plain_parents([x[1:] for x in rows if x[0] == d], 300)} if rows else set()
+    assert {tuple(x) for x in p.collect()} == want and len(want) > 50
+    assert "FlatMapGroups" not in p._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_leave_a_task_in_small_parts(spark):
+    """CHK1 hands on a few texts' chunks at once; texts are null, empty and long."""
+    rows = [(i, t) for i, t in corpus(9, 60)] + [(1000 + i, "word. " * 40_000) for i in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {}
+    for x in chunking.boundary_chunks(d, "doc_id", "text").collect():
+        got.setdefault(x.doc_id, {})[x.chunk_index] = x.chunk
+    assert got == {i: dict(enumerate(chunking.cut(t, 600, 80))) for i, t in rows if t and chunking.cut(t, 600, 80)}
+    assert "ArrowEvalPython" not in chunking.boundary_chunks(d, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_rows_of_the_best_groups(spark):
+    """RET9 from each task's best rows: the five best parents by their best child equal those of all pairs, ties included."""
+    from lodestar.operators import best_bm25
+    from lodestar.operators.fusion import first_by
+
+    r = random.Random(12)
+    words = ["pump", "alarm", "valve", "fan", "x", "y", "z"]
+    rows = [(c, " ".join(r.choice(words[: r.choice([2, 7])]) for _ in range(r.randint(1, 6))), (c * 7) % 40) for c in range(400)]
+    d = spark.createDataFrame(rows, "chunk_id long, text string, parent_id long").repartition(4)
+    q = spark.createDataFrame([(1, "pump alarm"), (2, "fan fan x"), (3, "none"), (4, "z")], "query_id long, text string")
+    score = F.round(lexical.max_normalised(F.col("bm25"), ["query_id"]), 6)
+    ranked = lambda s: sorted((x.query_id, x["rank"], x.parent_id, x.chunk_id, x.score) for x in first_by(s.withColumn("score", score), ["query_id"], "parent_id", "score", "chunk_id", 5).collect())
+    want = ranked(lexical.bm25(q, d, "query_id", "chunk_id").join(d.select("chunk_id", "parent_id"), "chunk_id"))
+    kept = best_bm25.best_bm25(q, d, "query_id", "chunk_id", 5, group="parent_id")
+    assert ranked(kept) == want and len(want) == 15
+    assert kept.count() < lexical.bm25(q, d, "query_id", "chunk_id").count() / 2
