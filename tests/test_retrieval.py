@@ -202,3 +202,19 @@ def test_best_rows_equal_all_pairs(spark, monkeypatch, cells):
     assert best_bm25.best_bm25(q.limit(0), d, "query", "key", 5).count() == best_bm25.best_bm25(q, d.limit(0), "query", "key", 5).count() == 0
     monkeypatch.setattr(best_bm25, "ASKED", 3)  # the other way
     assert best(best_bm25.best_bm25(q, d.where("key <> 5"), "query", "key", 5)) == want
+
+
+def test_routes_equal_their_sql(spark, tmp_path):
+    """Capitals that look like identifiers: the SQL of RET13 and what is built on it have none."""
+    import duckdb
+
+    from lodestar.queries import ORACLES, QUERIES
+
+    texts = ["SS pumpe", "SS Erener ist", "AB-12 chever", "GB 2021 SSö der", "SS und die", "plain words", "12 words SS " * 8]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+    for name in ("ret13_route", "ev12_route_distribution"):
+        assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(c.execute(ORACLES[name]).fetchall())
+    counted = spark.read.parquet(f"{tmp_path}/benchmark.parquet").select(F.col("text").alias("question"))
+    assert search.chosen_strategy(counted).agg(F.sum("identifiers")).first()[0] > 0 == search.chosen_strategy(counted, identifiers=False).agg(F.sum("identifiers")).first()[0]
