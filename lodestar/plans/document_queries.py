@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, chunking, evaluate, near_text, policy, relations
+from ..operators import answers, chunking, evaluate, lexical, near_text, policy, relations
+from ..operators.best_bm25 import best_bm25
 from ..operators.fusion import first_by, margin
+from ..session import settled
 from .registry import query, table, tokens_sql
 from .retrieval_queries import TOPK_SQL, bm25_topk
 from .text_queries import KEYED, sentences_sql
@@ -36,8 +38,8 @@ SELECT sum(n)::BIGINT AS chunks, round(sum(chars) / sum(n), 4) AS mean_chars, ro
 def ag13_chunk_profile(spark, sf_dir):
     """AG13, WN10."""
     d = docs(spark, sf_dir)
-    c = chunking.fixed_chunks(d, "doc_id", "text").join(d.select("doc_id", F.length("text").alias("whole")), "doc_id").withColumn("profile", F.lit("fixed"))
-    return chunking.profile(c, ["profile"], "doc_id", "chunk_index", "chunk", "whole").drop("profile")
+    c = chunking.fixed_chunks(d, "doc_id", "text").withColumn("profile", F.lit("fixed"))
+    return chunking.profile(c, ["profile"], "doc_id", "chunk_index", "chunk", "whole", d.select("doc_id", F.length("text").alias("whole"))).drop("profile")
 
 
 @query()
@@ -55,7 +57,7 @@ def chk6_profiles(spark, sf_dir):
     for name, p in parts.items():
         rows = p.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk").withColumn("profile", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
-    return chunking.profile(out.join(d.select("doc_id", F.length("text").alias("whole")), "doc_id"), ["profile"], "doc_id", "chunk_index", "chunk", "whole")
+    return chunking.profile(out, ["profile"], "doc_id", "chunk_index", "chunk", "whole", d.select("doc_id", F.length("text").alias("whole")))
 
 
 def elements(spark, sf_dir):
@@ -437,11 +439,13 @@ def tk4_first_by_parent(spark, sf_dir):
 @query()
 def ret9_parent_child(spark, sf_dir):
     """BM25 over children, the best child of each parent, with the parent's text."""
-    from ..operators import lexical, search
-
-    parents = chunking.pack_parents(elements(spark, sf_dir))
-    children = chunking.children_of(parents).withColumn("chunk_id", F.xxhash64("parent_id", "child_index"))
+    every = elements(spark, sf_dir)
+    children = chunking.children_of(chunking.pack_parents(every)).withColumn("chunk_id", F.xxhash64("parent_id", "child_index"))
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    scored = lexical.bm25(q, children, "query_id", "chunk_id").withColumn("score", F.round(lexical.max_normalised(F.col("bm25"), ["query_id"]), 6))
-    keyed = parents.select(F.xxhash64("document_id", "parent_index").alias("parent_id"), F.col("text").alias("parent_text"))
-    return search.parent_child(scored, children, keyed, ["query_id"], 5).select("query_id", "rank", "parent_id", "chunk_id", "score", "parent_text")
+    scored = best_bm25(q, children.withColumn("parent", F.struct("parent_id", "document_id")), "query_id", "chunk_id", 5, group="parent")
+    scored = scored.select("query_id", "chunk_id", "parent.*", F.round(lexical.max_normalised(F.col("bm25"), ["query_id"]), 6).alias("score"))
+    hits = settled(first_by(scored, ["query_id"], "parent_id", "score", "chunk_id", 5))
+    # of the parents' texts only those of documents with a hit are packed again, five a question at most
+    found = chunking.pack_parents(every.join(hits.select("document_id").distinct(), "document_id", "left_semi"))
+    keyed = found.select(F.xxhash64("document_id", "parent_index").alias("parent_id"), F.col("text").alias("parent_text"))
+    return hits.join(keyed, "parent_id").select("query_id", "rank", "parent_id", "chunk_id", "score", "parent_text")
