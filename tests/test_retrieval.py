@@ -218,3 +218,37 @@ def test_routes_equal_their_sql(spark, tmp_path):
         assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(c.execute(ORACLES[name]).fetchall())
     counted = spark.read.parquet(f"{tmp_path}/benchmark.parquet").select(F.col("text").alias("question"))
     assert search.chosen_strategy(counted).agg(F.sum("identifiers")).first()[0] > 0 == search.chosen_strategy(counted, identifiers=False).agg(F.sum("identifiers")).first()[0]
+
+
+def test_near_pairs_of_long_texts_in_blocks(spark, monkeypatch):
+    """Texts of 150 to 700 characters, where very common characters are left out from 200 on; several blocks, and syllables that most texts share."""
+    monkeypatch.setattr(near_text, "BLOCK", 40)
+    r = random.Random(15)
+    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", " ", " ", ". "]
+    base = ["".join(r.choice(parts) for _ in range(r.choice([75, 110, 300]))) for _ in range(100)]
+
+    def edited(x):
+        x = list(x)
+        for _ in range(r.randint(0, len(x) // 8)):
+            at = r.randrange(len(x))
+            x[at : at + 1] = r.choice(["", "Z", "qé"])
+        return "".join(x)
+
+    a, b = base, [edited(x) for x in base[:60]] + base[60:70] + ["".join(r.choice(parts) for _ in range(80)) for _ in range(30)]
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+    every = {(i, 1000 + j): ratio(x, y) for i, x in enumerate(a) for j, y in enumerate(b)}
+    frame = lambda t, first: spark.createDataFrame([(first + i, x) for i, x in enumerate(t)], "id long, q string")
+    found = {(x.a_id, x.b_id): x.ratio for x in near_text.near_pairs(frame(a, 0), frame(b, 1000), "id", "q", 0.85).collect()}
+    assert found == {k: v for k, v in every.items() if v >= 0.85} and len(found) > 20
+    other = {k: v for k, v in every.items() if k[1] >= 1070}
+    x = near_text.nearest_pair(frame(a, 0), frame(b, 1000).where("id >= 1070"), "id", "q").first()
+    assert (x.a_id, x.b_id, x.ratio) == min(((*k, v) for k, v in other.items()), key=lambda t: (-t[2], t[:2]))
+
+
+def test_few_ratios_are_computed(spark):
+    """2,000 texts of the same syllables: the bounds leave few pairs, where rare runs had left most."""
+    r = random.Random(16)
+    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", " ", " ", ". "]
+    side = lambda: near_text._Side(list(range(1000)), ["".join(r.choice(parts) for _ in range(r.randint(30, 150))) for _ in range(1000)])
+    a, b = side(), side()
+    assert sum(len(i) for i, *_ in near_text._possible(a, b, [0.85])) < 1000
