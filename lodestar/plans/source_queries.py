@@ -24,7 +24,7 @@ def src4_record_lines(spark, sf_dir):
 
 @query()
 def src6_html_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", readers.html_text("html").alias("text"), readers.html_text_plain("html").alias("plain"))
+    return readers.html_texts(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
 @query("SELECT left(regexp_replace(q, '[?？]+$', ''), 200) AS title, 'https://example.org/qa#row=' || conv_id AS source, '# ' || left(regexp_replace(q, '[?？]+$', ''), 200) || chr(10) || chr(10) || '## 问题' || chr(10) || q || chr(10) || chr(10) || '## 数据集答案' || chr(10) || a AS content FROM (SELECT conv_id, min_by(text, turn) FILTER (role = 'user') AS q, min_by(text, turn) FILTER (role = 'assistant') AS a FROM conversations GROUP BY 1) WHERE q IS NOT NULL AND a IS NOT NULL")

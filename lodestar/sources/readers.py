@@ -7,9 +7,10 @@ import io
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import lookup, nfkc, strip
 from ..session import settled
@@ -76,31 +77,68 @@ def read_topics(spark: SparkSession, path: str, languages: list[str], row_tag: s
 
 
 class _Text(html.parser.HTMLParser):
-    def __init__(self, drop_script: bool):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out, self.hidden, self.drop = [], 0, drop_script
+        self.out, self.shown, self.hidden = [], [], 0  # all text, and that outside of scripts and styles
 
-    def handle_starttag(self, tag, attrs):
+    def cut(self, tag):
         if tag in BLOCK_TAGS:
             self.out.append("\n")
+            self.shown.append("\n")
+
+    def handle_starttag(self, tag, attrs):
+        self.cut(tag)
         self.hidden += tag in ("script", "style")
 
     def handle_endtag(self, tag):
-        if tag in BLOCK_TAGS:
-            self.out.append("\n")
+        self.cut(tag)
         self.hidden -= tag in ("script", "style") and self.hidden > 0
 
     def handle_data(self, data):
-        if not (self.drop and self.hidden):
-            self.out.append(data)
+        self.out.append(data)
+        if not self.hidden:
+            self.shown.append(data)
 
 
-def html_to_text(value: str, drop_script: bool = False) -> str:
-    parser = _Text(drop_script)
+def html_to_texts(value: str) -> tuple[str, str]:
+    """The lines of text with and without those of scripts and styles, in one reading."""
+    parser = _Text()
     parser.feed(value)
     parser.close()
-    lines = (" ".join(line.split()) for line in "".join(parser.out).split("\n"))
-    return "\n".join(line for line in lines if line)
+
+    def lines(parts):
+        cut = (" ".join(line.split()) for line in "".join(parts).split("\n"))
+        return "\n".join(line for line in cut if line)
+
+    return lines(parser.out), lines(parser.shown)
+
+
+def html_to_text(value: str, drop_script: bool = False) -> str:
+    return html_to_texts(value)[drop_script]
+
+
+PAGES = 64  # pages that a task holds as Python strings
+PAGE_CHARS = 1 << 20  # and characters of them
+
+
+def html_texts(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """SRC6, UDF4 over a table: key, text, plain (without scripts and styles). A task holds a few pages at once, not those of a whole Arrow batch."""
+    given = pages.select(key, F.col(html).alias("_html"))
+    schema = StructType([given.schema[key], StructField("text", StringType()), StructField("plain", StringType())])
+
+    def run(batches):
+        for batch in batches:
+            first, texts, chars = 0, [], 0
+            for k, value in enumerate(batch.column(1)):
+                value = value.as_py()
+                texts.append((None, None) if value is None else html_to_texts(value))
+                chars += len(value or "")
+                if len(texts) >= PAGES or chars >= PAGE_CHARS or k + 1 == len(batch):
+                    both = [pa.array(c, pa.string()) for c in zip(*texts, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *both], names=[key, "text", "plain"])
+                    first, texts, chars = k + 1, [], 0
+
+    return given.mapInArrow(run, schema)
 
 
 @F.pandas_udf(StringType())
