@@ -72,26 +72,27 @@ def answer_rows(answers: DataFrame, evidence: DataFrame, query: str = "query_id"
     return answers.join(cited, query, "left").withColumn("citations", F.coalesce("citations", F.array().cast("array<struct<rank:int,source:string,document_id:bigint>>")))
 
 
-def map_summaries(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """SUM1, SUM4: the first three sentences, or 600 characters; 1,200 at most; a row without content is a failure row."""
-    s = F.slice(sentences(F.col("text")), 1, 3)
-    text = F.substring(F.when(F.size(s) > 0, F.array_join(s, " ")).otherwise(F.substring(F.trim("text"), 1, 600)), 1, 1200)
-    out = docs.select(key, "text").withColumn("summary", text)
-    return out.select(key, "summary", F.size(tokens(F.col("summary"))).alias("tokens"), F.when(F.coalesce(F.length("summary"), F.lit(0)) > 0, "succeeded").otherwise("failed").alias("status"))
+def map_summaries(docs: DataFrame, key: str = "doc_id", also: list[str] = ()) -> DataFrame:
+    """SUM1, SUM4: the first three sentences, or 600 characters; 1,200 at most; a row without content is a failure row. ``also``: columns that stay."""
+    s = docs.select(key, *also, "text", sentences(F.col("text")).alias("_s"))  # found once
+    text = F.substring(F.when(F.size("_s") > 0, F.array_join(F.slice("_s", 1, 3), " ")).otherwise(F.substring(F.trim("text"), 1, 600)), 1, 1200)
+    out = s.select(key, *also, text.alias("summary"))
+    return out.select(key, *also, "summary", F.size(tokens(F.col("summary"))).alias("tokens"), F.when(F.coalesce(F.length("summary"), F.lit(0)) > 0, "succeeded").otherwise("failed").alias("status"))
+
+
+LEAST_LINE = 17  # characters of the shortest line: its marks, one of the summary, one of the key, the newline
 
 
 def reduce_summaries(maps: DataFrame, job: str, key: str = "doc_id", limit: int = 8000) -> DataFrame:
     """SUM2: lines of summaries in id order, cut at ``limit``: only rows whose line starts within it are gathered.
 
-    Where a line starts is a sum over blocks of rows, then within the block.
+    No more than ``limit`` / ``LEAST_LINE`` lines can start there, so each task hands on as many of a job's first rows at most.
     """
+    by_key = Window.partitionBy(job).orderBy(key)
+    first = maps.where("summary <> ''").select(job, key, "summary").withColumn("_n", F.row_number().over(by_key)).where(F.col("_n") <= limit // LEAST_LINE + 1)
     line = F.concat(F.lit("- "), F.col("summary"), F.lit(" [document:"), F.col(key), F.lit("]"))
-    lines = maps.where("summary <> ''").select(job, key, line.alias("line")).withColumn("n", F.length("line") + 1).withColumn("block", F.floor(F.col(key) / 1024))
-    blocks = lines.groupBy(job, "block").agg(F.sum("n").alias("s"))
-    blocks = blocks.select(job, "block", F.coalesce(F.sum("s").over(Window.partitionBy(job).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    near = lines.join(blocks.where(F.col("before") < limit), [job, "block"])
-    w = Window.partitionBy(job, "block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    kept = near.withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("start") < limit)
+    before = F.coalesce(F.sum(F.length("line") + 1).over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = first.select(job, key, line.alias("line")).withColumn("start", before).where(F.col("start") < limit)
     return kept.groupBy(job).agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "line"))), lambda x: x["line"]), "\n"), 1, limit).alias("summary"))
 
 

@@ -215,7 +215,7 @@ def sum1_map(spark, sf_dir):
 
 
 def summaries(spark, sf_dir):
-    return answers.map_summaries(docs(spark, sf_dir)).join(docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    return answers.map_summaries(docs(spark, sf_dir), also=["source"])
 
 
 @query(f"WITH {_MAPS}, {_REDUCED} SELECT source, s AS summary FROM r")

@@ -186,3 +186,45 @@ def test_best_rows_of_the_best_groups(spark):
     kept = best_bm25.best_bm25(q, d, "query_id", "chunk_id", 5, group="parent_id")
     assert ranked(kept) == want and len(want) == 15
     assert kept.count() < lexical.bm25(q, d, "query_id", "chunk_id").count() / 2
+
+
+def test_pages_are_read_once_and_in_small_parts(spark):
+    """SRC6 of a table: both texts from one reading, without a UDF over a whole batch of pages."""
+    r = random.Random(13)
+    page = lambda: "".join(r.choice(["<p>a  b</p>", "<script>x&amp;1", "</script>", "<style>s</style>", "é &lt; ", "<br>", "\n", "泵", "<b>q</b>"]) for _ in range(r.choice([0, 3, 40])))
+    rows = [(i, page()) for i in range(200)] + [(500, None), (501, "<p>long</p> " * 50_000)]
+    got = readers.html_texts(spark.createDataFrame(rows, "page_id long, html string").coalesce(2), "page_id", "html")
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {x.page_id: (x.text, x.plain) for x in got.collect()} == {i: (None, None) if h is None else (readers.html_to_text(h), readers.html_to_text(h, True)) for i, h in rows}
+
+
+def test_summaries_are_gathered_without_a_join(spark):
+    """SUM2 equals the whole join of all lines, cut; short and long summaries, empty ones, a job with thousands of rows."""
+    from lodestar.operators import answers
+
+    r = random.Random(14)
+    rows = [(i, r.choice("ab"), r.choice(["x", "", "word " * 20, "y" * 1200])) for i in range(3000)] + [(10_000 + i, "c", "z") for i in range(900)] + [(20_000, "d", "")]
+    m = spark.createDataFrame(rows, "doc_id long, source string, summary string").repartition(4)
+    got = answers.reduce_summaries(m, "source")
+    want = {j: "\n".join(f"- {s} [document:{i}]" for i, k, s in sorted(rows) if k == j and s)[:8000] for j in "abc"}
+    assert {x.source: x.summary for x in got.collect()} == want
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("again", [0, 5])
+def test_hashed_embeddings_without_a_shuffle(spark, again):
+    """EMB1 by tasks equals plain sums, and so do keys that come twice, which are summed over all their rows."""
+    rows = corpus(17, 30) + corpus(18, again)
+    got = V.hashed_embedding(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text")
+    want = {}
+    for i in {i for i, _ in rows}:
+        sums = Counter()
+        for t in (t for j, t in rows if j == i):
+            for token in plain_tokens(t):
+                h = hashlib.blake2b(token.encode(), digest_size=8).digest()
+                sums[int.from_bytes(h[:4], "big") % 256] += 1 if h[4] & 1 else -1
+        norm = sum(x * x for x in sums.values()) ** 0.5
+        want |= {(i, b): x / norm for b, x in sums.items() if norm}
+    assert {(x.doc_id, x.bucket): x.weight for x in got.collect()} == {k: pytest.approx(v) for k, v in want.items()}
+    if not again:
+        assert "SinglePartition" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning" not in plan
