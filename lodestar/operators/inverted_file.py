@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 CODES = 256
 
 
@@ -87,10 +90,11 @@ def index(rows: DataFrame, model: Quantiser, key: str = "vec_id", vector: str =
     return _whole(rows, key, vector).mapInArrow(run, "id long, list int, code binary")
 
 
-def candidates(queries: DataFrame, stored: DataFrame, model: Quantiser, refine: int, probes: int, key: str = "vec_id", vector: str = "embedding", block: int = 16_384) -> DataFrame:
+def candidates(queries: DataFrame, stored: DataFrame, model: Quantiser, refine: int, probes: int, key: str = "vec_id", vector: str = "embedding", block: int = 65_536, group: int = 512) -> DataFrame:
     """query_id, id: the ``refine`` rows of each query's ``probes`` lists that look best, its own id left out.
 
-    A long list is cut into blocks of about ``block`` rows, the queries of a list into blocks of 1024; a task looks at one of each.
+    Rows are dealt to blocks of about ``block``, queries to groups of about ``group``. A task takes one of each, looks at all lists
+    there and hands on ``refine`` rows a query, so that what it holds does not grow with the tables.
     """
     shared = queries.sparkSession.sparkContext.broadcast(model)
 
@@ -101,33 +105,37 @@ def candidates(queries: DataFrame, stored: DataFrame, model: Quantiser, refine:
                 near = np.argsort(-(_vectors(batch.column(1)) @ centres.T), 1, kind="stable")[:, :probes]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.tolist(), pa.list_(pa.int32()))], names=["query_id", "x", "lists"])
 
-    asked = _whole(queries, key, vector).mapInArrow(probe, "query_id long, x array<double>, lists array<int>").select("query_id", "x", F.explode("lists").alias("list"))
-    sizes = stored.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    asking = asked.groupBy("list").agg(F.ceil(F.count("*") / 1024).cast("int").alias("groups"))
-    sizes = sizes.join(asking, "list")  # a row a list
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = asked.join(sizes, "list").select("query_id", "x", F.lit(None).cast("binary").alias("code"), "list", F.pmod(F.xxhash64("query_id"), "groups").cast("int").alias("qb"), every("blocks").alias("rb"))
-    r = stored.join(sizes, "list").select(F.col("id").alias("query_id"), F.lit(None).cast("array<double>").alias("x"), "code", "list", every("groups").alias("qb"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("rb"))
+    groups, blocks = max(1, -(-queries.count() // group)), max(1, -(-stored.count() // block))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = _whole(queries, key, vector).mapInArrow(probe, "query_id long, x array<double>, lists array<int>")
+    q = asked.select("query_id", "x", "lists", F.lit(None).cast("int").alias("list"), F.lit(None).cast("binary").alias("code"), own("query_id", groups).alias("qb"), every(blocks).alias("rb"))
+    r = stored.select(F.col("id").alias("query_id"), F.lit(None).cast("array<double>").alias("x"), F.lit(None).cast("array<int>").alias("lists"), "list", "code", every(groups).alias("qb"), own("id", blocks).alias("rb"))
 
     def best(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
-        rows = part.column("code").is_valid().to_numpy()
-        ids, asks = part.column("query_id").to_numpy(), part.filter(pa.array(~rows))
-        none = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "guess": pa.array([], pa.float64())})
-        if not rows.any() or not len(asks):
-            return none
-        codes = np.frombuffer(b"".join(part.filter(pa.array(rows)).column("code").to_pylist()), np.uint8).reshape(int(rows.sum()), -1)
-        s = shared.value.scores(_vectors(asks.column("x").combine_chunks()), part.column("list")[0].as_py(), codes)
-        s[ids[~rows][:, None] == ids[rows]] = -np.inf
-        if s.shape[1] > refine:
-            at = np.argpartition(-s, refine - 1, 1)[:, :refine]
-        else:
-            at = np.tile(np.arange(s.shape[1]), (len(s), 1))
-        guess = np.take_along_axis(s, at, 1)
+        held = part.column("code").is_valid()
+        rows, asks = part.filter(held), part.filter(pc.invert(held))
+        if not len(rows) or not len(asks):
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "guess": pa.array([], pa.float64())})
+        ids, q_ids, at = rows.column("query_id").to_numpy(), asks.column("query_id").to_numpy(), rows.column("list").to_numpy()
+        codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+        x, near = _vectors(asks.column("x").combine_chunks()), np.stack(asks.column("lists").combine_chunks().to_numpy(zero_copy_only=False))
+        found, guess = np.zeros((len(q_ids), refine), np.int64), np.full((len(q_ids), refine), -np.inf)
+        for list_ in np.unique(at):
+            mine, here = np.flatnonzero((near == list_).any(1)), np.flatnonzero(at == list_)
+            for first in range(0, len(here) if len(mine) else 0, 4096):
+                some = here[first : first + 4096]
+                s = shared.value.scores(x[mine], list_, codes[some])
+                s[q_ids[mine][:, None] == ids[some]] = -np.inf
+                both, names = np.concatenate([guess[mine], s], 1), np.concatenate([found[mine], np.tile(ids[some], (len(mine), 1))], 1)
+                top = np.argpartition(-both, refine - 1, 1)[:, :refine]
+                guess[mine], found[mine] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
         keep = np.isfinite(guess)
-        return pa.table({"query_id": np.repeat(ids[~rows], keep.sum(1)), "id": ids[rows][at][keep], "guess": guess[keep]})
+        return pa.table({"query_id": np.repeat(q_ids, keep.sum(1)), "id": found[keep], "guess": guess[keep]})
 
-    found = q.unionByName(r).groupBy("list", "qb", "rb").applyInArrow(best, "query_id long, id long, guess double")
+    dealt = q.unionByName(r).repartition(min(groups * blocks, 2000), "qb", "rb")  # a number that is given stays, however small the rows are
+    found = dealt.groupBy("qb", "rb").applyInArrow(best, "query_id long, id long, guess double")
     w = Window.partitionBy("query_id").orderBy(F.desc("guess"), "id")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= refine).select("query_id", "id")
 
@@ -137,7 +145,7 @@ def approximate_knn(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec
     model = fit(rows, key, vector, lists, parts)
     if model is None:
         return queries.limit(0).select(F.col(key).alias("query_id"), F.lit(1).alias("rank"), key, F.lit(0.0).alias("score"))
-    pairs = candidates(queries, index(rows, model, key, vector), model, refine or 20 * k, probes, key, vector)
+    pairs = candidates(queries, settled(index(rows, model, key, vector)), model, refine or 20 * k, probes, key, vector)
     both = pairs.join(_whole(rows, key, vector), "id").join(_whole(queries, key, vector).select(F.col("id").alias("query_id"), F.col("x").alias("y")), "query_id")
     score = F.round(F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v), 6)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

@@ -252,3 +252,18 @@ def test_few_ratios_are_computed(spark):
     side = lambda: near_text._Side(list(range(1000)), ["".join(r.choice(parts) for _ in range(r.randint(30, 150))) for _ in range(1000)])
     a, b = side(), side()
     assert sum(len(i) for i, *_ in near_text._possible(a, b, [0.85])) < 1000
+
+
+def test_inverted_file_tasks_do_not_grow(spark):
+    """RET18: blocks of rows and groups of queries of any size give the same candidates, each pair of them by a task of its own."""
+    import numpy as np
+
+    r = np.random.default_rng(19)
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(600, 8)))], "vec_id long, embedding array<double>")
+    model = inverted_file.fit(e, lists=8, parts=8)
+    stored = inverted_file.index(e, model)
+    found = lambda **sizes: inverted_file.candidates(e.where("vec_id % 10 = 0"), stored, model, 20, 6, **sizes)
+    whole = sorted(map(tuple, found().collect()))
+    small = found(block=100, group=12)
+    assert sorted(map(tuple, small.collect())) == whole and len(whole) == 60 * 20
+    assert "REPARTITION_BY_NUM" in small._jdf.queryExecution().executedPlan().toString()
