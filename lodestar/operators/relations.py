@@ -58,9 +58,9 @@ def missing(wanted: DataFrame, have: DataFrame, on: list[str]) -> DataFrame:
 
 
 def backfill(chunks: DataFrame, parents: DataFrame, children: DataFrame, key: str = "document_id") -> tuple[DataFrame, DataFrame]:
-    """JN7, CHK8: a parent and a child for each chunk of documents that have none."""
-    new_parents = missing(chunks, parents, [key])
-    new_children = missing(chunks, children, [key])
+    """JN7, CHK8: a parent and a child for each chunk of documents that have none. A task holds the different keys of its part; the chunks pass by them unsorted."""
+    there = lambda t: t.select(key).distinct().hint("shuffle_hash")
+    new_parents, new_children = missing(chunks, there(parents), [key]), missing(chunks, there(children), [key])
     return parents.unionByName(new_parents, allowMissingColumns=True), children.unionByName(new_children, allowMissingColumns=True)
 
 

@@ -228,3 +228,29 @@ def test_hashed_embeddings_without_a_shuffle(spark, again):
     assert {(x.doc_id, x.bucket): x.weight for x in got.collect()} == {k: pytest.approx(v) for k, v in want.items()}
     if not again:
         assert "SinglePartition" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning" not in plan
+
+
+def test_backfill_sorts_no_chunk(spark):
+    """JN7 with many chunks a document: the different keys of documents that have a parent are held, the chunks pass by."""
+    from lodestar.operators import relations
+
+    rows = [(d, k) for d in range(200) for k in range(d % 7)]
+    c = spark.createDataFrame(rows, "document_id long, chunk_index int")
+    parents, children = relations.backfill(c, c.where("document_id % 3 = 0"), c.where("document_id % 5 = 0 and chunk_index = 0"))
+    assert sorted(map(tuple, parents.collect())) == rows
+    assert sorted(map(tuple, children.collect())) == [x for x in rows if x[0] % 5 or not x[1]]
+    plan = parents._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_best_rows_in_small_parts(spark, monkeypatch):
+    """Tokens are looked up a few rows at a time, with the same result."""
+    from lodestar.operators import best_bm25
+
+    r = random.Random(20)
+    d = spark.createDataFrame([(i, " ".join(r.choice(["pump", "fan", "x", "alarm", "w1", "w2"]) for _ in range(r.randint(0, 9)))) for i in range(150)], "doc_id long, text string").coalesce(1)
+    q = spark.createDataFrame([(1, "pump w1"), (2, "fan alarm")], "query_id long, text string")
+    best = lambda: sorted(map(tuple, lexical.top_k(best_bm25.best_bm25(q, d, "query_id", "doc_id", 5), ["query_id"], "bm25", "doc_id", 5).collect()))
+    whole = best()
+    monkeypatch.setattr(best_bm25, "ROWS", 7)
+    assert [x[:2] + x[3:] for x in best()] == [x[:2] + x[3:] for x in whole] and len(whole) == 10
