@@ -19,8 +19,9 @@ same anchor form a run.
    buckets of ``crowd`` shards, each with the run of the smallest document. Runs of a hot
    anchor go by window to buckets of their own instead, each different window once
    a shard, from its smallest document there.
-4. ``_compare``: a bucket takes records with the same bytes as one string, cuts the
-   strings into pieces, makes a suffix array of each by Larsson-Sadakane refinement,
+4. ``_compare``: a bucket takes records with the same bytes as one string, leaves out
+   those that have no window by whose hash another document may have it, cuts the
+   other strings into pieces, makes a suffix array of each by Larsson-Sadakane refinement,
    Kasai common prefixes over it, and merges the pieces' windows by binary search.
    Every byte that goes was compared there.
 5. ``_cut``: the removed ranges meet their documents again, by shard.
@@ -68,7 +69,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     key = words_at(data)
-    order = np.argsort(key, kind="stable").astype(np.int64)
+    order = np.argsort(key)
     tied = key[order]
     first = np.concatenate([[True], tied[1:] != tied[:-1]])
     rank = np.empty(n + 1, np.int64)
@@ -486,17 +487,38 @@ def one_of_each(doc: np.ndarray, length: np.ndarray, data: np.ndarray) -> np.nda
     return np.where(same, first, np.arange(len(first)))
 
 
+def _may_share(doc: np.ndarray, length: np.ndarray, data: np.ndarray, width: int) -> np.ndarray:
+    """Whether each record has a window whose hash a record of another document has too."""
+    windows = length - width + 1
+    at = flat_ranges(np.cumsum(length) - length, windows)
+    record = np.repeat(np.arange(len(length)), windows)
+    key = RangeHash(_CODES[data]).of(at, at + width)
+    order = np.argsort(key)
+    key, owner = key[order], doc[record[order]]
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    starts = np.flatnonzero(new)
+    out = np.zeros(len(length), bool)
+    if len(key):
+        shared = np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts)
+        out[record[order[shared[np.cumsum(new) - 1]]]] = True
+    return out
+
+
 def repeated_windows(doc: np.ndarray, length: np.ndarray, data: np.ndarray, anchor: np.ndarray, width: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
     """(record, place in it) of windows that a record of a smaller document has too: all, or as many as cover them.
 
     Records with the same bytes are one in the arrays, that of the smallest document.
     The windows of the others are that one's: all of them go, or, in the same
-    document, those that go there.
+    document, those that go there. Equal windows have equal anchors and hashes, so
+    that a record without one that may be another document's is in no array.
     """
     first = one_of_each(doc, length, data)
     own = np.flatnonzero(first == np.arange(len(first)))
     own = own[np.argsort(anchor[own], kind="stable")]
+    again = anchor[own][1:] == anchor[own][:-1]
+    own = own[np.append(again, False)[: len(own)] | np.append(False, again)[: len(own)]]
     begin = np.cumsum(length) - length
+    own = own[_may_share(doc[own], length[own], data[flat_ranges(begin[own], length[own])], width)]
     found = [(own[which[p]], place[p]) for part, which, place in suffix_pieces(doc[own], length[own], data[flat_ranges(begin[own], length[own])], anchor[own], width, piece) for p in [part.repeated()]]
     record, at = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(2))
     later = np.flatnonzero(doc > doc[first])

@@ -18,7 +18,7 @@ from lodestar.llm.graph import components
 from lodestar.llm.minhash import near_duplicates
 from lodestar.llm.packing import SumOfSquares, WordTokenizer, pack_documents
 from lodestar.llm.quality import LabelModel, score_quality
-from lodestar.llm.substring_dedup import common_prefixes, remove_repeats, suffix_array
+from lodestar.llm.substring_dedup import SuffixShard, common_prefixes, remove_repeats, suffix_array
 from lodestar.llm.topk import exact_topk
 
 DOCS = "doc_id long, text string, n_removed int, score string"  # the last two clash with results' names
@@ -99,6 +99,20 @@ def test_hot_windows_go_once_a_shard():
     assert sorted((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(kept)
 
 
+def test_arrays_hold_only_strings_that_may_share_a_window(monkeypatch):
+    held = []
+    monkeypatch.setattr(substring_dedup, "SuffixShard", lambda data, *a: held.append(len(data)) or SuffixShard(data, *a))
+    passage = prose(9, 10)
+    texts = [prose(1, 20)] * 3 + [prose(2, 20), prose(3, 5) + passage, passage + prose(4, 5), passage[:40] + prose(5, 9)]  # copies; alone; two with a window in common; one with less
+    doc, length = np.array([4, 1, 1, 2, 6, 5, 3]), np.array([len(t) for t in texts])
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    record, place = substring_dedup.repeated_windows(doc, length, data, np.full(7, 8, np.uint64), 50)
+    assert sum(held) == length[4] + length[5]
+    covered = {(r, p + k) for r, p in zip(record.tolist(), place.tolist()) for k in range(50)}
+    begin = len(texts[4]) - len(passage)
+    assert covered == {(0, k) for k in range(length[0])} | {(4, begin + k) for k in range(len(passage))}
+
+
 def test_repeats_edges(spark):
     got = remove_repeats(docs(spark, EDGE)).collect()
     assert len(got) == len(EDGE)
