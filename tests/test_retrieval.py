@@ -267,3 +267,12 @@ def test_inverted_file_tasks_do_not_grow(spark):
     small = found(block=100, group=12)
     assert sorted(map(tuple, small.collect())) == whole and len(whole) == 60 * 20
     assert "REPARTITION_BY_NUM" in small._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_text_sends_each_text_a_bounded_number_of_times(spark, monkeypatch):
+    monkeypatch.setattr(near_text, "BLOCK", 4)
+    monkeypatch.setattr(near_text, "PARTS", 3)
+    frame = lambda first, n, size=9: spark.createDataFrame([(first + i, "x" * size) for i in range(n)], "id long, q string")
+    assert near_text._dealt(frame(0, 100), frame(1000, 60), "id", "q").count() == 160 * 3
+    monkeypatch.setattr(near_text, "CHARS", 90)  # ten texts
+    assert near_text._dealt(frame(0, 100), frame(1000, 6), "id", "q").count() == 100 * 2 + 6 * 10
