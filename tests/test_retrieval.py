@@ -10,7 +10,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from lodestar.operators import counted_ranks, evaluate, inverted_file, near_text, ranks, search
+from lodestar.operators import counted_ranks, evaluate, inverted_file, lexical, near_text, ranks, search, term_hits, term_index
 from lodestar.operators.term_index import TermIndex
 
 SF = "/root/testdata/sf0.1"
@@ -92,6 +92,26 @@ def test_index_by_batches_against_plain_order(spark, tmp_path):
             assert [x.key for x in mine] == [k for k in docs if docs[k][0] == tenant]
 
 
+def test_candidates_are_counted_where_the_rows_are(spark, monkeypatch):
+    """Rows of scopes that ask for a term go on with its count, all others as numbers; repeated keys and nulls as when all pairs are grouped."""
+    r = random.Random(3)
+    words = ["pump", "pumps", "Alarm", "ana", "bananas", "泵压力过", "x-1", "ab", "é", "a+b_c", "İana", "the", "then", "other"]
+    text = lambda n: "".join(r.choice(words) + r.choice([" ", "", ", "]) for _ in range(n))
+    rows = [(r.choice(["t0", "t1", "t2", None]), r.choice([*range(60), None]), r.choice([None, "", text(5), text(30)])) for _ in range(150)]
+    asked = [("t0", 1, "pump ana alarm the"), ("t1", 2, "泵压力过 other a+b_c"), ("t1", 3, "nothing"), (None, 4, "pump"), ("t9", 5, "pump")]
+    d, q = spark.createDataFrame(rows, "tenant string, key long, text string").repartition(3), spark.createDataFrame(asked, "tenant string, query_id long, text string")
+    got = lambda d: sorted(((x.tenant, x.query_id, x.key, x.place, x.score and round(x.score, 9)) for x in lexical.candidates(q, d, "query_id", "key", scope=["tenant"]).collect()), key=str)
+    whole = got(d)
+    hits = term_hits.text_hits(d, "key", "text", ["tenant"], [(("t0",), "pump"), (("t1",), "the")], set()).collect()
+    assert {x.tenant for x in hits} == {"t0", "t1", None} and sum(x.kind == term_hits.COUNTS for x in hits) == 3
+    assert all(x.term == ([0] if x.tenant == "t0" else [1]) for x in hits if x.kind == term_hits.WHOLE)
+    few = sorted({(t, k): x for t, k, x in rows if k is not None}.items(), key=str)
+    some = spark.createDataFrame([(t, k, x) for (t, k), x in few], "tenant string, key long, text string")
+    new = got(some)
+    monkeypatch.setattr(term_index, "ASKED", -1)  # all pairs are grouped
+    assert whole == got(d) and len(whole) > 40 and new == got(some)
+
+
 def test_index_opens_only_asked_buckets(spark, tmp_path):
     index = TermIndex(spark, f"{tmp_path}/i", "key", ["tenant"], buckets=8)
     rows = spark.createDataFrame([("t", i, f"word{i} common") for i in range(50)], "tenant string, key long, text string")
