@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import counted_ranks, evaluate, inverted_file, lexical, near_text, ranks, search, term_hits, term_index
 from lodestar.operators.term_index import TermIndex
+from lodestar.plans.retrieval_queries import scoped_chunks
 
 SF = "/root/testdata/sf0.1"
 
@@ -296,3 +297,14 @@ def test_near_text_sends_each_text_a_bounded_number_of_times(spark, monkeypatch)
     assert near_text._dealt(frame(0, 100), frame(1000, 60), "id", "q").count() == 160 * 3
     monkeypatch.setattr(near_text, "CHARS", 90)  # ten texts
     assert near_text._dealt(frame(0, 100), frame(1000, 6), "id", "q").count() == 100 * 2 + 6 * 10
+
+
+def test_chunks_of_a_scope_are_not_joined_unless_documents_come_again(spark):
+    rows = [("a", "en", 1, "x" * 1200), ("b", "de", 2, "y"), ("b", "de", 3, ""), ("c", None, None, "z")]
+    frame = lambda r: spark.createDataFrame(r, "tenant string, kb string, doc_id long, text string")
+    got = lambda r: sorted((x.doc_id, x.tenant, x.kb, x.chunk_index, len(x.chunk)) for x in scoped_chunks(frame(r)).collect())
+    once = [(1, "a", "en", 0, 500), (1, "a", "en", 1, 500), (1, "a", "en", 2, 300), (2, "b", "de", 0, 1)]
+    assert got(rows) == once
+    assert "Join" not in scoped_chunks(frame(rows))._jdf.queryExecution().optimizedPlan().toString()
+    again = got([*rows, ("d", "en", 2, "y")])
+    assert again == sorted(once[:3] + 2 * [(2, "b", "de", 0, 1), (2, "d", "en", 0, 1)])
